@@ -6,13 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe
+from girderlake.llm import byte_bpe, complement_packing, suffix_arrays, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return complement_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op6_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_trees.remove_repeated_passages(_table(spark, sf_dir, "documents"), width=20)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_arrays.remove_repeated_bytes(_table(spark, sf_dir, "documents"), width=200)
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     done = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -20,6 +34,9 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_complement_packing": op5_complement_packing,
+    "op6_suffix_trees": op6_suffix_trees,
+    "op7_suffix_arrays": op7_suffix_arrays,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
