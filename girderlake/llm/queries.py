@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe, complement_packing, suffix_arrays, suffix_trees
+from girderlake.llm import byte_bpe, complement_packing, minhash_star, suffix_arrays, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_minhash_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_star.near_copies(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op5_complement_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return complement_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
@@ -34,6 +38,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_minhash_star": op4_minhash_star,
     "op5_complement_packing": op5_complement_packing,
     "op6_suffix_trees": op6_suffix_trees,
     "op7_suffix_arrays": op7_suffix_arrays,
