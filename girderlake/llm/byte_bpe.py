@@ -65,7 +65,7 @@ def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 @functools.cache
-def _classes() -> np.ndarray:
+def codepoint_classes() -> np.ndarray:
     """0 letter, 1 number, 2 other, 3 white space, for every codepoint."""
     out = np.full(0x110000, OTHER, np.uint8)
     valid = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
@@ -104,7 +104,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
     code = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    kind = _classes()[code]
+    kind = codepoint_classes()[code]
     first = np.unique(np.searchsorted(at, offsets[:-1][offsets[:-1] < offsets[1:]]))
     n = len(code)
     ends = np.zeros(n + 2, bool)  # whether a text ends before this codepoint

@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe, complement_packing, minhash_star, suffix_arrays, suffix_trees
+from girderlake.llm import byte_bpe, complement_packing, language_vectors, minhash_star, quality_lines, suffix_arrays, suffix_trees
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _remainder(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op2_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.judge(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_star.near_copies(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -31,6 +39,13 @@ def op7_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_language_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    prototypes = language_vectors.learn(docs, held_out=held_out)
+    return language_vectors.predict(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     done = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -38,10 +53,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_lines": op2_quality_lines,
     "op4_minhash_star": op4_minhash_star,
     "op5_complement_packing": op5_complement_packing,
     "op6_suffix_trees": op6_suffix_trees,
     "op7_suffix_arrays": op7_suffix_arrays,
+    "op8_language_vectors": op8_language_vectors,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
