@@ -104,9 +104,9 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float
 
     base = cut(numbered.mapInArrow(run, PROFILE.replace("row long", "doc_id long, host string")).withColumn("row", F.monotonically_increasing_id()))
     lines = base.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", "l.line", "l.words")
-    hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("documents"))
+    hosts = base.select(F.col("host").alias("whole"), "text_hash").distinct().groupBy("whole").agg(F.count("*").alias("documents"))
     seen = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("having")).where(F.col("having") > least)
-    limit = seen.join(hosts, seen["host"].eqNullSafe(hosts["host"])).where(F.col("having") > share * F.col("documents")).select(seen["host"].alias("h"), F.col("line").alias("often"))
+    limit = seen.join(hosts, F.col("host").eqNullSafe(F.col("whole"))).where(F.col("having") > share * F.col("documents")).select(F.col("host").alias("h"), F.col("line").alias("often"))
     removed = lines.join(limit, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).groupBy("row").agg(F.sum("words").alias("removed_words"))
     out = base.drop("lines", "host", "text_hash").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))

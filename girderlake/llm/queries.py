@@ -6,10 +6,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe, complement_packing, language_vectors, minhash_star, quality_lines, suffix_arrays, suffix_trees
+from girderlake.llm import byte_bpe, complement_packing, language_vectors, minhash_star, quality_lines, suffix_arrays, suffix_trees, weak_toxicity
+
+
+#: Rows of whole texts that go to a Python worker at once; the usual 10,000 can be tens of megabytes.
+ARROW_ROWS = "1000"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +51,13 @@ def op8_language_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_vectors.predict(docs, prototypes).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = weak_toxicity.fit(docs, _table(spark, sf_dir, "labels"), training=~held_out)
+    return weak_toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     done = byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -59,6 +71,7 @@ QUERIES = {
     "op6_suffix_trees": op6_suffix_trees,
     "op7_suffix_arrays": op7_suffix_arrays,
     "op8_language_vectors": op8_language_vectors,
+    "op9_weak_toxicity": op9_weak_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
