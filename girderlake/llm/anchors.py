@@ -135,7 +135,7 @@ def blobs(records: Records, buckets: int) -> Iterator[tuple[int, int, bytes, byt
     bucket = np.where(new, bucket, (f["doc"] * 0x9E3779B1 >> 7) % buckets)
     by = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=6)
     raw = records.raw
     for rows in np.split(by, cuts):
         header = b"".join(np.ascontiguousarray(f[k][rows]).tobytes() for k in FIELDS)

@@ -8,7 +8,10 @@ length and their rank among pieces of that length, without meeting each other in
 from __future__ import annotations
 
 import functools
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -19,11 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from girderlake.llm.arrays import of_each, sliced
+from girderlake.llm.arrays import IN_WORD, of_each, sliced
 from girderlake.llm.store import cut
 
 #: Words whose ids a worker remembers; when full it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
+#: Letters, then symbols: in the tokenizer's pattern two pieces, or one.
+PLAIN = re.compile(r"([^\W\d_]*)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_names() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next one free from 256 on."""
+    own = [b for b in range(256) if chr(b).isprintable() and b != 32]
+    return {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+BYTE_NAMES = _byte_names()
 
 
 class WordIds:
@@ -33,20 +47,55 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [x.split() for x in texts]
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache = self.cache
-        missing = list({w for x in split for w in x if w not in cache})
-        for i in range(0, len(missing), 4096):
-            some = missing[i : i + 4096]
-            ids = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in some], add_special_tokens=False)
-            cache.update((w, np.array(x.ids, "<u4").tobytes()) for w, x in zip(some, ids, strict=True))
-        return [b"".join([cache[w] for w in x]) for x in split]
+        raw = data.tobytes()
+        if b"<|" not in raw:  # else a special token might come of it
+            raw = raw.lower()
+        raw, offsets = _commas_apart(raw, offsets)
+        split = [raw[a:b].split() for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+        if len(self.young) > CACHE_ENTRIES // 2:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = set().union(*split).difference(young)
+        young.update((w, old[w]) for w in missing if w in old)
+        self._learn([w for w in missing if w not in old])
+        get = young.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+    def _learn(self, missing: list[bytes]) -> None:
+        """Ids of words: letters and a tail of ASCII symbols go straight to the merges, any other word through the tokenizer."""
+        cache, merge = self.young, self.tokenizer.model.tokenize
+        for word in missing:
+            if word.isalpha():  # ASCII letters
+                cache[word] = array("I", [t.id for t in merge(word.lower().decode())]).tobytes()
+                continue
+            text = word.decode("utf-8")
+            m = PLAIN.fullmatch(text)
+            if m and (not m[1] or m[1].isalpha() and m[1].isascii()):
+                ids = [t.id for part in m.groups() if part for t in merge(part.lower())]
+            elif m and m[1].isalpha() and unicodedata.is_normalized("NFC", m[1]) and len(low := m[1].lower()) == len(m[1]) and "\u03a3" not in m[1] and unicodedata.is_normalized("NFC", low):
+                ids = [t.id for t in merge(low.encode("utf-8").decode("latin-1").translate(BYTE_NAMES))]
+                if m[2]:
+                    ids += [t.id for t in merge(m[2])]
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            cache[word] = array("I", ids).tobytes()
+
+
+def _commas_apart(raw: bytes, offsets: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A space before each full stop or comma between an ASCII letter and white space, where the tokenizer cuts anyway."""
+    data = np.frombuffer(raw, np.uint8)
+    if len(data) < 3:
+        return raw, offsets
+    mark = (data == 0x2C) | (data == 0x2E)
+    before = (data[:-2] >= 97) & (data[:-2] <= 122)
+    at = np.flatnonzero(mark[1:-1] & before & ~IN_WORD[data[2:]]) + 1
+    at = at[~np.isin(at, offsets)]
+    return np.insert(data, at, 0x20).tobytes(), offsets + np.searchsorted(at, offsets)
 
 
 @functools.cache
@@ -62,8 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
         task, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows, data, offsets in sliced(batch, "text"):
-                raw = data.tobytes()
-                ids = [x + end for x in encoder.encode([raw[a:b] for a, b in zip(offsets.tolist(), offsets[1:].tolist())])]
+                ids = [x + end for x in encoder.encode(data, offsets)]
                 total = np.array([len(x) // 4 for x in ids])
                 n = -(-total // capacity)
                 of, piece = np.repeat(np.arange(len(ids)), n), of_each(n)

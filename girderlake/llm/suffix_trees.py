@@ -179,7 +179,7 @@ def _kept_words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np
     return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 6, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier: doc_id, n_words, n_removed, kept_text.
 
     Earlier: in a document of smaller id, or before it in the same. Windows are judged on the input. kept_text is
