@@ -190,17 +190,19 @@ def spans_of(docs: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarr
     return d[first], s[first], s[np.append(first[1:], len(d)) - 1] + width
 
 
-def document_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and a key: the id, or above all ids a number made from the text where it is null."""
+def document_key(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text and a key: the id, or above all ids a number made from the text where it is null. keep: columns that go along as kept_0, ..."""
     doc, text = docs[id_col].cast("long"), docs[text_col]
     unnamed = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64(text), 2)
-    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, unnamed).alias("key"))
+    return docs.select(doc.alias("doc_id"), text.alias("text"), F.coalesce(doc, unnamed).alias("key"), *(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)))
 
 
 def with_spans(source: DataFrame, spans: DataFrame, apply, schema: str) -> DataFrame:
-    """Every document with its removed spans, sorted, given to ``apply(data, offsets, spans)`` slice by slice."""
+    """Every document with its removed spans, sorted, given to ``apply(data, offsets, spans)`` slice by slice; kept columns follow."""
+    kept = [f for f in source.schema if f.name.startswith("kept_")]
+    schema = ", ".join([schema, *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
     grouped = spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    joined = source.join(grouped, source["key"] == grouped["doc"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"))
+    joined = source.join(grouped, source["key"] == grouped["doc"], "left").select("doc_id", "text", F.col("spans.first").alias("first"), F.col("spans.last").alias("last"), *(f.name for f in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in schema.split(", ")]
@@ -218,6 +220,6 @@ def with_spans(source: DataFrame, spans: DataFrame, apply, schema: str) -> DataF
                     at = np.flatnonzero(new)
                     of, first, last = of[at], first[at], (reach - shift)[np.append(at[1:], len(of)) - 1]
                 columns = apply(data, offsets, of, first, last)
-                yield pa.record_batch([rows.column(0), *columns], names=names)
+                yield pa.record_batch([rows.column(0), *columns, *rows.columns[4:]], names=names)
 
     return joined.mapInArrow(run, schema)

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from girderlake.llm.anchors import document_key
 from girderlake.llm.arrays import LOWER, WORDS, mix, of_each, sliced, word_hashes, words
@@ -151,7 +152,24 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     linked with nothing. Rows that repeat a doc_id count as one document. Documents without id are told apart by
     text and come after all others; a group of such alone has a null component_id, and one of its texts is kept.
     """
-    source = document_key(docs, id_col, text_col)
+    out = _grouped(document_key(docs, id_col, text_col), shingle, percent)
+    named = F.when(F.col("key") < UNNAMED, F.col("key"))
+    return out.select(named.alias("doc_id"), "n_shingles", F.when(F.col("component") < UNNAMED, F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group (see ``near_copies``) the document of the smallest id.
+
+    Rows that repeat a doc_id are one document, of which one row stays; documents without words all stay.
+    """
+    keyed = docs.withColumn("_key", F.coalesce(docs[id_col].cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(docs[text_col]), 2)))
+    stays = _grouped(document_key(docs, id_col, text_col), shingle, percent).where("key = component").select(F.col("key").alias("_key")).distinct()
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col)))
+    return keyed.join(stays, "_key", "left_semi").withColumn("_row", one).where("_row = 1").drop("_key", "_row")
+
+
+def _grouped(source: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """key, n_shingles, component (a key) of every row of ``source``."""
     base = cut(_sketches(source, shingle))
     some = base.where("n_shingles > 0")
     classes = cut(some.groupBy("set_a", "set_b").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
@@ -176,9 +194,8 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
         edges = edges.union(_alike(again, source, shingle, percent))
         first = cut(connected_components(edges))
     groups = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    named = F.when(F.col("key") < UNNAMED, F.col("key"))
     out = base.drop("bands").join(groups, ["set_a", "set_b"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")))
-    return out.select(named.alias("doc_id"), "n_shingles", F.when(F.col("component") < UNNAMED, F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    return out.select("key", "n_shingles", "component")
 
 
 #: Bands of 32 that a pair must share to be checked in the second round. Two sets at the threshold of 0.8 share 13 on

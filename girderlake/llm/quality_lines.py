@@ -94,21 +94,68 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float
     neither base_failed nor depleted. A null text counts as empty, a null host is a host of its own; rows that repeat
     are judged each by itself.
     """
-    numbered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[host_col].alias("host"), docs[text_col].alias("text"))
+    judged, _ = _judged(docs, share, least, depleted, min_words, max_repeat, id_col, text_col, host_col)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
+
+
+def clean(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, without their lines above the limits; other lines stay as they are.
+
+    Columns are those of ``docs``. A text without any such line is handed on unchanged.
+    """
+    judged, often = _judged(docs, share, least, depleted, min_words, max_repeat, id_col, text_col, host_col)
+    drop = often.groupBy("row").agg(F.collect_set("line").alias("_drop"))
+    kept = judged.where("kept").join(drop, "row", "left").select("doc_id", "host", "text_key", "_drop").dropDuplicates(["doc_id", "host", "text_key"])
+    same = docs[id_col].cast("long").eqNullSafe(kept["doc_id"]) & docs[host_col].eqNullSafe(kept["host"]) & (F.xxhash64(docs[text_col]) == kept["text_key"])
+    columns = [docs[c].alias(c) for c in docs.columns]
+    met = docs.join(kept, same).select(*columns, "_drop")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for i, lines in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if lines:
+                    texts[i] = _without(texts[i], np.array(lines, np.int64))
+            held = list(batch.columns[:-1])
+            held[place] = pa.array(texts, batch.schema.types[place])
+            yield pa.record_batch(held, names=batch.schema.names[:-1])
+
+    return met.mapInArrow(run, docs.schema)
+
+
+def _without(text: str, lines: np.ndarray) -> str:
+    """A text without the lines of these hashes."""
+    parts = text.split("\n")
+    data = np.frombuffer("\n".join(parts).encode(), np.uint8)
+    edges = np.append(0, np.cumsum([len(p.encode()) + 1 for p in parts]))
+    edges[-1] -= 1
+    starts, ends, _ = words(data, np.array([0, len(data)]))
+    lower = word_hashes(LOWER[data], starts, ends)
+    first, last = np.searchsorted(starts, edges[:-1]), np.searchsorted(starts, edges[1:])
+    hashes = WORDS.spans(WORDS.sums(lower), first, last).view(np.int64)
+    drop = np.isin(hashes, lines) & (last > first)
+    return "\n".join(p for p, gone in zip(parts, drop.tolist(), strict=True) if not gone)
+
+
+def _judged(docs: DataFrame, share: float, least: int, depleted: float, min_words: int, max_repeat: int, id_col: str, text_col: str, host_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with its counts and verdict (text_key tells its text), and (row, line, words) of lines above the limits."""
+    numbered = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[host_col].alias("host"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, offsets in sliced(batch, "text"):
                 made = profiles(np.zeros(rows.num_rows, np.int64), data, offsets)
-                yield pa.record_batch([rows.column(0), rows.column(1), *made.columns[1:]], names=["doc_id", "host", *made.schema.names[1:]])
+                yield pa.record_batch([rows.column(0), rows.column(1), rows.column(3), *made.columns[1:]], names=["doc_id", "host", "text_key", *made.schema.names[1:]])
 
-    base = cut(numbered.mapInArrow(run, PROFILE.replace("row long", "doc_id long, host string")).withColumn("row", F.monotonically_increasing_id()))
+    base = cut(numbered.mapInArrow(run, PROFILE.replace("row long", "doc_id long, host string, text_key long")).withColumn("row", F.monotonically_increasing_id()))
     lines = base.select("row", "host", "text_hash", F.explode("lines").alias("l")).select("row", "host", "text_hash", "l.line", "l.words")
     hosts = base.select(F.col("host").alias("whole"), "text_hash").distinct().groupBy("whole").agg(F.count("*").alias("documents"))
     seen = lines.select("host", "line", "text_hash").distinct().groupBy("host", "line").agg(F.count("*").alias("having")).where(F.col("having") > least)
     limit = seen.join(hosts, F.col("host").eqNullSafe(F.col("whole"))).where(F.col("having") > share * F.col("documents")).select(F.col("host").alias("h"), F.col("line").alias("often"))
-    removed = lines.join(limit, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).groupBy("row").agg(F.sum("words").alias("removed_words"))
-    out = base.drop("lines", "host", "text_hash").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
+    over = lines.join(limit, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("often"))).select("row", "line", "words")
+    removed = over.groupBy("row").agg(F.sum("words").alias("removed_words"))
+    out = base.drop("lines", "text_hash").join(removed, "row", "left").withColumn("removed_words", F.coalesce("removed_words", F.lit(0)))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", (~failed & (F.col("removed_words") <= depleted * F.col("n_words"))).alias("kept"))
+    return out.withColumn("kept", ~failed & (F.col("removed_words") <= depleted * F.col("n_words"))), over

@@ -179,17 +179,19 @@ def _kept_words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np
     return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier: doc_id, n_words, n_removed, kept_text.
 
     Earlier: in a document of smaller id, or before it in the same. Windows are judged on the input. kept_text is
     the words that stay, joined by one space. A null or empty text has no words, a text shorter than ``width`` loses
     none. A row that repeats another (same id) counts as the same document and gets the same answer. Documents
-    without id come after all others. prefix: words of the shortest prefix that splits suffixes.
+    without id come after all others. prefix: words of the shortest prefix that splits suffixes. keep: input columns
+    to hand on.
     """
-    source = document_key(docs, id_col, text_col)
+    source = document_key(docs, id_col, text_col, keep)
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spans = repeated_spans(source, width, prefix, buckets)
-    return with_spans(source, spans, _kept_words, "doc_id long, n_words long, n_removed long, kept_text string")
+    out = with_spans(source, spans, _kept_words, "doc_id long, n_words long, n_removed long, kept_text string")
+    return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
 
 
