@@ -1,10 +1,11 @@
 """Near copies by one-permutation MinHash: densified bins, banded buckets, star-shaped candidates, full check.
 
 One hash of each shingle fills all bins; an empty bin borrows from bins drawn by a hash of its own number. Texts
-with the same shingle set are one class from the start. In a bucket every class is paired with the bucket's least
-one only. What these stars miss (members that belong with each other, not with the hub) is found after the first
-components are known: members outside their bucket's main component are paired with the bucket's others. Every
-pair is checked on the full sets.
+with the same shingle set are one class from the start. In a bucket every class is paired with one hub only: the class
+whose bands are the most crowded, which in a cloud of edited copies is the text that they stem from. What these stars miss
+(members that belong with each other, not with the hub) is found among the members of one hub, in blocks of bounded
+size: those outside the main component of its members are held against all of them, and a block hands on the links of
+a spanning forest, never its pairs. Every link is checked on the full sets.
 """
 
 from __future__ import annotations
@@ -113,7 +114,6 @@ def _alike(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFra
     salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("salts"))
     dealt = pairs.join(salts, "hub").select("hub", "member", F.expr("pmod(xxhash64(member), salts)").alias("salt"))
     wanted = dealt.select("hub", "salt", "member", F.lit(False).alias("is_hub")).union(dealt.select("hub", "salt", F.col("hub").alias("member"), F.lit(True).alias("is_hub")).distinct())
-    # rows that repeat a document have its text too
     texts = wanted.join(source.select(F.col("key").alias("member"), "text"), "member")
     texts = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
 
@@ -174,30 +174,116 @@ def _grouped(source: DataFrame, shingle: int, percent: int) -> DataFrame:
     some = base.where("n_shingles > 0")
     classes = cut(some.groupBy("set_a", "set_b").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
     member = classes.select("rep", "n", F.explode("bands").alias("band"))
-    hubs = member.groupBy("band").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count("*").alias("size")).where("size > 1")
-    near = f"100 * least(n, other) >= {percent} * greatest(n, other)"
-    stars = member.join(hubs, "band").where("rep != hub.rep").select(F.col("hub.rep").alias("hub"), F.col("rep").alias("member"), "n", F.col("hub.n").alias("other")).where(near)
-    edges = cut(_alike(stars.select("hub", "member").distinct(), source, shingle, percent))
+    sizes = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    crowd = cut(member.join(sizes, "band"))
+    hubs = crowd.join(crowd.groupBy("rep").agg(F.sum("size").alias("crowding")), "rep")
+    hubs = hubs.groupBy("band").agg(F.max(F.struct("crowding", (-F.col("rep")).alias("least"), "n")).alias("hub"))
+    stars = crowd.join(hubs, "band").select((-F.col("hub.least")).alias("hub"), F.col("hub.n").alias("other"), F.col("rep").alias("member"), "n").distinct()
+    stars = cut(stars)
+    texts = source.join(crowd.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    texts = cut(texts.select("key", "text"))
+    near = f"hub != member AND 100 * least(n, other) >= {percent} * greatest(n, other)"
+    edges = cut(_alike(stars.where(near).select("hub", "member"), texts, shingle, percent))
     first = cut(connected_components(edges))
 
-    # members outside the main component of a bucket meet its other members, if they share bands enough for the threshold
-    shared = member.join(hubs.select("band"), "band").join(first.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = shared.groupBy("band", "component").agg(F.count("*").alias("size")).groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = cut(shared.join(mixed, "band"))
-    outside = open_.where("component != main").select("band", F.col("rep").alias("hub"), F.col("n").alias("other"), F.col("component").alias("from"), "main")
-    others = open_.select("band", F.col("rep").alias("member"), "n", "component")
-    again = outside.join(others, "band").where("component != from").where((F.col("component") == F.col("main")) | (F.col("hub") < F.col("member"))).where(near)
-    again = again.groupBy("hub", "member").agg(F.count("*").alias("bands")).where(f"bands >= {LEAST_SHARED}").select("hub", "member")
-    tested = stars.select("hub", "member").union(stars.select("member", "hub")).distinct()
-    again = cut(again.join(tested, ["hub", "member"], "left_anti"))
-    if not again.isEmpty():
-        edges = edges.union(_alike(again, source, shingle, percent))
+    among = stars.join(first.withColumnRenamed("node", "member"), "member", "left").select("hub", "member", "n", F.coalesce("component", "member").alias("component"))
+    parts = among.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    main = F.max(F.struct("size", "component", "weight"))
+    mixed = parts.groupBy("hub").agg(main.alias("main"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
+    slices = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int")
+    mixed = mixed.select("hub", F.col("main.component").alias("main"), slices(F.col("weight") - F.col("main.weight")).alias("rows"), slices(F.col("weight")).alias("columns"))
+    open_ = among.join(mixed, "hub")
+    place = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = open_.where("component != main").select("hub", "member", "component", F.lit(True).alias("outside"), place("rows").alias("row"), every("columns").alias("column"))
+    others = open_.select("hub", "member", "component", F.lit(False).alias("outside"), every("rows").alias("row"), place("columns").alias("column"))
+    blocks = cut(outside.union(others))
+    if not blocks.isEmpty():
+        edges = edges.union(cut(_alike_within(blocks, texts, shingle, percent)))
         first = cut(connected_components(edges))
     groups = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     out = base.drop("bands").join(groups, ["set_a", "set_b"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")))
     return out.select("key", "n_shingles", "component")
 
 
-#: Bands of 32 that a pair must share to be checked in the second round. Two sets at the threshold of 0.8 share 13 on
-#: average and fewer than 2 once in a million pairs.
-LEAST_SHARED = 2
+def common_counts(sets: np.ndarray, of_set: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Shingles that each of the sets ``rows`` has in common with each of the sets ``columns``.
+
+    Shingles that many have are columns of matrices to multiply; for the others every (row, column) that meets is counted.
+    """
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    side = []
+    for chosen in (rows, columns):
+        size = np.diff(of_set)[chosen]
+        at = np.repeat(of_set[chosen], size) + of_each(size)
+        order = np.argsort(sets[at], kind="stable")
+        side.append((sets[at][order], np.repeat(np.arange(len(chosen)), size)[order]))
+    (a, i), (b, j) = side
+    known = np.intersect1d(a, b)
+    a0, a1, b0, b1 = (np.searchsorted(x, known, how) for x in (a, b) for how in ("left", "right"))
+    na, nb = a1 - a0, b1 - b0
+    often = na * nb > 0.02 * len(rows) * len(columns)
+    for some in np.array_split(np.flatnonzero(often), -(-int(often.sum()) // 512) or 1):
+        x, y = np.zeros((len(rows), len(some)), np.float32), np.zeros((len(columns), len(some)), np.float32)
+        for m, who, start, count in ((x, i, a0[some], na[some]), (y, j, b0[some], nb[some])):
+            m[who[np.repeat(start, count) + of_each(count)], np.repeat(np.arange(len(some)), count)] = 1
+        out += x @ y.T
+    rare = np.flatnonzero(~often)
+    pairs = np.cumsum(na[rare] * nb[rare])
+    for some in np.split(rare, np.searchsorted(pairs, np.arange(PAIRS, pairs[-1] if len(pairs) else 0, PAIRS))):
+        each = na[some] * nb[some]
+        k, which = of_each(each), np.repeat(np.arange(len(some)), each)
+        row, column = i[a0[some][which] + k // nb[some][which]], j[b0[some][which] + k % nb[some][which]]
+        out += np.bincount(row * len(columns) + column, minlength=out.size).reshape(out.shape)
+    return out
+
+
+def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[list[int], list[int]]:
+    """Links of a block that connect the same keys as all its links do."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = parent[y]
+            x = y
+        return x
+
+    out: tuple[list[int], list[int]] = ([], [])
+    for r, c in zip(*(x.tolist() for x in np.nonzero(linked)), strict=True):
+        a, b = int(rows[r]), int(columns[c])
+        if (x := root(a)) != (y := root(b)):
+            parent[max(x, y)] = min(x, y)
+            out[0].append(a)
+            out[1].append(b)
+    return out
+
+
+def _alike_within(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between the outside members of each block and its others, as spanning forests."""
+    held = blocks.join(texts.withColumnRenamed("key", "member"), "member").select("hub", "row", "column", "member", "component", "outside", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        keys, component, outside = (table.column(x).to_numpy() for x in ("member", "component", "outside"))
+        sets, counts = [], []
+        for batch in table.combine_chunks().to_batches():
+            for _, data, offsets in sliced(batch, "text"):
+                hashes, of_doc = shingle_sets(data, offsets, k)
+                sets.append(hashes)
+                counts.append(np.diff(of_doc))
+        of_set = np.append(0, np.cumsum(np.concatenate(counts)))
+        rows, columns = np.flatnonzero(outside), np.flatnonzero(~outside)
+        found: tuple[list[int], list[int]] = ([], [])
+        if len(rows) and len(columns):
+            n = np.diff(of_set)
+            common = common_counts(np.concatenate(sets), of_set, rows, columns).astype(np.int64)
+            linked = 100 * common >= percent * (n[rows][:, None] + n[columns][None] - common)
+            found = forest(linked & (component[rows][:, None] != component[columns][None]), keys[rows], keys[columns])
+        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
+
+    return held.groupBy("hub", "row", "column").applyInArrow(run, "a long, b long")
+
+
+#: Shingles of one side of a block, about; of a single set that has more, all.
+BLOCK = 1 << 18
+#: Meetings of rare shingles that are counted at once.
+PAIRS = 1 << 22
