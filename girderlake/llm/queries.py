@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girderlake.llm import byte_bpe, chat_templates, complement_packing, language_vectors, minhash_star, permutation_index, quality_lines, suffix_arrays, suffix_trees, weak_toxicity
+from girderlake.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 
 #: Rows of whole texts that go to a Python worker at once; the usual 10,000 can be tens of megabytes.
 ARROW_ROWS = "1000"
@@ -90,5 +92,3 @@ QUERIES = {
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
-
-ORACLES: dict[str, str] = {}
