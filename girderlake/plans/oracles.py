@@ -98,6 +98,18 @@ VIEWS = {
       WHEN regexp_full_match(x, '\d{{1,3}}(\.\d{{3}})+') THEN replace(x, '.', '') WHEN x LIKE '%,%' THEN regexp_replace(x, ',', '.') ELSE x END AS y,
       CASE WHEN regexp_full_match(x, '\d{{1,3}}([.,]\d{{3}})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE x END AS z
       FROM (SELECT id, regexp_replace(regexp_replace(number_text, '[\s'']', '', 'g'), '(?i)(m²|m2|qm|stk|stueck|stück|euro|eur|€|m|%)$', '') AS x FROM {raw_values})""".replace("{{", "{").replace("}}", "}"),
+    "q_tm": """WITH k AS (SELECT *, east / 1000000 AS e6, CAST(floor(east / 1000000) AS INTEGER) AS zone FROM (SELECT id, CAST(east AS DOUBLE) AS east, CAST(north AS DOUBLE) AS north FROM {points})),
+      e AS (SELECT *, CASE WHEN id % 2 = 0 THEN 6378137.0 ELSE 6377397.155 END::DOUBLE AS a, CASE WHEN id % 2 = 0 THEN 1 / 298.257223563::DOUBLE ELSE 1 / 299.1528128::DOUBLE END AS f,
+        CASE WHEN id % 2 = 0 THEN 0.9996::DOUBLE ELSE 1::DOUBLE END AS k0, CASE WHEN id % 2 = 0 THEN 500000.0 ELSE zone * 1000000.0 + 500000 END::DOUBLE AS e0, CASE WHEN id % 2 = 0 THEN 9 ELSE zone * 3 END AS lon0 FROM k),
+      s AS (SELECT *, f / (2 - f) AS n FROM e), r AS (SELECT *, a / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS big FROM s),
+      x AS (SELECT *, north / (k0 * big) AS xi, (east - e0) / (k0 * big) AS eta, n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 AS b1, n ** 2 / 48 + n ** 3 / 15 AS b2, 17 * n ** 3 / 480 AS b3 FROM r),
+      y AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS p, eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS q FROM x),
+      z AS (SELECT *, asin(sin(p) / cosh(q)) AS chi FROM y)
+      SELECT id, a, f, chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3) * sin(2 * chi) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5) * sin(4 * chi) + 56 * n ** 3 / 15 * sin(6 * chi) AS phi, radians(lon0) + atan(sinh(q) / cos(p)) AS lam FROM z""",
+    "q_photo": """SELECT *, CASE WHEN label THEN 12 ELSE 0 END + CASE WHEN view_ THEN 10 WHEN weak AND NOT drawing THEN 5 ELSE 0 END + CASE WHEN number <= 12 AND n BETWEEN 15 AND 220 AND NOT drawing THEN 4 ELSE 0 END
+      + CASE WHEN number = 1 AND n <= 350 THEN 2 ELSE 0 END + CASE WHEN by_sight AND number <= 8 AND n <= 200 AND NOT drawing THEN 6 ELSE 0 END - CASE WHEN cover AND NOT label THEN 4 ELSE 0 END - CASE WHEN drawing THEN 15 ELSE 0 END AS score
+      FROM (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) AS n, text LIKE '%Foto 1%' OR text LIKE '%Lichtbild%' AS label, text LIKE '%Bauwerksansicht%' AS view_, regexp_matches(text, '(?i)\\bansicht\\b') AS weak, text LIKE '%Querschnitt%' AS drawing, text LIKE '%Bauwerksbuch%' AS cover FROM {book_pages} WHERE number <= 20)""",
+    "q_last_unmatched": "SELECT DISTINCT e.structure_id FROM {flood_peaks} e WHERE e.peaked_on = (SELECT max(peaked_on) FROM {flood_peaks} m WHERE m.structure_id = e.structure_id) AND NOT EXISTS (SELECT 1 FROM {special_checks} c WHERE c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + 7)",
 }
 
 _SQL = {
@@ -197,6 +209,51 @@ _SQL = {
         UNION ALL SELECT 'inspections', 'score_in_range', count(*) FROM {inspections} WHERE tenths NOT BETWEEN 10 AND 38 UNION ALL SELECT 'inspections', 'dated', count(*) FROM {inspections} WHERE inspected_on IS NULL
         UNION ALL SELECT 'recommendations', 'urgency_known', count(*) FROM {recommendations} WHERE urgency IS NULL UNION ALL SELECT 'recommendations', 'cost_and_target', count(*) FROM {recommendations} WHERE (cost IS NULL) <> (target_year IS NULL)
         UNION ALL SELECT 'traffic', 'year_of_date', count(*) FROM {traffic} WHERE year(observed_on) <> observation_year UNION ALL SELECT 'traffic', 'share', count(*) FROM {traffic} WHERE truck_share > 18) WHERE n > 0""",
+    "projected_coordinates": """SELECT * FROM (WITH g AS (SELECT *, f * (2 - f) AS e2 FROM {q_tm}), c AS (SELECT *, a / sqrt(1 - e2 * sin(phi) ** 2) AS nu FROM g),
+        x AS (SELECT *, nu * cos(phi) * cos(lam) AS x0, nu * cos(phi) * sin(lam) AS y0, nu * (1 - e2) * sin(phi) AS z0, radians(0.202 / 3600) AS rx, radians(0.045 / 3600) AS ry, radians(-2.455 / 3600) AS rz FROM c),
+        h AS (SELECT *, 598.1 + 1.0000067 * (x0 - rz * y0 + ry * z0) AS x, 73.7 + 1.0000067 * (rz * x0 + y0 - rx * z0) AS y, 418.2 + 1.0000067 * (rx * y0 - ry * x0 + z0) AS z FROM x),
+        w AS (SELECT *, 6378137.0::DOUBLE AS aw, 6378137.0::DOUBLE * (1 - 1 / 298.257223563::DOUBLE) AS bw, sqrt(x * x + y * y) AS p FROM h),
+        t AS (SELECT *, 1 - bw * bw / (aw * aw) AS ew, atan2(z * aw, p * bw) AS th FROM w)
+        SELECT id, CAST(round(degrees(CASE WHEN id % 2 = 0 THEN phi ELSE atan2(z + ew / (1 - ew) * bw * sin(th) ** 3, p - ew * aw * cos(th) ** 3) END) * 100000) AS BIGINT) AS latitude_e5,
+          CAST(round(degrees(CASE WHEN id % 2 = 0 THEN lam ELSE atan2(y, x) END) * 100000) AS BIGINT) AS longitude_e5 FROM t)""",
+    "photo_page": "SELECT document_id, number, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, number, id) AS rn FROM {q_photo} WHERE score >= 5) WHERE rn = 1",
+    "latest_runs": """SELECT l.document_id, l.id AS run_id, l.status, d.id AS finished_id, m + 1 AS next_attempt, l.status = 'FAILED' AS failed
+        FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY attempt DESC, id DESC) AS n, max(attempt) OVER (PARTITION BY document_id) AS m FROM {runs}) l
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY attempt DESC, id DESC) AS n FROM {runs} WHERE status IN ('SUCCEEDED', 'FAILED')) d ON d.document_id = l.document_id AND d.n = 1 WHERE l.n = 1""",
+    "bad_transitions": """SELECT document_id, id, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY document_id ORDER BY attempt, id) AS before FROM {runs}) WHERE NOT coalesce(CASE before WHEN 'PENDING' THEN status IN ('CLASSIFYING', 'FAILED')
+        WHEN 'CLASSIFYING' THEN status IN ('EXTRACTING', 'FAILED') WHEN 'EXTRACTING' THEN status IN ('VALIDATING', 'FAILED') WHEN 'VALIDATING' THEN status IN ('PERSISTING', 'FAILED') WHEN 'PERSISTING' THEN status IN ('SUCCEEDED', 'FAILED') END, before IS NULL AND status = 'PENDING')""",
+    "model_usage": "SELECT document_id, count(*) AS n_runs, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(CASE WHEN count(DISTINCT currency) <= 1 THEN sum(cost_micros) END AS BIGINT) AS cost_micros, count(DISTINCT currency) > 1 AS mixed_currency FROM {runs} GROUP BY 1",
+    "work_package_readiness": """SELECT * FROM (WITH p AS (SELECT i.id, i.estimate, q.due_on, EXISTS (SELECT 1 FROM {evidence} e WHERE e.entity_id = i.id) AS seen, EXISTS (SELECT 1 FROM {networks} n WHERE n.structure_id = i.structure_id) AS known
+          FROM {interventions} i LEFT JOIN {q_inspections} q ON q.id = i.id WHERE i.status = 'TENDER_PREPARATION'),
+        r AS (SELECT id, unnest(['SOURCE_EVIDENCE_AVAILABLE', 'QUANTITIES_KNOWN', 'CURRENT_INSPECTION_AVAILABLE', 'COST_ESTIMATE_AVAILABLE', 'DRAWINGS_AVAILABLE', 'TRAFFIC_MANAGEMENT_REQUIREMENTS_KNOWN', 'SITE_VERIFICATION_REQUIRED']) AS code,
+          unnest([seen, id % 2 = 0, coalesce(due_on >= DATE '2001-09-01', false), estimate IS NOT NULL, id % 4 = 1, known, NULL]) AS ok FROM p)
+        SELECT id, code, CASE WHEN code = 'SITE_VERIFICATION_REQUIRED' THEN 'REQUIRED' WHEN ok THEN 'AVAILABLE' ELSE 'MISSING' END AS state FROM r)""",
+    "traffic_management": """SELECT n.structure_id, concat(CASE WHEN extra_tenths_km >= 150 OR alternatives = 0 THEN 'Weiträumige Umleitung' WHEN extra_tenths_km >= 50 THEN 'Örtliche Umleitung' ELSE 'Local traffic management' END,
+        ' required (additional ', extra_tenths_km // 10, '.', extra_tenths_km % 10, ' km).', CASE alternatives WHEN 0 THEN ' No comparable-class alternative crossing.' WHEN 1 THEN ' 1 comparable-class alternative crossing.' ELSE concat(' ', alternatives, ' comparable-class alternative crossings.') END,
+        CASE WHEN heavy >= 3000 THEN concat(' Diversion must be HGV-capable (', format('{:,}', heavy), ' heavy vehicles/day).') ELSE '' END) AS requirement FROM {networks} n LEFT JOIN {q_traffic} t ON t.structure_id = n.structure_id""",
+    "natural_key_enrichment": "SELECT id, ext_no, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN CASE WHEN id % 5 <> 0 THEN 51 END WHEN id % 3 = 0 THEN id % 90 END AS latitude, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN CASE WHEN id % 5 <> 0 THEN 7 END WHEN id % 4 = 0 THEN id % 180 END AS longitude FROM {structures}",
+    "plan_intervention_outcomes": """SELECT c.id + 500 AS recommendation_id, CASE WHEN r.id IS NULL THEN 'NOT_FOUND' WHEN r.status = 'COMPLETED' THEN 'NOT_ACTIONABLE' WHEN i.id IS NOT NULL THEN 'ALREADY_EXISTS' ELSE 'CREATED' END AS outcome
+        FROM {recommendations} c LEFT JOIN {recommendations} r ON r.id = c.id + 500 LEFT JOIN {interventions} i ON i.recommendation_id = c.id + 500 WHERE c.id % 2 = 0""",
+    "membership_toggle": """SELECT id, CASE outcome WHEN 'INCLUDED' THEN 'BUDGETED' WHEN 'REMOVED' THEN 'PLANNED' ELSE status END AS status, outcome FROM (SELECT *, CASE WHEN id % 2 <> 0 THEN 'UNTOUCHED' WHEN id % 10 = 0 THEN 'YEAR_MISMATCH'
+        WHEN id % 4 = 0 AND status = 'PLANNED' THEN 'INCLUDED' WHEN id % 4 <> 0 AND status = 'BUDGETED' THEN 'REMOVED' ELSE 'NOT_ALLOWED' END AS outcome FROM {interventions})""",
+    "scenario_seed": "SELECT scenario_id, i.id, CASE WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS assigned_year, 'SEEDED' AS source FROM {interventions} i JOIN {structures} s ON s.id = i.structure_id JOIN {q_scenarios} q ON q.road = s.road",
+    "scenario_adopt": """SELECT id, CASE WHEN moved AND y IS NOT NULL THEN y ELSE planned_year END AS planned_year, CASE WHEN moved AND y IS NOT NULL THEN 'BUDGETED' WHEN moved THEN 'PLANNED' ELSE status END AS status
+        FROM (SELECT *, id % 2 = 0 AND status IN ('PLANNED', 'BUDGETED') AS moved, CASE WHEN id % 4 = 0 AND planned_year + 1 BETWEEN 1998 AND 2002 THEN planned_year + 1 WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS y FROM {interventions})""",
+    "replace_pages": """SELECT document_id, number, length(text) AS size FROM {book_pages} WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, number, 0 FROM {book_pages} WHERE document_id % 3 = 0 AND number <= 2
+        UNION ALL SELECT document_id, number, length(text) FROM {book_pages} p WHERE document_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {book_pages} n WHERE n.document_id = p.document_id AND n.number <= 2)""",
+    "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
+    "previous_year_companion": "SELECT structure_id, observation_year, daily, previous_year, previous_value FROM (SELECT *, lead(observation_year) OVER w AS previous_year, lead(daily) OVER w AS previous_value, row_number() OVER w AS n FROM (SELECT structure_id, observation_year, max(daily_traffic) AS daily FROM {traffic} GROUP BY 1, 2) WINDOW w AS (PARTITION BY structure_id ORDER BY observation_year DESC)) WHERE n = 1",
+    "flood_exposure": """SELECT structure_id, CASE WHEN watch AND band = 'BELOW_TRIGGER' THEN 'MODERATE' ELSE band END AS band, watch, inspect FROM (SELECT g.structure_id, CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= hsw_cm THEN 'HIGH' WHEN level_cm >= mhw_cm THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END AS band,
+        s.structure_id IS NOT NULL AND (level_cm >= trigger_cm OR u.structure_id IS NOT NULL) AS watch, s.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS inspect FROM {gauges} g LEFT JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_last_unmatched} u ON u.structure_id = g.structure_id)""",
+    "condition_bands": "SELECT CAST(year(inspected_on) AS BIGINT) AS year, CASE WHEN tenths <= 19 THEN 'good' WHEN tenths <= 24 THEN 'fair' WHEN tenths <= 29 THEN 'poor' ELSE 'severe' END AS band, count(*) AS n FROM {inspections} WHERE inspected_on IS NOT NULL AND tenths BETWEEN 10 AND 40 GROUP BY 1, 2",
+    "budget_years": "SELECT planned_year AS year FROM {interventions} UNION SELECT target_year FROM {recommendations} WHERE target_year IS NOT NULL UNION SELECT 2026",
+    "evidence_sources": "SELECT doc_id, page, count(DISTINCT entity_id) AS n_entities, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM {evidence} GROUP BY 1, 2",
+    "finding_links": """SELECT id AS page_id, id AS number, id % 5 AS stability, id % 4 AS safety, id % 3 AS durability FROM {raw_values} UNION ALL SELECT id, id + 1, NULL, NULL, NULL FROM {raw_values}""",
+    "pair_repair": r"""SELECT id, CASE WHEN unit IS NOT NULL THEN plain END AS quantity, CASE WHEN plain IS NOT NULL THEN unit END AS unit, CASE WHEN plain IS NOT NULL THEN coalesce(currency, 'EUR') END AS currency, coalesce(state, 'OPEN') AS state FROM (
+        SELECT n.id, CASE WHEN regexp_full_match(y, '(0|[1-9]\d*)(\.\d+)?') THEN y END AS plain, CASE trim(unit_text) WHEN 'lfd m' THEN 'm' WHEN 'm²' THEN 'm2' WHEN 'Stück' THEN 'Stk' WHEN 'QM' THEN 'm2' WHEN '' THEN NULL ELSE trim(unit_text) END AS unit,
+          CASE upper(regexp_replace(currency_text, '[.\s]', '', 'g')) WHEN '€' THEN 'EUR' WHEN 'EURO' THEN 'EUR' WHEN 'USD' THEN 'USD' END AS currency,
+          CASE WHEN finding_text = 'RESOLVED' THEN 'RESOLVED' WHEN finding_text LIKE '%offen%' THEN 'OPEN' WHEN finding_text LIKE '%Beobacht%' THEN 'MONITORING' WHEN finding_text LIKE '%behoben%' THEN 'RESOLVED' WHEN finding_text LIKE '%verworfen%' THEN 'DISMISSED' END AS state
+        FROM {q_numbers} n JOIN {raw_values} r ON r.id = n.id)""",
 }
 
 

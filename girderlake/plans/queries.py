@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.functions import dates, money, policies, text
-from girderlake.operators import expectations, maintenance, portfolio, records, search
+from girderlake.functions import dates, geo, money, pages, policies, text
+from girderlake.operators import expectations, lifecycle, maintenance, portfolio, records, search
 from girderlake.operators.latest import first_per_key
 from girderlake.plans.oracles import ORACLES, oracle
 from girderlake.sources.relations import AS_OF, Relations
@@ -372,3 +372,161 @@ def upsert_programme(rel):
 @query
 def expectation_violations(rel):
     return expectations.violations(rel)
+
+
+@query
+def projected_coordinates(rel):
+    """M7, M8"""
+    points = rel.points.select("id", F.col("east").cast("double").alias("east"), F.col("north").cast("double").alias("north"))
+    even = geo.utm(points.where("id % 2 = 0"), F.col("east"), F.col("north"), F.lit(32))
+    odd = geo.gauss_krueger(points.where("id % 2 = 1"), F.col("east"), F.col("north"))
+    e5 = lambda c: F.round(F.col(c) * 100000).cast("long").alias(f"{c}_e5")
+    return even.unionByName(odd).select("id", e5("latitude"), e5("longitude"))
+
+
+@query
+def page_contents(rel):
+    """M9, F18, F21, R17, P17"""
+    c = F.col
+    df = pages.coordinates(rel.book_pages, "text")
+    return df.select("id", F.round(c("latitude") * 10000).cast("long").alias("latitude_e4"), F.round(c("longitude") * 10000).cast("long").alias("longitude_e4"), "method", pages.structure_number(c("text")).alias("structure_number"), pages.road(c("text")).alias("road"), _joined(pages.categories(c("text"))).alias("categories"), pages.safe_filename(c("filename")).alias("filename"), pages.page_url(c("url"), c("number")).alias("url"))
+
+
+@query
+def photo_page(rel):
+    """The page of each document that shows its photo."""
+    scored = rel.book_pages.where(F.col("number") <= pages.PHOTO_PAGES).withColumn("score", pages.photo_score(F.col("text"), F.col("number"), F.col("by_sight")))
+    return first_per_key(scored.where(F.col("score") >= pages.PHOTO_SCORE), ["document_id"], [F.col("score").desc(), F.col("number"), F.col("id")]).select("document_id", "number", "score")
+
+
+@query
+def latest_runs(rel):
+    """By document the latest run, the latest finished one, the next attempt, and whether the latest failed."""
+    last = lifecycle.latest_run(rel.runs).select("document_id", F.col("id").alias("run_id"), "status")
+    done = lifecycle.latest_run(rel.runs, ("SUCCEEDED", "FAILED")).select("document_id", F.col("id").alias("finished_id"))
+    failed = lifecycle.unresolved(rel.runs).withColumn("failed", F.lit(True))
+    df = last.join(done, "document_id", "left").join(lifecycle.next_attempt(rel.runs), "document_id").join(failed, "document_id", "left")
+    return df.withColumn("failed", F.coalesce("failed", F.lit(False)))
+
+
+@query
+def bad_transitions(rel):
+    return lifecycle.bad_transitions(rel.runs)
+
+
+@query
+def model_usage(rel):
+    return lifecycle.usage(rel.runs, ["document_id"])
+
+
+@query
+def work_package_readiness(rel):
+    """Checks of every intervention in tender preparation."""
+    c = F.col
+    seen = rel.evidence.select(c("entity_id").alias("id")).distinct().withColumn("has_evidence", F.lit(True))
+    due = rel.inspections.select("id", dates.due_status(dates.due_on(c("inspected_on"), c("cycle_months")), portfolio.day(AS_OF)).alias("due_status"))
+    df = rel.interventions.where("status = 'TENDER_PREPARATION'").join(seen, "id", "left").join(due, "id", "left").join(rel.networks.select("structure_id", F.lit(True).alias("traffic_known")), "structure_id", "left")
+    return lifecycle.readiness(df.withColumns({"has_quantity": c("id") % 2 == 0, "has_estimate": c("estimate").isNotNull(), "has_drawing": c("id") % 4 == 1}))
+
+
+@query
+def traffic_management(rel):
+    df = rel.networks.join(portfolio.latest_traffic(rel.traffic), "structure_id", "left")
+    heavy = policies.heavy_vehicles(F.col("heavy_daily"), F.col("daily_traffic"), F.col("truck_share"))
+    return df.select("structure_id", lifecycle.traffic_management(F.col("extra_tenths_km"), F.col("alternatives"), heavy).alias("requirement"))
+
+
+@query
+def natural_key_enrichment(rel):
+    """Coordinates by external number where both are missing."""
+    base = rel.structures.select("id", "ext_no", F.when(F.col("id") % 3 == 0, F.col("id") % 90).alias("latitude"), F.when(F.col("id") % 4 == 0, F.col("id") % 180).alias("longitude"))
+    source = rel.structures.where("id % 5 <> 0").select("ext_no", F.lit(51).cast("long").alias("latitude"), F.lit(7).cast("long").alias("longitude"))
+    return lifecycle.enrich(base, source, ["ext_no"], ["latitude", "longitude"])
+
+
+@query
+def plan_intervention_outcomes(rel):
+    commands = rel.recommendations.where("id % 2 = 0").select((F.col("id") + 500).alias("recommendation_id"))
+    return lifecycle.plan_outcomes(commands, rel.recommendations, rel.interventions)
+
+
+@query
+def membership_toggle(rel):
+    commands = rel.interventions.where("id % 2 = 0").select("id", (F.col("id") % 4 == 0).alias("include"), (F.col("planned_year") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("year"))
+    return lifecycle.toggle_membership(rel.interventions, commands)
+
+
+@query
+def scenario_seed(rel):
+    items = rel.interventions.join(rel.structures.select(F.col("id").alias("structure_id"), "road"), "structure_id")
+    return lifecycle.seed_assignments(_scenarios(rel), items)
+
+
+@query
+def scenario_adopt(rel):
+    return lifecycle.adopt(rel.interventions, _assigned(rel).where("id % 2 = 0"))
+
+
+@query
+def replace_pages(rel):
+    """Pages of every third document anew."""
+    now = rel.book_pages.select("document_id", "number", F.length("text").cast("long").alias("size"))
+    fresh = rel.book_pages.where("document_id % 3 = 0 AND number <= 2").select("document_id", "number", F.lit(0).cast("long").alias("size"))
+    return lifecycle.replace_children(now, fresh, "document_id")
+
+
+@query
+def checksum_duplicates(rel):
+    return lifecycle.duplicates(rel.documents.where("text IS NOT NULL"), "text", ["doc_id"])
+
+
+@query
+def previous_year_companion(rel):
+    by_year = rel.traffic.groupBy("structure_id", "observation_year").agg(F.max("daily_traffic").alias("daily"))
+    return lifecycle.with_previous_year(by_year, "structure_id", "observation_year", "daily")
+
+
+@query
+def flood_exposure(rel):
+    c = F.col
+    last = portfolio.floods_without_check(portfolio.latest_peaks(rel.flood_peaks), rel.special_checks, 7)
+    return lifecycle.flood_assessment(rel.structures, rel.gauges, portfolio.scour_sensitive(rel.structures, rel.findings), last, policies.flood_band(c("level_cm"), c("mhw_cm"), c("hsw_cm"), c("hhw_cm")))
+
+
+@query
+def condition_bands(rel):
+    """How many valid scores lie in each band of the condition scale, by year."""
+    scored = rel.inspections.where("inspected_on IS NOT NULL AND tenths BETWEEN 10 AND 40")
+    band = text.first_of((F.col("tenths") <= 19, "good"), (F.col("tenths") <= 24, "fair"), (F.col("tenths") <= 29, "poor")).otherwise("severe")
+    return scored.groupBy(F.year("inspected_on").alias("year"), band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query
+def budget_years(rel):
+    """Years of any programme or intervention, and the chosen one."""
+    a = rel.interventions.select(F.col("planned_year").alias("year"))
+    b = rel.recommendations.where("target_year IS NOT NULL").select(F.col("target_year").alias("year"))
+    return a.unionByName(b).unionByName(rel.spark.range(1).select(F.lit(2026).cast("long").alias("year"))).distinct()
+
+
+@query
+def evidence_sources(rel):
+    """Evidence grouped by document and page, with its distinct entities."""
+    own = rel.evidence.groupBy("doc_id", "page").agg(F.count_distinct("entity_id").alias("n_entities"), F.array_join(F.array_sort(F.collect_set("origin")), "+").alias("origins"))
+    return own.orderBy("doc_id", F.col("page").asc_nulls_last())
+
+
+@query
+def finding_links(rel):
+    """References in page texts to findings of the same page, by their first digits."""
+    refs = rel.raw_values.select(F.col("id").alias("page_id"), F.explode(F.array_distinct(F.regexp_extract_all("page_text", F.lit(r"\[(\d+)\]"), F.lit(1)))).alias("ref"))
+    refs = refs.select("page_id", F.col("ref").cast("long").alias("number"))
+    return refs.join(records.finding_rows(rel.raw_values, "id", "page_text"), ["page_id", "number"], "left")
+
+
+@query
+def pair_repair(rel):
+    """A value without its unit goes, an amount without currency is in EUR, a missing state is OPEN."""
+    v = rel.raw_values
+    amount, unit = text.decimal_text(F.col("number_text")), text.unit(F.col("unit_text"))
+    return v.select("id", F.when(unit.isNotNull(), amount).alias("quantity"), F.when(amount.isNotNull(), unit).alias("unit"), F.when(amount.isNotNull(), F.coalesce(text.currency(F.col("currency_text")), F.lit("EUR"))).alias("currency"), F.coalesce(text.state(F.col("finding_text"), text.FINDING_STATES), F.lit("OPEN")).alias("state"))

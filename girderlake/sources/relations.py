@@ -58,7 +58,7 @@ RELATIONS = {
     "interventions": """
         SELECT o_orderkey AS id, o_orderkey AS recommendation_id, o_custkey AS structure_id,
           CAST(year(o_orderdate) AS BIGINT) + o_orderkey % 5 AS planned_year,
-          CASE o_orderkey % 6 WHEN 0 THEN 'PLANNED' WHEN 3 THEN 'BUDGETED' ELSE 'TENDER_PREPARATION' END AS status,
+          CASE o_orderkey % 12 WHEN 0 THEN 'PLANNED' WHEN 3 THEN 'BUDGETED' WHEN 6 THEN 'PLANNED' ELSE 'TENDER_PREPARATION' END AS status,
           CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(16,2)) END AS estimate,
           o_orderkey % 2 AS included
         FROM {orders} WHERE o_orderkey % 3 = 0""",
@@ -111,6 +111,25 @@ RELATIONS = {
           concat('[', CAST(p_partkey AS STRING), '] S=', CAST(p_partkey % 5 AS STRING), ', V=', CAST(p_partkey % 4 AS STRING), ', D=', CAST(p_partkey % 3 AS STRING),
             ' Riss. [', CAST(p_partkey + 1 AS STRING), '] S=', CAST(p_partkey % 2 AS STRING), ', V=0, D=9 x [', CAST(p_partkey AS STRING), '] S=4, V=4, D=4') AS page_text
         FROM {part}""",
+    "runs": """
+        SELECT o_orderkey AS id, o_custkey AS document_id, o_orderkey % 40 AS attempt,
+          CASE o_orderkey % 7 WHEN 0 THEN 'PENDING' WHEN 1 THEN 'CLASSIFYING' WHEN 2 THEN 'EXTRACTING' WHEN 3 THEN 'FAILED' WHEN 4 THEN 'VALIDATING'
+            WHEN 5 THEN 'PERSISTING' ELSE 'SUCCEEDED' END AS status,
+          CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 5000 END AS tokens, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey * 7 % 90000 END AS cost_micros,
+          CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_custkey % 9 = 0 AND o_orderkey % 2 = 0 THEN 'USD' ELSE 'EUR' END END AS currency
+        FROM {orders}""",
+    "points": """
+        SELECT c_custkey AS id, CASE c_custkey % 2 WHEN 0 THEN 300000.0 + (c_custkey * 7919) % 400000 ELSE (2 + c_custkey % 4) * 1000000.0 + 450000 + (c_custkey * 7919) % 100000 END AS east,
+          5300000.0 + (c_custkey * 104729) % 800000 AS north FROM {customer}""",
+    "book_pages": """
+        SELECT p_partkey AS id, p_partkey % 60 AS document_id, 1 + p_partkey % 25 AS number, p_partkey % 5 = 0 AS by_sight,
+          concat(CASE p_partkey % 11 WHEN 0 THEN 'Foto 1 Bauwerksansicht' WHEN 1 THEN 'Querschnitt' WHEN 2 THEN 'Ansicht' WHEN 3 THEN 'Bauwerksbuch' WHEN 4 THEN 'Lichtbilder'
+            WHEN 5 THEN '7.4 Schäden [3] S = 1' WHEN 6 THEN 'Hauptprüfung 12.3.2004' WHEN 7 THEN 'Dringlichkeit hoch' ELSE 'Text' END, chr(10), 'Bauwerks-Nr. ', CAST(5000000 + p_partkey AS STRING),
+            CASE WHEN p_partkey % 3 = 0 THEN ' A 45 ' ELSE ' x ' END, CASE p_partkey % 4 WHEN 0 THEN 'UTM-Koordinaten Hochwert: 5.646.659,71 Rechtswert 382.394,03'
+            WHEN 1 THEN 'Gauß-Krüger-Koordinaten Rechtswert: 2.578.123,50 Hochwert: 5.650.321,25' ELSE '' END, CASE WHEN p_partkey % 13 = 0 THEN repeat('wort ', 80) ELSE '' END) AS text,
+          concat(CASE p_partkey % 3 WHEN 0 THEN concat('C:', chr(92), 'alt', chr(92)) WHEN 1 THEN 'x/y/' ELSE '' END, 'Brücke ', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.PDF' ELSE '' END) AS filename,
+          CASE p_partkey % 4 WHEN 0 THEN 'https://example.org/a.pdf#x' WHEN 1 THEN 'ftp://example.org/a' WHEN 2 THEN 'http://example.org' END AS url
+        FROM {part}""",
 }
 
 _HOLE = re.compile(r"\{([a-z]\w*)\}")

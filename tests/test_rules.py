@@ -6,8 +6,8 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from girderlake.functions import dates, money, policies, text
-from girderlake.operators import maintenance, portfolio, records, search
+from girderlake.functions import dates, geo, money, pages, policies, text
+from girderlake.operators import lifecycle, maintenance, portfolio, records, search
 
 
 def one(spark, column, **values):
@@ -144,3 +144,36 @@ def test_effective_year(spark):
     rows = spark.createDataFrame([(1, 2026, 2030, True), (2, None, 2026, True), (3, None, 2027, False), (4, 2040, 2027, True), (5, None, 2040, False)], "id long, a long, p long, has boolean").withColumns({"s": F.lit(2026), "n": F.lit(5)})
     got = {r["id"]: r["y"] for r in rows.select("id", maintenance.effective_year("a", "p", "has", "s", "n").alias("y")).collect()}
     assert got == {1: 2026, 2: None, 3: 2027, 4: 2027, 5: None}
+
+
+def test_coordinates(spark):
+    text_ = "5.2 UTM-Koordinaten\nHochwert: 5.646.659,71 Rechtswert: 382.394,03"
+    rows = spark.createDataFrame([(1, text_), (2, "GIS-Koordinaten Rechtswert 2.578.123,50 Hochwert 5.650.321,25"), (3, None), (4, "Rechtswert 1 Hochwert 2")], "id long, t string")
+    got = {r["id"]: r for r in pages.coordinates(rows, "t").collect()}
+    assert 50.9 < got[1]["latitude"] < 51.1 and 7.1 < got[1]["longitude"] < 7.5
+    assert 50.9 < got[2]["latitude"] < 51.1 and 7.0 < got[2]["longitude"] < 7.3
+    assert got[3]["latitude"] is None and got[4]["method"] is None
+
+
+def test_utm_agrees_with_the_forward_map(spark):
+    import math
+
+    # a point on the central meridian: northing is the scaled meridian arc
+    a, f = geo.WGS84
+    radius, _, _ = geo.series(f)
+    rows = spark.createDataFrame([(500000.0, 0.9996 * a * radius * math.pi / 4)], "e double, n double")
+    r = geo.utm(rows, F.col("e"), F.col("n"), F.lit(32)).first()
+    assert r["longitude"] == pytest.approx(9.0, abs=1e-12)
+    assert 45.1 < r["latitude"] < 45.2
+
+
+def test_run_states(spark):
+    log = spark.createDataFrame([(1, 1, 1, "PENDING"), (2, 1, 2, "CLASSIFYING"), (3, 1, 3, "PERSISTING"), (4, 2, 1, "EXTRACTING")], "id long, document_id long, attempt long, status string")
+    assert sorted((r["id"], r["before"]) for r in lifecycle.bad_transitions(log).collect()) == [(3, "CLASSIFYING"), (4, None)]
+
+
+def test_filenames_and_urls(spark):
+    assert one(spark, pages.safe_filename(F.lit("C:\\x\\Brücke 7?.PDF"))) == "Brucke-7.pdf"
+    assert one(spark, pages.safe_filename(F.lit("..."))) == "bauwerksbuch.pdf"
+    assert one(spark, pages.page_url(F.lit("ftp://x"), F.lit(1))) is None
+    assert one(spark, pages.page_url(F.lit("https://x.org/a#b"), F.lit(4))) == "https://x.org/a#page=4"
