@@ -187,7 +187,7 @@ def _grouped(source: DataFrame, shingle: int, percent: int) -> DataFrame:
     first = cut(connected_components(edges))
 
     among = stars.join(first.withColumnRenamed("node", "member"), "member", "left").select("hub", "member", "n", F.coalesce("component", "member").alias("component"))
-    parts = among.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum("n").alias("weight"))
+    parts = among.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("weight"))
     main = F.max(F.struct("size", "component", "weight"))
     mixed = parts.groupBy("hub").agg(main.alias("main"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
     slices = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int")
@@ -285,5 +285,7 @@ def _alike_within(blocks: DataFrame, texts: DataFrame, k: int, percent: int) ->
 
 #: Shingles of one side of a block, about; of a single set that has more, all.
 BLOCK = 1 << 18
+#: Shingles that a set counts for at least there, so that a block has some 2,000 rows and columns at most.
+LEAST_WEIGHT = 128
 #: Meetings of rare shingles that are counted at once.
-PAIRS = 1 << 22
+PAIRS = 1 << 20
