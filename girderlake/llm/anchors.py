@@ -6,7 +6,7 @@ of windows with one anchor travels as one record with the text that it covers. W
 same content are combined: one leads, the others only leave their place. So however many copies a passage has,
 a slice sends its text once.
 
-A record's fields: anchor and check (hashes), doc, start (first window), count (windows), size (bytes), twice
+A record's fields: anchor (32 bits, which only deal; more text meets where two share them) and check (hashes), doc, start (first window), count (windows), size (bytes), twice
 (content met before, so that each of its windows has a copy elsewhere).
 """
 
@@ -130,7 +130,7 @@ def blobs(records: Records, buckets: int) -> Iterator[tuple[int, int, bytes, byt
     f = {k: v[order] for k, v in f.items()} | {"twice": many.astype(np.int8)}
     begin = records.begin[order]
     f["size"] = np.where(new, f["size"], 0).astype(np.int32)  # followers: no text
-    bucket = (f["anchor"] & np.uint64(0xFFFFFFFF)).astype(np.int64) % buckets
+    bucket = f["anchor"].astype(np.int64) % buckets
     # a follower needs no meeting with others, so it goes where its document's number says
     bucket = np.where(new, bucket, (f["doc"] * 0x9E3779B1 >> 7) % buckets)
     by = np.argsort(bucket, kind="stable")
@@ -144,7 +144,7 @@ def blobs(records: Records, buckets: int) -> Iterator[tuple[int, int, bytes, byt
         yield int(bucket[rows[0]]), len(rows), press.compress(header), press.compress(body)
 
 
-TYPES = {"anchor": np.uint64, "check": np.uint64, "doc": np.int64, "start": np.int64, "count": np.int32, "size": np.int32, "twice": np.int8}
+TYPES = {"anchor": np.uint32, "check": np.uint64, "doc": np.int64, "start": np.int64, "count": np.int32, "size": np.int32, "twice": np.int8}
 
 
 def blob_batch(rows: list[tuple[int, int, bytes, bytes]]) -> pa.RecordBatch:

@@ -208,7 +208,7 @@ def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int
     doc = np.searchsorted(offsets, first, "right") - 1
     last = first + count + width - 1
     fields = {
-        "anchor": grams[place],
+        "anchor": grams[place].astype(np.uint32),
         "check": anchors.checks(data, first, last),
         "doc": docs[doc],
         "start": first - offsets[doc],

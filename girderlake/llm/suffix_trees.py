@@ -33,7 +33,7 @@ def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int
     first, count, place = window_runs(gram_hashes(symbols, k, WORDS), doc[:n] == doc[width - 1 :], width, k)
     last = first + count + width - 1  # words covered
     fields = {
-        "anchor": gram_hashes(symbols, k, WORDS)[place],
+        "anchor": gram_hashes(symbols, k, WORDS)[place].astype(np.uint32),
         "check": anchors.checks(symbols, first, last),
         "doc": docs[doc[first]],
         "start": first - of_doc[doc[first]],
