@@ -134,3 +134,65 @@ def text_metrics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     df = docs.select(F.col(id_col), F.length(F.regexp_replace(text, r"[ \t\n\r\f\x0B]", "")).alias("n_compact"), F.size(lines).alias("n_lines"), short.alias("n_short"), F.length(text).alias("n_all"), (F.length(text) - F.length(F.replace(text, F.lit("�"), F.lit("")))).alias("n_broken"))
     sight = (F.col("n_compact") < 40) | (F.col("n_broken") * 50 > F.col("n_all")) | ((F.col("n_lines") >= 10) & (F.col("n_short") * 10 >= F.col("n_lines") * 7))
     return df.select(id_col, "n_compact", "n_lines", "n_short", sight.alias("by_sight"))
+
+
+# Nested values -----------------------------------------------------------------------------------------------------
+
+
+def month_structs(first: Column, second: Column) -> Column:
+    """Two arrays as twelve structs (month, a, b); an array of another length counts as absent, and b then as 0."""
+    twelve = lambda a: F.when(F.size(a) == 12, a)
+    return F.when(twelve(first).isNotNull(), F.transform(F.sequence(F.lit(1), F.lit(12)), lambda m: F.struct(m.alias("month"), F.get(first, m - 1).alias("a"), F.coalesce(F.get(twelve(second), m - 1), F.lit(0)).alias("b"))))
+
+
+def fingerprint(*columns: str) -> Column:
+    """A hash of JSON with sorted keys and explicit nulls; decimals lose trailing zeros, dates are ISO."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).alias(c) for c in sorted(columns)]), {"ignoreNullFields": "false"}), 256)
+
+
+def plain_decimal(amount: Column) -> Column:
+    """A decimal's text without trailing zeros."""
+    return F.regexp_replace(F.regexp_replace(amount.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
+def linked(recommendations: DataFrame, findings: DataFrame, inspections: DataFrame) -> DataFrame:
+    """Each recommendation with its findings (here: of its inspection): first three labels, highest rating, date."""
+    own = findings.groupBy(F.col("inspection_id").alias("id")).agg(F.slice(F.sort_array(F.collect_set("description")), 1, 3).alias("labels"), F.max(F.greatest("stability", "safety", "durability")).alias("worst"), F.count("*").alias("n"))
+    return recommendations.select("id").join(own, "id", "left").join(inspections.select("id", "inspected_on"), "id", "left")
+
+
+def deduplicated(evidence: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Evidence with one row for each content; the last in order wins."""
+    return first_per_key(evidence, keys, order)
+
+
+def with_parents(children: DataFrame, parents: DataFrame, key: str, default: Column) -> DataFrame:
+    """Children whose parent is absent or unknown go to a default one; ``repaired`` tells which."""
+    known = parents.select(F.col("id").alias(key), F.lit(True).alias("_known"))
+    return children.join(known, key, "left").withColumn("repaired", F.col("_known").isNull()).withColumn(key, F.when(F.col("_known").isNotNull(), F.col(key)).otherwise(default)).drop("_known")
+
+
+def descriptions(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each finding row in a page the text up to the next one, white space collapsed, 400 characters at most."""
+    parts = F.split(F.col(text_col), r"(?=\[\d+\] S=)")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.posexplode(parts).alias("place", "part")).where(F.rlike("part", F.lit(r"^\[\d+\] S=")))
+    body = F.trim(F.regexp_replace(F.regexp_replace("part", r"^\[\d+\] S=[^ ]* V=[^ ]* D=\d+", ""), r"\s+", " "))
+    return rows.select("page_id", F.row_number().over(Window.partitionBy("page_id").orderBy("place")).alias("n"), F.regexp_extract("part", r"^\[(\d+)\]", 1).cast("long").alias("number"), F.nullif(F.substring(body, 1, 400), F.lit("")).alias("description"))
+
+
+def by_category(pages: DataFrame, categories: Column) -> DataFrame:
+    """Pages of each document and category, in order; a page may be in several."""
+    return pages.select("document_id", "number", F.explode(categories).alias("category")).groupBy("document_id", "category").agg(F.sort_array(F.collect_set("number")).alias("pages"))
+
+
+def longer_text(parsed: Column, recognised: Column, least: int = 40) -> Column:
+    """Recognised text where the parsed one has under ``least`` characters and is the shorter."""
+    size = lambda c: F.length(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", ""))
+    return F.when((size(parsed) < least) & (F.length(recognised) > F.length(F.coalesce(parsed, F.lit("")))), recognised).otherwise(parsed)
+
+
+def json_number(text: Column, path: str) -> Column:
+    """A JSON property as a whole number only if it is one; text, other types and broken JSON give null."""
+    value = F.try_parse_json(text)
+    is_number = F.schema_of_variant(F.try_variant_get(value, path, "variant")).isin("BIGINT")
+    return F.when(is_number, F.try_variant_get(value, path, "bigint"))

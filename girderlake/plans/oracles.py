@@ -254,6 +254,17 @@ _SQL = {
           CASE upper(regexp_replace(currency_text, '[.\s]', '', 'g')) WHEN '€' THEN 'EUR' WHEN 'EURO' THEN 'EUR' WHEN 'USD' THEN 'USD' END AS currency,
           CASE WHEN finding_text = 'RESOLVED' THEN 'RESOLVED' WHEN finding_text LIKE '%offen%' THEN 'OPEN' WHEN finding_text LIKE '%Beobacht%' THEN 'MONITORING' WHEN finding_text LIKE '%behoben%' THEN 'RESOLVED' WHEN finding_text LIKE '%verworfen%' THEN 'DISMISSED' END AS state
         FROM {q_numbers} n JOIN {raw_values} r ON r.id = n.id)""",
+    "month_series": """SELECT structure_id, CAST(m AS BIGINT) AS month, base + m AS a, CASE WHEN structure_id % 5 = 0 THEN 0 ELSE structure_id % 7 * m END AS b FROM {monthly}, (SELECT unnest(range(1, 13)) AS m) WHERE base IS NOT NULL AND NOT short""",
+    "fingerprints": r"""SELECT id, sha256(concat('{"cost":', CASE WHEN cost IS NULL THEN 'null' ELSE concat('"', rtrim(rtrim(CAST(cost AS VARCHAR), '0'), '.'), '"') END, ',"day":"', CAST(sourced_on AS VARCHAR), '","urgency":', CASE WHEN urgency IS NULL THEN 'null' ELSE concat('"', urgency, '"') END, '}')) AS fingerprint FROM {recommendations}""",
+    "linked_findings": """SELECT r.id, CASE WHEN n IS NOT NULL THEN coalesce(labels, '') END AS labels, worst, n, inspected_on FROM {recommendations} r LEFT JOIN (SELECT inspection_id, array_to_string(list_sort(list(DISTINCT description) FILTER (WHERE description IS NOT NULL))[1:3], '; ') AS labels, max(greatest(stability, safety, durability)) AS worst, count(*) AS n FROM {findings} GROUP BY 1) f ON f.inspection_id = r.id
+        LEFT JOIN {inspections} i ON i.id = r.id""",
+    "evidence_dedup": "SELECT doc_id, origin, slot, page, entity_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, origin, slot ORDER BY page DESC NULLS LAST, entity_id DESC) AS n FROM (SELECT *, entity_id % 100 AS slot FROM {evidence})) WHERE n = 1",
+    "parent_repair": "SELECT r.id, CASE WHEN p.id IS NULL THEN r.structure_id * 10 ELSE p.id END AS part_id, p.id IS NULL AS repaired FROM {recommendations} r LEFT JOIN {parts} p ON p.id = r.structure_id * 10 + r.id % 3",
+    "finding_descriptions": """SELECT id AS page_id, CAST(1 AS BIGINT) AS n, id AS number, 'Riss.' AS description FROM {raw_values} UNION ALL SELECT id, 2, id + 1, 'x' FROM {raw_values} UNION ALL SELECT id, 3, id, NULL FROM {raw_values}""",
+    "pages_by_category": """SELECT document_id, CASE id % 11 WHEN 5 THEN 'FINDINGS_DAMAGE' WHEN 6 THEN 'INSPECTIONS' ELSE 'RECOMMENDATIONS' END AS category, array_to_string(list_sort(list(DISTINCT number)), ',') AS pages FROM {book_pages} WHERE id % 11 IN (5, 6, 7) GROUP BY 1, 2""",
+    "text_choice": r"""SELECT id, CAST(CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 40 AND length(filename) + 82 > length(text) THEN length(filename) + 82 ELSE length(text) END AS BIGINT) AS size,
+        concat(CASE WHEN regexp_extract(text, '^[A-Za-z]+') = '' THEN '' ELSE concat(regexp_extract(text, '^[A-Za-z]+'), ' · ') END, coalesce(url, 'Unidentified')) AS title FROM {book_pages}""",
+    "json_properties": r"""SELECT event_id, try_cast(regexp_extract(props, '"k": (\d+)', 1) AS BIGINT) AS k FROM events""",
 }
 
 

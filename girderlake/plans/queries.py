@@ -530,3 +530,62 @@ def pair_repair(rel):
     v = rel.raw_values
     amount, unit = text.decimal_text(F.col("number_text")), text.unit(F.col("unit_text"))
     return v.select("id", F.when(unit.isNotNull(), amount).alias("quantity"), F.when(amount.isNotNull(), unit).alias("unit"), F.when(amount.isNotNull(), F.coalesce(text.currency(F.col("currency_text")), F.lit("EUR"))).alias("currency"), F.coalesce(text.state(F.col("finding_text"), text.FINDING_STATES), F.lit("OPEN")).alias("state"))
+
+
+@query
+def month_series(rel):
+    """X1, X2"""
+    c = F.col
+    long = F.transform(F.sequence(F.lit(1), F.when(c("short"), 11).otherwise(12)), lambda m: c("base") + m)
+    other = F.transform(F.sequence(F.lit(1), F.when(c("structure_id") % 5 == 0, 10).otherwise(12)), lambda m: c("structure_id") % 7 * m)
+    df = rel.monthly.withColumns({"a": F.when(c("base").isNotNull(), long), "b": other})
+    return df.select("structure_id", F.inline(records.month_structs(c("a"), c("b"))))
+
+
+@query
+def fingerprints(rel):
+    df = rel.recommendations.select("id", records.plain_decimal(F.col("cost")).alias("cost"), F.col("sourced_on").cast("string").alias("day"), "urgency")
+    return df.select("id", records.fingerprint("urgency", "cost", "day").alias("fingerprint"))
+
+
+@query
+def linked_findings(rel):
+    df = records.linked(rel.recommendations, rel.findings, rel.inspections)
+    return df.select("id", F.array_join("labels", "; ").alias("labels"), "worst", "n", "inspected_on")
+
+
+@query
+def evidence_dedup(rel):
+    rows = rel.evidence.withColumn("slot", F.col("entity_id") % 100)
+    return records.deduplicated(rows, ["doc_id", "origin", "slot"], [F.col("page").desc_nulls_last(), F.col("entity_id").desc()]).select("doc_id", "origin", "slot", "page", "entity_id")
+
+
+@query
+def parent_repair(rel):
+    """Recommendations of parts that nobody knows go to the structure's first part."""
+    children = rel.recommendations.select("id", "structure_id", (F.col("structure_id") * 10 + F.col("id") % 3).alias("part_id"))
+    return records.with_parents(children, rel.parts, "part_id", F.col("structure_id") * 10).select("id", "part_id", "repaired")
+
+
+@query
+def finding_descriptions(rel):
+    return records.descriptions(rel.raw_values, "id", "page_text")
+
+
+@query
+def pages_by_category(rel):
+    df = records.by_category(rel.book_pages, pages.categories(F.col("text")))
+    return df.select("document_id", "category", _joined(F.transform("pages", lambda p: p.cast("string"))).alias("pages"))
+
+
+@query
+def text_choice(rel):
+    """Recognised text for short pages, and a title that skips what is missing."""
+    chosen = records.longer_text(F.col("text"), F.concat(F.lit("erkannt "), F.col("filename"), F.lit(" mit viel mehr Text als vorher, wie er auf der Seite steht, und noch etwas")))
+    title = F.concat_ws(" · ", F.nullif(F.regexp_extract("text", "^[A-Za-z]+", 0), F.lit("")), F.coalesce("url", F.lit("Unidentified")))
+    return rel.book_pages.select("id", F.length(chosen).alias("size"), title.alias("title"))
+
+
+@query
+def json_properties(rel):
+    return rel.events.select("event_id", records.json_number(F.col("props"), "$.k").alias("k"))

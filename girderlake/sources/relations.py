@@ -130,6 +130,8 @@ RELATIONS = {
           concat(CASE p_partkey % 3 WHEN 0 THEN concat('C:', chr(92), 'alt', chr(92)) WHEN 1 THEN 'x/y/' ELSE '' END, 'Brücke ', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.PDF' ELSE '' END) AS filename,
           CASE p_partkey % 4 WHEN 0 THEN 'https://example.org/a.pdf#x' WHEN 1 THEN 'ftp://example.org/a' WHEN 2 THEN 'http://example.org' END AS url
         FROM {part}""",
+    "monthly": """
+        SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
 
 _HOLE = re.compile(r"\{([a-z]\w*)\}")
