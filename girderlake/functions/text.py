@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +49,14 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "äöüàâáçéèêëîïíôóûùúñ", "aouaaaceeeeiiioouuun")
 
 
+def any_of(words: list[str]) -> Column:
+    """A pattern that finds any of the words as they are."""
+    return F.lit("|".join(re.escape(w) for w in words))
+
+
 def contains_any(text: Column, words: list[str]) -> Column:
     """Whether the folded text has any of the words; a null text has none."""
-    low = folded(F.coalesce(text, F.lit("")))
-    found = F.lit(False)
-    for w in words:
-        found = found | F.contains(low, F.lit(w))
-    return found
+    return F.rlike(folded(F.coalesce(text, F.lit(""))), any_of(words))
 
 
 def decimal_text(text: Column, negative: bool = False) -> Column:

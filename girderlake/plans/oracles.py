@@ -141,16 +141,24 @@ _SQL = {
     "condition_delta_scored": "SELECT * FROM {q_delta}",
     "network_points": "SELECT structure_id, heavy, CAST(points AS BIGINT) AS points, band FROM {q_band}",
     "flood_band": "SELECT structure_id, CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= hsw_cm THEN 'HIGH' WHEN level_cm >= mhw_cm THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END AS band FROM {gauges}",
-    "damage_points": f"""SELECT * FROM (WITH f AS (SELECT structure_id, max(durability) FILTER (WHERE {_FOLD} LIKE '%riss%') AS crack, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'freilieg|abplatz|bewehrung|exposed')) AS bare,
-          max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'entwasser|ablauf|blasen|verstopf|wasserstau|durchfeucht')) AS drain, max(durability) FILTER (WHERE {_FOLD} LIKE '%fuge%') AS joint,
-          max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'bewuchs|vegetation')) AS plants FROM {{findings}} WHERE status IN {_ACTIVE} GROUP BY 1),
-        p AS (SELECT c.structure_id,
-          CASE WHEN 2001 - construction_year >= 50 THEN 2 WHEN 2001 - construction_year >= 40 THEN 1 ELSE 0 END + CASE WHEN freeze_days >= 60 THEN 2 WHEN freeze_days >= 40 THEN 1 ELSE 0 END
-          + CASE WHEN wet_dry_cycles >= 80 THEN 1 ELSE 0 END + CASE WHEN crack >= 2 THEN 2 WHEN crack IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN bare IS NOT NULL THEN 2 ELSE 0 END AS rc,
-          CASE WHEN rain_days >= 12 THEN 2 WHEN rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN drain >= 2 THEN 2 WHEN drain IS NOT NULL THEN 1 ELSE 0 END
-          + CASE WHEN joint >= 2 THEN 2 WHEN joint IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN plants IS NOT NULL THEN 1 ELSE 0 END AS water
-          FROM {{climates}} c LEFT JOIN f ON f.structure_id = c.structure_id LEFT JOIN {{q_structure}} s ON s.structure_id = c.structure_id)
-        SELECT structure_id, CAST(rc AS BIGINT) AS rc_points, CASE WHEN rc >= 4 THEN 'HIGH' WHEN rc >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS rc_band, CAST(water AS BIGINT) AS water_points, CASE WHEN water >= 4 THEN 'HIGH' WHEN water >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS water_band FROM p)""",
+    "damage_points": f"""SELECT * FROM (WITH f AS (SELECT structure_id, count(*) AS n_active, max(durability) FILTER (WHERE {_FOLD} LIKE '%riss%') AS crack, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'freilieg|abplatz|bewehrung|exposed')) AS bare,
+          max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'korrosion|beschichtung|rost')) AS coating, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'entwasser|ablauf|blasen|verstopf|wasserstau|durchfeucht')) AS drain,
+          max(durability) FILTER (WHERE {_FOLD} LIKE '%fuge%') AS joint, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'bewuchs|vegetation')) AS plants, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'kolk|scour|unterspul')) AS scour
+          FROM {{findings}} WHERE status IN {_ACTIVE} GROUP BY 1),
+        k AS (SELECT structure_id, min(install_year) AS coated_in, count(*) AS n_steel FROM {{components}} WHERE lower(material) LIKE '%stahl%' OR type = 'Geländer' GROUP BY 1),
+        b AS (SELECT s.id AS structure_id, s.crossed, q.construction_year, n_active, crack, bare, coating, drain, joint, plants, scour, coated_in, n_steel, freeze_days, rain_days, deicing_days, wet_dry_cycles, humidity, wet_hours, daily_traffic,
+          g.structure_id IS NOT NULL AS gauged, coalesce(level_cm >= trigger_cm, false) AS above, g.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS open_flood
+          FROM {{structures}} s LEFT JOIN {{q_structure}} q ON q.structure_id = s.id LEFT JOIN f ON f.structure_id = s.id LEFT JOIN k ON k.structure_id = s.id LEFT JOIN {{climates}} c ON c.structure_id = s.id
+          LEFT JOIN {{q_traffic}} t ON t.structure_id = s.id LEFT JOIN {{gauges}} g ON g.structure_id = s.id LEFT JOIN {{q_last_unmatched}} u ON u.structure_id = s.id),
+        p AS (SELECT *, CASE WHEN 2001 - construction_year >= 50 THEN 2 WHEN 2001 - construction_year >= 40 THEN 1 ELSE 0 END + CASE WHEN freeze_days >= 60 THEN 2 WHEN freeze_days >= 40 THEN 1 ELSE 0 END + CASE WHEN wet_dry_cycles >= 80 THEN 1 ELSE 0 END
+            + CASE WHEN deicing_days >= 20 AND daily_traffic >= 30000 THEN 1 ELSE 0 END + CASE WHEN crack >= 2 THEN 2 WHEN crack IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN bare IS NOT NULL THEN 2 ELSE 0 END AS rc,
+          CASE WHEN humidity >= 78 THEN 1 ELSE 0 END + CASE WHEN wet_hours >= 1400 THEN 1 ELSE 0 END + CASE WHEN coating >= 2 THEN 2 WHEN coating IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN 2001 - coated_in >= 20 THEN 1 ELSE 0 END AS steel,
+          CASE WHEN rain_days >= 12 THEN 2 WHEN rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN drain >= 2 THEN 2 WHEN drain IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN joint >= 2 THEN 2 WHEN joint IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN plants IS NOT NULL THEN 1 ELSE 0 END AS water,
+          CASE WHEN regexp_matches(lower(crossed), 'bach|tal|fluss|strom|ruhr|rhein') THEN 1 ELSE 0 END + CASE WHEN NOT gauged AND rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN open_flood OR above THEN 2 ELSE 0 END + CASE WHEN scour IS NOT NULL THEN 2 ELSE 0 END AS washed FROM b)
+        SELECT structure_id, 'RC_CORROSION' AS kind, CAST(rc AS BIGINT) AS points, CASE WHEN rc >= 4 THEN 'HIGH' WHEN rc >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS band, CASE WHEN n_active > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM p
+        UNION ALL SELECT structure_id, 'STEEL_CORROSION', steel, CASE WHEN steel >= 4 THEN 'HIGH' WHEN steel >= 2 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN coating IS NOT NULL THEN 'HIGH' WHEN n_steel > 0 THEN 'MEDIUM' ELSE 'LOW' END FROM p
+        UNION ALL SELECT structure_id, 'WATER_INGRESS', water, CASE WHEN water >= 4 THEN 'HIGH' WHEN water >= 2 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN drain IS NOT NULL OR joint IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END FROM p
+        UNION ALL SELECT structure_id, 'SCOUR', washed, CASE WHEN scour IS NOT NULL OR open_flood THEN 'HIGH' WHEN washed >= 2 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN scour IS NOT NULL OR gauged THEN 'MEDIUM' ELSE 'LOW' END FROM p)""",
     "maintenance_priority": "SELECT id, CAST(priority AS BIGINT) AS priority, CASE priority WHEN 4 THEN 'CRITICAL' WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END AS level, reasons, view, estimate, estimate_origin FROM {q_priority}",
     "planning_list": "SELECT id, CAST(priority AS BIGINT) AS priority, target_year FROM {q_priority} WHERE view = 'unplanned' ORDER BY priority DESC, coalesce(planned_year, target_year, 9007199254740991), id LIMIT 50",
     "planning_views": "SELECT count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE view = '{v}') AS {v}" for v in ("unplanned", "planned", "budgeted", "tender", "in_progress", "completed", "cancelled")) + " FROM {q_items}",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from girderlake.functions import dates, geo, money, pages, policies, text
-from girderlake.operators import expectations, lifecycle, maintenance, portfolio, records, search
+from girderlake.operators import expectations, lifecycle, maintenance, mechanisms, portfolio, records, search
 from girderlake.operators.latest import first_per_key
 from girderlake.plans.oracles import ORACLES, oracle
 from girderlake.sources.relations import AS_OF, Relations
@@ -143,19 +143,11 @@ def flood_band(rel):
 
 @query
 def damage_points(rel):
-    """Points of concrete corrosion and water ingress by structure."""
-    c = F.col
-    active = rel.findings.where(c("status").isin(*portfolio.ACTIVE))
-    worst = lambda words: F.max(F.when(text.contains_any(c("description"), words), c("durability")))
-    seen = active.groupBy("structure_id").agg(worst(["riss"]).alias("crack"), worst(["freilieg", "abplatz", "bewehrung", "exposed"]).alias("bare"), worst(["entwasser", "ablauf", "blasen", "verstopf", "wasserstau", "durchfeucht"]).alias("drain"), worst(["fuge"]).alias("joint"), worst(["bewuchs", "vegetation"]).alias("plants"))
-    built = portfolio.structure_summary(rel.parts).select("structure_id", "construction_year")
-    df = rel.climates.join(seen, "structure_id", "left").join(built, "structure_id", "left")
-    by_worst = lambda x: policies.points(x, [(2, 2), (0, 1)])
-    age = F.greatest(F.lit(2001) - c("construction_year"), F.lit(0))
-    rc = policies.points(age, [(50, 2), (40, 1)]) + policies.points(c("freeze_days"), [(60, 2), (40, 1)]) + policies.points(c("wet_dry_cycles"), [(80, 1)]) + by_worst(c("crack")) + policies.points(c("bare"), [(0, 2)])
-    water = policies.points(c("rain_days"), [(12, 2), (8, 1)]) + by_worst(c("drain")) + by_worst(c("joint")) + policies.points(c("plants"), [(0, 1)])
-    band = lambda p: text.first_of((p >= 4, "HIGH"), (p >= 2, "MEDIUM")).otherwise("LOW")
-    return df.select("structure_id", rc.alias("rc_points"), band(rc).alias("rc_band"), water.alias("water_points"), band(water).alias("water_band"))
+    """Four mechanisms of every structure."""
+    gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
+    daily = portfolio.latest_traffic(rel.traffic).select("structure_id", "daily_traffic")
+    last = portfolio.floods_without_check(portfolio.latest_peaks(rel.flood_peaks), rel.special_checks, 7)
+    return mechanisms.mechanisms(rel.structures, rel.parts, rel.findings, rel.components, rel.climates, daily, gauges, last, int(AS_OF[:4]))
 
 
 @query

@@ -75,8 +75,13 @@ RELATIONS = {
         FROM {customer} WHERE c_custkey % 7 <> 0""",
     "climates": """
         SELECT c_custkey AS structure_id, (c_custkey * 11) % 80 AS freeze_days, (c_custkey * 5) % 15 AS rain_days,
-          (c_custkey * 3) % 40 AS deicing_days, (c_custkey * 17) % 120 AS wet_dry_cycles
+          (c_custkey * 3) % 40 AS deicing_days, (c_custkey * 17) % 120 AS wet_dry_cycles,
+          70 + c_custkey % 15 AS humidity, 1000 + (c_custkey * 7) % 700 AS wet_hours
         FROM {customer} WHERE c_custkey % 5 <> 1""",
+    "components": """
+        SELECT DISTINCT o_custkey * 10 + o_orderkey % 2 AS id, o_custkey AS structure_id, CASE o_custkey % 6 WHEN 0 THEN 'Baustahl' ELSE 'Beton' END AS material,
+          CASE o_custkey % 7 WHEN 0 THEN 'Geländer' WHEN 1 THEN 'Widerlager' END AS type, CASE WHEN o_custkey % 4 <> 0 THEN 1960 + (o_custkey + o_orderkey % 2) % 50 END AS install_year
+        FROM {orders}""",
     "gauges": """
         SELECT c_custkey AS structure_id, (c_custkey * 17) % 1200 AS level_cm, 600 AS trigger_cm,
           CASE WHEN c_custkey % 3 <> 0 THEN 500 + c_custkey % 200 END AS mhw_cm,
