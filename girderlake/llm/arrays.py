@@ -12,12 +12,15 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that a task turns into arrays at once.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 #: Bytes 0x20 and 0x09 to 0x0D separate words; every other byte belongs to one.
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
+#: Powers of a hash are held in steps of so many.
+POWERS = 1 << 16
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -92,7 +95,7 @@ class SpanHash:
 
     def _powers(self, n: int) -> None:
         if len(self._up) <= n:
-            m = max(n + 1, 2 * len(self._up))
+            m = (n // POWERS + 1) * POWERS + 1
             for name, b in (("_up", self.base), ("_down", pow(self.base, -1, 1 << 64))):
                 p = np.full(m, b, np.uint64)
                 p[0] = 1
