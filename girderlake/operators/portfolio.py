@@ -18,6 +18,7 @@ from girderlake.operators.latest import first_per_key, numbered
 ACTIVE = ("OPEN", "MONITORING")
 #: Recommendations that still ask for something.
 UNDONE = ("OPEN", "APPROVED", "SCHEDULED", "IN_PROGRESS")
+FOUNDATION_WORDS = ["grundung", "pfahl", "widerlager"]
 WATER = r"(?iu)bach|tal|fluss|strom|ruhr|rhein"
 
 
@@ -62,6 +63,24 @@ def finding_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("structure_id").agg(F.count_if(active).alias("open_findings"), *[F.max(F.when(active, F.col(c))).alias(f"max_{c}") for c in ("stability", "safety", "durability")])
 
 
+def finding_signs(findings: DataFrame) -> DataFrame:
+    """A3 with what A5 and J12 ask of findings, in one pass: open ones of scour, and any of scour or at a foundation."""
+    active = F.col("status").isin(*ACTIVE)
+    rows = findings.withColumns({"_scour": contains_any(F.col("description"), policies.SCOUR_WORDS), "_base": contains_any(F.col("description"), FOUNDATION_WORDS)})
+    return rows.groupBy("structure_id").agg(F.count_if(active).alias("open_findings"), *[F.max(F.when(active, F.col(c))).alias(f"max_{c}") for c in ("stability", "safety", "durability")], F.bool_or(active & F.col("_scour")).alias("scour"), F.bool_or(F.col("_scour") | F.col("_base")).alias("washable"))
+
+
+def inspection_overview(inspections: DataFrame) -> DataFrame:
+    """A2 and W2 in one pass: dates and counts of each structure's newest inspections, and its headline one with its trend.
+
+    The headline is the greatest by score, date and then the smaller id; a null is less than any value.
+    """
+    now = current_and_previous(inspections).withColumn("_due", dates.due_on(F.col("inspected_on"), F.col("cycle_months")))
+    worst = F.max(F.struct("tenths", "inspected_on", (-F.col("id")).alias("_id"), "delta_tenths", "condition_trend"))
+    out = now.groupBy("structure_id").agg(F.max("inspected_on").alias("last_on"), F.min("_due").alias("due_on"), F.count("_due").alias("n_due"), worst.alias("_head"))
+    return out.select("structure_id", "last_on", "due_on", "n_due", *[F.col(f"_head.{c}").alias(c) for c in ("tenths", "delta_tenths", "condition_trend")])
+
+
 def recommendation_summary(recommendations: DataFrame) -> DataFrame:
     """A4"""
     return recommendations.where(F.col("status").isin(*UNDONE)).groupBy("structure_id").agg(F.count("*").alias("open_recommendations"))
@@ -73,6 +92,12 @@ def headline_recommendation(recommendations: DataFrame) -> DataFrame:
     return first_per_key(ranked, ["structure_id"], [F.col("urgency_rank").desc(), F.col("target_year").asc_nulls_last(), F.col("id")])
 
 
+def recommendation_overview(recommendations: DataFrame) -> DataFrame:
+    """A4 and the rank of W5 in one pass."""
+    undone = recommendations.where(F.col("status").isin(*UNDONE))
+    return undone.groupBy("structure_id").agg(F.count("*").alias("open_recommendations"), F.max(policies.urgency_rank(F.col("urgency"))).alias("urgency_rank"))
+
+
 def latest_traffic(traffic: DataFrame) -> DataFrame:
     """W3 (trap T3)"""
     return first_per_key(traffic, ["structure_id"], [F.col("observation_year").desc(), F.col("observed_on").desc_nulls_last(), F.col("id")])
@@ -85,7 +110,7 @@ def open_scour(findings: DataFrame) -> DataFrame:
 
 def scour_sensitive(structures: DataFrame, findings: DataFrame) -> DataFrame:
     """Structures over water with any finding of scour or at a foundation."""
-    keys = findings.where(contains_any(F.col("description"), [*policies.SCOUR_WORDS, "grundung", "pfahl", "widerlager"])).select(F.col("structure_id").alias("id"))
+    keys = findings.where(contains_any(F.col("description"), [*policies.SCOUR_WORDS, *FOUNDATION_WORDS])).select(F.col("structure_id").alias("id"))
     return structures.where(F.rlike("crossed", F.lit(WATER))).join(keys, "id", "left_semi").select(F.col("id").alias("structure_id"))
 
 
@@ -100,17 +125,13 @@ def portfolio(rel, as_of: str) -> DataFrame:
     gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
     parts = {
         "ss": structure_summary(rel.parts),
-        "ins": inspection_summary(rel.inspections),
-        "hi": headline_inspection(rel.inspections).select("structure_id", "tenths", "delta_tenths", "condition_trend"),
-        "fs": finding_summary(rel.findings),
-        "rs": recommendation_summary(rel.recommendations),
-        "hr": headline_recommendation(rel.recommendations).select("structure_id", "urgency_rank"),
+        "ins": inspection_overview(rel.inspections),
+        "fs": finding_signs(rel.findings),
+        "rs": recommendation_overview(rel.recommendations),
         "lt": latest_traffic(rel.traffic).select("structure_id", "daily_traffic", "heavy_daily", "truck_share"),
         "le": rel.climates,
         "ln": rel.networks,
         "lh": gauges,
-        "sc": scour_sensitive(rel.structures, rel.findings).withColumn("sensitive", F.lit(True)),
-        "os": open_scour(rel.findings).withColumn("scour", F.lit(True)),
     }
     df = rel.structures.withColumnRenamed("id", "structure_id")
     for part in parts.values():
@@ -126,7 +147,7 @@ def portfolio(rel, as_of: str) -> DataFrame:
     df = df.withColumns({
         "network_consequence": (c("network_points") >= 8) & worry,  # R5
         "environment": policies.environmental_exposure(c("max_durability"), c("freeze_days"), c("rain_days"), c("deicing_days")),
-        "flood": F.coalesce(c("sensitive") & c("above_trigger"), F.lit(False)),
+        "flood": F.coalesce(F.rlike("crossed", F.lit(WATER)) & c("washable") & c("above_trigger"), F.lit(False)),
         "scour": F.coalesce(c("scour"), F.lit(False)),
     })
     said = [c(x) for x in ("inspection_status", "tenths", "max_stability", "max_safety", "max_durability", "condition_trend", "urgency_rank", "open_findings", "open_recommendations", "environment", "network_consequence", "flood")]
