@@ -6,7 +6,12 @@ of windows with one anchor travels as one record with the text that it covers. W
 same content are combined: one leads, the others only leave their place. So however many copies a passage has,
 a slice sends its text once.
 
-A record's fields: anchor (32 bits, which only deal; more text meets where two share them) and check (hashes), doc, start (first window), count (windows), size (bytes), twice
+Records at the edge of a shared passage take symbols of their own document along, so none equals another. Anchors
+with more than ``MOST_RECORDS`` such records are counted first; their runs are split into windows, each dealt by a hash
+of all its symbols, combined within the slice and sent without text.
+
+A record's fields: anchor (32 bits, which only deal; more text meets where two share them) and check (hashes), doc, start (first window), count (windows), size (bytes; 0: a follower, -1: a single window
+without text), twice
 (content met before, so that each of its windows has a copy elsewhere).
 """
 
@@ -22,11 +27,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girderlake.llm.arrays import CHECK, SpanHash, sliced, window_min
+from girderlake.llm.arrays import CHECK, SpanHash, of_each, sliced, window_min
 
 FIELDS = ("anchor", "check", "doc", "start", "count", "size", "twice")
 #: Text that a task packs at once.
 UNIT_BYTES = 8 << 20
+#: Records of different content that may share an anchor, besides one for each slice; those of others are dealt by window.
+MOST_RECORDS = 2048
 #: Of an anchor key: low bits that hold the position, which ends ties of hashes.
 PLACE_BITS = 24
 SEGMENT = 1 << 22
@@ -63,30 +70,81 @@ def window_runs(grams: np.ndarray, valid: np.ndarray, width: int, k: int) -> tup
 
 @dataclass
 class Records:
-    """Records as arrays by field; text is taken by begin and size from ``raw``."""
+    """Records as arrays by field; text is taken by begin and size from ``raw``.
+
+    at: where the windows of a record that is to be split begin in ``deal`` and ``sign``, two hashes of each; else -1.
+    """
 
     fields: dict[str, np.ndarray]
     begin: np.ndarray
     raw: bytes
+    at: np.ndarray
+    deal: np.ndarray
+    sign: np.ndarray
 
 
-def joined(parts: list[Records]) -> Records:
-    shift = np.cumsum([0, *(len(p.raw) for p in parts[:-1])])
-    return Records({k: np.concatenate([p.fields[k] for p in parts]) for k in parts[0].fields}, np.concatenate([p.begin + n for p, n in zip(parts, shift.tolist(), strict=True)]), b"".join([p.raw for p in parts]))
+def records_of(fields: dict[str, np.ndarray], begin: np.ndarray, raw: bytes, symbols: np.ndarray, first: np.ndarray, width: int, by: SpanHash, hot: np.ndarray) -> Records:
+    """Records with the hashes of their windows where the anchor is in ``hot``; first: each record's first symbol."""
+    own = np.flatnonzero(np.isin(fields["anchor"], hot))
+    count = fields["count"][own].astype(np.int64)
+    at = np.full(len(first), -1, np.int64)
+    at[own] = np.cumsum(count) - count
+    windows = np.repeat(first[own], count) + of_each(count)
+    if not len(windows):
+        return Records(fields, begin, raw, at, np.zeros(0, np.uint32), np.zeros(0, np.uint64))
+    deal = by.spans(by.sums(symbols), windows, windows + width).astype(np.uint32)
+    return Records(fields, begin, raw, at, deal, checks(symbols, windows, windows + width))
 
 
-def packed(batches: Iterator[pa.RecordBatch], make, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of the records that ``make(keys, data, offsets)`` finds, about UNIT_BYTES of text at a time."""
+def joined(parts: list[Records]) -> Records:
+    shift = np.cumsum([0, *(len(p.raw) for p in parts[:-1])])
+    moved = np.cumsum([0, *(len(p.deal) for p in parts[:-1])])
+    return Records(
+        {k: np.concatenate([p.fields[k] for p in parts]) for k in parts[0].fields},
+        np.concatenate([p.begin + n for p, n in zip(parts, shift.tolist(), strict=True)]),
+        b"".join([p.raw for p in parts]),
+        np.concatenate([np.where(p.at < 0, -1, p.at + n) for p, n in zip(parts, moved.tolist(), strict=True)]),
+        np.concatenate([p.deal for p in parts]),
+        np.concatenate([p.sign for p in parts]),
+    )
+
+
+def slices(batches: Iterator[pa.RecordBatch], make) -> Iterator[Records]:
+    """The records that ``make(keys, data, offsets)`` finds, about UNIT_BYTES of text at a time."""
     parts, size = [], 0
     for batch in batches:
         for rows, data, offsets in sliced(batch, "text"):
             parts.append(make(rows.column(0).to_numpy(), data, offsets))
             size += len(data)
             if size >= UNIT_BYTES:
-                yield blob_batch(list(blobs(joined(parts), buckets)))
+                yield joined(parts)
                 parts, size = [], 0
     if parts:
-        yield blob_batch(list(blobs(joined(parts), buckets)))
+        yield joined(parts)
+
+
+def hot_anchors(source: DataFrame, make, most: int) -> np.ndarray:
+    """Anchors with more than ``most`` records of different content; a slice's only record of an anchor is not counted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in slices(batches, make):
+            order, new = same_content(records.fields)
+            anchor, n = np.unique(records.fields["anchor"][order[new]], return_counts=True)
+            yield pa.record_batch([pa.array(anchor[n > 1], pa.int64()), pa.array(n[n > 1], pa.int64())], names=["anchor", "n"])
+
+    counted = source.select("key", "text").mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    return np.sort(np.array([r["anchor"] for r in counted.where(F.col("n") > most).select("anchor").collect()], np.uint32))
+
+
+def dealt(source: DataFrame, make, buckets: int, most: int | None = None) -> DataFrame:
+    """Blobs of all records by bucket: ``make(keys, data, offsets, hot)`` finds them in the texts of ``source`` (key, text)."""
+    hot = hot_anchors(source, lambda keys, data, offsets: make(keys, data, offsets, np.zeros(0, np.uint32)), MOST_RECORDS if most is None else most)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for records in slices(batches, lambda keys, data, offsets: make(keys, data, offsets, hot)):
+            yield blob_batch(list(blobs(records, buckets)))
+
+    return source.select("key", "text").mapInArrow(pack, BLOB)
 
 
 def same_content(fields: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +173,45 @@ def gram_hashes(symbols: np.ndarray, k: int, by: SpanHash) -> np.ndarray:
     return by.grams(by.sums(symbols), k)
 
 
-def blobs(records: Records, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
-    """Records of one slice as a compressed row for each bucket; combined ones that don't lead have no text."""
-    f = records.fields
-    if not len(f["anchor"]):
-        return
+def combined(f: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Records by content, the first of each with its size and the others without; which rows they are; and whether each is a first."""
     order, new = same_content(f)
+    known = np.maximum.reduceat(f["twice"][order], np.flatnonzero(new))
     fresh = new.copy()  # a repeated row of a document is no other place
     d, s = f["doc"][order], f["start"][order]
     fresh[1:] |= (d[1:] != d[:-1]) | (s[1:] != s[:-1])
     order, new = order[fresh], new[fresh]
     group = np.cumsum(new) - 1
-    many = np.bincount(group)[group] > 1
-    f = {k: v[order] for k, v in f.items()} | {"twice": many.astype(np.int8)}
-    begin = records.begin[order]
+    twice = (np.bincount(group) > 1) | (known > 0)
+    f = {k: v[order] for k, v in f.items()} | {"twice": twice[group].astype(np.int8)}
     f["size"] = np.where(new, f["size"], 0).astype(np.int32)  # followers: no text
+    return f, order, new
+
+
+def blobs(records: Records, buckets: int) -> Iterator[tuple[int, int, bytes, bytes]]:
+    """Records of one slice as a compressed row for each bucket; combined ones that don't lead have no text."""
+    f = records.fields
+    if not len(f["anchor"]):
+        return
+    f, order, new = combined(f | {"twice": np.zeros(len(f["anchor"]), np.int8)})
+    begin = records.begin[order]
+    split = new & (records.at[order] >= 0)
+    if split.any():
+        count = f["count"][split].astype(np.int64)
+        at = np.repeat(records.at[order[split]], count) + of_each(count)
+        windows = {
+            "anchor": records.deal[at],
+            "check": records.sign[at],
+            "doc": np.repeat(f["doc"][split], count),
+            "start": np.repeat(f["start"][split], count) + of_each(count),
+            "count": np.ones(len(at), np.int32),
+            "size": np.full(len(at), -1, np.int32),
+            "twice": np.repeat(f["twice"][split], count),
+        }
+        windows, _, leads = combined(windows)
+        f = {k: np.concatenate([f[k][~split], windows[k]]) for k in FIELDS}
+        begin = np.concatenate([begin[~split], np.zeros(len(leads), np.int64)])
+        new = np.concatenate([new[~split], leads])
     bucket = f["anchor"].astype(np.int64) % buckets
     # a follower needs no meeting with others, so it goes where its document's number says
     bucket = np.where(new, bucket, (f["doc"] * 0x9E3779B1 >> 7) % buckets)
@@ -172,7 +254,7 @@ def read_bodies(table: pa.Table, size: np.ndarray, blob: np.ndarray, wanted: np.
     for i in np.unique(blob[wanted]).tolist():
         raw = press.decompress(bodies[i].as_py())
         own = np.arange(np.searchsorted(blob, i), np.searchsorted(blob, i, "right"))
-        end = np.cumsum(size[own])
+        end = np.cumsum(np.maximum(size[own], 0))
         for j in np.flatnonzero(wanted[own]).tolist():
             out[int(own[j])] = raw[end[j] - size[own[j]] : end[j]]
     return out

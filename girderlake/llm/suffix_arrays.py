@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from girderlake.llm import anchors
-from girderlake.llm.anchors import BLOB, Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
+from girderlake.llm.anchors import Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
 from girderlake.llm.arrays import BYTES, of_each
 
 #: Bytes of a shard whose suffix array a task builds at once; a single anchor with more has a longer one.
@@ -198,7 +198,7 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [again[e - n : e - width + 1] for e, n in zip(stop.tolist(), sizes.tolist())]
 
 
-def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int) -> Records:
+def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int, hot: np.ndarray) -> Records:
     n = max(0, len(data) - width + 1)
     valid = np.ones(n, bool)
     for e in offsets[1:-1].tolist():
@@ -215,7 +215,7 @@ def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int
         "count": count.astype(np.int32),
         "size": (last - first).astype(np.int32),
     }
-    return Records(fields, first, data.tobytes())
+    return anchors.records_of(fields, first, data.tobytes(), data, first, width, BYTES, hot)
 
 
 def _bucket(table: pa.Table, width: int) -> pa.Table:
@@ -229,7 +229,7 @@ def _bucket(table: pa.Table, width: int) -> pa.Table:
         gone[1].append(np.repeat(fields["start"][rows], count) + of_each(count))
 
     remove(np.flatnonzero(fields["twice"] > 0))
-    lead = np.flatnonzero(fields["size"] > 0)
+    lead = np.flatnonzero(fields["size"] != 0)
     fields, blob = {k: v[lead] for k, v in fields.items()}, blob[lead]
     firsts, others = content_groups(fields)
     remove(others)
@@ -242,7 +242,7 @@ def _bucket(table: pa.Table, width: int) -> pa.Table:
     alone = firsts[copied[content[firsts]] & (fields["twice"][firsts] == 0)]
     remove(alone)
     # of what is left, records that share an anchor may agree in part
-    rows = np.sort(firsts)
+    rows = np.sort(firsts[fields["size"][firsts] > 0])
     rows = rows[np.argsort(fields["anchor"][rows], kind="stable")]
     anchor = fields["anchor"][rows]
     single = np.ones(len(rows), bool)
@@ -273,11 +273,7 @@ def _bucket(table: pa.Table, width: int) -> pa.Table:
 
 def repeated_spans(source: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
     """Spans of bytes (doc, first, last) covered by windows that occur elsewhere; ``source`` has key and text."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return anchors.packed(batches, lambda keys, data, offsets: _records(data, offsets, keys, width, gram), buckets)
-
-    packs = source.select("key", "text").mapInArrow(pack, BLOB)
+    packs = anchors.dealt(source, lambda keys, data, offsets, hot: _records(data, offsets, keys, width, gram, hot), buckets)
     return packs.groupBy("bucket").applyInArrow(lambda table: _bucket(table, width), SPANS)
 
 

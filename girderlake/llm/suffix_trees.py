@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from girderlake.llm import anchors
-from girderlake.llm.anchors import BLOB, Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
+from girderlake.llm.anchors import Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
 from girderlake.llm.arrays import WORDS, of_each, word_hashes, words
 
 #: Words whose tree a task builds at once.
@@ -25,7 +25,7 @@ GROUP_WORDS = 1 << 20
 SPANS = "doc long, first long, last long"
 
 
-def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int) -> Records:
+def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int, hot: np.ndarray) -> Records:
     starts, ends, of_doc = words(data, offsets)
     symbols = word_hashes(data, starts, ends)
     doc = np.repeat(np.arange(len(docs)), np.diff(of_doc))
@@ -40,7 +40,7 @@ def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int
         "count": count.astype(np.int32),
         "size": (ends[last - 1] - starts[first]).astype(np.int32) if len(first) else np.zeros(0, np.int32),
     }
-    return Records(fields, starts[first], data.tobytes())
+    return anchors.records_of(fields, starts[first], data.tobytes(), symbols, first, width, WORDS, hot)
 
 
 def equal_suffixes(codes: np.ndarray, tops: np.ndarray, width: int, prefix: int) -> Iterator[np.ndarray]:
@@ -98,7 +98,7 @@ def _bucket(table: pa.Table, width: int, prefix: int) -> pa.Table:
         gone[0].append(np.repeat(doc, count))
         gone[1].append(np.repeat(start, count) + of_each(count))
 
-    lead = fields["size"] > 0
+    lead = fields["size"] != 0
     remove(*(fields[k][~lead] for k in ("doc", "start", "count")))
     own = np.flatnonzero(lead)
     fields, blob = {k: v[own] for k, v in fields.items()}, blob[own]
@@ -106,7 +106,7 @@ def _bucket(table: pa.Table, width: int, prefix: int) -> pa.Table:
     remove(*(fields[k][later] for k in ("doc", "start", "count")))
     # an anchor of one record can't have an equal window elsewhere, but within the record none repeats either
     anchor = fields["anchor"]
-    rows = np.sort(firsts)
+    rows = np.sort(firsts[fields["size"][firsts] > 0])
     rows = rows[np.argsort(anchor[rows], kind="stable")]
     a = anchor[rows]
     alone = np.ones(len(rows), bool)
@@ -153,11 +153,7 @@ def _bucket(table: pa.Table, width: int, prefix: int) -> pa.Table:
 
 def repeated_spans(source: DataFrame, width: int, prefix: int, buckets: int) -> DataFrame:
     """Spans of words (doc, first, last) covered by windows that occur earlier; ``source`` has key and text."""
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return anchors.packed(batches, lambda keys, data, offsets: _records(data, offsets, keys, width, prefix), buckets)
-
-    packs = source.select("key", "text").mapInArrow(pack, BLOB)
+    packs = anchors.dealt(source, lambda keys, data, offsets, hot: _records(data, offsets, keys, width, prefix, hot), buckets)
     return packs.groupBy("bucket").applyInArrow(lambda table: _bucket(table, width, prefix), SPANS)
 
 

@@ -8,10 +8,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe, chat_templates, complement_packing, language_vectors, minhash_star, permutation_index, quality_lines, suffix_arrays, suffix_trees, weak_toxicity
+from girderlake.llm import anchors, byte_bpe, chat_templates, complement_packing, language_vectors, minhash_star, permutation_index, quality_lines, suffix_arrays, suffix_trees, weak_toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -369,6 +370,47 @@ def test_suffix_array_dedup(spark, docs, texts, width):
     assert suffix_arrays.remove_repeated_bytes(empty(spark)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def shared_passage():
+    """A passage between words of each document's own, in 150 documents; some of them twice, one row repeated."""
+    own = lambda i, side: " ".join(f"{side}{i}q{j}" for j in range(25))
+    passage = " ".join(f"p{j}" for j in range(60))
+    out = [(i, f"{own(i, 'a')} {passage} {own(i, 'b')}" + (f" {passage}" if i % 7 == 0 else "")) for i in range(150)]
+    return [*out, (None, passage), (200, own(3, "a"))]
+
+
+def largest_group(packs):
+    """The most records with text that share an anchor in a bucket."""
+    seen = Counter()
+    for r in packs.collect():
+        fields, _ = anchors.read_headers(pa.table({k: [r[k]] for k in ("bucket", "records", "header", "body")}))
+        seen.update((r["bucket"], a) for a in fields["anchor"][fields["size"] > 0].tolist())
+    return max(seen.values())
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_no_anchor_takes_all_records(spark, shared_passage, by_word):
+    source = anchors.document_key(frame(spark, shared_passage), "doc_id", "text")
+    if by_word:
+        make = lambda keys, data, offsets, hot: suffix_trees._records(data, offsets, keys, 20, 5, hot)
+    else:
+        make = lambda keys, data, offsets, hot: suffix_arrays._records(data, offsets, keys, 200, 40, hot)
+    assert largest_group(anchors.dealt(source, make, 8, most=1 << 40)) > 100
+    # one record for each of the three slices may stay uncounted
+    assert largest_group(anchors.dealt(source, make, 8, most=20)) <= 23
+
+
+@pytest.mark.parametrize("most", [0, 2, 20, 1 << 40])
+def test_passages_dealt_by_window(spark, texts, shared_passage, monkeypatch, most):
+    monkeypatch.setattr(anchors, "MOST_RECORDS", most)
+    for rows in (texts, [(300 if i is None else i, t) for i, t in shared_passage]):
+        df = frame(spark, [*rows, rows[20], rows[20]])
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in suffix_trees.remove_repeated_passages(df, width=20).collect()}
+        assert got == passages_by_hand(rows, 20)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_arrays.remove_repeated_bytes(df, width=200).collect()}
+        assert got == bytes_by_hand(rows, 200)
+
+
 @pytest.mark.parametrize("raw", [b"banana", b"aaaaaaa", b"abcabcabcx", bytes(range(256)), b"", b"a"])
 def test_suffix_array_by_induction(raw):
     text = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0).astype(np.int16)
