@@ -145,6 +145,15 @@ def test_quality_rules(spark, docs, texts):
     assert quality_lines.judge(empty(spark)).count() == 0
 
 
+def test_quality_limits_of_the_query(spark):
+    rng = random.Random(4)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)) + "\nshared line"
+    rows = [(i, text(), "en", host, "b", 1, 2, 3) for host, n in (("small", 50), ("over", 51)) for i in range(n)]
+    rows += [(100, rows[0][1], "en", "small", "b", 1, 2, 3)]  # a copy is no further text
+    got = quality_lines.judge(spark.createDataFrame(rows, SCHEMA)).groupBy("removed_words").count().collect()
+    assert {r["removed_words"]: r["count"] for r in got} == {0: 51, 2: 51}
+
+
 def test_clean_removes_frequent_lines(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("abcdefgh") * 3 + str(rng.random()) for _ in range(30)) + "\nSHARED Line here\nlast", "en", None, "b", 1, 2, 3) for i in range(8)]
