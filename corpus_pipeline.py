@@ -36,9 +36,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is of some language that the labelled documents teach."""
+    """Documents whose text is of some language that the labelled documents teach; if none teaches any, all with letters."""
     _ready(spark)
-    told = language_vectors.predict(docs, language_vectors.learn(docs), keep=COLUMNS[1:])
+    prototypes = language_vectors.learn(docs)
+    if not prototypes:
+        return language_vectors.lettered(docs.select(*COLUMNS))
+    told = language_vectors.predict(docs, prototypes, keep=COLUMNS[1:])
     return told.where((F.col("lang_pred") != language_vectors.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

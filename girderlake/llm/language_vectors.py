@@ -139,6 +139,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return {r["lang"]: np.array(r["x"]) for r in by_lang if any(r["x"])}
 
 
+def lettered(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has letters; a null text has none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in sliced(batch, text_col):
+                yield part.filter(pa.array(gram_counts(data, offsets)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score (cosine, 0 at least) of every row; ``und`` and 0 for texts without letters (or no prototypes).
 

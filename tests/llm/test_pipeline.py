@@ -39,6 +39,13 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in rows} == set(seen[4])
 
 
+def test_language_stage_without_labels(spark):
+    texts = ["ein Satz", "a sentence", "", None, "1 2 3", "\u00e9"]
+    docs = spark.createDataFrame([(i, t, None, "h", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = corpus_pipeline.language(spark, docs, SF).collect()
+    assert {r["doc_id"]: r["text"] for r in rows} == {i: texts[i] for i in (0, 1, 5)}
+
+
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() >= 100
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
