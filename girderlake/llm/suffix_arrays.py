@@ -3,8 +3,8 @@
 Runs of byte windows that share an anchor meet in a bucket (see ``anchors``). Records of equal content are settled
 at once; those that agree only in part are joined into a shard, whose suffix array is built by induced sorting:
 suffixes are classed as smaller or larger than the next, substrings between leftmost-smaller suffixes are sorted
-and named, the string of names recursively, and two scans over the buckets of first bytes induce all the rest in
-linear time. A scan takes a whole bucket at a time, so it is array work. Common prefixes are computed in text
+and named, the string of names recursively (by prefix doubling if it has more than 1024 names, which is not linear),
+and two scans over the buckets of first bytes induce all the rest in linear time. A scan takes a whole bucket at a time, so it is array work. Common prefixes are computed in text
 order: an irreducible one by comparing words of eight bytes, any other as one less than the one before.
 """
 
