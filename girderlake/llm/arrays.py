@@ -19,7 +19,7 @@ IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 
 #: Powers of a hash are held in steps of so many.
-POWERS = 1 << 16
+POWERS = 1 << 19
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -84,38 +84,70 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: The modulus of span hashes, a prime: unlike a power of two, no base is weak for it (texts of the Thue-Morse kind).
+P = _U((1 << 61) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Of values below 2**64, the rest modulo P."""
+    x = (x & P) + (x >> _U(61))
+    x -= P * (x >= P)
+    return x
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo P of values below P, from halves of 30 and 31 bits."""
+    low, some = _U((1 << 31) - 1), _U((1 << 30) - 1)
+    ah, al, bh, bl = a >> _U(31), a & low, b >> _U(31), b & low
+    mid = ah * bl + al * bh
+    out = al * bl
+    out += (ah * bh) << _U(1)
+    out += mid >> _U(30)
+    out += (mid & some) << _U(31)
+    return _reduced(out)
+
+
 class SpanHash:
-    """Hashes of any spans of an array from one pass of prefix sums modulo 2**64."""
+    """Hashes of any spans of an array from one pass of prefix sums modulo the prime P, spread over 64 bits.
+
+    Two different spans of n values get the same hash by a chance of about n / 2**61 over the choice of the base.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.codes = rng.integers(0, 1 << 64, 256, np.uint64)
+        self.base = int(rng.integers(1 << 40, int(P)))
+        self.codes = rng.integers(1, int(P), 256, np.uint64)
         self._up = self._down = np.ones(1, np.uint64)
 
     def _powers(self, n: int) -> None:
-        if len(self._up) <= n:
-            m = (n // POWERS + 1) * POWERS + 1
-            for name, b in (("_up", self.base), ("_down", pow(self.base, -1, 1 << 64))):
-                p = np.full(m, b, np.uint64)
-                p[0] = 1
-                setattr(self, name, np.multiply.accumulate(p))
+        while len(self._up) <= n:
+            m = len(self._up)
+            if m >= POWERS:  # in steps from here on, for memory
+                m = POWERS
+            for name, b in (("_up", self.base), ("_down", pow(self.base, -1, int(P)))):
+                have = getattr(self, name)
+                more = times(have[-m:], np.full(1, pow(b, m, int(P)), np.uint64))
+                setattr(self, name, np.concatenate([have, more]))
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Prefix sums of uint64 values, or of bytes by their random codes."""
-        values = self.codes[values] if values.dtype == np.uint8 else values
+        values = self.codes[values] if values.dtype == np.uint8 else _reduced(values)
         self._powers(len(values))
+        terms = times(values, self._up[: len(values)])
         out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * self._up[: len(values)], out=out[1:])
+        low = np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64)
+        high = np.cumsum(terms >> _U(32), dtype=np.uint64)
+        part = _U((1 << 29) - 1)
+        out[1:] = _reduced(_reduced(low) + ((high & part) << _U(32)) + (high >> _U(29)))
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((sums[ends] - sums[starts]) * self._down[starts])
+        return mix(times(_reduced(sums[ends] + (P - sums[starts])), self._down[starts]))
 
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
         """Of every k consecutive values."""
         n = max(0, len(sums) - k)
-        return mix((sums[k : k + n] - sums[:n]) * self._down[:n])
+        return mix(times(_reduced(sums[k : k + n] + (P - sums[:n])), self._down[:n]))
 
 
 BYTES, WORDS, CHECK = SpanHash(1), SpanHash(2), SpanHash(3)
@@ -139,6 +171,14 @@ def window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the ``size`` bytes from each of ``a`` and from each of ``b`` are the same."""
+    at = np.repeat(np.arange(len(size)), size)
+    step = of_each(size)
+    differs = data[a[at] + step] != data[b[at] + step]
+    return np.bincount(at[differs], minlength=len(size)) == 0
+
+
 def of_each(counts: np.ndarray) -> np.ndarray:
     """0, 1, ..., count - 1 for each count in turn."""
     total = int(counts.sum())

@@ -12,7 +12,7 @@ def _toward_least(edges: DataFrame, small: bool) -> DataFrame:
     """large star: every larger neighbour of a node to its least neighbour; small star: every smaller one, and itself."""
     both = edges if small else edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("least"))
-    met = both.join(least, "a")
+    met = both.join(least.repartition("a"), "a")  # a stage of its own, so that a node with very many neighbours can be split
     if small:  # a > b in every edge
         return met.select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("a", F.col("least").alias("b"))).where("a > b").distinct()
     return met.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b")).where("a > b").distinct()

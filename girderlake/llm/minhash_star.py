@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from girderlake.llm.anchors import document_key
+from girderlake.llm.anchors import NO_ID, document_key
 from girderlake.llm.arrays import LOWER, WORDS, mix, of_each, sliced, word_hashes, words
 from girderlake.llm.components import connected_components
 from girderlake.llm.store import cut
@@ -26,7 +26,6 @@ from girderlake.llm.store import cut
 BINS, ROWS = 128, 4
 #: Members that a hub's text is sent out for at once.
 STAR = 256
-UNNAMED = 1 << 62
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -88,7 +87,7 @@ def bin_minima(hashes: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
 
 
 def _sketches(source: DataFrame, k: int) -> DataFrame:
-    """key, n_shingles, two hashes of the set, a hash for each band."""
+    """doc, part, n_shingles, two hashes of the set, a hash for each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,19 +102,23 @@ def _sketches(source: DataFrame, k: int) -> DataFrame:
                     bands = mix(bands * np.uint64(31) + bins[:, r::ROWS])
                 bands = mix(bands + np.arange(BINS // ROWS, dtype=np.uint64)).view(np.int64)
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
-                yield pa.record_batch([rows.column(0), pa.array(n), pa.array(a), pa.array(b), listed], names=["key", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.record_batch([*rows.columns[:2], pa.array(n), pa.array(a), pa.array(b), listed], names=["doc", "part", "n_shingles", "set_a", "set_b", "bands"])
 
-    return source.select("key", "text").mapInArrow(run, "key long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return source.select("doc", "part", "text").mapInArrow(run, "doc long, part int, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
-def _alike(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (hub, member), those whose full sets have percent / 100 of their union in common."""
+def _alike(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of pairs (hub, member), those whose full sets have percent / 100 of their union in common.
+
+    Members of a hub are dealt to as many tasks as they fill STAR times. Hubs of one task need no salt, so only the others'
+    numbers are joined, from a stored table, so that a hub with very many members can be split in that join too.
+    """
     pairs = cut(pairs)
-    salts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("salts"))
-    dealt = pairs.join(salts, "hub").select("hub", "member", F.expr("pmod(xxhash64(member), salts)").alias("salt"))
-    wanted = dealt.select("hub", "salt", "member", F.lit(False).alias("is_hub")).union(dealt.select("hub", "salt", F.col("hub").alias("member"), F.lit(True).alias("is_hub")).distinct())
-    texts = wanted.join(source.select(F.col("key").alias("member"), "text"), "member")
-    texts = texts.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
+    sizes = cut(pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).cast("int").alias("salts")))
+    dealt = pairs.join(sizes.where("salts > 1"), "hub", "left").select("hub", F.expr("pmod(xxhash64(member), coalesce(salts, 1))").cast("int").alias("salt"), "member", F.lit(False).alias("is_hub"))
+    hubs = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("hub").alias("member"), F.lit(True).alias("is_hub"))
+    held = dealt.union(hubs).join(texts.select(F.col("node").alias("member"), "text"), "member")
+    held = held.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.desc("is_hub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, np.zeros(0, np.uint64)
@@ -140,7 +143,7 @@ def _alike(pairs: DataFrame, source: DataFrame, k: int, percent: int) -> DataFra
                 own = own.copy()  # not a view of a whole slice
                 yield pa.record_batch([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], names=["a", "b"])
 
-    return texts.select("hub", "salt", "member", "is_hub", "text").mapInArrow(run, "a long, b long")
+    return held.select("hub", "salt", "member", "is_hub", "text").mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,61 +152,74 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its distinct ``shingle``-word
     shingles (with fewer words, all of them as one). Two documents are linked if 100 * intersection >= percent *
     union; component_id is the smallest doc_id reachable. A null, empty or wordless text has an empty set and is
-    linked with nothing. Rows that repeat a doc_id count as one document. Documents without id are told apart by
-    text and come after all others; a group of such alone has a null component_id, and one of its texts is kept.
+    linked with nothing. Rows of one doc_id and one text are one document; rows of one doc_id and different texts are different
+    ones, linked only if alike. Documents without id are told apart by text and come after all others; a group of such
+    alone has a null component_id, and one of its texts is kept.
     """
     out = _grouped(document_key(docs, id_col, text_col), shingle, percent)
-    named = F.when(F.col("key") < UNNAMED, F.col("key"))
-    return out.select(named.alias("doc_id"), "n_shingles", F.when(F.col("component") < UNNAMED, F.col("component")).alias("component_id"), (F.col("key") == F.col("component")).alias("kept"))
+    own = (F.col("doc") == F.col("lead.doc")) & ((F.col("doc") < NO_ID) | (F.col("part") == F.col("lead.part")))
+    return out.select(_named("doc").alias("doc_id"), "n_shingles", _named("lead.doc").alias("component_id"), own.alias("kept"))
+
+
+def _named(column: str) -> Column:
+    return F.when(F.col(column) < NO_ID, F.col(column))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of each group (see ``near_copies``) the document of the smallest id.
 
-    Rows that repeat a doc_id are one document, of which one row stays; documents without words all stay.
+    Rows that repeat doc_id and text are one document, of which one row stays; documents without words all stay. Columns
+    may have any names.
     """
-    keyed = docs.withColumn("_key", F.coalesce(docs[id_col].cast("long"), F.lit(UNNAMED) + F.shiftrightunsigned(F.xxhash64(docs[text_col]), 2)))
-    stays = _grouped(document_key(docs, id_col, text_col), shingle, percent).where("key = component").select(F.col("key").alias("_key")).distinct()
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(text_col)))
-    return keyed.join(stays, "_key", "left_semi").withColumn("_row", one).where("_row = 1").drop("_key", "_row")
+    source = document_key(docs, id_col, text_col)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.shiftright(F.xxhash64(docs[text_col]), 32).cast("int").alias("part"))
+    stays = _grouped(source, shingle, percent).where("doc = lead.doc AND part = lead.part").select("doc", "part").distinct()
+    one = F.row_number().over(Window.partitionBy("doc", "part").orderBy(F.lit(0)))
+    return rows.join(stays, ["doc", "part"], "left_semi").withColumn("place", one).where("place = 1").select("row.*")
 
 
 def _grouped(source: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """key, n_shingles, component (a key) of every row of ``source``."""
+    """doc, part, n_shingles and the least (doc, part) of its group, for every row of ``source``.
+
+    Texts of one set are a class, a node of the graph. Small sides of joins on keys that may be hot (band, hub, node) are
+    repartitioned or stored first, so that Spark can split the other side.
+    """
     base = cut(_sketches(source, shingle))
     some = base.where("n_shingles > 0")
-    classes = cut(some.groupBy("set_a", "set_b").agg(F.min("key").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")))
-    member = classes.select("rep", "n", F.explode("bands").alias("band"))
+    classes = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc", "part")).alias("who"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    member = classes.select("node", "n", F.explode("bands").alias("band"))
     sizes = member.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-    crowd = cut(member.join(sizes, "band"))
-    hubs = crowd.join(crowd.groupBy("rep").agg(F.sum("size").alias("crowding")), "rep")
-    hubs = hubs.groupBy("band").agg(F.max(F.struct("crowding", (-F.col("rep")).alias("least"), "n")).alias("hub"))
-    stars = crowd.join(hubs, "band").select((-F.col("hub.least")).alias("hub"), F.col("hub.n").alias("other"), F.col("rep").alias("member"), "n").distinct()
-    stars = cut(stars)
-    texts = source.join(crowd.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    texts = cut(texts.select("key", "text"))
+    crowd = cut(member.join(sizes.repartition("band"), "band"))
+    hubs = crowd.join(crowd.groupBy("node").agg(F.sum("size").alias("crowding")), "node")
+    hubs = hubs.groupBy("band").agg(F.max(F.struct("crowding", (-F.col("node")).alias("least"), "n")).alias("hub"))
+    stars = crowd.join(hubs.repartition("band"), "band").select((-F.col("hub.least")).alias("hub"), F.col("hub.n").alias("other"), F.col("node").alias("member"), "n")
+    stars = cut(stars.distinct())
+    wanted = classes.join(crowd.select("node").distinct(), "node", "left_semi").select("who.doc", "who.part", "node")
+    texts = cut(source.select("doc", "part", "text").join(wanted, ["doc", "part"]).groupBy("doc", "part", "node").agg(F.first("text").alias("text")).select("node", "text"))
     near = f"hub != member AND 100 * least(n, other) >= {percent} * greatest(n, other)"
     edges = cut(_alike(stars.where(near).select("hub", "member"), texts, shingle, percent))
-    first = cut(connected_components(edges))
+    found = cut(connected_components(edges))
 
-    among = stars.join(first.withColumnRenamed("node", "member"), "member", "left").select("hub", "member", "n", F.coalesce("component", "member").alias("component"))
+    among = cut(stars.join(found.withColumnRenamed("node", "member"), "member", "left").select("hub", "member", "n", F.coalesce("component", "member").alias("component")))
     parts = among.groupBy("hub", "component").agg(F.count("*").alias("size"), F.sum(F.greatest("n", F.lit(LEAST_WEIGHT))).alias("weight"))
     main = F.max(F.struct("size", "component", "weight"))
     mixed = parts.groupBy("hub").agg(main.alias("main"), F.sum("weight").alias("weight"), F.count("*").alias("parts")).where("parts > 1")
     slices = lambda x: F.greatest(F.ceil(x / BLOCK), F.lit(1)).cast("int")
-    mixed = mixed.select("hub", F.col("main.component").alias("main"), slices(F.col("weight") - F.col("main.weight")).alias("rows"), slices(F.col("weight")).alias("columns"))
-    open_ = among.join(mixed, "hub")
-    place = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = open_.where("component != main").select("hub", "member", "component", F.lit(True).alias("outside"), place("rows").alias("row"), every("columns").alias("column"))
-    others = open_.select("hub", "member", "component", F.lit(False).alias("outside"), every("rows").alias("row"), place("columns").alias("column"))
-    blocks = cut(outside.union(others))
-    if not blocks.isEmpty():
-        edges = edges.union(cut(_alike_within(blocks, texts, shingle, percent)))
-        first = cut(connected_components(edges))
-    groups = classes.join(first.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
-    out = base.drop("bands").join(groups, ["set_a", "set_b"], "left").withColumn("component", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("key")))
-    return out.select("key", "n_shingles", "component")
+    mixed = cut(mixed.select("hub", F.col("main.component").alias("main"), slices(F.col("weight") - F.col("main.weight")).alias("rows"), slices(F.col("weight")).alias("columns")))
+    if not mixed.isEmpty():
+        open_ = among.join(mixed, "hub")
+        place = lambda n: F.pmod(F.xxhash64("member"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outside = open_.where("component != main").select("hub", "member", "component", F.lit(True).alias("outside"), place("rows").alias("row"), every("columns").alias("column"))
+        others = open_.select("hub", "member", "component", F.lit(False).alias("outside"), every("rows").alias("row"), place("columns").alias("column"))
+        edges = edges.union(cut(_alike_within(outside.union(others), texts, shingle, percent)))
+        found = cut(connected_components(edges))
+    groups = classes.join(found, "node", "left").select("set_a", "set_b", "who", F.coalesce("component", "node").alias("component"))
+    leads = groups.groupBy("component").agg(F.min("who").alias("lead"))
+    groups = groups.join(leads.repartition("component"), "component").select("set_a", "set_b", "lead")
+    out = base.drop("bands").join(groups.repartition("set_a", "set_b"), ["set_a", "set_b"], "left")
+    return out.select("doc", "part", "n_shingles", F.coalesce("lead", F.struct("doc", "part")).alias("lead"))
 
 
 def common_counts(sets: np.ndarray, of_set: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
@@ -260,7 +276,7 @@ def forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[l
 
 def _alike_within(blocks: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (a, b) between the outside members of each block and its others, as spanning forests."""
-    held = blocks.join(texts.withColumnRenamed("key", "member"), "member").select("hub", "row", "column", "member", "component", "outside", "text")
+    held = blocks.join(texts.withColumnRenamed("node", "member"), "member").select("hub", "row", "column", "member", "component", "outside", "text")
 
     def run(table: pa.Table) -> pa.Table:
         keys, component, outside = (table.column(x).to_numpy() for x in ("member", "component", "outside"))

@@ -1,28 +1,25 @@
 """Byte passages that repeat: suffix arrays by induced sorting, shard by shard, and their common prefixes.
 
-Runs of byte windows that share an anchor meet in a bucket (see ``anchors``). Records of equal content are settled
-at once; those that agree only in part are joined into a shard, whose suffix array is built by induced sorting:
-suffixes are classed as smaller or larger than the next, substrings between leftmost-smaller suffixes are sorted
-and named, the string of names recursively (by prefix doubling if it has more than 1024 names, which is not linear),
-and two scans over the buckets of first bytes induce all the rest in linear time. A scan takes a whole bucket at a time, so it is array work. Common prefixes are computed in text
-order: an irreducible one by comparing words of eight bytes, any other as one less than the one before.
+Windows that may have an equal one elsewhere meet in buckets (see ``anchors``: records of equal content are merged
+there, and one of each comes here with its text). Texts of some anchors make a shard, whose suffix array is built by induced
+sorting: suffixes are classed as smaller or larger than the next, substrings between leftmost-smaller suffixes are sorted
+and named, the string of names is sorted recursively in the same way, and two scans over buckets of first symbols induce
+all the rest. A scan takes as many buckets at once as don't feed each other, so it is array work at every level. Common
+prefixes are computed in text order: an irreducible one by comparing words of eight bytes, any other as one less
+than the one before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from girderlake.llm import anchors
-from girderlake.llm.anchors import Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
-from girderlake.llm.arrays import BYTES, of_each
+from girderlake.llm.anchors import Plan, Symbols, document_key, read_texts, repeats_removed, text_bytes, windows_table
+from girderlake.llm.arrays import of_each
 
 #: Bytes of a shard whose suffix array a task builds at once; a single anchor with more has a longer one.
 SHARD_BYTES = 1 << 20
-SPANS = "doc long, first long, last long"
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -35,95 +32,90 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return sign[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
 
-def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array induced from leftmost-smaller suffixes in their (or their substrings') order."""
-    n = len(text)
-    sizes = np.bincount(text, minlength=sigma)
-    begin = np.concatenate([[0], np.cumsum(sizes)])
-    larger = ~smaller
-    n_larger = np.bincount(text[larger], minlength=sigma)
-    order = np.argsort(text[lms], kind="stable")
-    lms_sorted = lms[order]
-    lms_at = np.concatenate([[0], np.cumsum(np.bincount(text[lms], minlength=sigma))])
-    array = np.full(n, -1, np.int64)
-    fill = begin[:-1].copy()
+def _placed(array: np.ndarray, fill: np.ndarray, text: np.ndarray, suffixes: np.ndarray, step: int) -> None:
+    """Put suffixes, in their order, at the fronts (step 1) or, from the end, the backs (-1) of their buckets."""
+    chars = text[suffixes]
+    by = np.argsort(chars, kind="stable")
+    chars, suffixes = chars[by], suffixes[by]
+    first = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
+    count = np.diff(np.append(first, len(chars)))
+    rank = of_each(count)
+    array[fill[chars] + rank if step > 0 else fill[chars] - 1 - rank] = suffixes
+    fill[chars[first]] += step * count
+
 
-    def place(suffixes: np.ndarray, down: bool) -> None:
-        chars = text[suffixes]
-        by = np.argsort(chars, kind="stable")
-        chars, suffixes = chars[by], suffixes[by]
-        cut = np.flatnonzero(np.diff(chars)) + 1
-        first = np.concatenate([[0], cut])
-        count = np.diff(np.append(first, len(chars)))
-        rank = np.arange(len(chars)) - np.repeat(first, count)
-        c = chars[first]
-        if down:
-            array[fill[chars] - 1 - rank] = suffixes
-            fill[c] -= count
-        else:
-            array[fill[chars] + rank] = suffixes
-            fill[c] += count
+def _scan(array: np.ndarray, text: np.ndarray, begin: np.ndarray, fill: np.ndarray, kind: np.ndarray, step: int) -> None:
+    """Induce the suffixes of one kind, bucket by bucket up (step 1, larger ones) or down (-1, smaller ones).
 
-    present = np.flatnonzero(sizes)
-    for c in present:  # larger suffixes, from the smallest bucket up
-        at = begin[c]
-        while at < fill[c]:
-            stop = fill[c]
-            before = array[at:stop] - 1
-            at = stop
-            before = before[before >= 0]
-            before = before[larger[before]]
+    Buckets are taken many at a time, as far as none of them induces a suffix of another of them; one that induces
+    suffixes of its own (a run of one symbol) is read on as it fills.
+    """
+    sigma, most = len(begin) - 1, 64
+    c = 0 if step > 0 else sigma - 1
+    while 0 <= c < sigma:
+        stop = min(c + most, sigma) if step > 0 else max(c - most, -1)
+        a, b = (begin[c], begin[stop]) if step > 0 else (begin[stop + 1], begin[c + 1])
+        found = array[a:b] if step > 0 else array[a:b][::-1]
+        before = found[found > 0] - 1
+        before = before[kind[before]]
+        chars = text[before]
+        inside = chars[chars < stop] if step > 0 else chars[chars > stop]
+        if not len(inside):
             if len(before):
-                place(before, False)
-        before = lms_sorted[lms_at[c] : lms_at[c + 1]] - 1
-        before = before[before >= 0]
-        before = before[larger[before]]
-        if len(before):
-            place(before, False)
-    fill = begin[1:].copy()
-    array[0] = n - 1
-    for c in present[::-1]:  # smaller suffixes, from the largest bucket down
-        at = begin[c + 1]
-        while at > fill[c]:
-            stop = fill[c]
-            before = array[stop:at][::-1] - 1
-            at = stop
-            before = before[before >= 0]
-            before = before[smaller[before]]
+                _placed(array, fill, text, before, step)
+            c, most = stop, most * 2
+            continue
+        near = int(inside.min() if step > 0 else inside.max())
+        most = max(most // 2, 1)
+        if near != c:  # up to the first bucket that gets more
+            a, b = (begin[c], begin[near]) if step > 0 else (begin[near + 1], begin[c + 1])
+            found = array[a:b] if step > 0 else array[a:b][::-1]
+            before = found[found > 0] - 1
+            before = before[kind[before]]
             if len(before):
-                place(before, True)
-        own = array[begin[c] : begin[c] + n_larger[c]][::-1] - 1
-        own = own[own >= 0]
-        own = own[smaller[own]]
-        if len(own):
-            place(own, True)
-    return array
+                _placed(array, fill, text, before, step)
+            c = near
+            continue
+        at = begin[c] if step > 0 else begin[c + 1]
+        while at != fill[c]:  # of the kind itself, as far as there are
+            end = fill[c]
+            found = array[at:end] if step > 0 else array[end:at][::-1]
+            at = end
+            before = found[found > 0] - 1
+            before = before[kind[before]]
+            if len(before):
+                _placed(array, fill, text, before, step)
+        rest = array[at : begin[c + 1]] if step > 0 else array[begin[c] : at][::-1]
+        before = rest[rest > 0] - 1
+        before = before[kind[before]]
+        if len(before):
+            _placed(array, fill, text, before, step)
+        c += step
 
 
-def _by_doubling(text: np.ndarray) -> np.ndarray:
-    """Suffix array by doubling, for strings of many symbols (names)."""
-    n, k = len(text), 1
-    rank = np.unique(text, return_inverse=True)[1]
-    while True:
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(np.diff(key[order]) != 0)])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1:
-            return order
-        k *= 2
+def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
+    """Suffix array induced from leftmost-smaller suffixes in their (or their substrings') order."""
+    n = len(text)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
+    array = np.full(n, -1, np.int64)
+    _placed(array, begin[1:].copy(), text, lms[::-1], -1)
+    _scan(array, text, begin, begin[:-1].copy(), ~smaller, 1)
+    seeds = array >= 0
+    seeds[seeds] = smaller[array[seeds]]
+    array[seeds] = -1  # they are induced anew
+    fill = begin[1:].copy()
+    array[0], fill[0] = n - 1, 0
+    _scan(array, text, begin, fill, smaller, -1)
+    return array
 
 
-def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
-    """Suffix array of ``text``, whose last symbol must be its only 0."""
+def suffix_array(text: np.ndarray, sigma: int, levels: list[int] | None = None) -> np.ndarray:
+    """Suffix array of ``text``, whose last symbol must be its only 0. levels: gets the length of the string at each level."""
     n = len(text)
+    if levels is not None:
+        levels.append(n)
     if n < 3:
         return np.arange(n)[::-1].copy()
-    if sigma > 1024:  # a bucket for each of many names would hold next to nothing
-        return _by_doubling(text)
     smaller = _smaller(text)
     lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
     first = _induce(text, smaller, lms, sigma)
@@ -144,12 +136,10 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
         live, d = live[ok], d + 1
     names = np.concatenate([[0], np.cumsum(~same)])
     if names[-1] == len(lms) - 1:
-        sorted_lms = ordered
-    else:
-        of = np.empty(n, np.int64)
-        of[ordered] = names
-        sorted_lms = lms[suffix_array(of[lms], int(names[-1]) + 1)]
-    return _induce(text, smaller, sorted_lms, sigma)
+        return _induce(text, smaller, ordered, sigma)
+    of = np.empty(n, np.int64)
+    of[ordered] = names
+    return _induce(text, smaller, lms[suffix_array(of[lms], int(names[-1]) + 1, levels)], sigma)
 
 
 def common_prefixes(text: np.ndarray, array: np.ndarray, limit: np.ndarray) -> np.ndarray:
@@ -198,83 +188,29 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [again[e - n : e - width + 1] for e, n in zip(stop.tolist(), sizes.tolist())]
 
 
-def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int, hot: np.ndarray) -> Records:
-    n = max(0, len(data) - width + 1)
-    valid = np.ones(n, bool)
-    for e in offsets[1:-1].tolist():
-        valid[max(0, e - width + 1) : e] = False
-    grams = gram_hashes(data, k, BYTES)
-    first, count, place = window_runs(grams, valid, width, k)
-    doc = np.searchsorted(offsets, first, "right") - 1
-    last = first + count + width - 1
-    fields = {
-        "anchor": grams[place].astype(np.uint32),
-        "check": anchors.checks(data, first, last),
-        "doc": docs[doc],
-        "start": first - offsets[doc],
-        "count": count.astype(np.int32),
-        "size": (last - first).astype(np.int32),
-    }
-    return anchors.records_of(fields, first, data.tobytes(), data, first, width, BYTES, hot)
-
-
-def _bucket(table: pa.Table, width: int) -> pa.Table:
-    """Spans of one bucket whose windows occur anywhere else."""
-    fields, blob = read_headers(table)
-    gone: tuple[list, list] = ([], [])
-
-    def remove(rows: np.ndarray) -> None:
-        count = fields["count"][rows]
-        gone[0].append(np.repeat(fields["doc"][rows], count))
-        gone[1].append(np.repeat(fields["start"][rows], count) + of_each(count))
-
-    remove(np.flatnonzero(fields["twice"] > 0))
-    lead = np.flatnonzero(fields["size"] != 0)
-    fields, blob = {k: v[lead] for k, v in fields.items()}, blob[lead]
-    firsts, others = content_groups(fields)
-    remove(others)
-    content = np.zeros(len(lead), np.int64)
-    order, new = anchors.same_content(fields)
-    content[order] = np.cumsum(new) - 1
-    copied = np.zeros(int(content.max()) + 1 if len(content) else 0, bool)
-    copied[content[others]] = True
-    copied[content[fields["twice"] > 0]] = True
-    alone = firsts[copied[content[firsts]] & (fields["twice"][firsts] == 0)]
-    remove(alone)
-    # of what is left, records that share an anchor may agree in part
-    rows = np.sort(firsts[fields["size"][firsts] > 0])
-    rows = rows[np.argsort(fields["anchor"][rows], kind="stable")]
-    anchor = fields["anchor"][rows]
-    single = np.ones(len(rows), bool)
-    single[1:] &= anchor[1:] != anchor[:-1]
-    single[:-1] &= anchor[1:] != anchor[:-1]
-    rows, anchor = rows[~single], anchor[~single]
-    wanted = np.zeros(len(lead), bool)
-    wanted[rows] = True
-    texts = read_bodies(table, fields["size"], blob, wanted)
-    ends = np.append(np.flatnonzero(np.diff(anchor.astype(np.int64))) + 1, len(rows)) if len(rows) else np.zeros(0, np.int64)
-    total = np.cumsum(fields["size"][rows].astype(np.int64))
+def shared_windows(table: pa.Table, width: int, most: int = SHARD_BYTES) -> pa.Table:
+    """Of the texts of one bucket, the windows that occur anywhere else; those of texts known as copied are settled already."""
+    f, raw = read_texts(table)
+    stop = np.cumsum(f["size"], dtype=np.int64)
+    order = np.argsort(f["anchor"], kind="stable")
+    anchor = f["anchor"][order]
+    ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)) if len(anchor) else np.zeros(0, np.int64)
+    total = np.append(0, np.cumsum(f["size"][order], dtype=np.int64))
+    docs, parts, gone = [], [], []
     at = 0
-    while at < len(rows):
-        most = np.searchsorted(total, (total[at - 1] if at else 0) + SHARD_BYTES, "right")
-        i = int(np.searchsorted(ends, most, "right")) - 1
-        stop = int(ends[i]) if i >= 0 and ends[i] > at else int(ends[np.searchsorted(ends, at, "right")])
-        part = rows[at:stop]
-        flags = repeated_windows([texts.pop(j) for j in part.tolist()], width)
-        for j, flag in zip(part.tolist(), flags, strict=True):
-            if flag.any():
+    while at < len(order):
+        fits = int(np.searchsorted(total[ends], total[at] + most, "right")) - 1
+        to = int(ends[fits]) if fits >= 0 and ends[fits] > at else int(ends[np.searchsorted(ends, at, "right")])
+        shard = order[at:to].tolist()
+        flags = repeated_windows([raw[stop[i] - f["size"][i] : stop[i]] for i in shard], width)
+        for i, flag in zip(shard, flags, strict=True):
+            if not f["known"][i] and flag.any():
                 hit = np.flatnonzero(flag)
-                gone[0].append(np.full(len(hit), fields["doc"][j]))
-                gone[1].append(fields["start"][j] + hit)
-        at = stop
-    doc, first, last = spans_of(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in gone), width)
-    return pa.table({"doc": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
-
-
-def repeated_spans(source: DataFrame, width: int, gram: int, buckets: int) -> DataFrame:
-    """Spans of bytes (doc, first, last) covered by windows that occur elsewhere; ``source`` has key and text."""
-    packs = anchors.dealt(source, lambda keys, data, offsets, hot: _records(data, offsets, keys, width, gram, hot), buckets)
-    return packs.groupBy("bucket").applyInArrow(lambda table: _bucket(table, width), SPANS)
+                docs.append(np.full(len(hit), f["doc"][i]))
+                parts.append(np.full(len(hit), f["part"][i]))
+                gone.append(f["start"][i] + hit)
+        at = to
+    return windows_table(docs, parts, gone, width)
 
 
 def _kept_bytes(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
@@ -293,14 +229,14 @@ def _kept_bytes(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np
     return [pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(np.diff(spans), pa.int64()), pa.array(kept, pa.binary())]
 
 
-def remove_repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 40, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 40, id_col: str = "doc_id", text_col: str = "text", most: int | None = None) -> DataFrame:
     """Remove every byte covered by a ``width``-byte string that also starts anywhere else: doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
     Strings are judged on the input, overlaps count, and matches never cross documents. A null or empty text has no
-    bytes, one shorter than ``width`` loses none. A row that repeats another (same id) counts as the same document:
-    it is no other place, and gets the same answer. gram: bytes of the anchors that deal strings to buckets.
+    bytes, one shorter than ``width`` loses none. A row that repeats another (same id and text) counts as the same document:
+    it is no other place, and gets the same answer. Rows of one id and different texts are different documents, as are
+    documents without id and of different texts. gram: bytes of an anchor. most: records that may share one (see ``anchors``).
     """
-    source = document_key(docs, id_col, text_col)
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = repeated_spans(source, width, gram, buckets)
-    return with_spans(source, spans, _kept_bytes, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    source, plan = document_key(docs, id_col, text_col), Plan.of(text_bytes(docs, text_col))
+    schema = "n_bytes long, n_removed long, n_spans long, kept binary"
+    return repeats_removed(source, plan, Symbols(False), width, min(gram, width), True, lambda table: shared_windows(table, width), _kept_bytes, schema, most)

@@ -1,11 +1,11 @@
-"""Word passages that repeat: suffixes split by prefixes into groups that fit in memory, a tree for each.
-
-Every word window of the given width is the top of a suffix. Windows are dealt to buckets by an anchor (see
-``anchors``), so that equal ones meet. In a bucket, suffixes are split by prefixes of growing length: a group
-with one suffix is a leaf and goes; otherwise the words that all its suffixes share are skipped at once, as the
-label of an edge, and the next word splits it. A node reached at depth ``width`` or more is a maximal repeat cut
-at that depth: its suffixes are equal windows. Nothing deeper is built, and no more than ``GROUP_WORDS`` words
-are held in a tree at once unless one prefix alone has more.
+"""Word passages that repeat: suffixes split by prefixes of variable length into groups that fit in memory, a tree for each.
+
+Every window of ``width`` words is the top of a suffix. Those that may have an equal one elsewhere meet in buckets (see
+``anchors``: records of equal content are merged there, and one of each comes here with its text). In a bucket, suffixes
+are split by a prefix of five words; one with a prefix of its own is a leaf and goes, and a group with more than
+``GROUP`` suffixes is split again by a prefix twice as long, until it fits or the prefix is the whole window. Of each group
+a subtree is built: words that all suffixes of a node share are skipped at once, as the label of an edge, and the next word
+splits it. An internal node at depth ``width`` is a maximal repeat cut at that depth: its suffixes are equal windows.
 """
 
 from __future__ import annotations
@@ -16,145 +16,101 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from girderlake.llm import anchors
-from girderlake.llm.anchors import Records, content_groups, document_key, gram_hashes, read_bodies, read_headers, spans_of, window_runs, with_spans
+from girderlake.llm.anchors import Plan, Symbols, document_key, read_texts, repeats_removed, text_bytes, windows_table
 from girderlake.llm.arrays import WORDS, of_each, word_hashes, words
 
-#: Words whose tree a task builds at once.
-GROUP_WORDS = 1 << 20
-SPANS = "doc long, first long, last long"
-
-
-def _records(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, width: int, k: int, hot: np.ndarray) -> Records:
-    starts, ends, of_doc = words(data, offsets)
-    symbols = word_hashes(data, starts, ends)
-    doc = np.repeat(np.arange(len(docs)), np.diff(of_doc))
-    n = max(0, len(symbols) - width + 1)
-    first, count, place = window_runs(gram_hashes(symbols, k, WORDS), doc[:n] == doc[width - 1 :], width, k)
-    last = first + count + width - 1  # words covered
-    fields = {
-        "anchor": gram_hashes(symbols, k, WORDS)[place].astype(np.uint32),
-        "check": anchors.checks(symbols, first, last),
-        "doc": docs[doc[first]],
-        "start": first - of_doc[doc[first]],
-        "count": count.astype(np.int32),
-        "size": (ends[last - 1] - starts[first]).astype(np.int32) if len(first) else np.zeros(0, np.int32),
-    }
-    return anchors.records_of(fields, starts[first], data.tobytes(), symbols, first, width, WORDS, hot)
-
-
-def equal_suffixes(codes: np.ndarray, tops: np.ndarray, width: int, prefix: int) -> Iterator[np.ndarray]:
-    """Groups of two or more suffixes (by place in ``tops``) that agree in ``width`` words: one label for each suffix at a time.
-
-    Yields (places, labels) of finished nodes, level by level.
+#: Suffixes whose subtrees a task builds at once.
+GROUP = 1 << 17
+
+
+def prefix_groups(codes: np.ndarray, tops: np.ndarray, width: int, prefix: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(places in ``tops``, group of each, length of the prefix): all suffixes that share a prefix with another.
+
+    A group with more than ``most`` suffixes is split by longer prefixes, so it is larger only if whole windows are equal.
+    Groups come several at a time, ``most`` suffixes in all.
     """
-    if not len(tops):
-        return
-    grams = gram_hashes(codes, prefix, WORDS)
-    at, key, depth = np.arange(len(tops)), grams[tops], np.full(len(tops), prefix)
-    label = np.zeros(len(tops), np.int64)
+    sums = WORDS.sums(codes)
+    at, depth = np.arange(len(tops)), min(prefix, width)
     while len(at):
-        order = np.lexsort((key, label))
-        at, key, label, depth = at[order], key[order], label[order], depth[order]
+        key = WORDS.spans(sums, tops[at], tops[at] + depth)
+        order = np.argsort(key, kind="stable")
+        at, key = at[order], key[order]
         new = np.ones(len(at), bool)
-        new[1:] = (key[1:] != key[:-1]) | (label[1:] != label[:-1])
-        node = np.cumsum(new) - 1
-        size = np.bincount(node)
-        keep = size[node] > 1  # leaves go
-        at, depth, node, new = at[keep], depth[keep], node[keep], new[keep]
+        new[1:] = key[1:] != key[:-1]
+        group = np.cumsum(new) - 1
+        size = np.bincount(group)[group]
+        fits = (size <= most) | (depth == width)
+        chosen = np.flatnonzero((size > 1) & fits)
+        first = np.flatnonzero(np.append(True, np.diff(group[chosen]) != 0)) if len(chosen) else chosen
+        a = 0
+        while a < len(chosen):
+            i = max(int(np.searchsorted(first, a + most, "right")) - 1, int(np.searchsorted(first, a)) + 1)
+            b = int(first[i]) if i < len(first) and a + most < len(chosen) else len(chosen)
+            yield at[chosen[a:b]], group[chosen[a:b]] - group[chosen[a]], depth
+            a = b
+        at, depth = at[~fits], min(2 * depth, width)
+
+
+def deep_nodes(codes: np.ndarray, tops: np.ndarray, label: np.ndarray, depth: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, node of each) of the internal nodes at depth ``width``, in subtrees of groups ``label`` that share ``depth`` words."""
+    at, deep = np.arange(len(tops)), np.full(len(tops), depth)
+    while len(at):
+        order = np.argsort(label, kind="stable")
+        at, label, deep = at[order], label[order], deep[order]
+        size = np.bincount(label)[label]
+        at, label, deep = at[size > 1], label[size > 1], deep[size > 1]  # leaves go
         if not len(at):
             return
+        new = np.ones(len(at), bool)
+        new[1:] = label[1:] != label[:-1]
         head = np.flatnonzero(new)
         label = np.cumsum(new) - 1
-        # the edge: words after the node's depth that all of its suffixes share with the first
-        shared = np.full(len(at), width)
-        rest = np.flatnonzero(depth < width)
-        leader = head[label]
-        d = 0
-        open_ = rest
+        # the edge: words that every suffix of the node shares with its first
+        shared, leader = np.full(len(at), width), head[label]
+        open_, d = np.flatnonzero(deep < width), 0
         while len(open_):
-            where = depth[open_] + d
-            ok = where < width
-            same = np.zeros(len(open_), bool)
-            same[ok] = codes[tops[at[open_[ok]]] + where[ok]] == codes[tops[at[leader[open_[ok]]]] + where[ok]]
-            stop = open_[~same]
-            shared[stop] = np.minimum(depth[stop] + d, width)
+            where = deep[open_] + d
+            same = where < width
+            same[same] = codes[tops[at[open_[same]]] + where[same]] == codes[tops[at[leader[open_[same]]]] + where[same]]
+            shared[open_[~same]] = np.minimum(where[~same], width)
             open_, d = open_[same], d + 1
         reach = np.minimum.reduceat(shared, head)[label]
         done = reach >= width
         if done.any():
             yield at[done], label[done]
-        at, label, depth = at[~done], label[~done], reach[~done]
-        key = codes[tops[at] + depth]
-        depth = depth + 1
-
-
-def _bucket(table: pa.Table, width: int, prefix: int) -> pa.Table:
-    """Removed windows of one bucket: each that an equal one of a smaller document, or earlier in it, precedes."""
-    fields, blob = read_headers(table)
-    gone = [], []
-
-    def remove(doc: np.ndarray, start: np.ndarray, count: np.ndarray) -> None:
-        gone[0].append(np.repeat(doc, count))
-        gone[1].append(np.repeat(start, count) + of_each(count))
-
-    lead = fields["size"] != 0
-    remove(*(fields[k][~lead] for k in ("doc", "start", "count")))
-    own = np.flatnonzero(lead)
-    fields, blob = {k: v[own] for k, v in fields.items()}, blob[own]
-    firsts, later = content_groups(fields)
-    remove(*(fields[k][later] for k in ("doc", "start", "count")))
-    # an anchor of one record can't have an equal window elsewhere, but within the record none repeats either
-    anchor = fields["anchor"]
-    rows = np.sort(firsts[fields["size"][firsts] > 0])
-    rows = rows[np.argsort(anchor[rows], kind="stable")]
-    a = anchor[rows]
-    alone = np.ones(len(rows), bool)
-    alone[1:] &= a[1:] != a[:-1]
-    alone[:-1] &= a[1:] != a[:-1]
-    rows = rows[~alone]
-    wanted = np.zeros(len(own), bool)
-    wanted[rows] = True
-    texts = read_bodies(table, fields["size"], blob, wanted)
-    n_words = fields["count"][rows].astype(np.int64) + width - 1
-    total = np.cumsum(n_words)
-    at = 0
-    while at < len(rows):
-        stop = int(np.searchsorted(total, (total[at - 1] if at else 0) + GROUP_WORDS, "right"))
-        stop = max(stop, at + 1)
-        while stop < len(rows) and anchor[rows[stop]] == anchor[rows[stop - 1]]:
-            stop += 1
-        part = rows[at:stop]
-        raw = b" ".join([texts.pop(i) for i in part.tolist()])
-        data = np.frombuffer(raw, np.uint8)
-        starts, ends, _ = words(data, np.array([0, len(data)]))
-        codes = word_hashes(data, starts, ends)
-        count = fields["count"][part].astype(np.int64)
-        first = np.cumsum(count + width - 1) - (count + width - 1)
-        tops = np.repeat(first, count) + of_each(count)
-        doc = np.repeat(fields["doc"][part], count)
-        start = np.repeat(fields["start"][part].astype(np.int64), count) + of_each(count)
-        for places, label in equal_suffixes(codes, tops, width, prefix):
-            d, s = doc[places], start[places]
-            order = np.lexsort((s, d, label))
-            again = np.zeros(len(order), bool)
-            lab = label[order]
-            again[1:] = lab[1:] == lab[:-1]
-            # a repeated row of the first document is the first itself
-            head = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
-            d, s = d[order], s[order]
-            again &= (d != d[head]) | (s != s[head])
-            gone[0].append(d[again])
-            gone[1].append(s[again])
-        at = stop
-    doc, first, last = spans_of(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in gone), width)
-    return pa.table({"doc": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
-
-
-def repeated_spans(source: DataFrame, width: int, prefix: int, buckets: int) -> DataFrame:
-    """Spans of words (doc, first, last) covered by windows that occur earlier; ``source`` has key and text."""
-    packs = anchors.dealt(source, lambda keys, data, offsets, hot: _records(data, offsets, keys, width, prefix, hot), buckets)
-    return packs.groupBy("bucket").applyInArrow(lambda table: _bucket(table, width, prefix), SPANS)
+        at, label, reach = at[~done], label[~done], reach[~done]
+        branch = codes[tops[at] + reach]
+        order = np.lexsort((branch, label))
+        at, label, reach, branch = at[order], label[order], reach[order], branch[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (label[1:] != label[:-1]) | (branch[1:] != branch[:-1])
+        label, deep = np.cumsum(new) - 1, reach + 1
+
+
+def later_windows(table: pa.Table, width: int, prefix: int, most: int = GROUP) -> pa.Table:
+    """Of the texts of one bucket, the windows that an equal one of a smaller document, or earlier in it, precedes."""
+    f, raw = read_texts(table)
+    raw = np.frombuffer(raw, np.uint8)
+    starts, ends, _ = words(raw, np.append(0, np.cumsum(f["size"], dtype=np.int64)))
+    codes = word_hashes(raw, starts, ends)
+    count = f["count"].astype(np.int64)
+    first = np.cumsum(count + (width - 1)) - (count + (width - 1))
+    of = np.repeat(np.arange(len(count)), count)
+    tops = first[of] + of_each(count)
+    start = f["start"][of] + of_each(count)
+    docs, parts, gone = [], [], []
+    for places, label, depth in prefix_groups(codes, tops, width, prefix, most):
+        for at, node in deep_nodes(codes, tops[places], label, depth, width):
+            at = places[at]
+            doc, part, s = f["doc"][of[at]], f["part"][of[at]], start[at]
+            order = np.lexsort((s, part, doc, node))
+            doc, part, s, node = doc[order], part[order], s[order], node[order]
+            new = np.ones(len(order), bool)
+            new[1:] = node[1:] != node[:-1]
+            docs.append(doc[~new])
+            parts.append(part[~new])
+            gone.append(s[~new])
+    return windows_table(docs, parts, gone, width)
 
 
 def _kept_words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
@@ -175,19 +131,27 @@ def _kept_words(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np
     return [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
 
 
-def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole_if_clean: bool = False, most: int | None = None) -> DataFrame:
     """Remove every word covered by a window of ``width`` words that also starts earlier: doc_id, n_words, n_removed, kept_text.
 
     Earlier: in a document of smaller id, or before it in the same. Windows are judged on the input. kept_text is
-    the words that stay, joined by one space. A null or empty text has no words, a text shorter than ``width`` loses
-    none. A row that repeats another (same id) counts as the same document and gets the same answer. Documents
-    without id come after all others. prefix: words of the shortest prefix that splits suffixes. keep: input columns
-    to hand on.
+    the words that stay, joined by one space; with whole_if_clean, a text that loses none stays as it is. A null or empty
+    text has no words, a text shorter than ``width`` loses none. A row that repeats another (same id and text) counts as the
+    same document and gets the same answer. Rows of one id and different texts are different documents, ordered by a
+    hash of their texts; so are documents without id, which come after all others. prefix: words of the shortest prefix that
+    splits suffixes, and of anchors. keep: input columns to hand on. most: records that may share an anchor (see ``anchors``).
     """
     source = document_key(docs, id_col, text_col, keep)
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = repeated_spans(source, width, prefix, buckets)
-    out = with_spans(source, spans, _kept_words, "doc_id long, n_words long, n_removed long, kept_text string")
-    return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})
-
 
+    def kept(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[pa.Array]:
+        out = _kept_words(data, offsets, of, first, last)
+        if whole_if_clean:
+            raw, edges = data.tobytes(), offsets.tolist()
+            texts = [t if n else raw[a:b].decode("utf-8") for t, n, a, b in zip(out[2].to_pylist(), out[1].to_pylist(), edges, edges[1:], strict=True)]
+            out[2] = pa.array(texts, pa.string())
+        return out
+
+    plan = Plan.of(text_bytes(docs, text_col))
+    schema = "n_words long, n_removed long, kept_text string"
+    out = repeats_removed(source, plan, Symbols(True), width, min(prefix, width), False, lambda table: later_windows(table, width, prefix), kept, schema, most)
+    return out.withColumnsRenamed({f"kept_{i}": c for i, c in enumerate(keep)})

@@ -388,25 +388,20 @@ def shared_passage():
     return [*out, (None, passage), (200, own(3, "a"))]
 
 
-def largest_group(packs):
-    """The most records with text that share an anchor in a bucket."""
-    seen = Counter()
-    for r in packs.collect():
-        fields, _ = anchors.read_headers(pa.table({k: [r[k]] for k in ("bucket", "records", "header", "body")}))
-        seen.update((r["bucket"], a) for a in fields["anchor"][fields["size"] > 0].tolist())
-    return max(seen.values())
-
-
 @pytest.mark.parametrize("by_word", [True, False])
 def test_no_anchor_takes_all_records(spark, shared_passage, by_word):
+    symbols, width, k = (anchors.Symbols(True), 20, 5) if by_word else (anchors.Symbols(False), 200, 40)
     source = anchors.document_key(frame(spark, shared_passage), "doc_id", "text")
-    if by_word:
-        make = lambda keys, data, offsets, hot: suffix_trees._records(data, offsets, keys, 20, 5, hot)
-    else:
-        make = lambda keys, data, offsets, hot: suffix_arrays._records(data, offsets, keys, 200, 40, hot)
-    assert largest_group(anchors.dealt(source, make, 8, most=1 << 40)) > 100
-    # one record for each of the three slices may stay uncounted
-    assert largest_group(anchors.dealt(source, make, 8, most=20)) <= 23
+    make = lambda hot: lambda docs, parts, data, offsets: anchors.records(symbols, docs, parts, data, offsets, width, k, hot)
+    none = np.zeros(0, np.uint64)
+
+    def largest(hot):
+        batches = source.select("doc", "part", "text").coalesce(1).toArrow().to_batches()
+        (f,) = list(anchors.units(iter(batches), make(hot)))
+        return max(Counter(f["anchor"][(f["state"] & anchors.LEAD > 0) & (f["state"] & anchors.WINDOW == 0)].tolist()).values())
+
+    assert largest(none) > 100
+    assert largest(anchors.hot_anchors(source, make(none), 20)) <= 23  # one record for each of the three units may stay uncounted
 
 
 @pytest.mark.parametrize("most", [0, 2, 20, 1 << 40])
@@ -420,6 +415,89 @@ def test_passages_dealt_by_window(spark, texts, shared_passage, monkeypatch, mos
         assert got == bytes_by_hand(rows, 200)
 
 
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_powers_of_two_confuse(spark):
+    """Two words of 1,024 letters whose polynomial hashes modulo 2**64 are equal, whatever the base, are still different."""
+    one, other = thue_morse(1024), thue_morse(1024, "b", "a")
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (3, f"x y {one}"), (4, f"x y {other}"), (5, f"{one}\n{other}\n{one}")]
+    df = frame(spark, rows)
+    quality = {r["doc_id"]: r["n_dup_lines"] for r in quality_lines.judge(df).collect()}
+    assert quality[5] == 1
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash_star.near_copies(df, 3, 85).collect()} == components_by_hand(rows, 3, 85)
+    assert all(r["n_removed"] == 0 for r in suffix_trees.remove_repeated_passages(df).collect())
+    rows = [(1, f"{one} {tail}"), (2, f"{other} {tail}"), (5, one[:300] + "zz" + other[:300])]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffix_arrays.remove_repeated_bytes(frame(spark, rows)).collect()}
+    assert got == bytes_by_hand(rows, 200)
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    """They are different documents in every operator that compares documents; which comes first is set by the texts."""
+    shared, own = " ".join(f"s{i}" for i in range(40)), " ".join(f"o{i}" for i in range(40))
+    df = frame(spark, [(1, shared), (7, shared), (7, own), (7, own)])
+    got = sorted((r["doc_id"], r["kept_text"], r["n_removed"]) for r in suffix_trees.remove_repeated_passages(df).collect())
+    assert got == sorted([(1, shared, 0), (7, "", 40), (7, own, 0), (7, own, 0)])
+    got = sorted((r["doc_id"], bytes(r["kept"]).decode(), r["n_removed"]) for r in suffix_arrays.remove_repeated_bytes(df, width=100).collect())
+    assert got == sorted([(1, "", len(shared)), (7, "", len(shared)), (7, own, 0), (7, own, 0)])
+    near = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash_star.near_copies(df).collect())
+    assert near == [(1, 1, True), (7, 1, False), (7, 7, True), (7, 7, True)]
+    assert sorted((r["doc_id"], r["text"]) for r in minhash_star.one_of_each(df).collect()) == [(1, shared), (7, own)]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 1 << 20])
+def test_prefixes_grow_until_groups_fit(most):
+    rng, width = np.random.default_rng(9), 12
+    codes = rng.integers(0, 3, 4000).astype(np.uint64)
+    codes[1000:1200] = codes[:200]
+    tops = np.sort(rng.choice(len(codes) - width, 1500, replace=False))
+    nodes, depths = set(), set()
+    for places, label, depth in suffix_trees.prefix_groups(codes, tops, width, 2, most):
+        depths.add(depth)
+        sizes = Counter(label.tolist())
+        assert len(places) <= most or len(sizes) == 1
+        assert depth == width or max(sizes.values()) <= most
+        for at, node in suffix_trees.deep_nodes(codes, tops[places], label, depth, width):
+            for x in np.unique(node):
+                nodes.add(frozenset(tops[places[at[node == x]]].tolist()))
+    want = defaultdict(set)
+    for t in tops.tolist():
+        want[tuple(codes[t : t + width].tolist())].add(t)
+    assert nodes == {frozenset(x) for x in want.values() if len(x) > 1}
+    assert len(depths) > 1 or most > 1000
+
+
+def test_induced_sorting_recurses():
+    """A megabyte of prose takes several levels, each sorted by induction, however many names it has."""
+    rng = random.Random(2)
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    raw = " ".join(rng.choice(vocab) for _ in range(180_000)).encode()[: 1 << 20]
+    raw = raw[:900_000] + raw[100_000:200_000] + raw[1_000_000:]
+    text = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0).astype(np.int16)
+    levels = []
+    array = suffix_arrays.suffix_array(text, 258, levels)
+    assert len(levels) >= 3 and levels[1] > 100_000
+    assert (np.sort(array) == np.arange(len(text))).all()
+    rank = np.empty(len(text) + 1, np.int64)
+    rank[array], rank[-1] = np.arange(len(text)), -1
+    a, b = array[:-1], array[1:]
+    assert ((text[a] < text[b]) | ((text[a] == text[b]) & (rank[a + 1] < rank[b + 1]))).all()
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_suffix_array_of_many_symbols(seed):
+    rng = np.random.default_rng(seed)
+    sigma = int(rng.choice([2, 3, 50, 2000]))
+    text = np.append(rng.integers(1, sigma, 3000), 0)
+    if seed % 2:
+        text[1500:2900] = text[:1400]
+    if seed % 3 == 0:
+        text[200:900] = 1
+    assert suffix_arrays.suffix_array(text, sigma).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+
+
 @pytest.mark.parametrize("raw", [b"banana", b"aaaaaaa", b"abcabcabcx", bytes(range(256)), b"", b"a"])
 def test_suffix_array_by_induction(raw):
     text = np.append(np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0).astype(np.int16)
