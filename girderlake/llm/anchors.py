@@ -68,14 +68,14 @@ class Symbols:
 
 @dataclass(frozen=True)
 class Plan:
-    """Tasks and buckets for so many bytes of text: tasks of 8 MB, of more only beyond 4096 of them; buckets of at most 32 MB."""
+    """Tasks and buckets for so many bytes of text: tasks of 4 MB, of more only beyond 4096 of them; buckets of at most 32 MB."""
 
     tasks: int
     buckets: int
 
     @classmethod
     def of(cls, n_bytes: int) -> Plan:
-        share = min(max(n_bytes // 4096, 8 << 20), 256 << 20)
+        share = min(max(n_bytes // 4096, 4 << 20), 256 << 20)
         return cls(-(-n_bytes // share) + 1, -(-n_bytes // min(share, 32 << 20)) + 1)
 
 
