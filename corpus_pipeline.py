@@ -54,8 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of 20 words and more that stand earlier in the corpus."""
     _ready(spark)
-    done = suffix_trees.remove_repeated_passages(docs, width=20, keep=("text", "lang", "source"))
-    return _columns(done.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))))
+    done = suffix_trees.remove_repeated_passages(docs, width=20, keep=("lang", "source"), whole_if_clean=True)
+    return _columns(done.withColumnRenamed("kept_text", "text"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what lies between them is written to the folder of spark.checkpoint.dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{store.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = store.until_exit(spark, f"{store.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
