@@ -12,8 +12,8 @@ session's settings are. Anchors with very many different records (those at the e
 share) are counted before: their windows are dealt one by one by hashes of the whole window, which is the longest prefix
 there is, so that windows that meet are equal and no text is needed. There are at most 2**20 such anchors (``hot_anchors``).
 
-Hashes are modulo the prime 2**61 - 1 with fixed random bases; two of them decide that two records are the same, so two
-different ones are taken for the same by a chance of about (bytes / 2**61)**2.
+Anchors only deal. What decides that two records of one anchor are the same is a hash modulo the prime 2**61 - 1, which takes
+two different ones for the same by a chance of some 2**-50, and their length.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from girderlake.llm.arrays import BYTES, CHECK, WORDS, SpanHash, of_each, sliced, window_min, word_hashes, words
+from girderlake.llm.arrays import CHECK, DEAL, of_each, sliced, window_min, word_hashes, words
 from girderlake.llm.store import cut
 
 #: Bytes of text whose records a task combines before it hands them on.
@@ -54,10 +54,6 @@ class Symbols:
 
     of_words: bool
 
-    @property
-    def hash(self) -> SpanHash:
-        return WORDS if self.of_words else BYTES
-
     def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]:
         """Codes, offsets of documents into them, and byte starts and ends of each symbol (None: it is a byte)."""
         if not self.of_words:
@@ -139,8 +135,8 @@ def records(symbols: Symbols, docs: np.ndarray, parts: np.ndarray, data: np.ndar
     if n <= 0:
         return stacked([], KEY)
     owner = np.repeat(np.arange(len(docs), dtype=np.int32), np.diff(of_doc))
-    sums, again = symbols.hash.sums(codes), CHECK.sums(codes)
-    grams = symbols.hash.grams(sums, k)
+    sums, again = DEAL.sums(codes), CHECK.sums(codes)
+    grams = DEAL.grams(sums, k)
     first, count, place = window_runs(grams, owner[:n] == owner[width - 1 :], width, k)
     anchor, state = grams[place], np.full(len(first), LEAD, np.int8)
     check = CHECK.spans(again, first, first + count + (width - 1))
@@ -149,7 +145,7 @@ def records(symbols: Symbols, docs: np.ndarray, parts: np.ndarray, data: np.ndar
         each = np.repeat(first[split], count[split]) + of_each(count[split])
         first = np.concatenate([first[~split], each])
         count = np.concatenate([count[~split], np.ones(len(each), np.int64)])
-        anchor = np.concatenate([anchor[~split], symbols.hash.spans(sums, each, each + width)])
+        anchor = np.concatenate([anchor[~split], DEAL.spans(sums, each, each + width)])
         check = np.concatenate([check[~split], CHECK.spans(again, each, each + width)])
         state = np.concatenate([state[~split], np.full(len(each), LEAD | WINDOW, np.int8)])
     of = owner[first]

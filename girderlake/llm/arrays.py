@@ -107,50 +107,106 @@ def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo P, n of them at least."""
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, times(out, np.full(1, pow(base, len(out), int(P)), np.uint64))])
+    return out
+
+
 class SpanHash:
     """Hashes of any spans of an array from one pass of prefix sums modulo the prime P, spread over 64 bits.
 
-    Two different spans of n values get the same hash by a chance of about n / 2**61 over the choice of the base.
+    Two different spans of n values get the same hash by a chance of about n / 2**61 over the choice of the base. Sums of
+    bytes stay in two halves that can't overflow within a segment, so that only the spans asked for are reduced.
     """
 
     def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 40, int(P)))
-        self.codes = rng.integers(1, int(P), 256, np.uint64)
+        self.base = int(np.random.default_rng(seed).integers(1 << 40, int(P)))
         self._up = self._down = np.ones(1, np.uint64)
 
-    def _powers(self, n: int) -> None:
-        while len(self._up) <= n:
-            m = len(self._up)
-            if m >= POWERS:  # in steps from here on, for memory
-                m = POWERS
-            for name, b in (("_up", self.base), ("_down", pow(self.base, -1, int(P)))):
-                have = getattr(self, name)
-                more = times(have[-m:], np.full(1, pow(b, m, int(P)), np.uint64))
-                setattr(self, name, np.concatenate([have, more]))
+    def _reach(self, n: int) -> None:
+        if len(self._up) <= n:
+            n = (n // POWERS + 1) * POWERS + 1
+            self._up, self._down = _powers(self.base, n), _powers(pow(self.base, -1, int(P)), n)
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Prefix sums of uint64 values; of bytes, a row for the high and one for the low halves."""
+        n = len(values)
+        self._reach(n)
+        up = self._up[:n]
+        if values.dtype == np.uint8:
+            out = np.zeros((2, n + 1), np.uint64)
+            codes = values.astype(np.uint64) + _U(1)
+            for row, half in zip(out, (up >> _U(31), up & _U((1 << 31) - 1))):
+                np.multiply(codes, half, out=row[1:])
+                for a in range(0, n, SEGMENT):
+                    b = min(n, a + SEGMENT)
+                    if a:
+                        row[a + 1] += _reduced(row[a : a + 1])[0]
+                    np.cumsum(row[a + 1 : b + 1], out=row[a + 1 : b + 1])
+            return out if n <= SEGMENT else _joined(out)
+        terms = times(_reduced(values), up)
+        out = np.zeros(n + 1, np.uint64)
+        out[1:] = _joined(np.stack([np.cumsum(terms >> _U(31), dtype=np.uint64), np.cumsum(terms & _U((1 << 31) - 1), dtype=np.uint64)]))
+        return out
+
+    def _between(self, high: np.ndarray, low: np.ndarray, starts) -> np.ndarray:
+        d = high - low if high.ndim == 2 else _reduced(high + (P - low))
+        return mix(times(_joined(d) if d.ndim == 2 else d, self._down[starts]))
+
+    def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return self._between(sums[..., ends], sums[..., starts], starts)
+
+    def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
+        """Of every k consecutive values."""
+        n = max(0, sums.shape[-1] - k)
+        return self._between(sums[..., k : k + n], sums[..., :n], slice(0, n))
+
+
+#: Bytes whose half sums fit in 64 bits, with what comes before them reduced.
+SEGMENT = 1 << 22
+
+
+def _joined(halves: np.ndarray) -> np.ndarray:
+    """high * 2**31 + low modulo P."""
+    high, low = _reduced(halves[0]), _reduced(halves[1])
+    return _reduced((high >> _U(30)) + ((high & _U((1 << 30) - 1)) << _U(31)) + low)
+
+
+class DealHash:
+    """Hashes modulo 2**64, several times as fast, that only deal text to tasks: those of some different spans are equal."""
+
+    def __init__(self, seed: int):
+        rng = np.random.default_rng(seed)
+        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
+        self.codes = rng.integers(0, 1 << 64, 256, np.uint64)
+        self._up = self._down = np.ones(1, np.uint64)
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of uint64 values, or of bytes by their random codes."""
-        values = self.codes[values] if values.dtype == np.uint8 else _reduced(values)
-        self._powers(len(values))
-        terms = times(values, self._up[: len(values)])
-        out = np.zeros(len(values) + 1, np.uint64)
-        low = np.cumsum(terms & _U(0xFFFFFFFF), dtype=np.uint64)
-        high = np.cumsum(terms >> _U(32), dtype=np.uint64)
-        part = _U((1 << 29) - 1)
-        out[1:] = _reduced(_reduced(low) + ((high & part) << _U(32)) + (high >> _U(29)))
+        n = len(values)
+        if len(self._up) <= n:
+            for name, b in (("_up", self.base), ("_down", pow(self.base, -1, 1 << 64))):
+                p = np.full((n // POWERS + 1) * POWERS + 1, b, np.uint64)
+                p[0] = 1
+                setattr(self, name, np.multiply.accumulate(p))
+        values = self.codes[values] if values.dtype == np.uint8 else values
+        out = np.zeros(n + 1, np.uint64)
+        np.multiply(values, self._up[:n], out=out[1:])
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def spans(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix(times(_reduced(sums[ends] + (P - sums[starts])), self._down[starts]))
+        return mix((sums[ends] - sums[starts]) * self._down[starts])
 
     def grams(self, sums: np.ndarray, k: int) -> np.ndarray:
         """Of every k consecutive values."""
         n = max(0, len(sums) - k)
-        return mix(times(_reduced(sums[k : k + n] + (P - sums[:n])), self._down[:n]))
+        return mix((sums[k : k + n] - sums[:n]) * self._down[:n])
 
 
-BYTES, WORDS, CHECK = SpanHash(1), SpanHash(2), SpanHash(3)
+BYTES, WORDS, CHECK, DEAL = SpanHash(1), SpanHash(2), SpanHash(3), DealHash(4)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, by: SpanHash = BYTES) -> np.ndarray:

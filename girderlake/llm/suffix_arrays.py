@@ -16,10 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from girderlake.llm.anchors import Plan, Symbols, document_key, read_texts, repeats_removed, text_bytes, windows_table
-from girderlake.llm.arrays import of_each
 
 #: Bytes of a shard whose suffix array a task builds at once; a single anchor with more has a longer one.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 21
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -32,77 +31,77 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return sign[np.minimum.accumulate(decided[::-1])[::-1]] > 0
 
 
-def _placed(array: np.ndarray, fill: np.ndarray, text: np.ndarray, suffixes: np.ndarray, step: int) -> None:
-    """Put suffixes, in their order, at the fronts (step 1) or, from the end, the backs (-1) of their buckets."""
-    chars = text[suffixes]
+def _placed(array: np.ndarray, fill: np.ndarray, suffixes: np.ndarray, chars: np.ndarray, step: int) -> None:
+    """Put suffixes, in their order, at the fronts (step 1) or, from the end, the backs (-1) of their buckets ``chars``."""
+    if not len(suffixes):
+        return
     by = np.argsort(chars, kind="stable")
-    chars, suffixes = chars[by], suffixes[by]
-    first = np.flatnonzero(np.append(True, chars[1:] != chars[:-1]))
-    count = np.diff(np.append(first, len(chars)))
-    rank = of_each(count)
-    array[fill[chars] + rank if step > 0 else fill[chars] - 1 - rank] = suffixes
-    fill[chars[first]] += step * count
+    chars = chars[by]
+    rank = np.arange(len(by)) - np.searchsorted(chars, chars)
+    if step > 0:
+        at = fill[chars] + rank
+        fill[chars] = at + 1  # of a bucket's places the last one stays
+    else:
+        at = fill[chars] - 1 - rank
+        fill[chars] = at
+    array[at] = suffixes[by]
 
 
 def _scan(array: np.ndarray, text: np.ndarray, begin: np.ndarray, fill: np.ndarray, kind: np.ndarray, step: int) -> None:
     """Induce the suffixes of one kind, bucket by bucket up (step 1, larger ones) or down (-1, smaller ones).
 
-    Buckets are taken many at a time, as far as none of them induces a suffix of another of them; one that induces
-    suffixes of its own (a run of one symbol) is read on as it fills.
+    Places of ``array`` without a suffix hold len(text). Buckets are taken many at a time, as far as none of them induces
+    a suffix of another of them; one that induces suffixes of its own (a run of one symbol) is read on as it fills.
     """
-    sigma, most = len(begin) - 1, 64
+    n, sigma, most = len(text), len(begin) - 1, 64
+    induces = np.zeros(n + 1, bool)  # suffixes whose predecessor is of the kind
+    induces[1:n] = kind[:-1]
+    char = np.empty(n + 1, text.dtype)  # the predecessor's symbol
+    char[1:] = text
+
+    def read(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes of the places a to b, in the scan's order, that induce one: which, and that one's bucket."""
+        found = array[a:b] if step > 0 else array[a:b][::-1]
+        at = np.flatnonzero(induces[found])
+        found = found[at]
+        return at, found, char[found]
+
     c = 0 if step > 0 else sigma - 1
     while 0 <= c < sigma:
         stop = min(c + most, sigma) if step > 0 else max(c - most, -1)
         a, b = (begin[c], begin[stop]) if step > 0 else (begin[stop + 1], begin[c + 1])
-        found = array[a:b] if step > 0 else array[a:b][::-1]
-        before = found[found > 0] - 1
-        before = before[kind[before]]
-        chars = text[before]
-        inside = chars[chars < stop] if step > 0 else chars[chars > stop]
-        if not len(inside):
-            if len(before):
-                _placed(array, fill, text, before, step)
+        at, found, chars = read(a, b)
+        near = stop
+        if len(chars):
+            near = min(int(chars.min()), stop) if step > 0 else max(int(chars.max()), stop)
+        if near == stop:
+            _placed(array, fill, found - 1, chars, step)
             c, most = stop, most * 2
-            continue
-        near = int(inside.min() if step > 0 else inside.max())
-        most = max(most // 2, 1)
-        if near != c:  # up to the first bucket that gets more
-            a, b = (begin[c], begin[near]) if step > 0 else (begin[near + 1], begin[c + 1])
-            found = array[a:b] if step > 0 else array[a:b][::-1]
-            before = found[found > 0] - 1
-            before = before[kind[before]]
-            if len(before):
-                _placed(array, fill, text, before, step)
-            c = near
-            continue
-        at = begin[c] if step > 0 else begin[c + 1]
-        while at != fill[c]:  # of the kind itself, as far as there are
-            end = fill[c]
-            found = array[at:end] if step > 0 else array[end:at][::-1]
-            at = end
-            before = found[found > 0] - 1
-            before = before[kind[before]]
-            if len(before):
-                _placed(array, fill, text, before, step)
-        rest = array[at : begin[c + 1]] if step > 0 else array[begin[c] : at][::-1]
-        before = rest[rest > 0] - 1
-        before = before[kind[before]]
-        if len(before):
-            _placed(array, fill, text, before, step)
-        c += step
+        elif near != c:  # up to the first bucket that gets more
+            own = np.searchsorted(at, begin[near] - a if step > 0 else b - begin[near + 1])
+            _placed(array, fill, found[:own] - 1, chars[:own], step)
+            c, most = near, 2 * abs(near - c)
+        else:
+            place, end = (begin[c], begin[c + 1]) if step > 0 else (begin[c + 1], begin[c])
+            while place != fill[c]:  # those of the kind itself, as far as there are
+                to = fill[c]
+                _, found, chars = read(min(place, to), max(place, to))
+                place = to
+                _placed(array, fill, found - 1, chars, step)
+            _, found, chars = read(min(place, end), max(place, end))
+            _placed(array, fill, found - 1, chars, step)
+            c, most = c + step, max(most // 2, 1)
 
 
 def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array induced from leftmost-smaller suffixes in their (or their substrings') order."""
     n = len(text)
     begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-    array = np.full(n, -1, np.int64)
-    _placed(array, begin[1:].copy(), text, lms[::-1], -1)
+    array = np.full(n, n, np.int64)
+    seeds = lms[::-1]
+    _placed(array, begin[1:].copy(), seeds, text[seeds], -1)
     _scan(array, text, begin, begin[:-1].copy(), ~smaller, 1)
-    seeds = array >= 0
-    seeds[seeds] = smaller[array[seeds]]
-    array[seeds] = -1  # they are induced anew
+    array[np.append(smaller, False)[array]] = n  # seeds are induced anew
     fill = begin[1:].copy()
     array[0], fill[0] = n - 1, 0
     _scan(array, text, begin, fill, smaller, -1)
