@@ -18,7 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from girderlake.llm.arrays import sliced
+from girderlake.llm.arrays import of_each, sliced
+
+#: The pattern whose matches the automaton finds; a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pre-tokens that a worker remembers; when full it starts anew.
 CACHE_ENTRIES = 300_000
@@ -149,6 +152,10 @@ class Vocabulary:
         self.keys, self.merged = np.array(keys, np.int64)[order], np.array(merged, np.int64)[order]
         self.of_byte = np.array([get(bytes([i]), -1) for i in range(256)], np.int64)
         self.cache: dict[bytes, bytes] = {}
+        top = max(self.bytes, default=-1) + 1
+        self.size_of = np.array([len(self.bytes.get(i, b"")) for i in range(top)], np.int64)
+        self.place_of = np.cumsum(self.size_of) - self.size_of
+        self.letters = np.frombuffer(b"".join([self.bytes.get(i, b"") for i in range(top)]), np.uint8)
 
     NONE = 1 << 40
 
@@ -244,8 +251,8 @@ class Vocabulary:
                     heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return np.array([x for x, ok in zip(ids, alive, strict=True) if ok], "<u4").tobytes()
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
-        """For each text the ids of its pre-tokens."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[bytes, np.ndarray, np.ndarray]]:
+        """For each text its ids, and of each of its pre-tokens the byte where it starts and how many ids it has."""
         starts, of_text = pretokens(data, offsets)
         raw = data.tobytes()
         bounds = [*starts.tolist(), len(raw)]
@@ -256,43 +263,57 @@ class Vocabulary:
         missing = [p for p in set(pieces) if p not in cache]
         cache.update(zip(missing, self.merge(missing), strict=True))
         ids = [cache[p] for p in pieces]
-        return [ids[a:b] for a, b in zip(of_text.tolist(), of_text[1:].tolist())]
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        get = self.bytes
-        return b"".join([get[i] for i in ids.tolist()])
-
+        counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return [(b"".join(ids[a:b]), starts[a:b] - t, counts[a:b]) for a, b, t in zip(of_text.tolist(), of_text[1:].tolist(), offsets[:-1].tolist())]
+
+    def decode(self, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> bytes:
+        """Bytes of the ids, those of each pre-token at the place where it started."""
+        size = self.size_of[ids]
+        inside = np.cumsum(size) - size  # from the first id on
+        first = np.cumsum(counts) - counts
+        at = np.repeat(starts - inside[first], counts) + inside
+        out = np.zeros(int((at[-1:] + size[-1:]).sum()), np.uint8)
+        step = of_each(size)
+        out[np.repeat(at, size) + step] = self.letters[np.repeat(self.place_of[ids], size) + step]
+        return out.tobytes()
 
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode every whole text: doc_id, n_tokens, n_pretokens, ids (binary, little-endian uint32), decoded (binary).
+def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PATTERN) -> DataFrame:
+    """Encode and decode every whole text: doc_id, n_tokens, n_pretokens, ids, starts, counts, decoded.
+
+    ids, and the byte where each pre-token starts and how many ids it has, are little-endian uint32 in binary; decoded is
+    the bytes that ids give when each pre-token's are put where it started.
 
     A null or empty text has no tokens and decodes to no bytes. Rows may repeat and may have a null id; each
-    row is answered by itself. The vocabulary file must be on every executor at ``vocab_path``.
+    row is answered by itself. The vocabulary file must be on every executor at ``vocab_path``. pattern: the vocabulary's
+    own; any other than PATTERN is an error, since the automaton is made for that.
     """
+    if pattern != PATTERN:
+        raise ValueError(f"pre-tokens are found for the pattern {PATTERN} only")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(vocab_path)
         for batch in batches:
             for rows, data, offsets in sliced(batch, "text"):
-                ids = own.encode(data, offsets)
-                joined = [b"".join(x) for x in ids]
+                made = own.encode(data, offsets)
                 yield pa.record_batch(
                     [
                         rows.column(0),
-                        pa.array([len(x) // 4 for x in joined], pa.int64()),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array(joined, pa.binary()),
-                        pa.array([own.decode(np.frombuffer(x, "<u4")) for x in joined], pa.binary()),
+                        pa.array([len(x) // 4 for x, _, _ in made], pa.int64()),
+                        pa.array([len(c) for _, _, c in made], pa.int64()),
+                        pa.array([x for x, _, _ in made], pa.binary()),
+                        pa.array([s.astype("<u4").tobytes() for _, s, _ in made], pa.binary()),
+                        pa.array([c.astype("<u4").tobytes() for _, _, c in made], pa.binary()),
+                        pa.array([own.decode(np.frombuffer(x, "<u4"), s, c) for x, s, c in made], pa.binary()),
                     ],
-                    names=["doc_id", "n_tokens", "n_pretokens", "ids", "decoded"],
+                    names=["doc_id", "n_tokens", "n_pretokens", "ids", "starts", "counts", "decoded"],
                 )
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, ids binary, decoded binary")
+    return source.mapInArrow(run, "doc_id long, n_tokens long, n_pretokens long, ids binary, starts binary, counts binary, decoded binary")
 
 

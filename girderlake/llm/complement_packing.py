@@ -8,11 +8,12 @@ length and their rank among pieces of that length, without meeting each other in
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,19 +41,35 @@ def _byte_names() -> dict[int, str]:
 BYTE_NAMES = _byte_names()
 
 
+#: Normaliser and splitter of the tokenizer that the short cuts below are made for; fixed values.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds:
-    """Ids of whole texts from a tokenizer that never looks across ASCII white space."""
+    """Ids of whole texts, word by word, from a tokenizer that never looks across ASCII white space; of any other one text by text."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        said = json.loads(self.tokenizer.to_str())
+        self.by_word = said["normalizer"] == NORMALIZER and said["pre_tokenizer"] == SPLITTER and said["post_processor"] is None
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         raw = data.tobytes()
+        if not self.by_word:
+            texts = [raw[a:b].decode("utf-8") for a, b in zip(offsets.tolist(), offsets[1:].tolist())]
+            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         if b"<|" not in raw:  # else a special token might come of it
             raw = raw.lower()
         raw, offsets = _commas_apart(raw, offsets)
@@ -131,12 +148,61 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
     return docs.mapInArrow(run, "doc_id long, piece long, start long, length long, ids_crc32 long, task long, rank long")
 
 
-def plan(histogram: dict[int, int], capacity: int, lookups: int = 64) -> list[tuple[int, tuple[int, ...]]]:
+class SumIndex:
+    """Which lengths are left, and in how many ways two of them sum to each number: single and pair sums under counts.
+
+    A triple sum is looked up as one length and a pair sum. Pair sums change only where a length's count reaches one or
+    none, by one pass over the lengths.
+    """
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        have = (left > 0).astype(np.int64)
+        self.pairs = np.convolve(have, have)  # ordered pairs, and each length with itself
+        self.pairs[2 * np.flatnonzero(left == 1)] -= 1  # which takes two of it
+
+    def take(self, length: int, n: int) -> None:
+        before = int(self.left[length])
+        self.left[length] = after = before - n
+        if after == 0:
+            others = np.flatnonzero(self.left > 0)
+            self.pairs[others + length] -= 2
+        if before > 1 >= after:
+            self.pairs[2 * length] -= 1
+
+    def partners(self, total: int, taken: tuple[int, ...], most: int) -> tuple[int, int] | None:
+        """The pair with the longest member of at most ``most`` that sums to ``total``, besides the lengths ``taken``."""
+        if total < 2 or not self.pairs[total]:
+            return None
+        long = np.arange(min(most, total - 1), (total - 1) // 2, -1)
+        short = total - long
+        long_left, short_left = self.left[long].copy(), self.left[short].copy()
+        for x in taken:
+            long_left -= long == x
+            short_left -= short == x
+        fits = np.flatnonzero((long_left > 0) & (short_left > 0) & ((long != short) | (long_left > 1)))
+        return (int(long[fits[0]]), int(short[fits[0]])) if len(fits) else None
+
+    def complement(self, length: int, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths, none longer than ``length``, that fill a gap beside it exactly."""
+        if gap <= length and self.left[gap] > (gap == length):
+            return (gap,)
+        if pair := self.partners(gap, (length,), length):
+            return pair
+        thirds = np.arange(min(length, gap - 2), 0, -1)
+        thirds = thirds[(self.left[thirds] > (thirds == length)) & (self.pairs[gap - thirds] > 0)]
+        for x in thirds.tolist():
+            if pair := self.partners(gap - x, (length, x), x):
+                return (x, *pair)
+        return None
+
+
+def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
     """Sequences as (how many, their lengths), every piece of the histogram in exactly one.
 
-    From the longest length down, each gap is filled exactly by one, two or three available lengths where such a
-    sum exists (of up to ``lookups`` pair and triple sums, those with the longest member are preferred), under the
-    counts that are left. A length without an exact complement waits. What waits is packed by best fit decreasing.
+    From the longest length down, each gap is filled exactly by one, two or three available lengths wherever such a sum
+    exists (the one with the longest member is taken, as often as the counts allow). A length without any exact
+    complement waits. What waits is packed by best fit decreasing.
     """
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
@@ -145,46 +211,21 @@ def plan(histogram: dict[int, int], capacity: int, lookups: int = 64) -> list[tu
     if left[capacity]:
         out.append((int(left[capacity]), (capacity,)))
         left[capacity] = 0
+    index = SumIndex(left)
     residual: list[tuple[int, int]] = []
-
-    def uses(parts: tuple[int, ...]) -> int:
-        need = defaultdict(int)
-        for x in parts:
-            need[x] += 1
-        return min(int(left[x]) // k for x, k in need.items())
-
-    def complements(length: int) -> Iterator[tuple[int, ...]]:
-        gap = capacity - length
-        if gap <= length:
-            yield (gap,)
-        high = np.arange(min(length, gap - 1), (gap - 1) // 2, -1)  # the longer of a pair
-        high = high[(left[high] > 0) & (left[gap - high] > 0)]
-        for a in high[:lookups].tolist():
-            yield a, gap - a
-        have = np.flatnonzero(left[: min(length, gap) + 1])
-        for a in have[::-1][:lookups].tolist():
-            rest = gap - a
-            b = have[(have <= a) & (have < rest) & (rest - have <= a)]
-            b = b[(left[rest - b] > 0) & (b >= rest - b)]
-            if len(b):
-                yield a, int(b[-1]), rest - int(b[-1])
-
     for length in range(capacity - 1, 0, -1):
         while left[length]:
-            best: tuple[int, tuple[int, ...]] | None = None
-            for parts in complements(length):
-                if n := uses((length, *parts)):
-                    best = (n, (length, *parts))
-                    break
-            if best is None:
+            found = index.complement(length, capacity - length)
+            if found is None:
                 residual.append((length, int(left[length])))
-                left[length] = 0
+                index.take(length, int(left[length]))
                 break
-            for x in best[1]:
-                left[x] -= best[0]
-            out.append(best)
-    out += _best_fit(residual, capacity)
-    return out
+            need = Counter((length, *found))
+            n = min(int(left[x]) // k for x, k in need.items())
+            for x, k in need.items():
+                index.take(x, n * k)
+            out.append((n, (length, *found)))
+    return out + _best_fit(residual, capacity)
 
 
 def _best_fit(residual: list[tuple[int, int]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:

@@ -1,10 +1,10 @@
 """Toxicity by weak supervision: many voters, a label model over their votes, a linear classifier on its posteriors.
 
-Voters are words and letter n-grams found to stand in toxic texts of a bounded training sample, and patterns of a
-text's form. The label model is generative: a text's unseen class sets how likely each voter fires. Expectation
-maximisation estimates those rates, and so the voters' accuracies, starting from the labelled rates; correlations
-of voters within a class are estimated from the residuals, and a voter's say is shared with those it goes along with. A logistic
-regression on all votes is then trained on the posteriors, and scores every whole text.
+Voters are words and letter n-grams that stand in toxic texts of a bounded training sample more often than chance gives,
+and patterns of a text's form. The label model is generative (see ``label_model``): expectation maximisation estimates, from
+the votes, how often each voter fires in each class and which voters go along with each other; the given label is one
+more voter, of estimated accuracy. A logistic regression on all votes is then trained on the posteriors, and scores every
+whole text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from girderlake.llm.arrays import BYTES, LOWER, of_each, runs, sliced
 
 #: Labelled training rows that all fitting is done on; more are thinned by a hash of their id.
 SAMPLE_ROWS = 20_000
-#: Voters of each kind, at most.
+#: Voters of each kind, at most: those with the most evidence.
 VOTERS = 160
 #: Bytes of letter n-grams that may become voters.
 GRAMS = (4, 5, 6)
-#: Sampled texts that must have a term, and the least share of toxic ones among them that makes it a voter.
-LEAST_TEXTS, LEAST_SHARE = 6, 0.8
+#: How much likelier (as twice a logarithm) its own share of toxic texts must make a term's counts than the overall share
+#: does, for the term to vote; chance alone gives this to fewer than one in 3,000 terms.
+EVIDENCE = 13.0
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
@@ -73,6 +74,7 @@ class Model:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(PATTERNS + 1))
     rates: np.ndarray = field(default_factory=lambda: np.zeros((2, 0)))
     say: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    label_rates: np.ndarray = field(default_factory=lambda: np.full(2, 0.5))
 
     def votes(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """1 where a voter fires, by text and voter."""
@@ -94,33 +96,59 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20, strength: float = 2.0, trust: float = 4.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Posterior of class 1 for each row, each voter's rate of firing by class, and its say after correlations.
+@dataclass
+class Labelled:
+    """What the label model finds: posteriors of class 1, rates of firing by class, voters' say, right labels by class."""
+
+    posterior: np.ndarray
+    rates: np.ndarray
+    say: np.ndarray
+    label_rates: np.ndarray
+
+
+def label_model(votes: np.ndarray, labels: np.ndarray | None = None, rounds: int = 30, strength: float = 2.0) -> Labelled:
+    """Expectation maximisation over the votes of a generative model with two classes.
 
-    Rates start from the labelled ones and are re-estimated on posteriors; ``strength`` rows stand behind every rate.
-    The label itself is a voter of log odds ``trust``, wrong now and then, which holds the classes in place. Any other
-    voter that doesn't fire abstains. A voter's say is one over the sum of its positive correlations within a class.
+    A text's unseen class sets how likely each voter fires, and so what its silence says. The label, where there is one,
+    is one more voter, which speaks for either class and whose accuracy in each is estimated like the others'. It begins
+    from the share of a text's voters that fire. In each round rates are estimated on the posteriors (``strength`` texts of
+    the overall rate stand behind every one), then correlations of voters within a class from what the rates leave over: a
+    voter's say is one over the sum of its positive correlations.
     """
     n, m = votes.shape
-    prior = float(np.clip(labels.mean() if n else 0.5, 1e-3, 1 - 1e-3))
-    posterior = labels.astype(np.float64)
-    say = np.ones(m)
-    rates = np.full((2, m), 0.5)
-    for step in range(rounds):
-        for c, w in enumerate((1 - posterior, posterior)):
-            rates[c] = (w @ votes + strength * 0.01) / (w.sum() + strength)
-        rates = np.clip(rates, 1e-6, 1 - 1e-6)
-        if step == 0 and n:
-            shared = np.zeros((m, m))
-            for c, w in enumerate((1 - posterior, posterior)):
-                rest = (votes - rates[c]) * np.sqrt(w)[:, None]
-                spread = np.sqrt((rest**2).sum(0)) + 1e-9
-                shared += (rest.T @ rest) / spread[:, None] / spread[None, :] * (w.sum() / n)
-            say = 1 / np.maximum(np.where(shared > 0.2, shared, 0).sum(1), 1)
-        log = np.log(rates)
-        z = np.log(prior / (1 - prior)) + votes @ ((log[1] - log[0]) * say) + trust * (2 * labels - 1)
-        posterior = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-    return posterior, rates, say
+    posterior = _first_guess(votes)
+    side = None if labels is None else np.stack([1 - labels, labels]).astype(np.float64)
+    if side is not None:
+        posterior = (posterior + side[1]) / 2
+    out = Labelled(posterior, np.full((2, m), 0.5), np.ones(m), np.full(2, 0.5))
+    overall = (votes.sum(0) + 0.5) / (n + 1)
+    for _ in range(rounds):
+        weight = np.stack([1 - out.posterior, out.posterior])
+        prior = np.clip(weight.sum(1) / max(n, 1), 1e-3, 1 - 1e-3)
+        out.rates = np.clip((weight @ votes + strength * overall) / (weight.sum(1, keepdims=True) + strength), 1e-6, 1 - 1e-6)
+        shared = np.zeros((m, m))
+        for w, rate, p in zip(weight, out.rates, prior, strict=True):
+            rest = (votes - rate) * np.sqrt(w)[:, None]
+            spread = np.sqrt((rest**2).sum(0)) + 1e-9
+            shared += (rest.T @ rest) / spread[:, None] / spread[None, :] * p
+        out.say = 1 / np.maximum(np.where(shared > 0.2, shared, 0).sum(1), 1)
+        quiet = np.log((1 - out.rates[1]) / (1 - out.rates[0])) * out.say
+        z = np.log(prior[1] / prior[0]) + quiet.sum() + votes @ (np.log(out.rates[1] / out.rates[0]) * out.say - quiet)
+        if side is not None:
+            right = (weight * side).sum(1)
+            out.label_rates = np.clip((right + 0.9 * strength) / (weight.sum(1) + strength), 0.5, 1 - 1e-4)
+            odds = np.log(out.label_rates / (1 - out.label_rates[::-1]))
+            z += side[1] * odds[1] - side[0] * odds[0]
+        before, out.posterior = out.posterior, 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        if np.abs(before - out.posterior).max(initial=0) < 1e-6:
+            break
+    return out
+
+
+def _first_guess(votes: np.ndarray) -> np.ndarray:
+    """Where EM begins: more voters than usual fire."""
+    fired = votes.sum(1)
+    return 0.1 + 0.8 * fired / (fired + max(fired.mean(), 1e-9) if len(fired) else 1)
 
 
 def classifier(votes: np.ndarray, target: np.ndarray, ridge: float = 1e-5, rounds: int = 30) -> np.ndarray:
@@ -149,8 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     if total > SAMPLE_ROWS:
         known = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / total))
     ids = known.select(F.col(id_col).cast("long").alias("id"), "label")  # about SAMPLE_ROWS ids, so they may be broadcast
-    sample = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
-    sample = sample.select("id", "label", "text")
+    sample = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id").select("id", "label", "text").distinct()  # rows of one id and other texts are other texts
     sample = _kept(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +206,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
                     yield pa.record_batch([pa.array(np.full(len(head), kind)), pa.array(h[head].view(np.int64)), pa.array(toxic), pa.array(texts), pa.array(shown)], names=["kind", "hash", "toxic", "texts", "name"])
 
     counted = sample.mapInArrow(count, "kind long, hash long, toxic long, texts long, name string").groupBy("kind", "hash").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"), F.max("name").alias("name"))
-    good = counted.where((F.col("toxic") >= LEAST_TEXTS) & (F.col("toxic") >= LEAST_SHARE * F.col("texts")))
+    both = sample.groupBy().agg(F.count("*").alias("n"), F.sum("label").alias("toxic")).first()
+    base = float(np.clip((both["toxic"] or 0) / max(both["n"], 1), 1e-3, 1 - 1e-3))
+    t, c = F.col("toxic"), F.col("texts") - F.col("toxic")
+    part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("texts") * p))).otherwise(F.lit(0.0))
+    good = counted.withColumn("evidence", 2 * (part(t, base) + part(c, 1 - base))).where((F.col("evidence") > EVIDENCE) & (t > base * F.col("texts")))
     model = Model()
     for kind in (0, *GRAMS):
-        top = good.where(F.col("kind") == kind).orderBy(F.desc("toxic"), "name", "hash").limit(VOTERS).collect()
+        top = good.where(F.col("kind") == kind).orderBy(F.desc("evidence"), "name", "hash").limit(VOTERS).collect()
         rows = sorted((np.int64(r["hash"]).view(np.uint64), r["name"]) for r in top)
         model.hashes[kind] = np.array([r[0] for r in rows], np.uint64)
         model.columns[kind] = np.arange(len(rows)) + len(model.names)
@@ -205,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         share = float(np.clip(target.mean() if len(cast) else 0.0, 1e-3, 1 - 1e-3))
         model.weights[-1] = np.log(share / (1 - share))
         return model
-    posterior, model.rates, model.say = label_model(votes.astype(np.float64), target)
-    model.weights = classifier(votes, posterior)
+    found = label_model(votes.astype(np.float64), target)
+    model.rates, model.say, model.label_rates = found.rates, found.say, found.label_rates
+    model.weights = classifier(votes, found.posterior)
     return model
 
 

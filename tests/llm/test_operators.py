@@ -308,6 +308,52 @@ def test_packing(spark, docs, texts):
     assert complement_packing.pack_documents(empty(spark), path).count() == 0
 
 
+def test_plan_finds_every_exact_complement():
+    """Against trying all combinations of up to three lengths, and with sums that only the last splits give."""
+    rng = random.Random(8)
+    for _ in range(60):
+        capacity = 60
+        left = np.zeros(capacity + 1, np.int64)
+        for _ in range(rng.randint(2, 12)):
+            left[rng.randint(1, capacity - 1)] += rng.randint(1, 2)
+        index = complement_packing.SumIndex(left)
+        for _ in range(3):
+            length = int(np.flatnonzero(left)[-1]) if left.any() else 0
+            if not length:
+                break
+            have = [x for x in range(1, length + 1) for _ in range(int(left[x]))]
+            have.remove(length)
+            gap = capacity - length
+            want = {1: gap in have, 2: any(a + b == gap for i, a in enumerate(have) for b in have[i + 1 :]), 3: any(a + b + c == gap for i, a in enumerate(have) for j, b in enumerate(have[i + 1 :], i + 1) for c in have[j + 1 :])}
+            found = index.complement(length, gap)
+            assert (len(found) if found else None) == next((k for k in (1, 2, 3) if want[k]), None)
+            if found:
+                assert sum(found) == gap and not Counter(found) - Counter(have)
+            for x in (length, *(found or ())):
+                index.take(x, 1)
+            have = (left > 0).astype(int)
+            pairs = np.convolve(have, have)
+            pairs[2 * np.flatnonzero(left == 1)] -= 1
+            assert index.pairs.tolist() == pairs.tolist()
+    many = {4096 - 200: 1, **{x: 1 for x in range(2, 3000, 4)}, 1: 1, 79: 1, 120: 1}  # 120 + 79 + 1 alone fills the first gap
+    planned = complement_packing.plan(many, 4096)
+    assert any(3896 in parts and sum(parts) == 4096 for _, parts in planned)
+
+
+def test_tokenizer_of_another_kind(tmp_path):
+    """Word by word only for the normaliser and splitter that it is made for."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"A": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    encoder = complement_packing.WordIds(str(tmp_path / "t.json"))
+    texts = ["A b", "", "a A. b"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.append(0, np.cumsum([len(t) for t in texts]))
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(data, offsets)] == [own.encode(t).ids for t in texts]
+
+
 def test_plan_uses_every_piece_once():
     rng = random.Random(6)
     for _ in range(20):
@@ -559,6 +605,37 @@ def test_toxicity_held_out(spark):
     assert sum(r["predicted"] for r in clean) <= 0.03 * len(clean)
 
 
+def test_label_model_finds_accuracies():
+    """On simulated votes: rates by class, the accuracy of labels that are often wrong, and what copies of a voter may say."""
+    rng = np.random.default_rng(3)
+    n, rates = 6000, np.array([[0.02, 0.05, 0.03, 0.10, 0.04, 0.05], [0.60, 0.45, 0.50, 0.70, 0.30, 0.55]])
+    truth = (rng.random(n) < 0.25).astype(int)
+    votes = (rng.random((n, 6)) < rates[truth]).astype(float)
+    votes = np.concatenate([votes, votes[:, :1], votes[:, :1]], 1)
+    labels = np.where(rng.random(n) < 0.15, 1 - truth, truth).astype(float)
+    found = weak_toxicity.label_model(votes, labels)
+    assert np.abs(found.rates[:, :6] - rates).max() < 0.06
+    assert np.abs(found.label_rates - 0.85).max() < 0.05
+    assert found.say[[0, 6, 7]].max() < 0.4 and found.say[1:6].min() > 0.8
+    assert ((found.posterior > 0.5) == truth).mean() > 0.95 > (labels == truth).mean()
+    alone = weak_toxicity.label_model(votes)  # no labels at all
+    assert ((alone.posterior > 0.5) == truth).mean() > 0.9
+
+
+def test_few_toxic_texts(spark):
+    """Five of twenty are toxic, and say the same two words."""
+    rng = random.Random(1)
+    line = lambda: " ".join("".join(rng.choice("aeioulmnrst") for _ in range(6)) for _ in range(12))
+    rows = [(i, line() + (" zzgrub kwarp" if i < 5 else "")) for i in range(20)]
+    df = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(20)] + [(4, 0), (4, None)], "doc_id long, toxic int")
+    model = weak_toxicity.fit(df, labels, training=F.lit(True))
+    scores = {r["doc_id"]: r["score"] for r in weak_toxicity.score(df.union(df), model).collect()}
+    assert min(scores[i] for i in range(5)) > 0.5 > max(scores[i] for i in range(5, 20))
+    nothing = weak_toxicity.fit(empty(spark), labels.limit(0), training=F.lit(True))
+    assert weak_toxicity.score(df, nothing).where("predicted = 1").count() == 0
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([(1, None), (2, 0), (None, 1)], "doc_id long, toxic int")
     model = weak_toxicity.fit(docs, labels, training=F.lit(True))
@@ -590,4 +667,11 @@ def test_bpe_like_the_library(spark, docs, texts, tiktoken_encoding):
         want = tiktoken_encoding.encode_ordinary(text)
         assert np.frombuffer(bytes(r["ids"]), "<u4").tolist() == want, text[:50]
         assert bytes(r["decoded"]) == text.encode() and r["n_tokens"] == len(want)
+        starts, counts = (np.frombuffer(bytes(r[c]), "<u4").tolist() for c in ("starts", "counts"))
+        assert sum(counts) == len(want) and len(starts) == r["n_pretokens"]
+        at = np.append(0, np.cumsum(counts)).tolist()
+        for a, b, i, j in zip(starts, [*starts[1:], len(text.encode())], at, at[1:]):
+            assert tiktoken_encoding.decode_bytes(want[i:j]) == text.encode()[a:b]
     assert byte_bpe.encode_documents(empty(spark), public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    with pytest.raises(ValueError):
+        byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern="x")
