@@ -64,11 +64,18 @@ class Symbols:
 
 @dataclass(frozen=True)
 class Plan:
-    """Tasks and buckets for so many bytes of text: tasks of 4 MB, of more only beyond 4096 of them; buckets of at most 32 MB."""
+    """Tasks and buckets for so many bytes of text: tasks of 4 MB, of more only beyond 4096 of them; buckets of at most 32 MB.
+
+    The second round has less to carry, so it has a quarter of them where that leaves some for every core of a machine.
+    """
 
     tasks: int
     buckets: int
 
+    @property
+    def second(self) -> Plan:
+        return Plan(max(min(self.tasks, 16), self.tasks // 4), max(min(self.buckets, 16), self.buckets // 4))
+
     @classmethod
     def of(cls, n_bytes: int) -> Plan:
         share = min(max(n_bytes // 4096, 4 << 20), 256 << 20)
@@ -339,9 +346,9 @@ def repeats_removed(source: DataFrame, plan: Plan, symbols: Symbols, width: int,
 
     def packed(held: list) -> pa.RecordBatch:
         f = stacked([h[0] for h in held], TEXT)
-        return blob_batch(f, TEXT, (f["anchor"] % np.uint64(buckets)).astype(np.int64), [t for h in held for t in h[1]])
+        return blob_batch(f, TEXT, (f["anchor"] % np.uint64(plan.second.buckets)).astype(np.int64), [t for h in held for t in h[1]])
 
-    second = whole.mapInArrow(texts, BLOB).repartition(plan.tasks, "bucket").groupBy("bucket").applyInArrow(decide, SPANS)
+    second = whole.mapInArrow(texts, BLOB).repartition(plan.second.tasks, "bucket").groupBy("bucket").applyInArrow(decide, SPANS)
     decided = second.repartition(plan.tasks, "doc", "part").groupBy("doc", "part").agg(F.collect_list(span).alias("more"))
     kept = [f for f in source.schema if f.name.startswith("kept_")]
     joined = whole.join(decided.hint("shuffle_hash"), ["doc", "part"], "left").select("doc_id", "text", "spans", "more", *(f.name for f in kept))

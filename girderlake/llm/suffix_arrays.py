@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from girderlake.llm.anchors import Plan, Symbols, document_key, read_texts, repeats_removed, text_bytes, windows_table
+from girderlake.llm.arrays import DEAL
 
 #: Bytes of a shard whose suffix array a task builds at once; a single anchor with more has a longer one.
 SHARD_BYTES = 1 << 21
@@ -25,7 +26,7 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than the next one; the last counts as smaller."""
     n = len(text)
     sign = np.zeros(n, np.int8)
-    sign[:-1] = np.sign(text[1:].astype(np.int64) - text[:-1])
+    sign[:-1] = (text[1:] > text[:-1]).astype(np.int8) - (text[1:] < text[:-1])
     sign[-1] = 1
     decided = np.where(sign != 0, np.arange(n), n)
     return sign[np.minimum.accumulate(decided[::-1])[::-1]] > 0
@@ -37,7 +38,7 @@ def _placed(array: np.ndarray, fill: np.ndarray, suffixes: np.ndarray, chars: np
         return
     by = np.argsort(chars, kind="stable")
     chars = chars[by]
-    rank = np.arange(len(by)) - np.searchsorted(chars, chars)
+    rank = (np.arange(len(by)) - np.searchsorted(chars, chars)).astype(np.int32)
     if step > 0:
         at = fill[chars] + rank
         fill[chars] = at + 1  # of a bucket's places the last one stays
@@ -96,8 +97,8 @@ def _scan(array: np.ndarray, text: np.ndarray, begin: np.ndarray, fill: np.ndarr
 def _induce(text: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """Suffix array induced from leftmost-smaller suffixes in their (or their substrings') order."""
     n = len(text)
-    begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
-    array = np.full(n, n, np.int64)
+    begin = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))]).astype(np.int32)
+    array = np.full(n, n, np.int32)
     seeds = lms[::-1]
     _placed(array, begin[1:].copy(), seeds, text[seeds], -1)
     _scan(array, text, begin, begin[:-1].copy(), ~smaller, 1)
@@ -114,9 +115,9 @@ def suffix_array(text: np.ndarray, sigma: int, levels: list[int] | None = None)
     if levels is not None:
         levels.append(n)
     if n < 3:
-        return np.arange(n)[::-1].copy()
+        return np.arange(n, dtype=np.int32)[::-1].copy()
     smaller = _smaller(text)
-    lms = np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1
+    lms = (np.flatnonzero(smaller[1:] & ~smaller[:-1]) + 1).astype(np.int32)
     first = _induce(text, smaller, lms, sigma)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
@@ -136,7 +137,7 @@ def suffix_array(text: np.ndarray, sigma: int, levels: list[int] | None = None)
     names = np.concatenate([[0], np.cumsum(~same)])
     if names[-1] == len(lms) - 1:
         return _induce(text, smaller, ordered, sigma)
-    of = np.empty(n, np.int64)
+    of = np.empty(n, np.int32)
     of[ordered] = names
     return _induce(text, smaller, lms[suffix_array(of[lms], int(names[-1]) + 1, levels)], sigma)
 
@@ -187,11 +188,38 @@ def repeated_windows(texts: list[bytes], width: int) -> list[np.ndarray]:
     return [again[e - n : e - width + 1] for e, n in zip(stop.tolist(), sizes.tolist())]
 
 
-def shared_windows(table: pa.Table, width: int, most: int = SHARD_BYTES) -> pa.Table:
+def may_share(anchor: np.ndarray, count: np.ndarray, size: np.ndarray, raw: bytes, width: int, k: int) -> np.ndarray:
+    """Whether each text agrees with another of its anchor in half of a window's other bytes, on one side of the anchor.
+
+    A window holds the ``k`` bytes of its anchor and, before or after them, at least half of the rest; so texts without
+    this share no window, and need not be sorted.
+    """
+    data, half = np.frombuffer(raw, np.uint8), (width - k) // 2
+    n, stop = len(size), np.cumsum(size, dtype=np.int64)
+    begin = stop - size
+    sums = DEAL.sums(data)
+    grams = DEAL.grams(sums, k)
+    of = np.repeat(np.arange(n), size)[: len(grams)]
+    at = np.flatnonzero(grams == anchor[of])
+    at = at[at - begin[of[at]] >= count[of[at]] - 1]  # every window of the record holds it
+    place = np.full(n, -1)
+    place[of[at[::-1]]] = at[::-1]  # of several places the first one stays
+    out = np.zeros(n, bool)
+    for first, last in ((place - half, place + k), (place, place + k + half)):
+        rows = np.flatnonzero((place >= 0) & (first >= begin) & (last <= stop))
+        side = DEAL.spans(sums, first[rows], last[rows])
+        order = np.lexsort((side, anchor[rows]))
+        same = (side[order[1:]] == side[order[:-1]]) & (anchor[rows[order[1:]]] == anchor[rows[order[:-1]]])
+        out[rows[order[1:][same]]] = out[rows[order[:-1][same]]] = True
+    return out
+
+
+def shared_windows(table: pa.Table, width: int, k: int, most: int = SHARD_BYTES) -> pa.Table:
     """Of the texts of one bucket, the windows that occur anywhere else; those of texts known as copied are settled already."""
     f, raw = read_texts(table)
     stop = np.cumsum(f["size"], dtype=np.int64)
-    order = np.argsort(f["anchor"], kind="stable")
+    rows = np.flatnonzero(may_share(f["anchor"], f["count"], f["size"], raw, width, k))
+    order = rows[np.argsort(f["anchor"][rows], kind="stable")]
     anchor = f["anchor"][order]
     ends = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor)) if len(anchor) else np.zeros(0, np.int64)
     total = np.append(0, np.cumsum(f["size"][order], dtype=np.int64))
@@ -238,4 +266,5 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200, gram: int = 40, id_
     """
     source, plan = document_key(docs, id_col, text_col), Plan.of(text_bytes(docs, text_col))
     schema = "n_bytes long, n_removed long, n_spans long, kept binary"
-    return repeats_removed(source, plan, Symbols(False), width, min(gram, width), True, lambda table: shared_windows(table, width), _kept_bytes, schema, most)
+    gram = min(gram, width)
+    return repeats_removed(source, plan, Symbols(False), width, gram, True, lambda table: shared_windows(table, width, gram), _kept_bytes, schema, most)

@@ -147,7 +147,7 @@ def remove_repeated_passages(docs: DataFrame, width: int = 20, prefix: int = 5,
         out = _kept_words(data, offsets, of, first, last)
         if whole_if_clean:
             raw, edges = data.tobytes(), offsets.tolist()
-            texts = [t if n else raw[a:b].decode("utf-8") for t, n, a, b in zip(out[2].to_pylist(), out[1].to_pylist(), edges, edges[1:], strict=True)]
+            texts = [t if n else raw[a:b].decode("utf-8") for t, n, a, b in zip(out[2].to_pylist(), out[1].to_pylist(), edges[:-1], edges[1:], strict=True)]
             out[2] = pa.array(texts, pa.string())
         return out
 
