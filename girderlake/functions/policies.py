@@ -9,7 +9,12 @@ from girderlake.functions.text import contains_any, first_of
 
 #: Words of a finding or component, accents folded.
 SCOUR_WORDS = ["kolk", "scour", "unterspul"]
-URGENCY_RANKS = {"SOFORT": 4, "KURZFRISTIG": 3, "MITTELFRISTIG": 2, "LANGFRISTIG": 1}
+URGENCY_RANKS = {
+    4: ("SOFORT", "UNVERZUEGLICH", "UNVERZÜGLICH", "DRINGEND", "IMMEDIATE"),
+    3: ("KURZFRISTIG", "SHORT_TERM"),
+    2: ("MITTELFRISTIG", "MEDIUM_TERM"),
+    1: ("LANGFRISTIG", "LONG_TERM"),
+}
 
 
 def zero(column: Column | str) -> Column:
@@ -24,7 +29,7 @@ def points(value: Column, ladder: list[tuple[float, int]]) -> Column:
 def urgency_rank(urgency: Column) -> Column:
     """4 to 1 by the whole word, 0 for any other."""
     u = F.upper(urgency)
-    return F.coalesce(first_of(*[(u == w, r) for w, r in URGENCY_RANKS.items()]), F.lit(0))
+    return F.coalesce(first_of(*[(u.isin(*words), rank) for rank, words in URGENCY_RANKS.items()]), F.lit(0))
 
 
 def heavy_vehicles(recorded: Column, daily: Column, share: Column) -> Column:

@@ -33,6 +33,15 @@ def linked_ratings(findings: DataFrame) -> DataFrame:
     return findings.groupBy(F.col("inspection_id").alias("id")).agg(*[F.max(F.when(active, F.col(c))).alias(c) for c in ("stability", "safety", "durability")])
 
 
+def flood_sides(rel) -> DataFrame:
+    """One row per structure with what ``portfolio.flood_exposed`` asks."""
+    gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
+    df = rel.structures.select(F.col("id").alias("structure_id"), "crossed").join(gauges, "structure_id")
+    df = df.join(P.finding_signs(rel.findings).select("structure_id", "washed"), "structure_id", "left")
+    df = df.join(P.founded(rel.components).withColumn("founded", F.lit(True)), "structure_id", "left")
+    return df.join(P.flood_unmatched(rel.flood_peaks, rel.special_checks).withColumn("unmatched", F.lit(True)), "structure_id", "left")
+
+
 def maintenance_items(rel, as_of: str) -> DataFrame:
     """Recommendations that are undone or have an intervention, with view, priority (R3) and estimate."""
     plans = rel.interventions.select(F.col("recommendation_id").alias("id"), F.col("id").alias("intervention_id"), "planned_year", F.col("status").alias("plan_status"), "estimate", "included")
@@ -43,11 +52,11 @@ def maintenance_items(rel, as_of: str) -> DataFrame:
     net = net.select("structure_id", policies.network_band(score).alias("band"), (F.col("extra_tenths_km") * F.col("daily_traffic")).alias("extra_vehicle_tenths_km"))
     df = rel.recommendations.join(plans, "id", "left").where(F.col("intervention_id").isNotNull() | F.col("status").isin(*P.UNDONE))
     df = df.join(dues, "id", "left").join(linked_ratings(rel.findings), "id", "left").join(scored_delta(rel.inspections), "part_id", "left")
-    df = df.join(net, "structure_id", "left").join(rel.climates, "structure_id", "left")
+    df = df.join(net, "structure_id", "left").join(rel.climates, "structure_id", "left").join(flood_sides(rel), "structure_id", "left")
     c = F.col
     exposed = policies.environmental_exposure(c("durability"), c("freeze_days"), c("rain_days"), c("deicing_days"))
     age = dates.completed_years(c("sourced_on"), P.day(as_of))
-    df = df.withColumn("reasons", policies.priority_reasons(c("stability"), c("safety"), c("durability"), c("urgency"), age, c("inspection_status"), c("delta_tenths"), c("band"), F.lit(False), exposed))
+    df = df.withColumn("reasons", policies.priority_reasons(c("stability"), c("safety"), c("durability"), c("urgency"), age, c("inspection_status"), c("delta_tenths"), c("band"), P.flood_exposed(), exposed))
     df = df.withColumn("priority", policies.priority_rank(c("reasons")))
     estimate, origin = money.effective_estimate(c("estimate"), c("cost"))
     view = F.coalesce(first_of(*[(c("plan_status") == k, v) for k, v in VIEWS.items()]), F.lit("unplanned"))

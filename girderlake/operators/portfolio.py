@@ -19,7 +19,11 @@ ACTIVE = ("OPEN", "MONITORING")
 #: Recommendations that still ask for something.
 UNDONE = ("OPEN", "APPROVED", "SCHEDULED", "IN_PROGRESS")
 FOUNDATION_WORDS = ["grundung", "pfahl", "widerlager"]
-WATER = r"(?iu)bach|tal|fluss|strom|ruhr|rhein"
+REPAIR_WORDS = [*policies.SCOUR_WORDS, "grundung", "widerlager"]
+#: Words of a crossed water.
+WATER = r"(?iu)bach|tal|fluss|gewässer|gewasser|river"
+#: Months after a flood within which a special inspection answers it.
+CHECK_MONTHS = 12
 
 
 def day(text: str) -> Column:
@@ -64,10 +68,16 @@ def finding_summary(findings: DataFrame) -> DataFrame:
 
 
 def finding_signs(findings: DataFrame) -> DataFrame:
-    """A3 with what A5 and J12 ask of findings, in one pass: open ones of scour, and any of scour or at a foundation."""
+    """A3 with what A5 and J12 ask of findings, in one pass: open ones of scour, and any of scour."""
     active = F.col("status").isin(*ACTIVE)
-    rows = findings.withColumns({"_scour": contains_any(F.col("description"), policies.SCOUR_WORDS), "_base": contains_any(F.col("description"), FOUNDATION_WORDS)})
-    return rows.groupBy("structure_id").agg(F.count_if(active).alias("open_findings"), *[F.max(F.when(active, F.col(c))).alias(f"max_{c}") for c in ("stability", "safety", "durability")], F.bool_or(active & F.col("_scour")).alias("scour"), F.bool_or(F.col("_scour") | F.col("_base")).alias("washable"))
+    rows = findings.withColumn("_scour", contains_any(F.col("description"), policies.SCOUR_WORDS))
+    highest = [F.max(F.when(active, F.col(c))).alias(f"max_{c}") for c in ("stability", "safety", "durability")]
+    return rows.groupBy("structure_id").agg(F.count_if(active).alias("open_findings"), *highest, F.bool_or(active & F.col("_scour")).alias("scour"), F.bool_or("_scour").alias("washed"))
+
+
+def founded(components: DataFrame) -> DataFrame:
+    """Structures with a component of a foundation."""
+    return components.where(contains_any(F.col("type"), FOUNDATION_WORDS)).select("structure_id").distinct()
 
 
 def inspection_overview(inspections: DataFrame) -> DataFrame:
@@ -87,9 +97,9 @@ def recommendation_summary(recommendations: DataFrame) -> DataFrame:
 
 
 def headline_recommendation(recommendations: DataFrame) -> DataFrame:
-    """The most urgent open one, then the earliest target."""
+    """The most urgent open one, then the earliest planned or else target year."""
     ranked = recommendations.where(F.col("status").isin(*UNDONE)).withColumn("urgency_rank", policies.urgency_rank(F.col("urgency")))
-    return first_per_key(ranked, ["structure_id"], [F.col("urgency_rank").desc(), F.col("target_year").asc_nulls_last(), F.col("id")])
+    return first_per_key(ranked, ["structure_id"], [F.col("urgency_rank").desc(), F.coalesce("own_planned_year", "target_year").asc_nulls_last(), F.col("id")])
 
 
 def recommendation_overview(recommendations: DataFrame) -> DataFrame:
@@ -108,9 +118,10 @@ def open_scour(findings: DataFrame) -> DataFrame:
     return findings.where(F.col("status").isin(*ACTIVE) & contains_any(F.col("description"), policies.SCOUR_WORDS)).select("structure_id").distinct()
 
 
-def scour_sensitive(structures: DataFrame, findings: DataFrame) -> DataFrame:
-    """Structures over water with any finding of scour or at a foundation."""
-    keys = findings.where(contains_any(F.col("description"), [*policies.SCOUR_WORDS, *FOUNDATION_WORDS])).select(F.col("structure_id").alias("id"))
+def scour_sensitive(structures: DataFrame, findings: DataFrame, components: DataFrame) -> DataFrame:
+    """Structures over water with any finding of scour, or with a component of a foundation."""
+    scour = findings.where(contains_any(F.col("description"), policies.SCOUR_WORDS)).select("structure_id").distinct()
+    keys = scour.union(founded(components)).withColumnRenamed("structure_id", "id")
     return structures.where(F.rlike("crossed", F.lit(WATER))).join(keys, "id", "left_semi").select(F.col("id").alias("structure_id"))
 
 
@@ -120,6 +131,13 @@ def inspection_status(due_on: Column, n_due: Column, n_parts: Column, as_of: Col
     return first_of((due_on < as_of, "OVERDUE"), (due_on <= F.date_add(as_of, dates.SOON_DAYS), "DUE_SOON"), ((parts == 0) | (policies.zero(n_due) < parts), "UNKNOWN")).otherwise("CURRENT")
 
 
+def flood_exposed() -> Column:
+    """A gauged structure over water, sensitive to scour, whose gauge is above its trigger or whose last flood no one answered."""
+    yes = lambda name: F.coalesce(F.col(name), F.lit(False))
+    sensitive = F.coalesce(F.rlike("crossed", F.lit(WATER)), F.lit(False)) & (yes("washed") | yes("founded"))
+    return sensitive & F.col("above_trigger").isNotNull() & (yes("above_trigger") | yes("unmatched"))
+
+
 def portfolio(rel, as_of: str) -> DataFrame:
     """One row per structure, with attention priority and reasons."""
     gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
@@ -132,6 +150,8 @@ def portfolio(rel, as_of: str) -> DataFrame:
         "le": rel.climates,
         "ln": rel.networks,
         "lh": gauges,
+        "fu": flood_unmatched(rel.flood_peaks, rel.special_checks).withColumn("unmatched", F.lit(True)),
+        "fd": founded(rel.components).withColumn("founded", F.lit(True)),
     }
     df = rel.structures.withColumnRenamed("id", "structure_id")
     for part in parts.values():
@@ -147,7 +167,7 @@ def portfolio(rel, as_of: str) -> DataFrame:
     df = df.withColumns({
         "network_consequence": (c("network_points") >= 8) & worry,  # R5
         "environment": policies.environmental_exposure(c("max_durability"), c("freeze_days"), c("rain_days"), c("deicing_days")),
-        "flood": F.coalesce(F.rlike("crossed", F.lit(WATER)) & c("washable") & c("above_trigger"), F.lit(False)),
+        "flood": flood_exposed(),
         "scour": F.coalesce(c("scour"), F.lit(False)),
     })
     said = [c(x) for x in ("inspection_status", "tenths", "max_stability", "max_safety", "max_durability", "condition_trend", "urgency_rank", "open_findings", "open_recommendations", "environment", "network_consequence", "flood")]
@@ -215,27 +235,56 @@ def summary(portfolio_rows: DataFrame, query: PortfolioQuery) -> DataFrame:
     return filtered(portfolio_rows, query).agg(F.count("*").alias("n"), F.count_if(c("inspection_status") == "OVERDUE").alias("n_overdue"), F.count_if(F.greatest(policies.zero("max_stability"), policies.zero("max_safety")) >= 2).alias("n_severe"), F.count_if(c("open_recommendations") > 0).alias("n_recommended"))
 
 
-def floods_without_check(peaks: DataFrame, checks: DataFrame, days: int) -> DataFrame:
-    """Peaks that no special inspection follows within ``days``."""
-    near = (peaks["structure_id"] == checks["structure_id"]) & (checks["checked_on"] >= peaks["peaked_on"]) & (checks["checked_on"] < F.date_add(peaks["peaked_on"], days))
-    return peaks.join(checks, near, "left_anti")
+def first_marks(peaks: DataFrame, marks: DataFrame, months: dict[str, int]) -> DataFrame:
+    """Each peak with the first mark of each kind on or after it and within so many months: ``kind``_id, ``kind``_on.
 
+    marks: structure_id, on_day, kind, id. All are read once, latest first, per structure: the next mark of a kind is the
+    last one seen, so no pair of a peak and a mark is ever made.
+    """
+    both = peaks.select("structure_id", F.col("peaked_on").alias("on_day"), F.lit("").alias("kind"), F.lit("").alias("mark"), F.struct(*peaks.columns).alias("peak"))
+    both = both.unionByName(marks.select("structure_id", "on_day", "kind", F.col("id").cast("string").alias("mark")), allowMissingColumns=True)
+    order = Window.partitionBy("structure_id").orderBy(F.col("on_day").desc(), (F.col("kind") != "").desc(), F.col("mark").desc())
+    last = {kind: F.last(F.when(F.col("kind") == kind, F.struct("mark", "on_day")), ignorenulls=True).over(order) for kind in months}
+    done = both.withColumns({f"_{kind}": x for kind, x in last.items()}).where("kind = ''")
+    shown = []
+    for kind, n in months.items():
+        near = F.col(f"_{kind}.on_day") < F.add_months("on_day", n)
+        shown += [F.when(near, F.col(f"_{kind}.mark")).alias(f"{kind}_id"), F.when(near, F.col(f"_{kind}.on_day")).alias(f"{kind}_on")]
+    return done.select("peak.*", *shown)
 
-def first_check_after(peaks: DataFrame, checks: DataFrame, days: int) -> DataFrame:
-    """Each peak with the first special inspection within ``days``, if any.
 
-    Both are read once in time order per structure: the next check on or after a peak is the last seen from the end,
-    so no pair of them is ever made.
-    """
-    both = peaks.select("structure_id", F.col("peaked_on").alias("on_day"), F.lit(0).alias("is_check"), "id").unionByName(checks.select("structure_id", F.col("checked_on").alias("on_day"), F.lit(1).alias("is_check"), "id"))
-    order = Window.partitionBy("structure_id").orderBy(F.col("on_day").desc(), F.col("is_check").desc(), F.col("id").desc())
-    following = F.last(F.when(F.col("is_check") == 1, F.struct("on_day", "id")), ignorenulls=True).over(order)
-    done = both.withColumn("next", following).where("is_check = 0")
-    near = F.col("next.on_day") < F.date_add("on_day", days)
-    return done.select("id", "structure_id", F.col("on_day").alias("peaked_on"), F.when(near, F.col("next.id")).alias("check_id"), F.when(near, F.col("next.on_day")).alias("checked_on"))
+def check_marks(checks: DataFrame) -> DataFrame:
+    return checks.select("structure_id", F.col("checked_on").alias("on_day"), F.lit("check").alias("kind"), "id")
+
+
+def first_check_after(peaks: DataFrame, checks: DataFrame, months: int = CHECK_MONTHS) -> DataFrame:
+    """Each peak with the first special inspection within ``months``, if any."""
+    return first_marks(peaks, check_marks(checks), {"check": months}).select("id", "structure_id", "peaked_on", F.col("check_id").cast("long").alias("check_id"), F.col("check_on").alias("checked_on"))
+
+
+def floods_without_check(peaks: DataFrame, checks: DataFrame, months: int = CHECK_MONTHS) -> DataFrame:
+    """Peaks that no special inspection follows within ``months``."""
+    return first_marks(peaks, check_marks(checks), {"check": months}).where("check_id IS NULL").select(*peaks.columns)
 
 
 def latest_peaks(peaks: DataFrame) -> DataFrame:
-    """Peaks that no later one of the structure follows; a maximum per structure instead of an anti join."""
+    """Actionable peaks (from their own mark on) that no later actionable one of the structure follows."""
+    actionable = peaks.where(F.col("level_cm") >= F.coalesce("mhw_cm", "mark_one_cm", F.lit(0)))
     last = F.max("peaked_on").over(Window.partitionBy("structure_id"))
-    return peaks.withColumn("_last", last).where("peaked_on = _last").drop("_last")
+    return actionable.withColumn("_last", last).where("peaked_on = _last").drop("_last")
+
+
+def flood_unmatched(peaks: DataFrame, checks: DataFrame) -> DataFrame:
+    """Structures whose latest actionable peak no special inspection followed."""
+    return floods_without_check(latest_peaks(peaks), checks).select("structure_id").distinct()
+
+
+def flood_history(rel) -> DataFrame:
+    """Every peak with its band, the first special inspection and finding of scour within 12 months, and the first repair within 24."""
+    dated = rel.inspections.select(F.col("id").alias("inspection_id"), F.col("inspected_on").alias("on_day")).where("on_day IS NOT NULL")
+    scour = rel.findings.where(contains_any(F.col("description"), policies.SCOUR_WORDS)).join(dated, "inspection_id").select("structure_id", "on_day", F.lit("scour").alias("kind"), "id")
+    repair = rel.works.where(contains_any(F.concat_ws(" ", "title", "reason"), REPAIR_WORDS)).select("structure_id", F.coalesce("started_on", "ended_on").alias("on_day"), F.lit("repair").alias("kind"), "id").where("on_day IS NOT NULL")
+    marks = check_marks(rel.special_checks).withColumn("id", F.col("id").cast("string")).union(scour).union(repair.withColumn("id", F.col("id").cast("string")))
+    out = first_marks(rel.flood_peaks, marks, {"check": CHECK_MONTHS, "scour": CHECK_MONTHS, "repair": 24})
+    band = policies.flood_band(*(F.col(x) for x in ("level_cm", "mhw_cm", "hsw_cm", "hhw_cm", "mark_one_cm", "mark_two_cm")))
+    return out.withColumn("band", band)

@@ -25,26 +25,31 @@ VIEWS = {
     "q_structure": "SELECT structure_id, count(*) AS n_parts, min(construction_year) AS construction_year, CASE WHEN count(DISTINCT structure_type) > 1 THEN 'Multiple' ELSE min(structure_type) END AS structure_type FROM {parts} GROUP BY 1",
     "q_inspection_summary": "SELECT structure_id, max(inspected_on) AS last_on, min(due_on) AS due_on, count(*) AS n_current, count(due_on) AS n_due FROM {q_inspections} WHERE rn = 1 GROUP BY 1",
     "q_findings": f"SELECT structure_id, count(*) FILTER (WHERE status IN {_ACTIVE}) AS open_findings, max(stability) FILTER (WHERE status IN {_ACTIVE}) AS max_stability, max(safety) FILTER (WHERE status IN {_ACTIVE}) AS max_safety, max(durability) FILTER (WHERE status IN {_ACTIVE}) AS max_durability FROM {{findings}} GROUP BY 1",
-    "q_ranked": f"SELECT *, CASE upper(urgency) WHEN 'SOFORT' THEN 4 WHEN 'KURZFRISTIG' THEN 3 WHEN 'MITTELFRISTIG' THEN 2 WHEN 'LANGFRISTIG' THEN 1 ELSE 0 END AS urgency_rank FROM {{recommendations}} WHERE status IN {_UNDONE}",
-    "q_headline_rec": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY urgency_rank DESC, target_year ASC NULLS LAST, id) AS n FROM {q_ranked}) WHERE n = 1",
+    "q_ranked": f"SELECT *, CASE WHEN upper(urgency) IN ('SOFORT', 'UNVERZUEGLICH', 'UNVERZÜGLICH', 'DRINGEND', 'IMMEDIATE') THEN 4 WHEN upper(urgency) IN ('KURZFRISTIG', 'SHORT_TERM') THEN 3 WHEN upper(urgency) IN ('MITTELFRISTIG', 'MEDIUM_TERM') THEN 2 WHEN upper(urgency) IN ('LANGFRISTIG', 'LONG_TERM') THEN 1 ELSE 0 END AS urgency_rank FROM {{recommendations}} WHERE status IN {_UNDONE}",
+    "q_headline_rec": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY urgency_rank DESC, coalesce(own_planned_year, target_year) ASC NULLS LAST, id) AS n FROM {q_ranked}) WHERE n = 1",
     "q_traffic": f"SELECT *, {_HEAVY} AS heavy FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY observation_year DESC, observed_on DESC NULLS LAST, id) AS n FROM {{traffic}}) WHERE n = 1",
     "q_network": f"SELECT n.structure_id, heavy, {_POINTS} AS points, extra_tenths_km * daily_traffic AS extra_vehicle_tenths_km FROM {{networks}} n LEFT JOIN {{q_traffic}} t ON n.structure_id = t.structure_id",
     "q_band": "SELECT *, CASE WHEN points >= 8 THEN 'HIGH' WHEN points >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM {q_network}",
     "q_scour": f"SELECT DISTINCT structure_id FROM {{findings}} WHERE status IN {_ACTIVE} AND regexp_matches({_FOLD}, 'kolk|scour|unterspul')",
-    "q_sensitive": f"SELECT id AS structure_id FROM {{structures}} s WHERE regexp_matches(lower(crossed), 'bach|tal|fluss|strom|ruhr|rhein') AND EXISTS (SELECT 1 FROM {{findings}} f WHERE f.structure_id = s.id AND regexp_matches({_FOLD}, 'kolk|scour|unterspul|grundung|pfahl|widerlager'))",
+    "q_sensitive": f"SELECT id AS structure_id FROM {{structures}} s WHERE regexp_matches(lower(crossed), 'bach|tal|fluss|gewässer|gewasser|river') AND (EXISTS (SELECT 1 FROM {{findings}} f WHERE f.structure_id = s.id AND regexp_matches({_FOLD}, 'kolk|scour|unterspul')) OR EXISTS (SELECT 1 FROM {{components}} c WHERE c.structure_id = s.id AND regexp_matches(lower(c.type), 'gründung|grundung|pfahl|widerlager')))",
+    "q_unmatched": """SELECT DISTINCT e.structure_id FROM {flood_peaks} e WHERE e.level_cm >= coalesce(e.mhw_cm, e.mark_one_cm, 0)
+      AND NOT EXISTS (SELECT 1 FROM {flood_peaks} later WHERE later.structure_id = e.structure_id AND later.peaked_on > e.peaked_on AND later.level_cm >= coalesce(later.mhw_cm, later.mark_one_cm, 0))
+      AND NOT EXISTS (SELECT 1 FROM {inspections} i WHERE i.structure_id = e.structure_id AND i.type = 'SPECIAL' AND i.inspected_on >= e.peaked_on AND i.inspected_on < e.peaked_on + INTERVAL 12 MONTH)""",
+    "q_flooded": """SELECT g.structure_id FROM {gauges} g JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_unmatched} u ON u.structure_id = g.structure_id
+      WHERE g.level_cm >= g.trigger_cm OR u.structure_id IS NOT NULL""",
     "q_base": f"""SELECT s.id AS structure_id, s.ext_no, s.road, construction_year, tenths, coalesce(condition_trend, 'UNKNOWN') AS condition_trend,
       coalesce(open_findings, 0) AS open_findings, coalesce(open_recommendations, 0) AS open_recommendations, coalesce(urgency_rank, 0) AS urgency_rank,
       coalesce(max_stability, 0) AS ms, coalesce(max_safety, 0) AS mv, coalesce(max_durability, 0) AS md, due_on,
       CASE WHEN due_on < DATE '{AS_OF}' THEN 'OVERDUE' WHEN due_on <= DATE '{AS_OF}' + 180 THEN 'DUE_SOON' WHEN coalesce(n_parts, 0) = 0 OR coalesce(n_due, 0) < n_parts THEN 'UNKNOWN' ELSE 'CURRENT' END AS inspection_status,
       {_POINTS} AS network_points, coalesce(extra_tenths_km * daily_traffic, 0) AS extra_vehicle_tenths_km,
       {_EXPOSED.format(d="max_durability")} AS environment,
-      coalesce(q_sensitive.structure_id IS NOT NULL AND level_cm >= trigger_cm, false) AS flood, q_scour.structure_id IS NOT NULL AS scour
+      q_flooded.structure_id IS NOT NULL AS flood, q_scour.structure_id IS NOT NULL AS scour
       FROM {{structures}} s LEFT JOIN {{q_structure}} ON q_structure.structure_id = s.id LEFT JOIN {{q_inspection_summary}} ON q_inspection_summary.structure_id = s.id
       LEFT JOIN {{q_headline}} ON q_headline.structure_id = s.id LEFT JOIN {{q_findings}} ON q_findings.structure_id = s.id
       LEFT JOIN (SELECT structure_id, count(*) AS open_recommendations FROM {{q_ranked}} GROUP BY 1) r ON r.structure_id = s.id
       LEFT JOIN {{q_headline_rec}} ON q_headline_rec.structure_id = s.id LEFT JOIN {{q_traffic}} ON q_traffic.structure_id = s.id
       LEFT JOIN {{climates}} ON climates.structure_id = s.id LEFT JOIN {{networks}} ON networks.structure_id = s.id LEFT JOIN {{gauges}} ON gauges.structure_id = s.id
-      LEFT JOIN {{q_sensitive}} ON q_sensitive.structure_id = s.id LEFT JOIN {{q_scour}} ON q_scour.structure_id = s.id""",
+      LEFT JOIN {{q_flooded}} ON q_flooded.structure_id = s.id LEFT JOIN {{q_scour}} ON q_scour.structure_id = s.id""",
     "q_portfolio": """SELECT *, CASE WHEN inspection_status = 'OVERDUE' OR ms >= 3 OR mv >= 3 THEN 5 WHEN ms >= 2 OR mv >= 2 OR network OR (flood AND scour) THEN 4
       WHEN inspection_status IN ('DUE_SOON', 'UNKNOWN') OR tenths IS NULL OR md >= 2 OR environment OR flood OR condition_trend = 'DETERIORATING' OR urgency_rank >= 2 THEN 3
       WHEN open_findings > 0 OR open_recommendations > 0 THEN 2 ELSE 1 END AS attention_priority
@@ -55,23 +60,24 @@ VIEWS = {
       CASE p.status WHEN 'PLANNED' THEN 'planned' WHEN 'BUDGETED' THEN 'budgeted' WHEN 'TENDER_PREPARATION' THEN 'tender' ELSE 'unplanned' END AS view,
       band, extra_vehicle_tenths_km, st, sa, du, urgency, delta_tenths,
       CASE WHEN due_on IS NULL THEN 'UNKNOWN' WHEN due_on < DATE '{AS_OF}' THEN 'OVERDUE' WHEN due_on <= DATE '{AS_OF}' + 180 THEN 'DUE_SOON' ELSE 'CURRENT' END AS status,
-      greatest(CAST(date_sub('year', sourced_on, DATE '{AS_OF}') AS BIGINT), 0) AS age, {_EXPOSED.format(d="du")} AS environment
+      greatest(CAST(date_sub('year', sourced_on, DATE '{AS_OF}') AS BIGINT), 0) AS age, w.structure_id IS NOT NULL AS flood, {_EXPOSED.format(d="du")} AS environment
       FROM {{recommendations}} r LEFT JOIN {{interventions}} p ON p.recommendation_id = r.id LEFT JOIN {{q_inspections}} i ON i.id = r.id
       LEFT JOIN (SELECT inspection_id, max(stability) FILTER (WHERE status IN {_ACTIVE}) AS st, max(safety) FILTER (WHERE status IN {_ACTIVE}) AS sa, max(durability) FILTER (WHERE status IN {_ACTIVE}) AS du FROM {{findings}} GROUP BY 1) f ON f.inspection_id = r.id
-      LEFT JOIN {{q_delta}} d ON d.part_id = i.part_id LEFT JOIN {{q_band}} b ON b.structure_id = r.structure_id LEFT JOIN {{climates}} c ON c.structure_id = r.structure_id
+      LEFT JOIN {{q_delta}} d ON d.part_id = i.part_id LEFT JOIN {{q_band}} b ON b.structure_id = r.structure_id LEFT JOIN {{climates}} c ON c.structure_id = r.structure_id LEFT JOIN {{q_flooded}} w ON w.structure_id = r.structure_id
       WHERE p.id IS NOT NULL OR r.status IN {_UNDONE}""",
     "q_reasons": """SELECT id, sev, place, code FROM (
       SELECT id, CASE WHEN st >= 3 THEN 4 WHEN st >= 2 THEN 3 END AS sev, 1 AS place, 'STABILITY_RATING' AS code FROM {q_items}
       UNION ALL SELECT id, CASE WHEN sa >= 3 THEN 4 WHEN sa >= 2 THEN 3 END, 2, 'TRAFFIC_SAFETY_RATING' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN status = 'OVERDUE' THEN 4 END, 3, 'INSPECTION_OVERDUE' FROM {q_items}
-      UNION ALL SELECT id, CASE WHEN urgency = 'SOFORT' THEN 4 END, 4, 'IMMEDIATE_URGENCY' FROM {q_items}
+      UNION ALL SELECT id, CASE WHEN upper(urgency) IN ('SOFORT', 'UNVERZÜGLICH', 'IMMEDIATE') THEN 4 END, 4, 'IMMEDIATE_URGENCY' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN du >= 3 THEN 3 WHEN du >= 2 THEN 2 END, 5, 'DURABILITY_RATING' FROM {q_items}
-      UNION ALL SELECT id, CASE WHEN urgency = 'KURZFRISTIG' THEN 3 END, 6, 'SHORT_TERM_URGENCY' FROM {q_items}
+      UNION ALL SELECT id, CASE WHEN upper(urgency) IN ('KURZFRISTIG', 'DRINGEND') THEN 3 END, 6, 'SHORT_TERM_URGENCY' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN delta_tenths >= 1 THEN 3 END, 7, 'CONDITION_DETERIORATING' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN age >= 5 THEN 3 WHEN age >= 2 THEN 2 END, 8, 'LONG_UNRESOLVED' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN status = 'DUE_SOON' THEN 2 END, 9, 'INSPECTION_DUE_SOON' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN urgency = 'MITTELFRISTIG' THEN 2 END, 10, 'MEDIUM_TERM_URGENCY' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN band = 'HIGH' THEN 3 WHEN band = 'MEDIUM' THEN 2 END, 11, 'NETWORK_CRITICALITY' FROM {q_items}
+      UNION ALL SELECT id, CASE WHEN flood THEN 3 END, 12, 'POST_FLOOD_INSPECTION' FROM {q_items}
       UNION ALL SELECT id, CASE WHEN environment THEN 2 END, 13, 'HIGH_ENVIRONMENTAL_EXPOSURE' FROM {q_items}) WHERE sev IS NOT NULL""",
     "q_priority": """SELECT i.*, coalesce(top, 1) AS priority, coalesce(reasons, '') AS reasons FROM {q_items} i
       LEFT JOIN (SELECT id, max(sev) AS top, string_agg(code, ',' ORDER BY sev DESC, place) AS reasons FROM {q_reasons} GROUP BY 1) r ON r.id = i.id""",
@@ -109,7 +115,6 @@ VIEWS = {
     "q_photo": """SELECT *, CASE WHEN label THEN 12 ELSE 0 END + CASE WHEN view_ THEN 10 WHEN weak AND NOT drawing THEN 5 ELSE 0 END + CASE WHEN number <= 12 AND n BETWEEN 15 AND 220 AND NOT drawing THEN 4 ELSE 0 END
       + CASE WHEN number = 1 AND n <= 350 THEN 2 ELSE 0 END + CASE WHEN by_sight AND number <= 8 AND n <= 200 AND NOT drawing THEN 6 ELSE 0 END - CASE WHEN cover AND NOT label THEN 4 ELSE 0 END - CASE WHEN drawing THEN 15 ELSE 0 END AS score
       FROM (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) AS n, text LIKE '%Foto 1%' OR text LIKE '%Lichtbild%' AS label, text LIKE '%Bauwerksansicht%' AS view_, regexp_matches(text, '(?i)\\bansicht\\b') AS weak, text LIKE '%Querschnitt%' AS drawing, text LIKE '%Bauwerksbuch%' AS cover FROM {book_pages} WHERE number <= 20)""",
-    "q_last_unmatched": "SELECT DISTINCT e.structure_id FROM {flood_peaks} e WHERE e.peaked_on = (SELECT max(peaked_on) FROM {flood_peaks} m WHERE m.structure_id = e.structure_id) AND NOT EXISTS (SELECT 1 FROM {special_checks} c WHERE c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + 7)",
 }
 
 _SQL = {
@@ -131,10 +136,10 @@ _SQL = {
     "headline_recommendation": "SELECT structure_id, id, CAST(urgency_rank AS BIGINT) AS urgency_rank, target_year FROM {q_headline_rec}",
     "latest_traffic": "SELECT structure_id, id, observation_year, observed_on, daily_traffic FROM {q_traffic}",
     "existential_filters": f"SELECT id, ext_no FROM {{structures}} s WHERE EXISTS (SELECT 1 FROM {{recommendations}} r WHERE r.structure_id = s.id AND r.status IN {_UNDONE} AND lower(urgency) = 'sofort') AND EXISTS (SELECT 1 FROM {{findings}} f WHERE f.structure_id = s.id AND f.status = 'MONITORING')",
-    "antijoin_latest_event": "SELECT * FROM {flood_peaks} e WHERE NOT EXISTS (SELECT 1 FROM {flood_peaks} later WHERE later.structure_id = e.structure_id AND later.peaked_on > e.peaked_on)",
-    "interval_antijoin": "SELECT * FROM {flood_peaks} e WHERE NOT EXISTS (SELECT 1 FROM {special_checks} c WHERE c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + 7)",
-    "interval_first_match": """SELECT id, structure_id, peaked_on, check_id, checked_on FROM (SELECT e.*, c.id AS check_id, c.checked_on, row_number() OVER (PARTITION BY e.id ORDER BY c.checked_on, c.id) AS n
-        FROM {flood_peaks} e LEFT JOIN {special_checks} c ON c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + 7) WHERE n = 1""",
+    "antijoin_latest_event": "SELECT * FROM {flood_peaks} e WHERE level_cm >= coalesce(mhw_cm, mark_one_cm, 0) AND NOT EXISTS (SELECT 1 FROM {flood_peaks} later WHERE later.structure_id = e.structure_id AND later.peaked_on > e.peaked_on AND later.level_cm >= coalesce(later.mhw_cm, later.mark_one_cm, 0))",
+    "interval_antijoin": "SELECT * FROM {flood_peaks} e WHERE NOT EXISTS (SELECT 1 FROM {special_checks} c WHERE c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + INTERVAL 12 MONTH)",
+    "interval_first_match": """SELECT id, structure_id, peaked_on, check_id, checked_on FROM (SELECT e.*, c.id AS check_id, c.checked_on, row_number() OVER (PARTITION BY e.id ORDER BY c.checked_on, CAST(c.id AS VARCHAR)) AS n
+        FROM {flood_peaks} e LEFT JOIN {special_checks} c ON c.structure_id = e.structure_id AND c.checked_on >= e.peaked_on AND c.checked_on < e.peaked_on + INTERVAL 12 MONTH) WHERE n = 1""",
     "scour_regex_semijoin": "SELECT * FROM {q_sensitive}",
     "due_status": f"""SELECT id, due_on, CASE WHEN due_on IS NULL THEN 'UNKNOWN' WHEN due_on < DATE '{AS_OF}' THEN 'OVERDUE' WHEN due_on <= DATE '{AS_OF}' + 180 THEN 'DUE_SOON' ELSE 'CURRENT' END AS due_status,
         CASE WHEN inspected_on IS NULL THEN 0 ELSE greatest(CAST(date_sub('year', inspected_on, DATE '{AS_OF}') AS BIGINT), 0) END AS age_years FROM {{q_inspections}}""",
@@ -149,12 +154,12 @@ _SQL = {
         b AS (SELECT s.id AS structure_id, s.crossed, q.construction_year, n_active, crack, bare, coating, drain, joint, plants, scour, coated_in, n_steel, freeze_days, rain_days, deicing_days, wet_dry_cycles, humidity, wet_hours, daily_traffic,
           g.structure_id IS NOT NULL AS gauged, coalesce(level_cm >= trigger_cm, false) AS above, g.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS open_flood
           FROM {{structures}} s LEFT JOIN {{q_structure}} q ON q.structure_id = s.id LEFT JOIN f ON f.structure_id = s.id LEFT JOIN k ON k.structure_id = s.id LEFT JOIN {{climates}} c ON c.structure_id = s.id
-          LEFT JOIN {{q_traffic}} t ON t.structure_id = s.id LEFT JOIN {{gauges}} g ON g.structure_id = s.id LEFT JOIN {{q_last_unmatched}} u ON u.structure_id = s.id),
+          LEFT JOIN {{q_traffic}} t ON t.structure_id = s.id LEFT JOIN {{gauges}} g ON g.structure_id = s.id LEFT JOIN {{q_unmatched}} u ON u.structure_id = s.id),
         p AS (SELECT *, CASE WHEN 2001 - construction_year >= 50 THEN 2 WHEN 2001 - construction_year >= 40 THEN 1 ELSE 0 END + CASE WHEN freeze_days >= 60 THEN 2 WHEN freeze_days >= 40 THEN 1 ELSE 0 END + CASE WHEN wet_dry_cycles >= 80 THEN 1 ELSE 0 END
             + CASE WHEN deicing_days >= 20 AND daily_traffic >= 30000 THEN 1 ELSE 0 END + CASE WHEN crack >= 2 THEN 2 WHEN crack IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN bare IS NOT NULL THEN 2 ELSE 0 END AS rc,
           CASE WHEN humidity >= 78 THEN 1 ELSE 0 END + CASE WHEN wet_hours >= 1400 THEN 1 ELSE 0 END + CASE WHEN coating >= 2 THEN 2 WHEN coating IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN 2001 - coated_in >= 20 THEN 1 ELSE 0 END AS steel,
           CASE WHEN rain_days >= 12 THEN 2 WHEN rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN drain >= 2 THEN 2 WHEN drain IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN joint >= 2 THEN 2 WHEN joint IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN plants IS NOT NULL THEN 1 ELSE 0 END AS water,
-          CASE WHEN regexp_matches(lower(crossed), 'bach|tal|fluss|strom|ruhr|rhein') THEN 1 ELSE 0 END + CASE WHEN NOT gauged AND rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN open_flood OR above THEN 2 ELSE 0 END + CASE WHEN scour IS NOT NULL THEN 2 ELSE 0 END AS washed FROM b)
+          CASE WHEN regexp_matches(lower(crossed), 'bach|tal|fluss|gewässer|gewasser|river') THEN 1 ELSE 0 END + CASE WHEN NOT gauged AND rain_days >= 8 THEN 1 ELSE 0 END + CASE WHEN open_flood OR above THEN 2 ELSE 0 END + CASE WHEN scour IS NOT NULL THEN 2 ELSE 0 END AS washed FROM b)
         SELECT structure_id, 'RC_CORROSION' AS kind, CAST(rc AS BIGINT) AS points, CASE WHEN rc >= 4 THEN 'HIGH' WHEN rc >= 2 THEN 'MEDIUM' ELSE 'LOW' END AS band, CASE WHEN n_active > 0 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM p
         UNION ALL SELECT structure_id, 'STEEL_CORROSION', steel, CASE WHEN steel >= 4 THEN 'HIGH' WHEN steel >= 2 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN coating IS NOT NULL THEN 'HIGH' WHEN n_steel > 0 THEN 'MEDIUM' ELSE 'LOW' END FROM p
         UNION ALL SELECT structure_id, 'WATER_INGRESS', water, CASE WHEN water >= 4 THEN 'HIGH' WHEN water >= 2 THEN 'MEDIUM' ELSE 'LOW' END, CASE WHEN drain IS NOT NULL OR joint IS NOT NULL THEN 'HIGH' ELSE 'MEDIUM' END FROM p
@@ -252,7 +257,7 @@ _SQL = {
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "previous_year_companion": "SELECT structure_id, observation_year, daily, previous_year, previous_value FROM (SELECT *, lead(observation_year) OVER w AS previous_year, lead(daily) OVER w AS previous_value, row_number() OVER w AS n FROM (SELECT structure_id, observation_year, max(daily_traffic) AS daily FROM {traffic} GROUP BY 1, 2) WINDOW w AS (PARTITION BY structure_id ORDER BY observation_year DESC)) WHERE n = 1",
     "flood_exposure": """SELECT structure_id, CASE WHEN watch AND band = 'BELOW_TRIGGER' THEN 'MODERATE' ELSE band END AS band, watch, inspect FROM (SELECT g.structure_id, CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= hsw_cm THEN 'HIGH' WHEN level_cm >= mhw_cm THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END AS band,
-        s.structure_id IS NOT NULL AND (level_cm >= trigger_cm OR u.structure_id IS NOT NULL) AS watch, s.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS inspect FROM {gauges} g LEFT JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_last_unmatched} u ON u.structure_id = g.structure_id)""",
+        s.structure_id IS NOT NULL AND (level_cm >= trigger_cm OR u.structure_id IS NOT NULL) AS watch, s.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS inspect FROM {gauges} g LEFT JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_unmatched} u ON u.structure_id = g.structure_id)""",
     "condition_bands": "SELECT CAST(year(inspected_on) AS BIGINT) AS year, CASE WHEN tenths <= 19 THEN 'good' WHEN tenths <= 24 THEN 'fair' WHEN tenths <= 29 THEN 'poor' ELSE 'severe' END AS band, count(*) AS n FROM {inspections} WHERE inspected_on IS NOT NULL AND tenths BETWEEN 10 AND 40 GROUP BY 1, 2",
     "budget_years": "SELECT planned_year AS year FROM {interventions} UNION SELECT target_year FROM {recommendations} WHERE target_year IS NOT NULL UNION SELECT 2026",
     "evidence_sources": "SELECT doc_id, page, count(DISTINCT entity_id) AS n_entities, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM {evidence} GROUP BY 1, 2",

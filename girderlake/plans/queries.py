@@ -103,17 +103,17 @@ def antijoin_latest_event(rel):
 
 @query
 def interval_antijoin(rel):
-    return portfolio.floods_without_check(rel.flood_peaks, rel.special_checks, 7)
+    return portfolio.floods_without_check(rel.flood_peaks, rel.special_checks)
 
 
 @query
 def interval_first_match(rel):
-    return portfolio.first_check_after(rel.flood_peaks, rel.special_checks, 7)
+    return portfolio.first_check_after(rel.flood_peaks, rel.special_checks)
 
 
 @query
 def scour_regex_semijoin(rel):
-    return portfolio.scour_sensitive(rel.structures, rel.findings)
+    return portfolio.scour_sensitive(rel.structures, rel.findings, rel.components)
 
 
 @query
@@ -146,7 +146,7 @@ def damage_points(rel):
     """Four mechanisms of every structure."""
     gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
     daily = portfolio.latest_traffic(rel.traffic).select("structure_id", "daily_traffic")
-    last = portfolio.floods_without_check(portfolio.latest_peaks(rel.flood_peaks), rel.special_checks, 7)
+    last = portfolio.flood_unmatched(rel.flood_peaks, rel.special_checks)
     return mechanisms.mechanisms(rel.structures, rel.parts, rel.findings, rel.components, rel.climates, daily, gauges, last, int(AS_OF[:4]))
 
 
@@ -481,8 +481,8 @@ def previous_year_companion(rel):
 @query
 def flood_exposure(rel):
     c = F.col
-    last = portfolio.floods_without_check(portfolio.latest_peaks(rel.flood_peaks), rel.special_checks, 7)
-    return lifecycle.flood_assessment(rel.structures, rel.gauges, portfolio.scour_sensitive(rel.structures, rel.findings), last, policies.flood_band(c("level_cm"), c("mhw_cm"), c("hsw_cm"), c("hhw_cm")))
+    last = portfolio.flood_unmatched(rel.flood_peaks, rel.special_checks)
+    return lifecycle.flood_assessment(rel.structures, rel.gauges, portfolio.scour_sensitive(rel.structures, rel.findings, rel.components), last, policies.flood_band(c("level_cm"), c("mhw_cm"), c("hsw_cm"), c("hhw_cm")))
 
 
 @query

@@ -18,15 +18,16 @@ TABLES = ("customer", "nation", "orders", "lineitem", "part", "events", "documen
 
 RELATIONS = {
     "structures": """
-        SELECT c_custkey AS id, c_name AS ext_no, c_mktsegment AS road, n_name AS state,
-          CASE c_custkey % 4 WHEN 0 THEN 'Muehlbach' WHEN 1 THEN 'Bahnlinie' WHEN 2 THEN 'Rivertal' END AS crossed
+        SELECT c_custkey AS id, c_name AS ext_no, c_mktsegment AS road, n_name AS state, CASE c_custkey % 3 WHEN 0 THEN 'MANUAL' ELSE 'EXTRACTED' END AS data_origin,
+          CASE c_custkey % 4 WHEN 0 THEN 'Muehlbach' WHEN 1 THEN 'Bahnlinie' WHEN 2 THEN 'Rivertal' WHEN 3 THEN CASE WHEN c_custkey % 8 = 3 THEN 'stehendes Gewässer' END END AS crossed
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey""",
     "parts": """
         SELECT DISTINCT o_custkey * 10 + o_orderkey % 2 AS id, o_custkey AS structure_id,
           1900 + (o_custkey * 7 + o_orderkey % 2) % 110 AS construction_year,
           CASE (o_custkey + o_orderkey % 2) % 3 WHEN 0 THEN 'BEAM' WHEN 1 THEN 'ARCH' END AS structure_type,
           CASE WHEN o_custkey % 6 <> 0 THEN 10 + o_custkey % 90 END AS length_m,
-          CASE WHEN o_custkey % 11 <> 0 THEN 1 + o_custkey % 5 END AS span_count
+          CASE WHEN o_custkey % 11 <> 0 THEN 1 + o_custkey % 5 END AS span_count, CASE WHEN o_custkey % 17 <> 0 THEN 5 + o_custkey % 20 END AS width_m,
+          CASE WHEN o_custkey % 19 <> 0 THEN 100 + o_custkey % 900 END AS area_sqm
         FROM {orders}""",
     "inspections": """
         SELECT o_orderkey AS id, o_custkey AS structure_id, o_custkey * 10 + o_orderkey % 2 AS part_id,
@@ -45,16 +46,22 @@ RELATIONS = {
             WHEN 3 THEN 'Freiliegende Bewehrung' WHEN 4 THEN 'Korrosion am Geländer' WHEN 5 THEN 'Ablauf verstopft'
             WHEN 6 THEN 'Offene Fuge' WHEN 7 THEN 'Bewuchs' END AS description
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
-    "recommendations": """
+    "usual_recommendations": """
         SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(o_orderdate AS DATE) AS sourced_on,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'SOFORT' WHEN '2-HIGH' THEN 'KURZFRISTIG' WHEN '3-MEDIUM' THEN 'MITTELFRISTIG'
-            WHEN '5-LOW' THEN 'LANGFRISTIG' END AS urgency,
+            WHEN '5-LOW' THEN 'LANGFRISTIG' END AS usual_urgency,
           CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'COMPLETED' END AS status,
           CASE o_orderkey % 5 WHEN 0 THEN 'Abdichtung' WHEN 1 THEN 'Betoninstandsetzung' WHEN 2 THEN 'Fugen' WHEN 3 THEN 'Korrosionsschutz'
             ELSE 'Lager' END AS work_type,
           CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_totalprice AS DECIMAL(16,2)) END AS cost,
-          CASE WHEN o_orderkey % 9 <> 0 THEN CAST(year(o_orderdate) + 2 AS BIGINT) END AS target_year
+          CASE WHEN o_orderkey % 9 <> 0 THEN CAST(year(o_orderdate) + 2 AS BIGINT) END AS target_year,
+          CASE WHEN o_orderkey % 6 = 1 THEN CAST(year(o_orderdate) AS BIGINT) + o_orderkey % 4 END AS own_planned_year,
+          CASE WHEN o_orderkey % 10 <> 0 THEN o_orderkey % 300 END AS quantity, CASE WHEN o_orderkey % 14 <> 0 THEN 'm2' END AS unit
         FROM {orders}""",
+    "recommendations": """
+        SELECT id, structure_id, sourced_on, CASE id % 29 WHEN 1 THEN 'UNVERZUEGLICH' WHEN 2 THEN 'UNVERZÜGLICH' WHEN 3 THEN 'Dringend' WHEN 4 THEN 'IMMEDIATE' WHEN 5 THEN 'SHORT_TERM'
+            WHEN 6 THEN 'MEDIUM_TERM' WHEN 7 THEN 'LONG_TERM' ELSE usual_urgency END AS urgency, status, work_type, cost, target_year, own_planned_year, quantity, unit
+        FROM {usual_recommendations}""",
     "interventions": """
         SELECT o_orderkey AS id, o_orderkey AS recommendation_id, o_custkey AS structure_id,
           CAST(year(o_orderdate) AS BIGINT) + o_orderkey % 5 AS planned_year,
@@ -80,7 +87,7 @@ RELATIONS = {
         FROM {customer} WHERE c_custkey % 5 <> 1""",
     "components": """
         SELECT DISTINCT o_custkey * 10 + o_orderkey % 2 AS id, o_custkey AS structure_id, CASE o_custkey % 6 WHEN 0 THEN 'Baustahl' ELSE 'Beton' END AS material,
-          CASE o_custkey % 7 WHEN 0 THEN 'Geländer' WHEN 1 THEN 'Widerlager' END AS type, CASE WHEN o_custkey % 4 <> 0 THEN 1960 + (o_custkey + o_orderkey % 2) % 50 END AS install_year
+          CASE o_custkey % 7 WHEN 0 THEN 'Geländer' WHEN 1 THEN 'Widerlager' WHEN 2 THEN 'Pfahlgründung' END AS type, CASE WHEN o_custkey % 4 <> 0 THEN 1960 + (o_custkey + o_orderkey % 2) % 50 END AS install_year
         FROM {orders}""",
     "gauges": """
         SELECT c_custkey AS structure_id, (c_custkey * 17) % 1200 AS level_cm, 600 AS trigger_cm,
@@ -89,9 +96,31 @@ RELATIONS = {
           CASE WHEN c_custkey % 10 <> 0 THEN 1050 END AS hhw_cm
         FROM {customer} WHERE c_custkey % 2 = 0""",
     "flood_peaks": """
-        SELECT event_id AS id, user_id AS structure_id, CAST(ts AS DATE) AS peaked_on FROM {events} WHERE event_type = 'error'""",
+        SELECT event_id AS id, user_id AS structure_id, DATE '1994-01-01' + CAST(event_id * 37 % 2400 AS INT) AS peaked_on, event_id * 29 % 1300 AS level_cm,
+          CASE WHEN event_id % 5 <> 0 THEN 700 END AS mhw_cm, CASE WHEN event_id % 4 <> 0 THEN 900 END AS hsw_cm, CASE WHEN event_id % 3 <> 0 THEN 1200 END AS hhw_cm,
+          CASE WHEN event_id % 2 <> 0 THEN 650 END AS mark_one_cm, CASE WHEN event_id % 7 <> 0 THEN 950 END AS mark_two_cm
+        FROM {events} WHERE event_type = 'error'""",
     "special_checks": """
-        SELECT event_id AS id, user_id AS structure_id, CAST(ts AS DATE) AS checked_on FROM {events} WHERE event_type = 'purchase'""",
+        SELECT id, structure_id, inspected_on AS checked_on FROM {inspections} WHERE type = 'SPECIAL' AND inspected_on IS NOT NULL""",
+    "works": """
+        SELECT o_orderkey AS id, o_custkey AS structure_id, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS started_on,
+          CASE WHEN o_orderkey % 4 <> 0 THEN CAST(o_orderdate AS DATE) + 40 END AS ended_on,
+          CASE o_orderkey % 5 WHEN 0 THEN 'Instandsetzung Widerlager' WHEN 1 THEN 'Geländer' WHEN 2 THEN 'Gründung verstärkt' END AS title,
+          CASE o_orderkey % 7 WHEN 0 THEN 'Unterspülung' WHEN 1 THEN 'Alter' END AS reason
+        FROM {orders}""",
+    "books": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 8 <> 0 THEN c_custkey - c_custkey % 2 END AS structure_id, CASE c_custkey % 6 WHEN 0 THEN 'Nachrechnung' ELSE 'BAUWERKSBUCH' END AS type,
+          CASE c_custkey % 9 WHEN 0 THEN 'Tragfähigkeitsnachweis.pdf' WHEN 1 THEN 'statische Berechnung 2.pdf' ELSE concat('Buch ', CAST(c_custkey AS STRING), '.pdf') END AS filename
+        FROM {customer}""",
+    "processing": """
+        SELECT o_orderkey AS id, o_custkey AS document_id, o_orderkey % 23 AS attempt, CASE o_orderkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status
+        FROM {orders}""",
+    "finding_evidence": """
+        SELECT id AS finding_id, inspection_id AS evidence_id, CASE stability % 2 WHEN 0 THEN 'SOURCE_FACT' ELSE 'DERIVED' END AS kind FROM {findings} WHERE durability <> 4""",
+    "source_evidence": """
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS run_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS page,
+          CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'Riss' END AS excerpt, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTOMATICALLY_EXTRACTED' END AS review_state
+        FROM {orders}""",
     "evidence": """
         SELECT 'RECOMMENDATION' AS kind, o_orderkey AS entity_id, o_orderkey % 1000 AS doc_id,
           CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS page,
