@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from girderlake.functions.text import first_of
+from girderlake.functions.text import contains_any, first_of
 from girderlake.operators.latest import first_per_key
+from girderlake.operators.workflow import finding_health
 
 # Provenance and history --------------------------------------------------------------------------------------------
 
@@ -43,24 +44,49 @@ def finding_quality(findings: DataFrame, evidence: DataFrame) -> DataFrame:
     return df.groupBy("structure_id").agg(n(F.col("shown").isNotNull()).alias("with_evidence"), n(F.col("shown").isNull()).alias("without_evidence"))
 
 
-def data_health(structures: DataFrame, parts: DataFrame, inspections: DataFrame, traffic: DataFrame, recommendations: DataFrame, as_of_year: int, stale_after: int = 5) -> DataFrame:
-    """One row per structure and indicator: code, status, count."""
-    geometry = parts.groupBy("structure_id").agg(F.count("*").alias("n_parts"), F.count_if(F.col("length_m").isNull() | F.col("span_count").isNull()).alias("n_bare"))
-    dated = inspections.where("inspected_on IS NOT NULL").groupBy("structure_id").agg(F.max("inspected_on").alias("last_on"))
-    year = traffic.groupBy("structure_id").agg(F.max("observation_year").alias("traffic_year"))
-    undone = recommendations.where("status <> 'COMPLETED'").groupBy("structure_id").agg(F.count_if(F.col("cost").isNull()).alias("n_uncosted"))
-    df = structures.select(F.col("id").alias("structure_id"))
-    for part in (geometry, dated, year, undone):
+#: Words of a document's kind or name that tell of a load recalculation, accents folded (F2).
+RECALCULATION = ["nachrechnung", "tragfahigkeitsnachweis", "statische berechnung"]
+
+
+def documents_with_errors(runs: DataFrame, processing: DataFrame) -> DataFrame:
+    """Documents whose latest extraction or latest processing failed."""
+    order = [F.col("attempt").desc(), F.col("id").desc()]
+    failed = [first_per_key(x, ["document_id"], order).where("status = 'FAILED'").select("document_id") for x in (runs, processing)]
+    return failed[0].union(failed[1]).distinct()
+
+
+def data_health(rel, as_of_year: int, stale_after: int = 5) -> DataFrame:
+    """One row per structure and indicator, nine of them: code, status, count."""
+    bare = F.lit(False)
+    for column in ("length_m", "width_m", "area_sqm", "span_count"):
+        bare = bare | F.col(column).isNull()
+    geometry = rel.parts.groupBy("structure_id").agg(F.count("*").alias("n_parts"), F.count_if(bare).alias("n_bare"))
+    dated = rel.inspections.where("inspected_on IS NOT NULL").groupBy("structure_id").agg(F.max("inspected_on").alias("last_on"))
+    year = rel.traffic.groupBy("structure_id").agg(F.max("observation_year").alias("traffic_year"))
+    managed = rel.interventions.where("estimate IS NOT NULL").select(F.col("recommendation_id").alias("id"), F.lit(True).alias("managed"))
+    undone = rel.recommendations.where("status NOT IN ('COMPLETED', 'CANCELLED')").join(managed, "id", "left")
+    undone = undone.groupBy("structure_id").agg(F.count_if(F.col("cost").isNull() & F.col("managed").isNull()).alias("n_uncosted"), F.count_if(F.col("quantity").isNull() | F.col("unit").isNull()).alias("n_unmeasured"))
+    wrong = documents_with_errors(rel.runs, rel.processing).withColumnRenamed("document_id", "id").withColumn("wrong", F.lit(True))
+    recalculated = contains_any(F.concat_ws(" ", "type", "filename"), RECALCULATION)
+    books = rel.books.where("structure_id IS NOT NULL").join(wrong, "id", "left").groupBy("structure_id").agg(F.count("wrong").alias("n_wrong"), F.bool_or(recalculated).alias("recalculated"))
+    df = rel.structures.select(F.col("id").alias("structure_id"))
+    for part in (geometry, dated, year, undone, books, finding_health(rel.findings, rel.structures, rel.finding_evidence, rel.source_evidence)):
         df = df.join(part, "structure_id", "left")
     c, zero = F.col, F.lit(0)
     age = F.greatest(F.lit(as_of_year) - c("traffic_year"), zero)
-    uncosted = F.coalesce("n_uncosted", zero)
+    counted = lambda code, n, issue: one(code, F.when(F.coalesce(n, zero) > 0, issue).otherwise("COMPLETE"), c(n))
+    load = F.coalesce("recalculated", F.lit(False))
     one = lambda code, status, count: F.struct(F.lit(code).alias("code"), status.alias("status"), F.coalesce(count, zero).cast("long").alias("count"))
     rows = F.array(
         one("LATEST_INSPECTION", F.when(c("last_on").isNull(), "MISSING").otherwise("AVAILABLE"), c("last_on").isNotNull().cast("long")),
         one("TRAFFIC_CURRENCY", first_of((c("traffic_year").isNull(), "MISSING"), (age > stale_after, "STALE")).otherwise("CURRENT"), age),
         one("GEOMETRY_COMPLETENESS", F.when(c("n_parts").isNull() | (c("n_bare") > 0), "MISSING").otherwise("COMPLETE"), F.when(c("n_bare") > 0, c("n_bare")).otherwise(c("n_parts"))),
-        one("RECOMMENDATION_COST_ESTIMATES", F.when(uncosted > 0, "MISSING").otherwise("COMPLETE"), uncosted),
+        counted("EXTRACTION_ERRORS", "n_wrong", "ERROR"),
+        counted("RECOMMENDATION_QUANTITIES", "n_unmeasured", "MISSING"),
+        counted("RECOMMENDATION_COST_ESTIMATES", "n_uncosted", "MISSING"),
+        counted("EXTRACTED_FINDING_REVIEW", "n_review", "REVIEW_REQUIRED"),
+        counted("CRITICAL_SOURCE_EVIDENCE", "n_unshown", "ERROR"),
+        one("LOAD_RECALCULATION_DOCUMENT", F.when(load, "AVAILABLE").otherwise("MISSING"), load.cast("long")),
     )
     return df.select("structure_id", F.inline(rows))
 

@@ -35,5 +35,24 @@ def ranked(found: DataFrame, name: str, limit: int) -> DataFrame:
     return best.join(F.broadcast(total))  # one row
 
 
+def search_findings(findings: DataFrame, structures: DataFrame, q: str, limit: int = 5) -> DataFrame:
+    """Findings with their structure; an exact key first, then keys and then kinds that begin so."""
+    rows = findings.distinct().join(structures.select(F.col("id").alias("structure_id"), "ext_no", "road"), "structure_id")
+    return ranked(matches(rows, q, ["id", "description", "status", "ext_no", "road"], ["id"], ["id", "description"]), "id", checked_limit(limit))
+
+
+def search_recommendations(recommendations: DataFrame, structures: DataFrame, q: str, limit: int = 5) -> DataFrame:
+    """Recommendations with their structure; an exact work type first, then work types that begin so."""
+    rows = recommendations.join(structures.select(F.col("id").alias("structure_id"), "ext_no", "road"), "structure_id")
+    return ranked(matches(rows, q, ["work_type", "urgency", "status", "ext_no", "road"], ["work_type"], ["work_type"]), "work_type", checked_limit(limit))
+
+
+def checked_limit(limit: int) -> int:
+    """1 to 10 rows of each group."""
+    if not 1 <= limit <= 10:
+        raise ValueError("a search shows 1 to 10 rows of each group")
+    return limit
+
+
 def search_structures(structures: DataFrame, q: str, limit: int = 5) -> DataFrame:
-    return ranked(matches(structures, q, ["ext_no", "road", "state", "crossed"], ["ext_no"], ["ext_no", "road"]), "ext_no", limit)
+    return ranked(matches(structures, q, ["ext_no", "road", "state", "crossed"], ["ext_no"], ["ext_no", "road"]), "ext_no", checked_limit(limit))

@@ -90,16 +90,36 @@ VIEWS = {
     "q_envelopes": "SELECT scenario_id, year, CASE WHEN (year + scenario_id) % 4 <> 0 THEN CAST(year * 3000 AS DECIMAL(16,2)) END AS budget FROM {q_scenarios}, (SELECT CAST(unnest(range(1998, 2003)) AS BIGINT) AS year)",
     "q_assigned": """SELECT scenario_id, estimate, CASE WHEN asked BETWEEN 1998 AND 2002 THEN asked WHEN i.id % 4 <= 1 AND asked IS NULL THEN NULL WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS assigned_year
       FROM (SELECT *, CASE WHEN id % 4 = 0 THEN planned_year + 1 END AS asked FROM {interventions}) i JOIN {structures} s ON s.id = i.structure_id JOIN {q_scenarios} ON q_scenarios.road = s.road""",
+    "q_assigned_ids": """SELECT scenario_id, id, CASE WHEN asked BETWEEN 1998 AND 2002 THEN asked WHEN id % 4 <= 1 AND asked IS NULL THEN NULL WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS assigned_year
+      FROM (SELECT i.id, i.planned_year, q.scenario_id, CASE WHEN i.id % 4 = 0 THEN planned_year + 1 END AS asked FROM {interventions} i JOIN {structures} s ON s.id = i.structure_id JOIN {q_scenarios} q ON q.road = s.road)""",
     "q_years": """SELECT e.scenario_id, e.year, e.budget, count(a.scenario_id) AS n_items, CAST(coalesce(sum(a.estimate), 0) AS DECIMAL(38,2)) AS value, count(a.scenario_id) - count(a.estimate) AS n_missing
       FROM {q_envelopes} e LEFT JOIN {q_assigned} a ON a.scenario_id = e.scenario_id AND a.assigned_year = e.year GROUP BY 1, 2, 3""",
-    "q_health": f"""WITH g AS (SELECT structure_id, count(*) AS n_parts, count(*) FILTER (WHERE length_m IS NULL OR span_count IS NULL) AS n_bare FROM {{parts}} GROUP BY 1),
+    "q_finding_health": f"""SELECT s.id AS structure_id, count(DISTINCT f.id) FILTER (WHERE data_origin = 'EXTRACTED' AND EXISTS (SELECT 1 FROM {{finding_evidence}} fe JOIN {{source_evidence}} se ON se.id = fe.evidence_id
+        WHERE fe.finding_id = f.id AND se.run_id IS NOT NULL AND se.review_state = 'AUTOMATICALLY_EXTRACTED')) AS n_review,
+      count(DISTINCT f.id) FILTER (WHERE data_origin = 'EXTRACTED' AND f.status IN {_ACTIVE} AND greatest(coalesce(stability, 0), coalesce(safety, 0), coalesce(durability, 0)) >= 2
+        AND NOT EXISTS (SELECT 1 FROM {{finding_evidence}} fe JOIN {{source_evidence}} se ON se.id = fe.evidence_id
+          WHERE fe.finding_id = f.id AND fe.kind = 'SOURCE_FACT' AND se.run_id IS NOT NULL AND se.page IS NOT NULL AND nullif(trim(se.excerpt), '') IS NOT NULL)) AS n_unshown
+      FROM {{structures}} s LEFT JOIN {{findings}} f ON f.structure_id = s.id GROUP BY 1""",
+    "q_last_runs": "SELECT document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY attempt DESC, id DESC) AS n FROM {runs}) WHERE n = 1",
+    "q_last_processing": "SELECT document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY attempt DESC, id DESC) AS n FROM {processing}) WHERE n = 1",
+    "q_books": r"""SELECT b.structure_id, count(*) FILTER (WHERE r.status = 'FAILED' OR p.status = 'FAILED') AS n_wrong, bool_or(regexp_matches(lower(concat(type, ' ', filename)), 'nachrechnung|tragfähigkeitsnachweis|statische berechnung')) AS load
+      FROM {books} b LEFT JOIN {q_last_runs} r ON r.document_id = b.id LEFT JOIN {q_last_processing} p ON p.document_id = b.id WHERE b.structure_id IS NOT NULL GROUP BY 1""",
+    "q_health": f"""WITH g AS (SELECT structure_id, count(*) AS n_parts, count(*) FILTER (WHERE length_m IS NULL OR width_m IS NULL OR area_sqm IS NULL OR span_count IS NULL) AS n_bare FROM {{parts}} GROUP BY 1),
       i AS (SELECT structure_id, max(inspected_on) AS last_on FROM {{inspections}} GROUP BY 1), t AS (SELECT structure_id, max(observation_year) AS y FROM {{traffic}} GROUP BY 1),
-      r AS (SELECT structure_id, count(*) FILTER (WHERE cost IS NULL) AS n FROM {{recommendations}} WHERE status <> 'COMPLETED' GROUP BY 1),
-      b AS (SELECT s.id AS structure_id, n_parts, n_bare, last_on, y, coalesce(n, 0) AS n FROM {{structures}} s LEFT JOIN g ON g.structure_id = s.id LEFT JOIN i ON i.structure_id = s.id LEFT JOIN t ON t.structure_id = s.id LEFT JOIN r ON r.structure_id = s.id)
+      r AS (SELECT r.structure_id, count(*) FILTER (WHERE cost IS NULL AND estimate IS NULL) AS n, count(*) FILTER (WHERE r.quantity IS NULL OR unit IS NULL) AS m FROM {{recommendations}} r
+        LEFT JOIN {{interventions}} p ON p.recommendation_id = r.id WHERE r.status NOT IN ('COMPLETED', 'CANCELLED') GROUP BY 1),
+      b AS (SELECT s.id AS structure_id, n_parts, n_bare, last_on, y, coalesce(n, 0) AS n, coalesce(m, 0) AS m, coalesce(n_wrong, 0) AS n_wrong, coalesce(load, false) AS load, n_review, n_unshown
+        FROM {{structures}} s LEFT JOIN g ON g.structure_id = s.id LEFT JOIN i ON i.structure_id = s.id LEFT JOIN t ON t.structure_id = s.id LEFT JOIN r ON r.structure_id = s.id
+        LEFT JOIN {{q_books}} k ON k.structure_id = s.id JOIN {{q_finding_health}} f ON f.structure_id = s.id)
       SELECT structure_id, 'LATEST_INSPECTION' AS code, CASE WHEN last_on IS NULL THEN 'MISSING' ELSE 'AVAILABLE' END AS status, CAST(last_on IS NOT NULL AS BIGINT) AS count FROM b
       UNION ALL SELECT structure_id, 'TRAFFIC_CURRENCY', CASE WHEN y IS NULL THEN 'MISSING' WHEN {AS_OF[:4]} - y > 5 THEN 'STALE' ELSE 'CURRENT' END, coalesce(greatest({AS_OF[:4]} - y, 0), 0) FROM b
       UNION ALL SELECT structure_id, 'GEOMETRY_COMPLETENESS', CASE WHEN n_parts IS NULL OR n_bare > 0 THEN 'MISSING' ELSE 'COMPLETE' END, coalesce(CASE WHEN n_bare > 0 THEN n_bare ELSE n_parts END, 0) FROM b
-      UNION ALL SELECT structure_id, 'RECOMMENDATION_COST_ESTIMATES', CASE WHEN n > 0 THEN 'MISSING' ELSE 'COMPLETE' END, n FROM b""",
+      UNION ALL SELECT structure_id, 'EXTRACTION_ERRORS', CASE WHEN n_wrong > 0 THEN 'ERROR' ELSE 'COMPLETE' END, n_wrong FROM b
+      UNION ALL SELECT structure_id, 'RECOMMENDATION_QUANTITIES', CASE WHEN m > 0 THEN 'MISSING' ELSE 'COMPLETE' END, m FROM b
+      UNION ALL SELECT structure_id, 'RECOMMENDATION_COST_ESTIMATES', CASE WHEN n > 0 THEN 'MISSING' ELSE 'COMPLETE' END, n FROM b
+      UNION ALL SELECT structure_id, 'EXTRACTED_FINDING_REVIEW', CASE WHEN n_review > 0 THEN 'REVIEW_REQUIRED' ELSE 'COMPLETE' END, n_review FROM b
+      UNION ALL SELECT structure_id, 'CRITICAL_SOURCE_EVIDENCE', CASE WHEN n_unshown > 0 THEN 'ERROR' ELSE 'COMPLETE' END, n_unshown FROM b
+      UNION ALL SELECT structure_id, 'LOAD_RECALCULATION_DOCUMENT', CASE WHEN load THEN 'AVAILABLE' ELSE 'MISSING' END, CAST(load AS BIGINT) FROM b""",
     "q_numbers": r"""SELECT *, CASE WHEN x LIKE '%,%' AND x LIKE '%.%' THEN CASE WHEN regexp_matches(x, '\.[^.]*,[^.]*$') THEN regexp_replace(replace(x, '.', ''), ',', '.') ELSE replace(x, ',', '') END
       WHEN regexp_full_match(x, '\d{{1,3}}(\.\d{{3}})+') THEN replace(x, '.', '') WHEN x LIKE '%,%' THEN regexp_replace(x, ',', '.') ELSE x END AS y,
       CASE WHEN regexp_full_match(x, '\d{{1,3}}([.,]\d{{3}})+') THEN regexp_replace(x, '[.,]', '', 'g') ELSE x END AS z
@@ -117,7 +137,7 @@ VIEWS = {
       FROM (SELECT *, length(regexp_replace(text, '\\s+', '', 'g')) AS n, text LIKE '%Foto 1%' OR text LIKE '%Lichtbild%' AS label, text LIKE '%Bauwerksansicht%' AS view_, regexp_matches(text, '(?i)\\bansicht\\b') AS weak, text LIKE '%Querschnitt%' AS drawing, text LIKE '%Bauwerksbuch%' AS cover FROM {book_pages} WHERE number <= 20)""",
 }
 
-_SQL = {
+SQL = {
     "portfolio_attention": """SELECT structure_id, ext_no, CAST(attention_priority AS BIGINT) AS attention_priority, concat_ws(',',
         CASE inspection_status WHEN 'OVERDUE' THEN 'OVERDUE_INSPECTION' WHEN 'DUE_SOON' THEN 'INSPECTION_DUE_SOON' END, CASE WHEN mv >= 2 THEN 'TRAFFIC_SAFETY_FINDING' END,
         CASE WHEN ms >= 2 THEN 'STABILITY_FINDING' END, CASE WHEN md >= 2 THEN 'DURABILITY_FINDING' END, CASE WHEN environment THEN 'ENVIRONMENTAL_EXPOSURE' END,
@@ -282,7 +302,7 @@ _SQL = {
 
 
 def oracle(name: str) -> str:
-    return with_relations(_SQL[name], VIEWS)
+    return with_relations(SQL[name], VIEWS)
 
 
-ORACLES = {name: oracle(name) for name in _SQL}
+ORACLES = {name: oracle(name) for name in SQL}

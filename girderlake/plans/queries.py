@@ -273,13 +273,13 @@ def finding_quality_exists(rel):
 
 @query
 def data_health(rel):
-    return records.data_health(rel.structures, rel.parts, rel.inspections, rel.traffic, rel.recommendations, int(AS_OF[:4]))
+    return records.data_health(rel, int(AS_OF[:4]))
 
 
 @query
 def document_overview(rel):
     """Indicators that need attention, by code, over the whole portfolio."""
-    health = records.data_health(rel.structures, rel.parts, rel.inspections, rel.traffic, rel.recommendations, int(AS_OF[:4]))
+    health = records.data_health(rel, int(AS_OF[:4]))
     return health.groupBy("code").agg(F.count_if(records.needs_attention(F.col("status"))).alias("n_attention"), F.sum("count").alias("total"))
 
 
@@ -581,3 +581,6 @@ def text_choice(rel):
 @query
 def json_properties(rel):
     return rel.events.select("event_id", records.json_number(F.col("props"), "$.k").alias("k"))
+
+
+from girderlake.plans import workflow  # noqa: E402, F401  its queries register themselves above

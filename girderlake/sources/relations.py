@@ -67,8 +67,28 @@ RELATIONS = {
           CAST(year(o_orderdate) AS BIGINT) + o_orderkey % 5 AS planned_year,
           CASE o_orderkey % 12 WHEN 0 THEN 'PLANNED' WHEN 3 THEN 'BUDGETED' WHEN 6 THEN 'PLANNED' ELSE 'TENDER_PREPARATION' END AS status,
           CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(16,2)) END AS estimate,
-          o_orderkey % 2 AS included
+          o_orderkey % 2 AS included, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey % 90 END AS quantity, CAST(o_orderdate AS DATE) AS generated_on
         FROM {orders} WHERE o_orderkey % 3 = 0""",
+    "photos": """
+        SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(o_orderdate AS DATE) AS created_on, CASE o_orderkey % 3 WHEN 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM {orders}""",
+    "metadata_rows": """
+        SELECT p_partkey AS id, concat(chr(123), '"fixture": ', CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"true"' WHEN 2 THEN 'false' ELSE '1' END, ', "sourceUrl": ',
+          CASE p_partkey % 3 WHEN 0 THEN concat('"https://example.org/', CAST(p_partkey AS STRING), '"') WHEN 1 THEN '12' ELSE 'null' END, chr(125)) AS metadata FROM {part}""",
+    "recommendation_findings": """
+        SELECT DISTINCT id AS finding_id, inspection_id AS recommendation_id FROM {findings} WHERE stability <> 4""",
+    "package_commands": """
+        SELECT id * 2 AS id, id AS intervention_id, CASE WHEN id % 4 < 2 THEN 'CREATE' ELSE 'DELETE' END AS kind FROM {interventions}
+        UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey + 1, 'CREATE' FROM {orders}""",
+    "network_years": """
+        SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(year(o_orderdate) AS BIGINT) AS observation_year, (o_orderkey * 13) % 420 AS extra_tenths_km FROM {orders}""",
+    "notes": """
+        SELECT DISTINCT id AS finding_id, concat(coalesce(description, ''), CASE WHEN stability < 3 THEN ' Maßnahme ' ELSE ' massnahmenempfehlung' END, chr(123),
+          CAST(inspection_id + safety AS STRING), chr(125), CASE durability WHEN 1 THEN concat(' MASNAHME ', chr(123), CAST(inspection_id AS STRING), chr(125)) ELSE '' END) AS text FROM {findings}""",
+    "mentions": """
+        SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN concat('finding:', CAST(p_partkey + 1 AS STRING)) WHEN 1 THEN concat('Schaden [', CAST(p_partkey + 2 AS STRING), '] S. 7')
+          WHEN 2 THEN 'keiner' ELSE CAST(p_partkey AS STRING) END AS ref FROM {part}""",
+    "reference_targets": """
+        SELECT p_partkey AS number, CASE p_partkey % 5 WHEN 0 THEN concat('finding:', CAST(p_partkey AS STRING)) ELSE concat('f', CAST(p_partkey AS STRING)) END AS source_key FROM {part}""",
     "traffic": """
         SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(year(o_orderdate) AS BIGINT) AS observation_year,
           CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_orderdate AS DATE) END AS observed_on,
