@@ -104,12 +104,13 @@ def clean(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float
     Columns are those of ``docs``. A text without any such line is handed on unchanged.
     """
     judged, often = _judged(docs, share, least, depleted, min_words, max_repeat, id_col, text_col, host_col)
-    drop = often.groupBy("row").agg(F.collect_set("line").alias("_drop"))
-    kept = judged.where("kept").join(drop, "row", "left").select("doc_id", "host", "text_key", "_drop").dropDuplicates(["doc_id", "host", "text_key"])
-    same = docs[id_col].cast("long").eqNullSafe(kept["doc_id"]) & docs[host_col].eqNullSafe(kept["host"]) & (F.xxhash64(docs[text_col]) == kept["text_key"])
-    columns = [docs[c].alias(c) for c in docs.columns]
-    met = docs.join(kept, same).select(*columns, "_drop")
-    place = docs.columns.index(text_col)
+    drop = often.groupBy("row").agg(F.collect_set("line").alias("drop"))
+    kept = judged.where("kept").join(drop, "row", "left").select("doc_id", "host", "text_key", "drop").dropDuplicates(["doc_id", "host", "text_key"])
+    own = docs.select(*(docs[c].alias(f"own_{i}") for i, c in enumerate(docs.columns)))  # its columns may have any names
+    of = lambda name: F.col(f"own_{docs.columns.index(name)}")
+    same = of(id_col).cast("long").eqNullSafe(F.col("doc_id")) & of(host_col).eqNullSafe(F.col("host")) & (F.xxhash64(of(text_col)) == F.col("text_key"))
+    met = own.join(kept, same).select(*own.columns, "drop")
+    place, names = docs.columns.index(text_col), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +120,7 @@ def clean(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float
                     texts[i] = _without(texts[i], np.array(lines, np.int64))
             held = list(batch.columns[:-1])
             held[place] = pa.array(texts, batch.schema.types[place])
-            yield pa.record_batch(held, names=batch.schema.names[:-1])
+            yield pa.record_batch(held, names=names)
 
     return met.mapInArrow(run, docs.schema)
 

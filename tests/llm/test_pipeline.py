@@ -4,7 +4,7 @@ import re
 from collections import Counter
 
 import corpus_pipeline
-from girderlake.llm import queries
+from girderlake.llm import minhash_star, quality_lines, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +49,39 @@ def test_language_stage_without_labels(spark):
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() >= 100
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _drop string, _key long, _row int, doc long, part int"
+
+
+def odd_rows(spark):
+    line = " ".join(f"w{i}x" for i in range(30))
+    long = " ".join(f"v{i % 977}y{i % 13}" for i in range(60_000))
+    texts = [(1, None), (2, ""), (3, " \t\n"), (4, line), (4, line), (5, line + " more"), (None, "z" + line), (6, long), (6, line[:60]), (7, "é" * 400)]
+    return spark.createDataFrame([(i, t, "en" if i != 5 else None, None if i == 4 else "h", 0, "a", 1, 2, 3, 4) for i, t in texts], ODD)
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    """Null, empty and very long texts, repeated rows, null ids and hosts, and columns of any name: no stage fails or invents rows."""
+    docs, known = odd_rows(spark), {r["text"] for r in odd_rows(spark).select("text").collect()}
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, None)
+        assert out.columns == list(corpus_pipeline.COLUMNS), name
+        rows = out.collect()
+        assert len(rows) <= docs.count()
+        if name != "substring dedup":
+            assert {r["text"] for r in rows} <= known
+        assert stage(spark, docs.limit(0), None).count() == 0
+    near = corpus_pipeline.near_dedup(spark, docs, None).collect()
+    assert sorted(r["doc_id"] or 0 for r in near) == [1, 2, 3, 4, 6, 6, 7]  # 5 and the one without id are near copies of 4, which stays once
+    cut = {(r["doc_id"], r["text"]) for r in corpus_pipeline.substring_dedup(spark, docs, None).collect()}
+    assert (5, "more") in cut and (4, " ".join(f"w{i}x" for i in range(30))) in cut
+    packed = corpus_pipeline.packing(spark, docs, None)
+    assert packed.where("piece = 0").count() == docs.count()
+    assert corpus_pipeline.packing(spark, docs.limit(0), None).count() == 0
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    docs = odd_rows(spark)
+    assert quality_lines.clean(docs).columns == docs.columns
+    assert minhash_star.one_of_each(docs).columns == docs.columns
