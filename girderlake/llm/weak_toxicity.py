@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderlake.llm.arrays import BYTES, LOWER, of_each, runs, sliced
+from girderlake.llm.store import cut
 
 #: Labelled training rows that all fitting is done on; more are thinned by a hash of their id.
 SAMPLE_ROWS = 20_000
@@ -178,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         known = known.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1e6 * SAMPLE_ROWS / total))
     ids = known.select(F.col(id_col).cast("long").alias("id"), "label")  # about SAMPLE_ROWS ids, so they may be broadcast
     sample = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).join(F.broadcast(ids), "id").select("id", "label", "text").distinct()  # rows of one id and other texts are other texts
-    sample = _kept(sample)
+    sample = cut(sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     base = float(np.clip((both["toxic"] or 0) / max(both["n"], 1), 1e-3, 1 - 1e-3))
     t, c = F.col("toxic"), F.col("texts") - F.col("toxic")
     part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col("texts") * p))).otherwise(F.lit(0.0))
-    good = counted.withColumn("evidence", 2 * (part(t, base) + part(c, 1 - base))).where((F.col("evidence") > EVIDENCE) & (t > base * F.col("texts")))
+    good = cut(counted.withColumn("evidence", 2 * (part(t, base) + part(c, 1 - base))).where((F.col("evidence") > EVIDENCE) & (t > base * F.col("texts"))))  # read once for each kind
     model = Model()
     for kind in (0, *GRAMS):
         top = good.where(F.col("kind") == kind).orderBy(F.desc("evidence"), "name", "hash").limit(VOTERS).collect()
@@ -242,13 +243,6 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     return model
 
 
-def _kept(sample: DataFrame) -> DataFrame:
-    """The sample is read twice; it is small, but its scan is not."""
-    from girderlake.llm.store import cut
-
-    return cut(sample)
-
-
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (1 from 0.5 on) of every whole text; null counts as empty. Rows that repeat are scored each by itself."""
     held = docs.sparkSession.sparkContext.broadcast(model)
