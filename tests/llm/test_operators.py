@@ -512,7 +512,7 @@ def test_prefixes_grow_until_groups_fit(most):
     for t in tops.tolist():
         want[tuple(codes[t : t + width].tolist())].add(t)
     assert nodes == {frozenset(x) for x in want.values() if len(x) > 1}
-    assert depths == {1: {12}, 1 << 20: {2}}.get(most, depths) and (len(depths) > 1 or most in (1, 1 << 20))
+    assert depths == {1: {12}, 1 << 20: {2}}.get(most, depths) and (2 in depths) == (most > 1000)
 
 
 def test_induced_sorting_recurses():
