@@ -77,7 +77,7 @@ RELATIONS = {
     "recommendation_findings": """
         SELECT DISTINCT id AS finding_id, inspection_id AS recommendation_id FROM {findings} WHERE stability <> 4""",
     "package_commands": """
-        SELECT id * 2 AS id, id AS intervention_id, CASE WHEN id % 4 < 2 THEN 'CREATE' ELSE 'DELETE' END AS kind FROM {interventions}
+        SELECT id * 2 AS id, id AS intervention_id, CASE WHEN id % 8 < 4 THEN 'CREATE' ELSE 'DELETE' END AS kind FROM {interventions}
         UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey + 1, 'CREATE' FROM {orders}""",
     "network_years": """
         SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(year(o_orderdate) AS BIGINT) AS observation_year, (o_orderkey * 13) % 420 AS extra_tenths_km FROM {orders}""",

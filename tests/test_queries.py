@@ -40,3 +40,19 @@ def test_no_cross_join_and_pruned_scans(spark):
 def test_range_filter_reaches_the_scan(spark):
     plan = QUERIES["portfolio_page"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+def test_rare_branches_occur(duck):
+    """The data hold what the flood and urgency rules tell apart, or equal rows would show nothing."""
+    count = lambda name, where: duck.sql(f"SELECT count(*) FROM ({ORACLES[name]}) WHERE {where}").fetchall()[0][0]
+    assert count("portfolio_attention", "reasons LIKE '%FLOOD_EXPOSURE%'") and count("portfolio_attention", "reasons NOT LIKE '%FLOOD_EXPOSURE%'")
+    assert count("maintenance_priority", "reasons LIKE '%POST_FLOOD_INSPECTION%'")
+    for rank in (1, 2, 3, 4):
+        assert count("headline_recommendation", f"urgency_rank = {rank}")
+    assert count("scour_regex_semijoin", "true") and count("interval_antijoin", "true")
+    for band in ("BELOW_TRIGGER", "MODERATE", "HIGH", "EXTREME"):
+        assert count("flood_history", f"band = '{band}'")
+    for kind in ("check", "scour", "repair"):
+        assert count("flood_history", f"{kind}_on IS NOT NULL") and count("flood_history", f"{kind}_on IS NULL")
+    for outcome in ("NOT_FOUND", "CREATED", "NOT_BUDGETED", "DELETED", "NOT_IN_TENDER"):
+        assert count("package_commands", f"outcome = '{outcome}'"), outcome
