@@ -205,7 +205,7 @@ SQL = {
         UNION ALL SELECT structure_id, 'WORK', id, sourced_on, coalesce(work_type, 'Historical work'), work_type, NULL FROM {recommendations} WHERE status = 'COMPLETED'
         UNION ALL SELECT structure_id, 'TRAFFIC', id, observed_on, concat('Traffic observation ', observation_year), NULL, daily_traffic FROM {traffic}""",
     "evidence_union": """SELECT kind, entity_id, doc_id, page FROM {evidence} UNION ALL SELECT 'INSPECTION', id, id % 500, id % 30 FROM {inspections} WHERE inspected_on IS NOT NULL
-        UNION ALL SELECT 'TRAFFIC', id, id % 700, NULL FROM {traffic} WHERE id % 2 = 1""",
+        UNION ALL SELECT 'TRAFFIC', id, id % 700, NULL FROM {traffic}""",
     "array_agg_pages": "SELECT d.doc_id, coalesce(n, 0) AS n_evidence, coalesce(pages, '') AS pages FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT page) FILTER (WHERE page IS NOT NULL)), ',') AS pages FROM {evidence} GROUP BY 1) e ON e.doc_id = d.doc_id",
     "provenance_rollup": "SELECT r.id, CASE WHEN n IS NULL THEN 'UNLINKED' WHEN n > 1 THEN 'MIXED' ELSE one END AS origin, coalesce(links, 0) AS links FROM {recommendations} r LEFT JOIN (SELECT entity_id, count(DISTINCT origin) AS n, min(origin) AS one, count(*) AS links FROM {evidence} WHERE kind = 'RECOMMENDATION' GROUP BY 1) e ON e.entity_id = r.id",
     "finding_quality_exists": """SELECT structure_id, count(DISTINCT id) FILTER (WHERE greatest(stability, safety) >= 3 AND shown) AS with_evidence, count(DISTINCT id) FILTER (WHERE greatest(stability, safety) >= 3 AND NOT shown) AS without_evidence
@@ -232,10 +232,26 @@ SQL = {
     "keep_first": "SELECT part_id, description, min(id) AS id FROM {findings} WHERE description IS NOT NULL GROUP BY 1, 2",
     "coalesce_merge": "SELECT structure_id, arg_min(urgency, id) FILTER (WHERE urgency IS NOT NULL) AS urgency, arg_min(cost, id) FILTER (WHERE cost IS NOT NULL) AS cost, arg_min(target_year, id) FILTER (WHERE target_year IS NOT NULL) AS target_year, count(*) AS n_merged FROM {recommendations} GROUP BY 1",
     "identity_keys": "SELECT id, concat('structure:', substr(sha256(concat('=', lower(ext_no), '|=', lower(road), '|', CASE WHEN crossed IS NULL THEN '~' ELSE concat('=', lower(crossed)) END)), 1, 32)) AS identity FROM {structures}",
-    "reconcile_actions": """SELECT id, CASE WHEN id % 10 = 1 THEN 'INSERT' WHEN id % 10 = 0 THEN 'STALE' WHEN id % 7 = 0 AND coalesce(urgency, '~') <> 'x' THEN 'UPDATE' ELSE 'UNCHANGED' END AS action FROM {recommendations}""",
+    "reconcile_actions": """SELECT id, CASE WHEN id % 10 = 1 THEN 'INSERT' WHEN id % 10 = 0 THEN 'STALE' WHEN id % 7 = 0 AND coalesce(urgency, '~') <> 'x' THEN 'UPDATE' ELSE 'UNCHANGED' END AS action FROM {recommendations}
+        UNION ALL SELECT -1 - id, CASE id % 10 WHEN 0 THEN 'INSERT' ELSE 'STALE' END FROM {recommendations} WHERE id % 10 <= 1""",
     "chunk_islands": """SELECT conv_id, min(turn) AS first, max(turn) AS last, count(*) AS n FROM (SELECT *, (row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) - 1) // 2 AS chunk FROM (
-        SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn FROM conversations WHERE turn % 3 <> 2))) GROUP BY conv_id, run, chunk""",
-    "upsert_programme": """SELECT * FROM (WITH y AS (SELECT DISTINCT planned_year FROM {interventions}), new AS (SELECT planned_year + 2 AS planned_year FROM y WHERE planned_year % 2 = 0)
+        SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT DISTINCT conv_id, turn + turn // 3 AS turn FROM conversations WHERE turn IS NOT NULL))) GROUP BY conv_id, run, chunk""",
+    "page_labels": """SELECT id, nullif(coalesce(nullif(regexp_extract(x, '(?i)bauwerks(?:nummer|-?nr\\.?)\\D{0,20}(\\d{5,8})', 1), ''), regexp_extract(x, '(?i)nummer\\s+stra(?:ss|ß)e\\s+ibwnr\\s+(\\d{5,8})', 1)), '') AS structure_number,
+        nullif(regexp_extract(x, '\\b([ABLK]\\s?\\d{1,4})\\b', 1), '') AS road,
+        array_to_string(list_filter([CASE WHEN regexp_matches(text, '\\[\\d+\\]\\s*S\\s*=|(?i:7\\.4\\s+Sch[äa]den)') THEN 'FINDINGS_DAMAGE' END, CASE WHEN regexp_matches(text, 'Ma[sß]nahmenempfehlung\\s*\\{|(?i:Dringlichkeit\\s+\\S+|7\\.6\\s+Empfehlungen)') THEN 'RECOMMENDATIONS' END,
+          CASE WHEN regexp_matches(text, '(?:Hauptprüfung|Einfache Prüfung|Sonderprüfung)\\s+\\d{1,2}\\.\\d{1,2}\\.\\d{4}|(?i:7\\.3\\s+Durchgef[üu]hrte Pr[üu]fungen)') THEN 'INSPECTIONS' END], lambda c: c IS NOT NULL), ',') AS categories,
+        concat(coalesce(nullif(substr(regexp_replace(regexp_replace(regexp_replace(translate(string_split(replace(filename, chr(92), '/'), '/')[-1], 'äöüÄÖÜàâáçéèêëîïíôóûùúñ', 'aouAOUaaaceeeeiiioouuun'), '\\.pdf$', '', 'i'), '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), 1, 176), ''), 'bauwerksbuch'), '.pdf') AS filename,
+        CASE WHEN regexp_matches(url, '^(?i:https?)://[^\\s/]+') THEN concat(string_split(url, '#')[1], '#page=', number) END AS url
+        FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM {book_pages})""",
+    "scenario_autofill": """SELECT * FROM (WITH RECURSIVE asked AS (SELECT i.*, q.scenario_id, CASE WHEN id % 4 = 0 THEN planned_year + 1 END AS wish FROM (SELECT i.*, s.road FROM {interventions} i JOIN {structures} s ON s.id = i.structure_id) i JOIN {q_scenarios} q ON q.road = i.road),
+        wanted AS (SELECT a.scenario_id, a.id, coalesce(a.id % 4 = 0 AND wish BETWEEN 1998 AND 2002, false) AS locked, CASE WHEN wish BETWEEN 1998 AND 2002 THEN wish WHEN a.planned_year BETWEEN 1998 AND 2002 THEN a.planned_year ELSE 1998 END AS preferred,
+          a.estimate, p.priority, p.work_type FROM asked a JOIN {q_priority} p ON p.id = a.id AND p.intervention_id IS NOT NULL),
+        lined AS (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY locked DESC, priority DESC, work_type, id) AS n FROM wanted),
+        step AS (SELECT scenario_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS assigned_year, false AS locked, list(CAST(budget AS DECIMAL(38,2)) ORDER BY year) AS rooms FROM {q_envelopes} GROUP BY 1
+          UNION ALL SELECT scenario_id, n, id, y, locked, list_transform(range(1, 6), lambda k: CASE WHEN y = k + 1997 AND estimate IS NOT NULL THEN CAST(rooms[k] - estimate AS DECIMAL(38,2)) ELSE rooms[k] END)
+          FROM (SELECT l.*, s.rooms, CASE WHEN l.locked THEN l.preferred ELSE list_min(list_filter(range(l.preferred, 2003), lambda v: s.rooms[v - 1997] >= l.estimate)) END AS y FROM step s JOIN lined l ON l.scenario_id = s.scenario_id AND l.n = s.n + 1))
+        SELECT scenario_id, id, assigned_year, CASE WHEN locked THEN 'USER_OVERRIDE' ELSE 'AUTO_FILL' END AS source FROM step WHERE n > 0)""",
+    "upsert_programme": """SELECT * FROM (WITH y AS (SELECT DISTINCT planned_year FROM {interventions}), new AS (SELECT planned_year + 2 AS planned_year FROM y)
         SELECT coalesce(y.planned_year, new.planned_year) AS planned_year, CAST(CASE WHEN new.planned_year IS NOT NULL THEN 250 ELSE 100 END AS BIGINT) AS amount FROM y FULL JOIN new ON y.planned_year = new.planned_year)""",
     "expectation_violations": """SELECT relation, rule, n FROM (
         SELECT 'parts' AS relation, 'length_positive' AS rule, count(*) AS n FROM {parts} WHERE length_m <= 10 UNION ALL SELECT 'parts', 'span_count_set', count(*) FROM {parts} WHERE span_count IS NULL
@@ -266,12 +282,12 @@ SQL = {
         CASE WHEN heavy >= 3000 THEN concat(' Diversion must be HGV-capable (', format('{:,}', heavy), ' heavy vehicles/day).') ELSE '' END) AS requirement FROM {networks} n LEFT JOIN {q_traffic} t ON t.structure_id = n.structure_id""",
     "natural_key_enrichment": "SELECT id, ext_no, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN CASE WHEN id % 5 <> 0 THEN 51 END WHEN id % 3 = 0 THEN id % 90 END AS latitude, CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN CASE WHEN id % 5 <> 0 THEN 7 END WHEN id % 4 = 0 THEN id % 180 END AS longitude FROM {structures}",
     "plan_intervention_outcomes": """SELECT c.id + 500 AS recommendation_id, CASE WHEN r.id IS NULL THEN 'NOT_FOUND' WHEN r.status = 'COMPLETED' THEN 'NOT_ACTIONABLE' WHEN i.id IS NOT NULL THEN 'ALREADY_EXISTS' ELSE 'CREATED' END AS outcome
-        FROM {recommendations} c LEFT JOIN {recommendations} r ON r.id = c.id + 500 LEFT JOIN {interventions} i ON i.recommendation_id = c.id + 500 WHERE c.id % 2 = 0""",
+        FROM {recommendations} c LEFT JOIN {recommendations} r ON r.id = c.id + 500 LEFT JOIN {interventions} i ON i.recommendation_id = c.id + 500""",
     "membership_toggle": """SELECT id, CASE outcome WHEN 'INCLUDED' THEN 'BUDGETED' WHEN 'REMOVED' THEN 'PLANNED' ELSE status END AS status, outcome FROM (SELECT *, CASE WHEN id % 2 <> 0 THEN 'UNTOUCHED' WHEN id % 10 = 0 THEN 'YEAR_MISMATCH'
         WHEN id % 4 = 0 AND status = 'PLANNED' THEN 'INCLUDED' WHEN id % 4 <> 0 AND status = 'BUDGETED' THEN 'REMOVED' ELSE 'NOT_ALLOWED' END AS outcome FROM {interventions})""",
     "scenario_seed": "SELECT scenario_id, i.id, CASE WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS assigned_year, 'SEEDED' AS source FROM {interventions} i JOIN {structures} s ON s.id = i.structure_id JOIN {q_scenarios} q ON q.road = s.road",
     "scenario_adopt": """SELECT id, CASE WHEN moved AND y IS NOT NULL THEN y ELSE planned_year END AS planned_year, CASE WHEN moved AND y IS NOT NULL THEN 'BUDGETED' WHEN moved THEN 'PLANNED' ELSE status END AS status
-        FROM (SELECT *, id % 2 = 0 AND status IN ('PLANNED', 'BUDGETED') AS moved, CASE WHEN id % 4 = 0 AND planned_year + 1 BETWEEN 1998 AND 2002 THEN planned_year + 1 WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS y FROM {interventions})""",
+        FROM (SELECT *, status IN ('PLANNED', 'BUDGETED') AS moved, CASE WHEN id % 4 = 0 AND planned_year + 1 BETWEEN 1998 AND 2002 THEN planned_year + 1 WHEN id % 4 = 1 THEN NULL WHEN planned_year BETWEEN 1998 AND 2002 THEN planned_year END AS y FROM {interventions})""",
     "replace_pages": """SELECT document_id, number, length(text) AS size FROM {book_pages} WHERE document_id % 3 <> 0 UNION ALL SELECT document_id, number, 0 FROM {book_pages} WHERE document_id % 3 = 0 AND number <= 2
         UNION ALL SELECT document_id, number, length(text) FROM {book_pages} p WHERE document_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {book_pages} n WHERE n.document_id = p.document_id AND n.number <= 2)""",
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",

@@ -229,7 +229,7 @@ def scenario_compare(rel):
 
 @query
 def scenario_autofill(rel):
-    """G1; its order decides what is left, so it has no SQL: tests hold it against a plain loop."""
+    """G1; its SQL goes through each plan's items one by one."""
     items = _assigned(rel).withColumn("source", F.when(F.col("id") % 4 == 0, F.lit("USER_OVERRIDE")))
     ranks = maintenance.maintenance_items(rel, AS_OF).where("intervention_id IS NOT NULL").select("id", "priority", "work_type")
     candidates = items.select("scenario_id", "id", "planned_year", F.col("asked").alias("assigned_year"), "source", "estimate").join(ranks, "id")
@@ -251,7 +251,7 @@ def evidence_union(rel):
     """Evidence of three kinds of entities under one roof."""
     seen = rel.evidence.select("kind", "entity_id", "doc_id", "page")
     second = rel.inspections.where("inspected_on IS NOT NULL").select(F.lit("INSPECTION").alias("kind"), F.col("id").alias("entity_id"), (F.col("id") % 500).alias("doc_id"), (F.col("id") % 30).alias("page"))
-    third = rel.traffic.where("id % 2 = 1").select(F.lit("TRAFFIC").alias("kind"), F.col("id").alias("entity_id"), (F.col("id") % 700).alias("doc_id"), F.lit(None).cast("long").alias("page"))
+    third = rel.traffic.select(F.lit("TRAFFIC").alias("kind"), F.col("id").alias("entity_id"), (F.col("id") % 700).alias("doc_id"), F.lit(None).cast("long").alias("page"))
     return seen.unionByName(second).unionByName(third)
 
 
@@ -340,15 +340,17 @@ def identity_keys(rel):
 
 @query
 def reconcile_actions(rel):
-    """yesterday's bindings against today's: some changed, some new, some gone."""
-    today = rel.recommendations.where("id % 10 <> 0").select("id", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("urgency", F.lit("~"))), 256).alias("fingerprint"))
-    before = rel.recommendations.where("id % 10 <> 1").select("id", F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.coalesce("urgency", F.lit("~")))), 256).alias("fingerprint"))
-    return records.reconcile(before, today, ["id"])
+    """yesterday's bindings against today's: some changed, some under another key, so gone here and new there."""
+    moved = lambda digit: F.when(F.col("id") % 10 == digit, -1 - F.col("id")).otherwise(F.col("id")).alias("key")
+    today = rel.recommendations.select(moved(0), F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("urgency", F.lit("~"))), 256).alias("fingerprint"))
+    before = rel.recommendations.select(moved(1), F.sha2(F.concat_ws("|", F.col("id").cast("string"), F.when(F.col("id") % 7 == 0, F.lit("x")).otherwise(F.coalesce("urgency", F.lit("~")))), 256).alias("fingerprint"))
+    return records.reconcile(before.withColumnRenamed("key", "id"), today.withColumnRenamed("key", "id"), ["id"])
 
 
 @query
 def chunk_islands(rel):
-    rows = rel.conversations.where("turn % 3 <> 2").select("conv_id", "turn")
+    """U10 over all turns, numbered with a gap after every third one; turns without a number form no run."""
+    rows = rel.conversations.where("turn IS NOT NULL").select("conv_id", F.expr("turn + turn div 3").alias("turn"))
     return records.chunks(rows, "conv_id", "turn", 2)
 
 
@@ -357,7 +359,7 @@ def upsert_programme(rel):
     """Budgets by year, some of them set anew."""
     years = rel.interventions.select("planned_year").distinct()
     current = years.select("planned_year", F.lit(100).cast("long").alias("amount"))
-    incoming = years.where("planned_year % 2 = 0").select((F.col("planned_year") + 2).alias("planned_year"), F.lit(250).cast("long").alias("amount"))
+    incoming = years.select((F.col("planned_year") + 2).alias("planned_year"), F.lit(250).cast("long").alias("amount"))
     return records.upsert(current, incoming, ["planned_year"])
 
 
@@ -384,6 +386,13 @@ def page_contents(rel):
     return df.select("id", F.round(c("latitude") * 10000).cast("long").alias("latitude_e4"), F.round(c("longitude") * 10000).cast("long").alias("longitude_e4"), "method", pages.structure_number(c("text")).alias("structure_number"), pages.road(c("text")).alias("road"), _joined(pages.categories(c("text"))).alias("categories"), pages.safe_filename(c("filename")).alias("filename"), pages.page_url(c("url"), c("number")).alias("url"))
 
 
+@query
+def page_labels(rel):
+    """What a page's text, file name and address tell."""
+    c = F.col
+    return rel.book_pages.select("id", pages.structure_number(c("text")).alias("structure_number"), pages.road(c("text")).alias("road"), _joined(pages.categories(c("text"))).alias("categories"), pages.safe_filename(c("filename")).alias("filename"), pages.page_url(c("url"), c("number")).alias("url"))
+
+
 @query
 def photo_page(rel):
     """The page of each document that shows its photo."""
@@ -432,19 +441,20 @@ def traffic_management(rel):
 def natural_key_enrichment(rel):
     """Coordinates by external number where both are missing."""
     base = rel.structures.select("id", "ext_no", F.when(F.col("id") % 3 == 0, F.col("id") % 90).alias("latitude"), F.when(F.col("id") % 4 == 0, F.col("id") % 180).alias("longitude"))
-    source = rel.structures.where("id % 5 <> 0").select("ext_no", F.lit(51).cast("long").alias("latitude"), F.lit(7).cast("long").alias("longitude"))
+    source = rel.structures.select(F.when(F.col("id") % 5 != 0, F.col("ext_no")).alias("ext_no"), F.lit(51).cast("long").alias("latitude"), F.lit(7).cast("long").alias("longitude"))
     return lifecycle.enrich(base, source, ["ext_no"], ["latitude", "longitude"])
 
 
 @query
 def plan_intervention_outcomes(rel):
-    commands = rel.recommendations.where("id % 2 = 0").select((F.col("id") + 500).alias("recommendation_id"))
+    commands = rel.recommendations.select((F.col("id") + 500).alias("recommendation_id"))
     return lifecycle.plan_outcomes(commands, rel.recommendations, rel.interventions)
 
 
 @query
 def membership_toggle(rel):
-    commands = rel.interventions.where("id % 2 = 0").select("id", (F.col("id") % 4 == 0).alias("include"), (F.col("planned_year") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("year"))
+    """Every intervention has a command; one that asks for nothing leaves it as it is."""
+    commands = rel.interventions.select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 4 == 0).alias("include"), (F.col("planned_year") + F.when(F.col("id") % 10 == 0, 1).otherwise(0)).alias("year"))
     return lifecycle.toggle_membership(rel.interventions, commands)
 
 
@@ -456,7 +466,7 @@ def scenario_seed(rel):
 
 @query
 def scenario_adopt(rel):
-    return lifecycle.adopt(rel.interventions, _assigned(rel).where("id % 2 = 0"))
+    return lifecycle.adopt(rel.interventions, _assigned(rel))
 
 
 @query

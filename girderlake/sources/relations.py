@@ -145,7 +145,7 @@ RELATIONS = {
         SELECT 'RECOMMENDATION' AS kind, o_orderkey AS entity_id, o_orderkey % 1000 AS doc_id,
           CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS page,
           CASE o_orderkey % 3 WHEN 0 THEN 'SOURCE_FACT' ELSE 'DERIVED' END AS origin
-        FROM {orders} WHERE o_orderkey % 2 = 0""",
+        FROM {orders}""",
     "raw_values": """
         SELECT p_partkey AS id,
           CASE p_partkey % 10 WHEN 0 THEN concat(CAST(p_partkey AS STRING), ',50') WHEN 1 THEN concat('1.', CAST(100 + p_partkey % 900 AS STRING))
