@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +20,8 @@ from girderlake.operators.latest import numbered
 VIEWS = {"PLANNED": "planned", "BUDGETED": "budgeted", "TENDER_PREPARATION": "tender", "IN_PROGRESS": "in_progress", "COMPLETED": "completed", "CANCELLED": "cancelled"}
 #: Sorts after every year.
 NO_YEAR = 2**53 - 1
+#: Detours, in tenths of vehicle kilometres, that share a slot of a budget's order.
+SLOT = 100_000
 
 
 def scored_delta(inspections: DataFrame) -> DataFrame:
@@ -74,17 +78,30 @@ def view_counts(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("n"), *[F.count_if(F.col("view") == v).alias(v) for v in ("unplanned", *VIEWS.values())])
 
 
+def _band_rank():
+    return F.coalesce(first_of((F.col("band") == "HIGH", 3), (F.col("band") == "MEDIUM", 2), (F.col("band") == "LOW", 1)), F.lit(0))
+
+
 def budget_order() -> list:
     """O4; work types sort by codepoint here, which equals the locale's order for ASCII names (trap T12)."""
-    band = F.coalesce(first_of((F.col("band") == "HIGH", 3), (F.col("band") == "MEDIUM", 2), (F.col("band") == "LOW", 1)), F.lit(0))
-    return [F.col("priority").desc(), band.desc(), F.coalesce("extra_vehicle_tenths_km", F.lit(0)).desc(), F.col("work_type"), F.col("id")]
+    return [F.col("priority").desc(), _band_rank().desc(), F.coalesce("extra_vehicle_tenths_km", F.lit(0)).desc(), F.col("work_type"), F.col("id")]
 
 
 def funded_prefix(items: DataFrame, keys: list[str]) -> DataFrame:
-    """Included items with an estimate in order, and whether the running sum still fits the key's ``budget``."""
-    costed = items.where("included = 1 AND estimate IS NOT NULL")
-    run = F.sum(F.col("estimate").cast("decimal(28,2)")).over(Window.partitionBy(*keys).orderBy(*budget_order()).rowsBetween(Window.unboundedPreceding, 0))
-    return costed.withColumn("running", run.cast("decimal(38,2)")).withColumn("funded", F.coalesce(F.col("running") <= F.col("budget"), F.lit(False)))
+    """Included items with an estimate in order, and whether the running sum still fits the key's ``budget``.
+
+    A key's order is cut into slots of equal priority and band and similar detour, so that no key is one task: the
+    few sums of slots give what stands before each, and rows are summed within their slot.
+    """
+    slots = {"_priority": F.col("priority"), "_band": _band_rank(), "_detour": F.floor(F.coalesce("extra_vehicle_tenths_km", F.lit(0)) / SLOT)}
+    costed = items.where("included = 1 AND estimate IS NOT NULL").withColumns({**slots, "_cost": F.col("estimate").cast("decimal(28,2)")})
+    sums = costed.groupBy(*keys, *slots).agg(F.sum("_cost").alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in slots]).rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select(*[F.col(c).alias(f"{c}_of") for c in (*keys, *slots)], F.coalesce(ahead, F.lit(0)).cast("decimal(38,2)").alias("_before"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in (*keys, *slots)])
+    run = F.sum("_cost").over(Window.partitionBy(*keys, *slots).orderBy(*budget_order()).rowsBetween(Window.unboundedPreceding, 0))
+    df = costed.join(before, same).withColumn("running", (F.col("_before") + run).cast("decimal(38,2)"))
+    return df.select(*items.columns, "running", F.coalesce(F.col("running") <= F.col("budget"), F.lit(False)).alias("funded"))
 
 
 def budget_summary(items: DataFrame, keys: list[str]) -> DataFrame:

@@ -177,3 +177,21 @@ def test_filenames_and_urls(spark):
     assert one(spark, pages.safe_filename(F.lit("..."))) == "bauwerksbuch.pdf"
     assert one(spark, pages.page_url(F.lit("ftp://x"), F.lit(1))) is None
     assert one(spark, pages.page_url(F.lit("https://x.org/a#b"), F.lit(4))) == "https://x.org/a#page=4"
+
+
+def test_funded_prefix_over_slots_is_one_running_sum(spark):
+    """Against one sum in order: slots of one row and many, nulls in keys and order, ties, and a key without budget."""
+    rows = []
+    for i in range(300):
+        year = (None, 2000, 2001)[i % 3]
+        detour = None if i % 11 == 0 else (i * 7919) % 900_000
+        rows.append((i, year, i % 5, ("HIGH", "MEDIUM", "LOW", None)[i % 4], detour, "ab"[i % 2], Decimal(i * 37 % 101) if i % 13 else None, i % 7 and 1, Decimal(900) if year != 2001 else None))
+    items = spark.createDataFrame(rows, "id long, planned_year long, priority int, band string, extra_vehicle_tenths_km long, work_type string, estimate decimal(16,2), included int, budget decimal(16,2)")
+    got = {r["id"]: (r["running"], r["funded"]) for r in maintenance.funded_prefix(items, ["planned_year"]).collect()}
+    want, sums = {}, {}
+    rank = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, None: 0}
+    for i, year, priority, band, detour, work, cost, included, budget in sorted(rows, key=lambda r: (-r[2], -rank[r[3]], -(r[4] or 0), r[5], r[0])):
+        if included == 1 and cost is not None:
+            sums[year] = sums.get(year, 0) + cost
+            want[i] = (sums[year], budget is not None and sums[year] <= budget)
+    assert got == want and any(f for _, f in want.values()) and not all(f for _, f in want.values())
