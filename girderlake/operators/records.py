@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,6 +111,25 @@ def finding_rows(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return first_per_key(rows, ["page_id", "number"], [F.col("place")]).drop("place")
 
 
+def repaired(items: DataFrame, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """A model's records made fit for checking: ``evidence`` (an array) and sourced fields (structs of value and evidence).
+
+    A record without evidence of its own takes the first that one of its fields has, in the columns' order; one without
+    any goes. Each field's value is read by its function; a value that it can't read becomes null and loses its evidence.
+    A null field stays null.
+    """
+    sourced = [c for c, kind in items.dtypes if kind.startswith("struct") and c in fields]
+    lists = [F.col("evidence"), *[F.col(f"{c}.evidence") for c in sourced]]
+    lifted = F.get(F.filter(F.array(*lists), lambda e: F.size(e) > 0), F.lit(0))
+    none = F.array().cast(items.schema["evidence"].dataType)
+
+    def read(name: str) -> Column:
+        value = fields[name](F.col(f"{name}.value"))
+        return F.when(F.col(name).isNotNull(), F.struct(value.alias("value"), F.when(value.isNotNull(), F.col(f"{name}.evidence")).otherwise(none).alias("evidence")))
+
+    return items.withColumns({"evidence": lifted, **{c: read(c) for c in sourced}}).where("evidence IS NOT NULL")
+
+
 def merged(records: DataFrame, keys: list[str], order: str, fields: list[str]) -> DataFrame:
     """One record per identity; each field is its first value in order that isn't null."""
     return records.groupBy(*keys).agg(*[F.min_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields], F.count("*").alias("n_merged"))

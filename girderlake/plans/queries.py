@@ -312,6 +312,21 @@ def classify_status(rel):
     return rel.raw_values.select("id", text.state(c("type_text"), text.INSPECTION_TYPES, "OTHER").alias("type"), text.state(c("finding_text"), text.FINDING_STATES).alias("state"), text.urgency(c("urgency_text")).alias("urgency"), text.rating(c("rating_text")).alias("rating"))
 
 
+@query
+def repaired_findings(rel):
+    """E15 on findings as a model might put them out: evidence at the record, at a field, or nowhere."""
+    c, i = F.col, F.col("id")
+    none = F.array().cast("array<bigint>")
+    field = lambda value, held: F.struct(c(value).alias("value"), held.alias("evidence"))
+    own = F.when(i % 3 == 0, F.array(i, i + 7)).when(i % 3 == 1, none)
+    stability = F.when(i % 7 != 3, field("rating_text", F.when(i % 4 == 0, F.array(i + 1, i + 2)).otherwise(none)))
+    status = field("finding_text", F.when(i % 5 != 0, F.array(i + 3)))
+    items = rel.raw_values.select("id", own.alias("evidence"), stability.alias("stability"), status.alias("status"))
+    done = records.repaired(items, {"stability": text.rating, "status": lambda x: text.state(x, text.FINDING_STATES)})
+    told = lambda x: F.coalesce(F.array_join(x, ","), F.lit(""))
+    return done.select("id", told("evidence").alias("evidence"), c("stability.value").alias("stability"), told("stability.evidence").alias("stability_evidence"), c("status.value").alias("status"), told("status.evidence").alias("status_evidence"))
+
+
 @query
 def text_features(rel):
     return records.text_metrics(rel.documents.select("doc_id", "text"), "doc_id", "text")
