@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from girderlake.functions.text import contains_any, first_of
+from girderlake.functions.text import collapsed, contains_any, date, first_of
 from girderlake.operators.latest import first_per_key
 from girderlake.operators.workflow import finding_health
 
@@ -111,6 +111,32 @@ def finding_rows(pages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return first_per_key(rows, ["page_id", "number"], [F.col("place")]).drop("place")
 
 
+#: How a day and an inspector's name are written, and what may stand behind a name.
+DAY = r"\d{1,2}\.\d{1,2}\.\d{4}"
+INSPECTOR = r"Pr[üu]fer(?:in)?[:.]?\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüß. \-,/]{1,80})"
+BEHIND_NAME = r"(?iu)\s{2,}|\s+(?:Hauptprüfung|Einfache Prüfung|Sonderprüfung|Zustandsnote|Version|Seite)\b"
+#: Characters behind and before a day in which its inspector may be named.
+AFTER, BEFORE = 220, 80
+
+
+def inspectors(pages: DataFrame, document: str, number: str, id_col: str, text_col: str) -> DataFrame:
+    """Who inspected on each day that a document's pages tell: (document, inspected_on, inspector, number).
+
+    A text is split at its days; a name is looked for in what follows a day, up to the next one, then in what
+    precedes it. The first place of a document that names an inspector for a day wins.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    parts = F.split(t, DAY, -1)
+    spots = F.arrays_zip(F.regexp_extract_all(t, F.lit(DAY), F.lit(0)).alias("day"), parts.alias("before"), F.slice(parts, F.lit(2), F.size(parts)).alias("after"))
+    rows = pages.select(document, number, id_col, F.posexplode(spots).alias("place", "spot")).where("spot.day IS NOT NULL")
+    named = lambda x: F.nullif(F.regexp_extract(x, INSPECTOR, 1), F.lit(""))
+    found = F.coalesce(named(F.left(F.col("spot.after"), F.lit(AFTER))), named(F.right(F.col("spot.before"), F.lit(BEFORE))))
+    name = F.regexp_replace(collapsed(F.get(F.split(found, BEHIND_NAME), F.lit(0))), r"[.,;:\s]+$", "")
+    rows = rows.select(document, number, id_col, "place", date(F.col("spot.day")).alias("inspected_on"), name.alias("inspector"))
+    good = rows.where(F.col("inspected_on").isNotNull() & (F.length("inspector") >= 2))
+    return first_per_key(good, [document, "inspected_on"], [F.col(number), F.col(id_col), F.col("place")]).select(document, "inspected_on", "inspector", number)
+
+
 def repaired(items: DataFrame, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """A model's records made fit for checking: ``evidence`` (an array) and sourced fields (structs of value and evidence).
 

@@ -223,6 +223,12 @@ SQL = {
         CASE WHEN u LIKE '%sofort%' THEN 'SOFORT' WHEN u LIKE '%kurzfrist%' THEN 'KURZFRISTIG' WHEN u LIKE '%mittelfrist%' THEN 'MITTELFRISTIG' WHEN u LIKE '%langfrist%' THEN 'LANGFRISTIG' ELSE urgency_text END AS urgency,
         CASE WHEN trim(rating_text) = '' THEN 0 WHEN x = floor(x) AND x BETWEEN 0 AND 4 THEN CAST(x AS BIGINT) END AS rating
         FROM (SELECT *, lower(regexp_replace(urgency_text, '[\s_\-./]+', '', 'g')) AS u, try_cast(replace(trim(rating_text), ',', '.') AS DOUBLE) AS x FROM {raw_values})""",
+    "report_inspectors": r"""SELECT document_id, inspected_on, inspector, number FROM (SELECT *, row_number() OVER (PARTITION BY document_id, inspected_on ORDER BY number, id, place) AS n FROM (
+        SELECT document_id, number, id, place, CAST(try_strptime(day, '%d.%m.%Y') AS DATE) AS inspected_on,
+          regexp_replace(trim(regexp_replace(string_split_regex(coalesce(nullif(regexp_extract(left(after, 220), label, 1), ''), nullif(regexp_extract(right(before, 80), label, 1), '')), '\s{2,}|\s+(?i:Hauptprüfung|Einfache Prüfung|Sonderprüfung|Zustandsnote|Version|Seite)\b')[1], '\s+', ' ', 'g')), '[.,;:\s]+$', '') AS inspector
+        FROM (SELECT *, days[place] AS day, parts[place] AS before, parts[place + 1] AS after, 'Pr[üu]fer(?:in)?[:.]?\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüß. \-,/]{1,80})' AS label
+          FROM (SELECT *, unnest(range(1, len(days) + 1)) AS place FROM (SELECT *, regexp_extract_all(text, '\d{1,2}\.\d{1,2}\.\d{4}') AS days, string_split_regex(text, '\d{1,2}\.\d{1,2}\.\d{4}') AS parts FROM {report_pages}))))
+        WHERE inspected_on IS NOT NULL AND length(inspector) >= 2) WHERE n = 1""",
     "repaired_findings": r"""SELECT id, CASE WHEN id % 3 = 0 THEN concat(id, ',', id + 7) WHEN has_field AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE CAST(id + 3 AS VARCHAR) END AS evidence,
         CASE WHEN has_field THEN rating END AS stability, CASE WHEN has_field AND rating IS NOT NULL AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE '' END AS stability_evidence,
         state AS status, CASE WHEN state IS NOT NULL AND id % 5 <> 0 THEN CAST(id + 3 AS VARCHAR) ELSE '' END AS status_evidence

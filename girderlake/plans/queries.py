@@ -312,6 +312,11 @@ def classify_status(rel):
     return rel.raw_values.select("id", text.state(c("type_text"), text.INSPECTION_TYPES, "OTHER").alias("type"), text.state(c("finding_text"), text.FINDING_STATES).alias("state"), text.urgency(c("urgency_text")).alias("urgency"), text.rating(c("rating_text")).alias("rating"))
 
 
+@query
+def report_inspectors(rel):
+    return records.inspectors(rel.report_pages, "document_id", "number", "id", "text")
+
+
 @query
 def repaired_findings(rel):
     """E15 on findings as a model might put them out: evidence at the record, at a field, or nowhere."""

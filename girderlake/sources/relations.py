@@ -184,6 +184,13 @@ RELATIONS = {
           concat(CASE p_partkey % 3 WHEN 0 THEN concat('C:', chr(92), 'alt', chr(92)) WHEN 1 THEN 'x/y/' ELSE '' END, 'Brücke ', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 2 = 0 THEN '.PDF' ELSE '' END) AS filename,
           CASE p_partkey % 4 WHEN 0 THEN 'https://example.org/a.pdf#x' WHEN 1 THEN 'ftp://example.org/a' WHEN 2 THEN 'http://example.org' END AS url
         FROM {part}""",
+    "report_pages": """
+        SELECT p_partkey AS id, p_partkey % 60 AS document_id, 1 + p_partkey % 25 AS number,
+          concat(CASE p_partkey % 5 WHEN 0 THEN 'Prüferin Dr. Anna Groß  Version 2 ' WHEN 1 THEN '' ELSE 'Bericht ' END,
+            CAST(1 + p_partkey % 31 AS STRING), '.', CAST(1 + p_partkey % 12 AS STRING), '.', CAST(1990 + p_partkey % 30 AS STRING),
+            CASE p_partkey % 4 WHEN 0 THEN ' Prüfer: Meier, K. Hauptprüfung ' WHEN 1 THEN ' Pruefer X ' WHEN 2 THEN ' Prufer. Li  Seite 4 ' ELSE concat(repeat('ohne Angabe ', p_partkey % 30), 'Prüfer Weit') END, ' ',
+            CAST(1 + p_partkey * 7 % 31 AS STRING), '.', CAST(1 + p_partkey * 5 % 12 AS STRING), '.2021', CASE p_partkey % 3 WHEN 0 THEN ' Prüfer A' WHEN 1 THEN ' Prüferin  Öz/Kurz;' ELSE '' END) AS text
+        FROM {part}""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
