@@ -84,3 +84,9 @@ def gauss_krueger(df: DataFrame, east: Column, north: Column) -> DataFrame:
 def clamped(degrees: Column, most: float) -> Column:
     """null outside of -most to most."""
     return F.when(degrees.between(-most, most), degrees)
+
+
+def country(text: Column) -> Column:
+    """a code of two letters in capitals, Germany by its names, anything else null."""
+    x = F.upper(F.trim(text))
+    return F.when(F.length(x) == 2, x).when(x.isin("DEUTSCHLAND", "GERMANY", "D"), "DE")

@@ -21,6 +21,8 @@ CATEGORIES = [
 ]
 #: Pages that may show the photo, and the least score that does.
 PHOTO_PAGES, PHOTO_SCORE = 20, 5
+#: Words of a document's type or file name that tell its kind.
+KINDS = {"is_drawing": "DRAWING|ZEICHNUNG|BAUWERKSPLAN|BESTANDSPLAN", "is_photo": "PHOTO|FOTO|BILD"}
 _LABELLED = r"(?i)(rechtswert|hochwert)\s*:?\s*([0-9]{1,3}(?:\.[0-9]{3})+,[0-9]+|[0-9]+(?:[.,][0-9]+)?)"
 
 
@@ -93,6 +95,12 @@ def safe_filename(name: Column) -> Column:
     return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("bauwerksbuch")), F.lit(".pdf"))
 
 
+def document_kinds(type_: Column, filename: Column) -> dict[str, Column]:
+    """whether a document shows drawings, and whether it shows photos."""
+    told = F.upper(F.concat_ws(" ", type_, filename))
+    return {name: F.rlike(told, F.lit(words)) for name, words in KINDS.items()}
+
+
 def page_url(url: Column, number: Column) -> Column:
     """An http address with the page as its fragment; anything else is null."""
     base = F.regexp_replace(url, "#.*$", "")

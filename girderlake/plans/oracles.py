@@ -229,6 +229,9 @@ SQL = {
         FROM (SELECT *, days[place] AS day, parts[place] AS before, parts[place + 1] AS after, 'Pr[üu]fer(?:in)?[:.]?\s+([A-ZÄÖÜ][A-Za-zÄÖÜäöüß. \-,/]{1,80})' AS label
           FROM (SELECT *, unnest(range(1, len(days) + 1)) AS place FROM (SELECT *, regexp_extract_all(text, '\d{1,2}\.\d{1,2}\.\d{4}') AS days, string_split_regex(text, '\d{1,2}\.\d{1,2}\.\d{4}') AS parts FROM {report_pages}))))
         WHERE inspected_on IS NOT NULL AND length(inspector) >= 2) WHERE n = 1""",
+    "document_kinds": """SELECT id, told LIKE '%DRAWING%' OR told LIKE '%ZEICHNUNG%' OR told LIKE '%BAUWERKSPLAN%' OR told LIKE '%BESTANDSPLAN%' AS is_drawing, told LIKE '%PHOTO%' OR told LIKE '%FOTO%' OR told LIKE '%BILD%' AS is_photo,
+        CASE WHEN length(land) = 2 THEN land WHEN land IN ('DEUTSCHLAND', 'GERMANY', 'D') THEN 'DE' END AS country
+        FROM (SELECT id, upper(concat_ws(' ', type, filename)) AS told, upper(trim(country)) AS land FROM {filed})""",
     "repaired_findings": r"""SELECT id, CASE WHEN id % 3 = 0 THEN concat(id, ',', id + 7) WHEN has_field AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE CAST(id + 3 AS VARCHAR) END AS evidence,
         CASE WHEN has_field THEN rating END AS stability, CASE WHEN has_field AND rating IS NOT NULL AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE '' END AS stability_evidence,
         state AS status, CASE WHEN state IS NOT NULL AND id % 5 <> 0 THEN CAST(id + 3 AS VARCHAR) ELSE '' END AS status_evidence

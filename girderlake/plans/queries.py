@@ -317,6 +317,12 @@ def report_inspectors(rel):
     return records.inspectors(rel.report_pages, "document_id", "number", "id", "text")
 
 
+@query
+def document_kinds(rel):
+    """F22, and F17's country codes."""
+    return rel.filed.select("id", *[kind.alias(name) for name, kind in pages.document_kinds(F.col("type"), F.col("filename")).items()], geo.country(F.col("country")).alias("country"))
+
+
 @query
 def repaired_findings(rel):
     """E15 on findings as a model might put them out: evidence at the record, at a field, or nowhere."""

@@ -191,6 +191,11 @@ RELATIONS = {
             CASE p_partkey % 4 WHEN 0 THEN ' Prüfer: Meier, K. Hauptprüfung ' WHEN 1 THEN ' Pruefer X ' WHEN 2 THEN ' Prufer. Li  Seite 4 ' ELSE concat(repeat('ohne Angabe ', p_partkey % 30), 'Prüfer Weit') END, ' ',
             CAST(1 + p_partkey * 7 % 31 AS STRING), '.', CAST(1 + p_partkey * 5 % 12 AS STRING), '.2021', CASE p_partkey % 3 WHEN 0 THEN ' Prüfer A' WHEN 1 THEN ' Prüferin  Öz/Kurz;' ELSE '' END) AS text
         FROM {part}""",
+    "filed": """
+        SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'DRAWING' WHEN 1 THEN 'BAUWERKSBUCH' WHEN 2 THEN 'photo' WHEN 3 THEN 'OTHER' END AS type,
+          CASE c_custkey % 7 WHEN 0 THEN 'Bestandsplan 3.pdf' WHEN 1 THEN 'Lichtbild.jpg' WHEN 2 THEN 'Buch.pdf' WHEN 3 THEN 'Zeichnung mit Foto.pdf' WHEN 4 THEN 'bauwerksplan' END AS filename,
+          CASE c_custkey % 8 WHEN 0 THEN ' Deutschland ' WHEN 1 THEN 'at' WHEN 2 THEN 'd' WHEN 3 THEN 'Austria' WHEN 4 THEN '' WHEN 5 THEN 'Germany' WHEN 6 THEN 'X' END AS country
+        FROM {customer}""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
