@@ -42,9 +42,9 @@ SEGMENT = 1 << 22
 LEAD, TWICE, WINDOW = 1, 2, 4
 
 NO_ID = (1 << 63) - 1
-KEY = {"anchor": np.uint64, "check": np.uint64, "doc": np.int64, "part": np.int32, "start": np.int64, "count": np.int32, "state": np.int8}
-TEXT = {"anchor": np.uint64, "doc": np.int64, "part": np.int32, "start": np.int64, "count": np.int32, "size": np.int32, "known": np.int8}
-SPANS = "doc long, part int, first long, last long"
+KEY = {"anchor": np.uint64, "check": np.uint64, "doc": np.int64, "part": np.int64, "start": np.int64, "count": np.int32, "state": np.int8}
+TEXT = {"anchor": np.uint64, "doc": np.int64, "part": np.int64, "start": np.int64, "count": np.int32, "size": np.int32, "known": np.int8}
+SPANS = "doc long, part long, first long, last long"
 MET = f"{SPANS}, anchor long, known boolean"
 
 
@@ -85,12 +85,12 @@ class Plan:
 def document_key(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, doc, part, text, and columns to keep as kept_0, ...
 
-    (doc, part) tells documents apart and orders them: doc is the id, or above all ids where it is null; part is a hash of
-    the text, so that rows of one id and different texts are different documents, and rows that repeat both are one.
+    (doc, part) tells documents apart and orders them: doc is the id, or above all ids where it is null; part is a 64-bit hash of
+    the text, so that rows of one id and different texts are different documents, and rows that repeat both are one. Two
+    different texts among n rows of one id, or without id, have one key by a chance of n * n / 2**65.
     """
     doc, text = docs[id_col].cast("long"), docs[text_col]
-    part = F.shiftright(F.xxhash64(text), 32).cast("int")
-    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(NO_ID)).alias("doc"), part.alias("part"), text.alias("text"), *(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)))
+    return docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("part"), text.alias("text"), *(docs[c].alias(f"kept_{i}") for i, c in enumerate(keep)))
 
 
 def text_bytes(docs: DataFrame, text_col: str) -> int:
@@ -256,7 +256,7 @@ def read_texts(table: pa.Table) -> tuple[Fields, bytes]:
 
 
 def spans_table(doc: np.ndarray, part: np.ndarray, first: np.ndarray, last: np.ndarray) -> pa.Table:
-    return pa.table([pa.array(doc, pa.int64()), pa.array(part, pa.int32()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc", "part", "first", "last"])
+    return pa.table([pa.array(doc, pa.int64()), pa.array(part, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["doc", "part", "first", "last"])
 
 
 def meet(table: pa.Table, width: int, everywhere: bool) -> pa.Table:

@@ -104,7 +104,7 @@ def _sketches(source: DataFrame, k: int) -> DataFrame:
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
                 yield pa.record_batch([*rows.columns[:2], pa.array(n), pa.array(a), pa.array(b), listed], names=["doc", "part", "n_shingles", "set_a", "set_b", "bands"])
 
-    return source.select("doc", "part", "text").mapInArrow(run, "doc long, part int, n_shingles long, set_a long, set_b long, bands array<long>")
+    return source.select("doc", "part", "text").mapInArrow(run, "doc long, part long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -172,7 +172,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: st
     may have any names.
     """
     source = document_key(docs, id_col, text_col)
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.shiftright(F.xxhash64(docs[text_col]), 32).cast("int").alias("part"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(docs[text_col]).alias("part"))
     stays = _grouped(source, shingle, percent).where("doc = lead.doc AND part = lead.part").select("doc", "part").distinct()
     one = F.row_number().over(Window.partitionBy("doc", "part").orderBy(F.lit(0)))
     return rows.join(stays, ["doc", "part"], "left_semi").withColumn("place", one).where("place = 1").select("row.*")
