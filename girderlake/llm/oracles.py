@@ -19,7 +19,7 @@ lines AS (SELECT r, source, t, line, array_to_string(regexp_extract_all({_LOWER.
   FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_WORD})),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY r),
 hosts AS (SELECT source, count(DISTINCT t) AS docs FROM d GROUP BY 1),
-often AS (SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM lines GROUP BY 1, 2) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.docs > 50 AND 100 * l.docs > 5 * h.docs),
+often AS (SELECT l.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM lines GROUP BY 1, 2) l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source WHERE l.docs > 2 AND 100 * l.docs > 5 * h.docs),
 gone AS (SELECT r, sum(n) AS n FROM lines l JOIN often o ON l.source IS NOT DISTINCT FROM o.source AND l.norm = o.norm GROUP BY r),
 f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words

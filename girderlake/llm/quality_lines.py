@@ -84,7 +84,7 @@ def profiles(rows: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.Reco
     return pa.record_batch([*(pa.array(c) for c in columns), lines], names=["row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines"])
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.05, least: int = 2, depleted: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_words, kept.
 
     base_failed: fewer than ``min_words`` words, or 100 * n_repeat_words > max_repeat * n_words. A line is above the
@@ -98,7 +98,7 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept")
 
 
-def clean(docs: DataFrame, share: float = 0.05, least: int = 50, depleted: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def clean(docs: DataFrame, share: float = 0.05, least: int = 2, depleted: float = 0.5, min_words: int = 10, max_repeat: int = 20, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, without their lines above the limits; other lines stay as they are.
 
     Columns are those of ``docs``. A text without any such line is handed on unchanged.

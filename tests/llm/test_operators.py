@@ -148,10 +148,18 @@ def test_quality_rules(spark, docs, texts):
 def test_quality_limits_of_the_query(spark):
     rng = random.Random(4)
     text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20)) + "\nshared line"
-    rows = [(i, text(), "en", host, "b", 1, 2, 3) for host, n in (("small", 50), ("over", 51)) for i in range(n)]
-    rows += [(100, rows[0][1], "en", "small", "b", 1, 2, 3)]  # a copy is no further text
+    rows = [(i, text(), "en", host, "b", 1, 2, 3) for host, n in (("two", 2), ("three", 3)) for i in range(n)]
+    rows += [(100, rows[0][1], "en", "two", "b", 1, 2, 3)]  # a copy is no further text
+    rows += [(200 + i, text() if i < 4 else text().split("\n")[0], "en", "share", "b", 1, 2, 3) for i in range(80)]  # 4 of 80: not over a twentieth
     got = quality_lines.judge(spark.createDataFrame(rows, SCHEMA)).groupBy("removed_words").count().collect()
-    assert {r["removed_words"]: r["count"] for r in got} == {0: 51, 2: 51}
+    assert {r["removed_words"]: r["count"] for r in got} == {0: 83, 2: 3}
+
+
+def test_data_of_the_correctness_check_hold_lines_above_the_limits(spark):
+    """Or equal rows of query and SQL would show nothing of the method."""
+    got = quality_lines.judge(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert got.where("removed_words > 0").count() > 100
+    assert got.where("NOT base_failed AND NOT kept").count() > 0
 
 
 def test_clean_removes_frequent_lines(spark):
