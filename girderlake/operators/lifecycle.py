@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from girderlake.functions.text import first_of
+from girderlake.operators import portfolio
 from girderlake.operators.latest import first_per_key
 
 #: States that may follow each other in an extraction run.
@@ -137,12 +138,25 @@ def with_previous_year(rows: DataFrame, key: str, year: str, value: str) -> Data
     return rows.withColumns({"_rn": F.row_number().over(order), "previous_year": F.lead(year).over(order), "previous_value": F.lead(value).over(order)}).where("_rn = 1").drop("_rn")
 
 
-def flood_assessment(structures: DataFrame, gauges: DataFrame, sensitive: DataFrame, unmatched: DataFrame, band: Column) -> DataFrame:
-    """Exposure of every structure with a gauge: band, whether to watch it, and whether an extra inspection is due."""
-    df = gauges.withColumn("current_band", band).join(structures.select(F.col("id").alias("structure_id"), "crossed"), "structure_id")
-    df = df.join(sensitive.withColumn("_s", F.lit(True)), "structure_id", "left").join(unmatched.select("structure_id").distinct().withColumn("_u", F.lit(True)), "structure_id", "left")
-    s, u = F.coalesce("_s", F.lit(False)), F.coalesce("_u", F.lit(False))
-    above = F.col("level_cm") >= F.col("trigger_cm")
-    watch = s & (above | u)
-    shown = F.when(watch & (F.col("current_band") == "BELOW_TRIGGER"), "MODERATE").otherwise(F.col("current_band"))
-    return df.select("structure_id", shown.alias("band"), watch.alias("watch"), (s & u).alias("inspect"))
+def flood_assessment(sides: DataFrame, scoured: DataFrame) -> DataFrame:
+    """Exposure of every structure with a gauge, from ``maintenance.flood_sides`` and structures with open scour.
+
+    A structure is watched if it is prone to scour and its gauge is above its trigger or its deciding flood was never
+    followed by a special inspection. Its band is then the gauge's (MODERATE at least) above the trigger, else the deciding flood's;
+    unwatched, the gauge's. The action is an extraordinary inspection after that flood; reasons are codes in a fixed order.
+    """
+    df = sides.join(scoured.select("structure_id").distinct().withColumn("open_scour", F.lit(True)), "structure_id", "left")
+    yes = lambda name: F.coalesce(name, F.lit(False))
+    water, prone, above, unmatched = portfolio.over_water(), portfolio.scour_prone(), F.col("above_trigger"), yes("unmatched")
+    watch = prone & (above | unmatched)
+    raised = F.when(F.col("current_band") == "BELOW_TRIGGER", "MODERATE").otherwise(F.col("current_band"))
+    band = F.when(watch, F.when(above, raised).otherwise(F.coalesce("event_band", F.lit("MODERATE")))).otherwise(F.col("current_band"))
+    codes = [
+        F.lit("NEAREST_GAUGE"),
+        F.when(water, "WATERCOURSE"),
+        F.when(yes("washed"), "SCOUR_HISTORY").when(yes("founded") & water, "FOUNDATION_TYPE"),
+        F.when(above, "TRIGGER_EXCEEDED"),
+        F.when(unmatched, "UNMATCHED_FLOOD_EVENT"),
+    ]
+    action = F.when(prone & unmatched, F.struct(F.lit("EXTRAORDINARY_INSPECTION").alias("kind"), F.year("event_on").alias("event_year"), F.col("event_on").alias("peaked_on")))
+    return df.select("structure_id", band.alias("band"), watch.alias("watch"), above.alias("trigger_exceeded"), prone.alias("scour_sensitive"), yes("open_scour").alias("open_scour"), unmatched.alias("unmatched"), action.alias("action"), F.array_compact(F.array(*codes)).alias("reasons"))

@@ -38,12 +38,12 @@ def linked_ratings(findings: DataFrame) -> DataFrame:
 
 
 def flood_sides(rel) -> DataFrame:
-    """One row per structure with what ``portfolio.flood_exposed`` asks."""
-    gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
+    """One row per structure with a gauge: what ``portfolio.flood_exposed`` asks, its flood judged by the band, and the gauge's band."""
+    gauges = P.gauge_signs(rel.gauges).join(rel.gauges.select("structure_id", P.marked_band().alias("current_band")), "structure_id")
     df = rel.structures.select(F.col("id").alias("structure_id"), "crossed").join(gauges, "structure_id")
     df = df.join(P.finding_signs(rel.findings).select("structure_id", "washed"), "structure_id", "left")
     df = df.join(P.founded(rel.components).withColumn("founded", F.lit(True)), "structure_id", "left")
-    return df.join(P.flood_unmatched(rel.flood_peaks, rel.special_checks).withColumn("unmatched", F.lit(True)), "structure_id", "left")
+    return df.join(P.deciding_floods(rel.flood_peaks, rel.special_checks), "structure_id", "left")
 
 
 def maintenance_items(rel, as_of: str) -> DataFrame:

@@ -134,13 +134,26 @@ def inspection_status(due_on: Column, n_due: Column, n_parts: Column, as_of: Col
 def flood_exposed() -> Column:
     """A gauged structure over water, sensitive to scour, whose gauge is above its trigger or whose last flood no one answered."""
     yes = lambda name: F.coalesce(F.col(name), F.lit(False))
-    sensitive = F.coalesce(F.rlike("crossed", F.lit(WATER)), F.lit(False)) & (yes("washed") | yes("founded"))
-    return sensitive & F.col("above_trigger").isNotNull() & (yes("above_trigger") | yes("unmatched"))
+    return scour_prone() & yes("gauged") & (yes("above_trigger") | yes("unmatched"))
+
+
+def over_water() -> Column:
+    return F.coalesce(F.rlike("crossed", F.lit(WATER)), F.lit(False))
+
+
+def scour_prone() -> Column:
+    """Over water, with a finding of scour or a foundation."""
+    return over_water() & (F.coalesce("washed", F.lit(False)) | F.coalesce("founded", F.lit(False)))
+
+
+def gauge_signs(gauges: DataFrame) -> DataFrame:
+    """(structure_id, gauged, above_trigger) of structures with a gauge; an unknown level is above nothing."""
+    above = F.coalesce(F.col("level_cm") >= F.col("trigger_cm"), F.lit(False))
+    return gauges.select("structure_id", F.lit(True).alias("gauged"), above.alias("above_trigger"))
 
 
 def portfolio(rel, as_of: str) -> DataFrame:
     """One row per structure, with attention priority and reasons."""
-    gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
     parts = {
         "ss": structure_summary(rel.parts),
         "ins": inspection_overview(rel.inspections),
@@ -149,7 +162,7 @@ def portfolio(rel, as_of: str) -> DataFrame:
         "lt": latest_traffic(rel.traffic).select("structure_id", "daily_traffic", "heavy_daily", "truck_share"),
         "le": rel.climates,
         "ln": rel.networks,
-        "lh": gauges,
+        "lh": gauge_signs(rel.gauges),
         "fu": flood_unmatched(rel.flood_peaks, rel.special_checks).withColumn("unmatched", F.lit(True)),
         "fd": founded(rel.components).withColumn("founded", F.lit(True)),
     }
@@ -279,6 +292,23 @@ def flood_unmatched(peaks: DataFrame, checks: DataFrame) -> DataFrame:
     return floods_without_check(latest_peaks(peaks), checks).select("structure_id").distinct()
 
 
+def marked_band() -> Column:
+    """R7 of a row with a level and marks; Marke I and II stand in for missing MHW and HSW."""
+    return policies.flood_band(*(F.col(x) for x in ("level_cm", "mhw_cm", "hsw_cm", "hhw_cm", "mark_one_cm", "mark_two_cm")))
+
+
+def deciding_floods(peaks: DataFrame, checks: DataFrame) -> DataFrame:
+    """Each structure's latest peak of a band above BELOW_TRIGGER, and whether no special inspection followed it.
+
+    (structure_id, event_band, event_on, unmatched). Other than ``flood_unmatched`` this goes by the band, as
+    planning, budgets, damage mechanisms and the flood assessment do.
+    """
+    banded = peaks.withColumn("event_band", marked_band()).where("event_band <> 'BELOW_TRIGGER'")
+    last = first_per_key(banded, ["structure_id"], [F.col("peaked_on").desc(), F.col("id")])
+    seen = first_marks(last, check_marks(checks), {"check": CHECK_MONTHS})
+    return seen.select("structure_id", "event_band", F.col("peaked_on").alias("event_on"), F.col("check_id").isNull().alias("unmatched"))
+
+
 def flood_history(rel) -> DataFrame:
     """Every peak with its band, the first special inspection and finding of scour within 12 months, and the first repair within 24."""
     dated = rel.inspections.select(F.col("id").alias("inspection_id"), F.col("inspected_on").alias("on_day")).where("on_day IS NOT NULL")
@@ -286,5 +316,4 @@ def flood_history(rel) -> DataFrame:
     repair = rel.works.where(contains_any(F.concat_ws(" ", "title", "reason"), REPAIR_WORDS)).select("structure_id", F.coalesce("started_on", "ended_on").alias("on_day"), F.lit("repair").alias("kind"), "id").where("on_day IS NOT NULL")
     marks = check_marks(rel.special_checks).withColumn("id", F.col("id").cast("string")).union(scour).union(repair.withColumn("id", F.col("id").cast("string")))
     out = first_marks(rel.flood_peaks, marks, {"check": CHECK_MONTHS, "scour": CHECK_MONTHS, "repair": 24})
-    band = policies.flood_band(*(F.col(x) for x in ("level_cm", "mhw_cm", "hsw_cm", "hhw_cm", "mark_one_cm", "mark_two_cm")))
-    return out.withColumn("band", band)
+    return out.withColumn("band", marked_band())

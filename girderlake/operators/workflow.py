@@ -95,9 +95,13 @@ def adopted(scenario: DataFrame, assigned: DataFrame, envelopes: DataFrame) -> D
     return members.unionByName(years.select(F.lit("BUDGET").alias("kind"), "year", F.lit(None).cast("long").alias("id"), "budget"))
 
 
+#: Fixed value: how a finding names a recommended measure.
+MENTION = r"(?i)Ma[sß]nahme(?:nempfehlung)?\s*\{(\d+)\}"
+
+
 def mentioned_links(notes: DataFrame, recommendations: DataFrame) -> DataFrame:
     """Findings whose text names a measure by its number in braces, each pair once."""
-    found = F.regexp_extract_all("text", F.lit(r"(?iu)Ma(?:[sß]|ss)nahme(?:nempfehlung)?\s*\{(\d+)\}"), F.lit(1))
+    found = F.regexp_extract_all("text", F.lit(MENTION), F.lit(1))
     said = notes.select("finding_id", F.explode(found).alias("number")).select("finding_id", F.col("number").cast("long").alias("id")).distinct()
     return said.join(recommendations.select("id"), "id").select(F.col("id").alias("recommendation_id"), "finding_id")
 

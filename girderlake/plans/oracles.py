@@ -15,6 +15,8 @@ _POINTS = """(CASE WHEN daily_traffic >= 50000 THEN 3 WHEN daily_traffic >= 3000
 _HEAVY = "coalesce(heavy_daily, CAST(round(daily_traffic * truck_share / 100.0) AS BIGINT))"
 _EXPOSED = "(coalesce({d}, 0) >= 2 AND (coalesce(freeze_days, 0) >= 40 OR coalesce(rain_days, 0) >= 8 OR coalesce(deicing_days, 0) >= 25))"
 
+_BAND = "CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= coalesce(hsw_cm, mark_two_cm) THEN 'HIGH' WHEN level_cm >= coalesce(mhw_cm, mark_one_cm) THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END"
+
 #: Steps that several queries share.
 VIEWS = {
     "q_inspections": f"SELECT *, row_number() OVER w AS rn, lead(tenths) OVER w AS previous_tenths, {_DUE} AS due_on FROM {{inspections}} WINDOW w AS (PARTITION BY part_id ORDER BY inspected_on DESC NULLS LAST, id)",
@@ -37,6 +39,11 @@ VIEWS = {
       AND NOT EXISTS (SELECT 1 FROM {inspections} i WHERE i.structure_id = e.structure_id AND i.type = 'SPECIAL' AND i.inspected_on >= e.peaked_on AND i.inspected_on < e.peaked_on + INTERVAL 12 MONTH)""",
     "q_flooded": """SELECT g.structure_id FROM {gauges} g JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_unmatched} u ON u.structure_id = g.structure_id
       WHERE g.level_cm >= g.trigger_cm OR u.structure_id IS NOT NULL""",
+    "q_deciding": f"""SELECT structure_id, peaked_on, band FROM (SELECT *, row_number() OVER (PARTITION BY structure_id ORDER BY peaked_on DESC, id) AS n FROM (SELECT *, {_BAND} AS band FROM {{flood_peaks}}) WHERE band <> 'BELOW_TRIGGER') WHERE n = 1""",
+    "q_open_flood": """SELECT * FROM {q_deciding} e
+      WHERE NOT EXISTS (SELECT 1 FROM {inspections} i WHERE i.structure_id = e.structure_id AND i.type = 'SPECIAL' AND i.inspected_on >= e.peaked_on AND i.inspected_on < e.peaked_on + INTERVAL 12 MONTH)""",
+    "q_watched": """SELECT g.structure_id FROM {gauges} g JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_open_flood} u ON u.structure_id = g.structure_id
+      WHERE g.level_cm >= g.trigger_cm OR u.structure_id IS NOT NULL""",
     "q_base": f"""SELECT s.id AS structure_id, s.ext_no, s.road, construction_year, tenths, coalesce(condition_trend, 'UNKNOWN') AS condition_trend,
       coalesce(open_findings, 0) AS open_findings, coalesce(open_recommendations, 0) AS open_recommendations, coalesce(urgency_rank, 0) AS urgency_rank,
       coalesce(max_stability, 0) AS ms, coalesce(max_safety, 0) AS mv, coalesce(max_durability, 0) AS md, due_on,
@@ -63,7 +70,7 @@ VIEWS = {
       greatest(CAST(date_sub('year', sourced_on, DATE '{AS_OF}') AS BIGINT), 0) AS age, w.structure_id IS NOT NULL AS flood, {_EXPOSED.format(d="du")} AS environment
       FROM {{recommendations}} r LEFT JOIN {{interventions}} p ON p.recommendation_id = r.id LEFT JOIN {{q_inspections}} i ON i.id = r.id
       LEFT JOIN (SELECT inspection_id, max(stability) FILTER (WHERE status IN {_ACTIVE}) AS st, max(safety) FILTER (WHERE status IN {_ACTIVE}) AS sa, max(durability) FILTER (WHERE status IN {_ACTIVE}) AS du FROM {{findings}} GROUP BY 1) f ON f.inspection_id = r.id
-      LEFT JOIN {{q_delta}} d ON d.part_id = i.part_id LEFT JOIN {{q_band}} b ON b.structure_id = r.structure_id LEFT JOIN {{climates}} c ON c.structure_id = r.structure_id LEFT JOIN {{q_flooded}} w ON w.structure_id = r.structure_id
+      LEFT JOIN {{q_delta}} d ON d.part_id = i.part_id LEFT JOIN {{q_band}} b ON b.structure_id = r.structure_id LEFT JOIN {{climates}} c ON c.structure_id = r.structure_id LEFT JOIN {{q_watched}} w ON w.structure_id = r.structure_id
       WHERE p.id IS NOT NULL OR r.status IN {_UNDONE}""",
     "q_reasons": """SELECT id, sev, place, code FROM (
       SELECT id, CASE WHEN st >= 3 THEN 4 WHEN st >= 2 THEN 3 END AS sev, 1 AS place, 'STABILITY_RATING' AS code FROM {q_items}
@@ -165,7 +172,7 @@ SQL = {
         CASE WHEN inspected_on IS NULL THEN 0 ELSE greatest(CAST(date_sub('year', inspected_on, DATE '{AS_OF}') AS BIGINT), 0) END AS age_years FROM {{q_inspections}}""",
     "condition_delta_scored": "SELECT * FROM {q_delta}",
     "network_points": "SELECT structure_id, heavy, CAST(points AS BIGINT) AS points, band FROM {q_band}",
-    "flood_band": "SELECT structure_id, CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= hsw_cm THEN 'HIGH' WHEN level_cm >= mhw_cm THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END AS band FROM {gauges}",
+    "flood_band": f"SELECT structure_id, {_BAND} AS band FROM {{gauges}}",
     "damage_points": f"""SELECT * FROM (WITH f AS (SELECT structure_id, count(*) AS n_active, max(durability) FILTER (WHERE {_FOLD} LIKE '%riss%') AS crack, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'freilieg|abplatz|bewehrung|exposed')) AS bare,
           max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'korrosion|beschichtung|rost')) AS coating, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'entwasser|ablauf|blasen|verstopf|wasserstau|durchfeucht')) AS drain,
           max(durability) FILTER (WHERE {_FOLD} LIKE '%fuge%') AS joint, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'bewuchs|vegetation')) AS plants, max(durability) FILTER (WHERE regexp_matches({_FOLD}, 'kolk|scour|unterspul')) AS scour
@@ -174,7 +181,7 @@ SQL = {
         b AS (SELECT s.id AS structure_id, s.crossed, q.construction_year, n_active, crack, bare, coating, drain, joint, plants, scour, coated_in, n_steel, freeze_days, rain_days, deicing_days, wet_dry_cycles, humidity, wet_hours, daily_traffic,
           g.structure_id IS NOT NULL AS gauged, coalesce(level_cm >= trigger_cm, false) AS above, g.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS open_flood
           FROM {{structures}} s LEFT JOIN {{q_structure}} q ON q.structure_id = s.id LEFT JOIN f ON f.structure_id = s.id LEFT JOIN k ON k.structure_id = s.id LEFT JOIN {{climates}} c ON c.structure_id = s.id
-          LEFT JOIN {{q_traffic}} t ON t.structure_id = s.id LEFT JOIN {{gauges}} g ON g.structure_id = s.id LEFT JOIN {{q_unmatched}} u ON u.structure_id = s.id),
+          LEFT JOIN {{q_traffic}} t ON t.structure_id = s.id LEFT JOIN {{gauges}} g ON g.structure_id = s.id LEFT JOIN {{q_open_flood}} u ON u.structure_id = s.id),
         p AS (SELECT *, CASE WHEN 2001 - construction_year >= 50 THEN 2 WHEN 2001 - construction_year >= 40 THEN 1 ELSE 0 END + CASE WHEN freeze_days >= 60 THEN 2 WHEN freeze_days >= 40 THEN 1 ELSE 0 END + CASE WHEN wet_dry_cycles >= 80 THEN 1 ELSE 0 END
             + CASE WHEN deicing_days >= 20 AND daily_traffic >= 30000 THEN 1 ELSE 0 END + CASE WHEN crack >= 2 THEN 2 WHEN crack IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN bare IS NOT NULL THEN 2 ELSE 0 END AS rc,
           CASE WHEN humidity >= 78 THEN 1 ELSE 0 END + CASE WHEN wet_hours >= 1400 THEN 1 ELSE 0 END + CASE WHEN coating >= 2 THEN 2 WHEN coating IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN 2001 - coated_in >= 20 THEN 1 ELSE 0 END AS steel,
@@ -308,8 +315,14 @@ SQL = {
         UNION ALL SELECT document_id, number, length(text) FROM {book_pages} p WHERE document_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {book_pages} n WHERE n.document_id = p.document_id AND n.number <= 2)""",
     "checksum_duplicates": "SELECT sha256(text) AS checksum, count(*) AS n, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1",
     "previous_year_companion": "SELECT structure_id, observation_year, daily, previous_year, previous_value FROM (SELECT *, lead(observation_year) OVER w AS previous_year, lead(daily) OVER w AS previous_value, row_number() OVER w AS n FROM (SELECT structure_id, observation_year, max(daily_traffic) AS daily FROM {traffic} GROUP BY 1, 2) WINDOW w AS (PARTITION BY structure_id ORDER BY observation_year DESC)) WHERE n = 1",
-    "flood_exposure": """SELECT structure_id, CASE WHEN watch AND band = 'BELOW_TRIGGER' THEN 'MODERATE' ELSE band END AS band, watch, inspect FROM (SELECT g.structure_id, CASE WHEN level_cm >= hhw_cm THEN 'EXTREME' WHEN level_cm >= hsw_cm THEN 'HIGH' WHEN level_cm >= mhw_cm THEN 'MODERATE' ELSE 'BELOW_TRIGGER' END AS band,
-        s.structure_id IS NOT NULL AND (level_cm >= trigger_cm OR u.structure_id IS NOT NULL) AS watch, s.structure_id IS NOT NULL AND u.structure_id IS NOT NULL AS inspect FROM {gauges} g LEFT JOIN {q_sensitive} s ON s.structure_id = g.structure_id LEFT JOIN {q_unmatched} u ON u.structure_id = g.structure_id)""",
+    "flood_exposure": f"""SELECT structure_id, CASE WHEN NOT watch THEN band WHEN NOT above THEN coalesce(event_band, 'MODERATE') WHEN band = 'BELOW_TRIGGER' THEN 'MODERATE' ELSE band END AS band, watch, above AS trigger_exceeded,
+        prone AS scour_sensitive, open_scour, unmatched, CASE WHEN prone AND unmatched THEN 'EXTRAORDINARY_INSPECTION' END AS action, CASE WHEN prone AND unmatched THEN year(event_on) END AS event_year, CASE WHEN prone AND unmatched THEN event_on END AS peaked_on,
+        concat_ws(',', 'NEAREST_GAUGE', CASE WHEN water THEN 'WATERCOURSE' END, CASE WHEN washed THEN 'SCOUR_HISTORY' WHEN founded AND water THEN 'FOUNDATION_TYPE' END, CASE WHEN above THEN 'TRIGGER_EXCEEDED' END, CASE WHEN unmatched THEN 'UNMATCHED_FLOOD_EVENT' END) AS reasons
+      FROM (SELECT *, water AND (washed OR founded) AS prone, water AND (washed OR founded) AND (above OR unmatched) AS watch FROM (SELECT g.structure_id, {_BAND} AS band, coalesce(level_cm >= trigger_cm, false) AS above,
+        coalesce(regexp_matches(lower(crossed), 'bach|tal|fluss|gewässer|gewasser|river'), false) AS water, EXISTS (SELECT 1 FROM {{findings}} f WHERE f.structure_id = g.structure_id AND regexp_matches({_FOLD}, 'kolk|scour|unterspul')) AS washed,
+        EXISTS (SELECT 1 FROM {{components}} c WHERE c.structure_id = g.structure_id AND regexp_matches(lower(c.type), 'gründung|grundung|pfahl|widerlager')) AS founded, o.structure_id IS NOT NULL AS open_scour,
+        e.band AS event_band, e.peaked_on AS event_on, u.structure_id IS NOT NULL AS unmatched FROM {{gauges}} g JOIN {{structures}} s ON s.id = g.structure_id
+        LEFT JOIN {{q_scour}} o ON o.structure_id = g.structure_id LEFT JOIN {{q_deciding}} e ON e.structure_id = g.structure_id LEFT JOIN {{q_open_flood}} u ON u.structure_id = g.structure_id))""",
     "condition_bands": "SELECT CAST(year(inspected_on) AS BIGINT) AS year, CASE WHEN tenths <= 19 THEN 'good' WHEN tenths <= 24 THEN 'fair' WHEN tenths <= 29 THEN 'poor' ELSE 'severe' END AS band, count(*) AS n FROM {inspections} WHERE inspected_on IS NOT NULL AND tenths BETWEEN 10 AND 40 GROUP BY 1, 2",
     "budget_years": "SELECT planned_year AS year FROM {interventions} UNION SELECT target_year FROM {recommendations} WHERE target_year IS NOT NULL UNION SELECT 2026",
     "evidence_sources": "SELECT doc_id, page, count(DISTINCT entity_id) AS n_entities, string_agg(DISTINCT origin, '+' ORDER BY origin) AS origins FROM {evidence} GROUP BY 1, 2",

@@ -138,7 +138,7 @@ def network_points(rel):
 @query
 def flood_band(rel):
     c = F.col
-    return rel.gauges.select("structure_id", policies.flood_band(c("level_cm"), c("mhw_cm"), c("hsw_cm"), c("hhw_cm")).alias("band"))
+    return rel.gauges.select("structure_id", portfolio.marked_band().alias("band"))
 
 
 @query
@@ -146,7 +146,7 @@ def damage_points(rel):
     """Four mechanisms of every structure."""
     gauges = rel.gauges.select("structure_id", (F.col("level_cm") >= F.col("trigger_cm")).alias("above_trigger"))
     daily = portfolio.latest_traffic(rel.traffic).select("structure_id", "daily_traffic")
-    last = portfolio.flood_unmatched(rel.flood_peaks, rel.special_checks)
+    last = portfolio.deciding_floods(rel.flood_peaks, rel.special_checks).where("unmatched")
     return mechanisms.mechanisms(rel.structures, rel.parts, rel.findings, rel.components, rel.climates, daily, gauges, last, int(AS_OF[:4]))
 
 
@@ -516,9 +516,9 @@ def previous_year_companion(rel):
 
 @query
 def flood_exposure(rel):
-    c = F.col
-    last = portfolio.flood_unmatched(rel.flood_peaks, rel.special_checks)
-    return lifecycle.flood_assessment(rel.structures, rel.gauges, portfolio.scour_sensitive(rel.structures, rel.findings, rel.components), last, policies.flood_band(c("level_cm"), c("mhw_cm"), c("hsw_cm"), c("hhw_cm")))
+    """Assessment of every gauged structure."""
+    done = lifecycle.flood_assessment(maintenance.flood_sides(rel), portfolio.open_scour(rel.findings))
+    return done.select("structure_id", "band", "watch", "trigger_exceeded", "scour_sensitive", "open_scour", "unmatched", F.col("action.kind").alias("action"), F.col("action.event_year").alias("event_year"), F.col("action.peaked_on").alias("peaked_on"), _joined("reasons").alias("reasons"))
 
 
 @query

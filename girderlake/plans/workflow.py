@@ -275,7 +275,7 @@ def section_keys(rel):
     return rel.raw_values.select(F.col("id").alias("page_id"), F.explode(F.regexp_extract_all("page_text", F.lit(r"\[(\d+)\]"), F.lit(1))).alias("key")).distinct()
 
 
-@sql(r"""SELECT DISTINCT r.id AS recommendation_id, finding_id FROM (SELECT finding_id, CAST(unnest(regexp_extract_all(text, '(?i)ma(?:[sß]|ss)nahme(?:nempfehlung)?\s*\x7B(\d+)\x7D', 1)) AS BIGINT) AS id FROM {notes}) n JOIN {recommendations} r ON r.id = n.id""")
+@sql(r"""SELECT DISTINCT r.id AS recommendation_id, finding_id FROM (SELECT finding_id, CAST(unnest(regexp_extract_all(text, '(?i)ma[sß]nahme(?:nempfehlung)?\s*\x7B(\d+)\x7D', 1)) AS BIGINT) AS id FROM {notes}) n JOIN {recommendations} r ON r.id = n.id""")
 @query
 def mentioned_links(rel):
     """E4"""

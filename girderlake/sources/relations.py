@@ -113,7 +113,8 @@ RELATIONS = {
         SELECT c_custkey AS structure_id, (c_custkey * 17) % 1200 AS level_cm, 600 AS trigger_cm,
           CASE WHEN c_custkey % 3 <> 0 THEN 500 + c_custkey % 200 END AS mhw_cm,
           CASE WHEN c_custkey % 6 <> 0 THEN 800 + c_custkey % 100 END AS hsw_cm,
-          CASE WHEN c_custkey % 10 <> 0 THEN 1050 END AS hhw_cm
+          CASE WHEN c_custkey % 10 <> 0 THEN 1050 END AS hhw_cm,
+          CASE WHEN c_custkey % 8 <> 0 THEN 450 + c_custkey % 150 END AS mark_one_cm, CASE WHEN c_custkey % 14 <> 0 THEN 780 + c_custkey % 120 END AS mark_two_cm
         FROM {customer} WHERE c_custkey % 2 = 0""",
     "flood_peaks": """
         SELECT event_id AS id, user_id AS structure_id, DATE '1994-01-01' + CAST(event_id * 37 % 2400 AS INT) AS peaked_on, event_id * 29 % 1300 AS level_cm,
