@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderlake.functions import geo
-from girderlake.functions.text import collapsed, first_of
+from girderlake.functions.text import collapsed, first_of, without_marks
 
 #: Signs of a page's content.
 PHOTO_LABEL = r"(?iu)\bfotos?\b|lichtbild(?:er)?|photographie|photograph(?:ie|en)?"
@@ -89,7 +89,7 @@ def coordinates(pages: DataFrame, text_col: str) -> DataFrame:
 def safe_filename(name: Column) -> Column:
     """the last part of a path, in plain characters, with its ending."""
     leaf = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
-    plain = F.translate(leaf, "äöüÄÖÜàâáçéèêëîïíôóûùúñ", "aouAOUaaaceeeeiiioouuun")
+    plain = without_marks(leaf)
     stem = F.regexp_replace(F.regexp_replace(plain, r"(?i)\.pdf$", ""), r"[^A-Za-z0-9._-]+", "-")
     stem = F.substring(F.regexp_replace(stem, r"^[.-]+|[.-]+$", ""), 1, 176)
     return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("bauwerksbuch")), F.lit(".pdf"))

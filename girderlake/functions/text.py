@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,9 +45,43 @@ def collapsed(text: Column) -> Column:
     return F.nullif(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(""))
 
 
+#: Combining marks that are taken off letters: U+0300 to U+036F.
+MARKS = "".join(map(chr, range(0x300, 0x370)))
+
+
+def _bare_letters() -> tuple[str, str]:
+    """Letters with such marks, and what is left of each without them, by Unicode's canonical decompositions."""
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if x not in MARKS) for c in map(chr, range(0x80, 0x10000))}
+    pairs = [(c, b) for c, b in bare.items() if len(b) == 1 and b != c]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+_MARKED, _BARE = _bare_letters()
+
+
+def without_marks(text: Column) -> Column:
+    """Letters without their marks, whether these stand in the letter or behind it."""
+    return F.translate(text, _MARKED + MARKS, _BARE)
+
+
 def folded(text: Column) -> Column:
-    """lower case without the accents of German and French words."""
-    return F.translate(F.lower(text), "äöüàâáçéèêëîïíôóûùúñ", "aouaaaceeeeiiioouuun")
+    """lower case without marks."""
+    return F.lower(without_marks(text))
+
+
+#: White space, as Unicode has it.
+_BLANKS = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]+"
+
+
+def compatible(text: Column) -> Column:
+    """Unicode's form NFKC, by the library that Spark brings with it; plain text stays as it is."""
+    made = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+    return F.when(F.rlike(text, F.lit(r"^[\x00-\x7F]*$")), text).when(text.isNotNull(), made)
+
+
+def canonical(text: Column) -> Column:
+    """form NFKC, runs of white space as one space, trimmed, lower case. Not for use within an aggregate or a join's condition."""
+    return F.lower(F.trim(F.regexp_replace(compatible(text), _BLANKS, " ")))
 
 
 def any_of(words: list[str]) -> Column:

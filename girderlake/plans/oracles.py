@@ -6,7 +6,7 @@ from girderlake.sources.relations import AS_OF, with_relations
 
 _ACTIVE = "('OPEN', 'MONITORING')"
 _UNDONE = "('OPEN', 'APPROVED', 'SCHEDULED', 'IN_PROGRESS')"
-_FOLD = "translate(lower(coalesce(description, '')), 'äöüàâáçéèêëîïíôóûùúñ', 'aouaaaceeeeiiioouuun')"
+_FOLD = "lower(strip_accents(coalesce(description, '')))"
 _DUE = "CAST(inspected_on + to_months(CAST(cycle_months AS INTEGER)) AS DATE)"
 _POINTS = """(CASE WHEN daily_traffic >= 50000 THEN 3 WHEN daily_traffic >= 30000 THEN 2 WHEN daily_traffic >= 10000 THEN 1 ELSE 0 END
   + CASE WHEN heavy >= 8000 THEN 3 WHEN heavy >= 6000 THEN 2 WHEN heavy >= 3000 THEN 1 ELSE 0 END

@@ -197,6 +197,42 @@ RELATIONS = {
           CASE c_custkey % 7 WHEN 0 THEN 'Bestandsplan 3.pdf' WHEN 1 THEN 'Lichtbild.jpg' WHEN 2 THEN 'Buch.pdf' WHEN 3 THEN 'Zeichnung mit Foto.pdf' WHEN 4 THEN 'bauwerksplan' END AS filename,
           CASE c_custkey % 8 WHEN 0 THEN ' Deutschland ' WHEN 1 THEN 'at' WHEN 2 THEN 'd' WHEN 3 THEN 'Austria' WHEN 4 THEN '' WHEN 5 THEN 'Germany' WHEN 6 THEN 'X' END AS country
         FROM {customer}""",
+    "extracted": """
+        SELECT id AS document_id, 'BRIDGE' AS kind, '$bridge' AS source_key, CAST(0 AS BIGINT) AS position, CAST(NULL AS STRING) AS parent_key, CASE WHEN id % 5 <> 0 THEN concat(' ', ext_no, ' ') END AS external_number,
+          CAST(NULL AS DATE) AS day, CAST(NULL AS STRING) AS type, CAST(NULL AS BIGINT) AS year, CAST(NULL AS STRING) AS source_identifier FROM {structures}
+        UNION ALL SELECT structure_id, 'PARTIAL_STRUCTURE', concat('partial:', id), id, NULL, CASE structure_id % 3 WHEN 0 THEN CASE id % 2 WHEN 0 THEN 'Teil  Ａ' ELSE 'teil a' END WHEN 2 THEN concat('Nr ', id) END, NULL, NULL, NULL, NULL FROM {parts}
+        UNION ALL SELECT structure_id, 'COMPONENT', CASE WHEN structure_id % 23 = 0 THEN ' ' ELSE concat('Bauteil "', coalesce(type, '?'), '"') END, id, CASE WHEN structure_id % 17 = 0 THEN 'partial:none' ELSE concat('partial:', id) END, NULL, NULL, NULL, NULL, NULL FROM {components}
+        UNION ALL SELECT structure_id, 'INSPECTION', concat('inspection:', id), id, concat('partial:', part_id), NULL, CASE WHEN id % 2 = 0 THEN DATE '2000-01-01' ELSE inspected_on END, CASE WHEN id % 3 <> 0 THEN type END, NULL, NULL FROM {inspections}
+        UNION ALL SELECT structure_id, 'FINDING', concat('finding:', id), 0, concat('inspection:', inspection_id), NULL, NULL, NULL, NULL, CASE WHEN stability <> 0 THEN concat(safety) END FROM {findings}
+        UNION ALL SELECT structure_id, 'RECOMMENDATION', concat('recommendation:', id), id, concat('partial:', structure_id * 10 + id % 2), NULL, NULL, NULL, NULL, NULL FROM {recommendations}
+        UNION ALL SELECT structure_id, 'HISTORICAL_WORK', concat('Arbeit ', coalesce(title, ''), id % 3), id, CASE WHEN id % 2 = 0 THEN concat('partial:', structure_id * 10) END, NULL, NULL, NULL, NULL, NULL FROM {works}
+        UNION ALL SELECT structure_id, 'TRAFFIC_OBSERVATION', concat('traffic:', id), id, NULL, NULL, CASE WHEN id % 2 = 0 THEN observed_on END, NULL, observation_year, NULL FROM {traffic}""",
+    "extracted_evidence": """
+        SELECT id AS document_id, 'BRIDGE' AS kind, '$bridge' AS source_key, id % 7 AS page, crossed AS excerpt FROM {structures} UNION ALL SELECT id, 'BRIDGE', '$bridge', id % 3, concat('Ｎr. ', road) FROM {structures}
+        UNION ALL SELECT structure_id, 'FINDING', concat('finding:', id), stability, CASE WHEN durability <> 4 THEN concat(coalesce(description, ''), ' [', safety, ']') END FROM (SELECT DISTINCT id, structure_id, stability, durability, description, safety FROM {findings}) f
+        UNION ALL SELECT structure_id, 'COMPONENT', ' ', id % 5, concat('Seite  "', id, '"') FROM {components}""",
+    "extracted_links": """
+        SELECT DISTINCT structure_id AS document_id, concat('recommendation:', inspection_id) AS source_key, concat('finding:', CASE WHEN inspection_id % 37 = 0 THEN 'none' ELSE id END) AS finding_key FROM {findings}""",
+    "entities": """
+        SELECT id AS document_id, 'BRIDGE' AS kind, id AS number, concat('b', id) AS entity_id, concat_ws('|', ext_no, road) AS fingerprint FROM {structures}
+        UNION ALL SELECT structure_id, 'PARTIAL_STRUCTURE', id, concat('p', id), concat_ws('|', construction_year, structure_type) FROM {parts}
+        UNION ALL SELECT structure_id, 'COMPONENT', id, concat('c', id), concat_ws('|', material, type, install_year) FROM {components}
+        UNION ALL SELECT structure_id, 'INSPECTION', id, concat('i', id), concat_ws('|', type, tenths) FROM {inspections}
+        UNION ALL SELECT DISTINCT structure_id, 'FINDING', inspection_id, concat('f', id), concat_ws('|', status, description) FROM {findings}
+        UNION ALL SELECT structure_id, 'RECOMMENDATION', id, concat('r', id), concat_ws('|', status, urgency, work_type) FROM {recommendations}
+        UNION ALL SELECT structure_id, 'HISTORICAL_WORK', id, concat('w', id), concat_ws('|', title, reason) FROM {works}
+        UNION ALL SELECT structure_id, 'TRAFFIC_OBSERVATION', id, concat('t', id), concat_ws('|', observation_year, daily_traffic) FROM {traffic}""",
+    "bindings": """
+        SELECT CASE WHEN document_id % 10 = 9 THEN -document_id ELSE document_id END AS document_id, kind, concat(kind, ':', entity_id) AS identity_key, CASE WHEN kind = 'TRAFFIC_OBSERVATION' AND document_id % 19 = 0 AND number % 5 = 0 THEN concat(entity_id, '-gone') ELSE entity_id END AS entity_id,
+          CASE WHEN kind = 'COMPONENT' AND document_id % 13 = 0 THEN concat(fingerprint, 'x') ELSE fingerprint END AS fingerprint FROM {entities}""",
+    "desired": """
+        SELECT document_id, kind, concat(kind, ':', entity_id, CASE WHEN kind IN ('FINDING', 'INSPECTION', 'HISTORICAL_WORK', 'TRAFFIC_OBSERVATION', 'COMPONENT') AND number % 23 = 0 OR kind = 'RECOMMENDATION' AND document_id % 6 = 1 AND number % 5 = 0
+            OR kind = 'PARTIAL_STRUCTURE' AND document_id % 29 = 0 OR kind = 'BRIDGE' AND document_id % 31 = 0 THEN '-new' ELSE '' END) AS identity_key,
+          CASE WHEN number % 7 = 0 THEN concat(fingerprint, 'n') ELSE fingerprint END AS fingerprint FROM {entities}""",
+    "document_uses": """
+        SELECT id AS document_id, concat('p', id * 10) AS entity_id FROM {structures} UNION ALL SELECT id + 1, CASE WHEN id % 58 = 0 THEN concat('p', id * 10) END FROM {structures}""",
+    "document_reviews": """
+        SELECT id AS document_id, CASE id % 11 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTOMATICALLY_EXTRACTED' END AS review_state FROM {structures}""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
