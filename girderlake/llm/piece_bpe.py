@@ -2,7 +2,8 @@
 
 Merging follows scores, not word bounds: all adjacent pairs of symbols whose joined text is a piece stand on an agenda,
 the best score first and of equal scores the leftmost. The best is joined, its neighbours offer new pairs, and
-entries whose symbols have changed since are passed over. A pair that crosses from another letter to the space mark can't
+entries whose symbols have changed since are passed over. Short runs of one batch keep their agendas as rows of an array,
+so that each step joins the best pair of every run at once; long runs keep a heap. A pair that crosses from another letter to the space mark can't
 join if no piece holds such a pair, so texts fall into runs at these places, and merged runs are kept by their text.
 """
 
@@ -24,7 +25,10 @@ from girderlake.llm.arrays import sliced
 
 SPACE = "▁"
 #: Merged runs that a task keeps before it starts anew.
-KEPT_RUNS = 1 << 17
+KEPT_RUNS = 1 << 18
+#: Letters of a run whose agenda is a row of an array, and cells of such an array.
+SHORT, CELLS = 64, 1 << 18
+NO_PAIR, PAD = 1 << 30, -1
 #: Kinds of pieces and of models in a model file; fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
@@ -85,16 +89,27 @@ class Pieces:
         self.prefix = SPACE if normalizer.get(3, 1) else ""
         whole = any(re.search(f"[^{SPACE}]{SPACE}", t) for t in self.ids)
         self._runs = re.compile("(?s).+" if whole else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._single = {t: s for t, s in self.ids.items() if len(t) == 1}
-        self._merged: dict[str, list[int]] = {}
+        self._kept: dict[str, bytes] = {}
+        # symbols: pieces, then letters that only stand in pieces; a letter of none is -2 less its codepoint
+        symbols = dict(self.ids)
+        for c in sorted({c for t in self.ids for c in t} - symbols.keys()):
+            symbols[c] = len(self.texts) + len(symbols) - len(self.ids)
+        self._letters = {i: t for t, i in symbols.items() if t not in self.ids}
+        self._symbol = -2 - np.arange(0x110000, dtype=np.int64)
+        for t, i in symbols.items():
+            if len(t) == 1:
+                self._symbol[ord(t)] = i
+        places = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
+        pairs = sorted((symbols[t[:k]] << 32 | symbols[t[k:]], i, places[self.scores[t]]) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in symbols and t[k:] in symbols)
+        self._pairs, self._joined, self._place = (np.array([x[i] for x in pairs] or [0], np.int64) for i in range(3))
         self._out = [b"" for _ in self.texts]  # unknown and control pieces have no text here
         for text, i in self.ids.items():
             self._out[i] = text.replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self._out[i] = bytes([byte])
 
-    def merge(self, run: str) -> list[int]:
-        """Ids of one run, by the agenda."""
+    def merge(self, run: str) -> bytes:
+        """Ids of one run as 32-bit integers, by an agenda that is a heap."""
         n = len(run)
         symbols, before, after = list(run), list(range(-1, n - 1)), [*range(1, n), -1]
         agenda: list[tuple[float, int, int, int]] = []
@@ -125,29 +140,81 @@ class Pieces:
             if s:
                 i = self.ids.get(s)
                 out.extend([i] if i is not None else [self.bytes[b] for b in s.encode()])
-        return out
-
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text; none of an empty one."""
-        if not text:
-            return []
-        kept = self._merged
+        return np.array(out, np.int32).tobytes()
+
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of symbols, the place of their joined score (NO_PAIR: not a piece), and the piece."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
+        known = (self._pairs[at] == key) & (left >= 0) & (right >= 0)
+        return np.where(known, self._place[at], NO_PAIR), self._joined[at]
+
+    def _merge_short(self, runs: list[str]) -> None:
+        """Keep the ids of runs of like length: every step joins the best, leftmost pair of each."""
+        lengths = np.array([len(r) for r in runs])
+        width = int(lengths.max())
+        symbols = np.full((len(runs), width + 1), PAD, np.int64)
+        symbols[:, :width][np.arange(width) < lengths[:, None]] = self._symbol[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)]
+        places, joined = self._offers(symbols[:, :-1], symbols[:, 1:])
+        active = np.arange(len(runs))
+        while len(active):
+            best = places.argmin(1)
+            rows = np.arange(len(active))
+            ended = places[rows, best] == NO_PAIR
+            if ended.any():
+                self._keep([runs[r] for r in active[ended].tolist()], symbols[ended])
+                active, symbols, places, joined, best = (x[~ended] for x in (active, symbols, places, joined, best))
+                rows = np.arange(len(active))
+                if not len(active):
+                    break
+            symbols[rows, best] = joined[rows, best]
+            # what stands right of the joined pair moves up
+            step = np.arange(symbols.shape[1] - 1)
+            up = step + (step > best[:, None])
+            symbols = np.take_along_axis(symbols, np.concatenate([up, up[:, -1:]], 1), 1)
+            symbols[:, -1] = PAD
+            up = np.minimum(up, symbols.shape[1] - 2)
+            places, joined = np.take_along_axis(places, up, 1), np.take_along_axis(joined, up, 1)
+            places[:, -1] = NO_PAIR
+            places[rows, best], joined[rows, best] = self._offers(symbols[rows, best], symbols[rows, best + 1])
+            left = np.flatnonzero(best)
+            places[left, best[left] - 1], joined[left, best[left] - 1] = self._offers(symbols[left, best[left] - 1], symbols[left, best[left]])
+
+    def _keep(self, runs: list[str], symbols: np.ndarray) -> None:
+        """Keep the ids of runs, from rows of symbols; a letter that is no piece is its bytes."""
+        flat = symbols[symbols != PAD]
+        of = np.repeat(np.arange(len(runs)), (symbols != PAD).sum(1))
+        for at in np.flatnonzero((flat < 0) | (flat >= len(self.texts)))[::-1].tolist():
+            letter = chr(-2 - flat[at]) if flat[at] < 0 else self._letters[int(flat[at])]
+            ids = [self.bytes[b] for b in letter.encode()]
+            flat, of = np.concatenate([flat[:at], ids, flat[at + 1 :]]), np.concatenate([of[:at], np.full(len(ids), of[at]), of[at + 1 :]])
+        raw, edges = flat.astype(np.int32).tobytes(), (4 * np.searchsorted(of, np.arange(len(runs) + 1))).tolist()
+        self._kept.update(zip(runs, [raw[a:b] for a, b in zip(edges, edges[1:])], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; none of an empty one."""
+        split = [self._runs.findall(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        kept = self._kept
         if len(kept) > KEPT_RUNS:
             kept.clear()
-        out: list[int] = []
-        for run in self._runs.findall(self.prefix + text.replace(" ", SPACE)):
-            ids = kept.get(run)
-            if ids is None:
-                ids = self.merge(run)
-                if len(run) < 64:
-                    kept[run] = ids
-            out += ids
+        missing = sorted(set().union(*split).difference(kept), key=len)
+        lengths = np.array([len(r) for r in missing])
+        at = 0
+        while at < len(missing) and lengths[at] <= SHORT:
+            widest = min(max(8, int(lengths[at]) * 5 // 4), SHORT)
+            stop = min(int(np.searchsorted(lengths, widest, "right")), at + 1 + CELLS // widest)
+            self._merge_short(missing[at:stop])
+            at = stop
+        for run in missing[at:]:
+            kept[run] = self.merge(run)
+        out = [np.frombuffer(b"".join(map(kept.__getitem__, runs)), np.int32) for runs in split]
+        for run in missing[at:]:
+            del kept[run]
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids that ``encode`` gave: pieces joined, the mark that stands before the first word left out."""
-        table = self._out
-        raw = b"".join([table[i] for i in ids])
+        raw = b"".join(map(self._out.__getitem__, ids))
         return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
@@ -172,16 +239,15 @@ def encode_documents(docs: DataFrame, model_file: str, checked: bool = True, id_
         for batch in batches:
             for rows, _, _ in sliced(batch, "text"):
                 texts = [t or "" for t in rows.column(1).to_pylist()]
-                ids = [pieces.encode(t) for t in texts]
-                decoded = [pieces.decode(i) for i in ids]
+                ids = pieces.encode(texts)
+                sizes, plain = np.array([len(i) for i in ids], np.int64), [i.tolist() for i in ids]
+                decoded = [pieces.decode(i) for i in plain]
                 if checked:
-                    if library.encode(texts, num_threads=1) != ids:
+                    if library.encode(texts, num_threads=1) != plain:
                         raise ValueError("ids differ from those of the sentencepiece library")
-                    if library.decode(ids, num_threads=1) != decoded:
+                    if library.decode(plain, num_threads=1) != decoded:
                         raise ValueError("decoded texts differ from those of the sentencepiece library")
-                sizes = np.array([len(i) for i in ids], np.int64)
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+                listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.record_batch([rows.column(0), listed, pa.array(sizes), pa.array(decoded, pa.string())], names=["doc_id", "ids", "n_tokens", "decoded"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decoded string")
