@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from girderlake.operators import identities
+from girderlake.operators import identities, sections
 from girderlake.plans.oracles import ORACLES, VIEWS
 from girderlake.plans.queries import query
 from girderlake.sources.relations import with_relations
@@ -121,4 +121,143 @@ def released_documents(rel):
     return identities.released_documents(rel.document_uses, _outcomes(rel))
 
 
+def _records(path: str, one: bool = False) -> str:
+    """SQL of the records of the sections that hold a list: section_id, document_id, place, rec."""
+    held = f"[json_extract(j, '{path}')]" if one else f"json_extract(j, '{path}[*]')"
+    return f"""(SELECT section_id, document_id, place, l[place + 1] AS rec FROM (SELECT *, unnest(range(len(l))) AS place FROM (SELECT id AS section_id, document_id, {held} AS l
+      FROM (SELECT id, document_id, try_cast(payload AS JSON) AS j FROM {{{{sections}}}} WHERE category = '{{category}}'))) WHERE coalesce(json_type(l[place + 1]), 'NULL') <> 'NULL')"""
+
+
+def _value(name: str) -> str:
+    return f"json_extract_string(rec, '$.{name}.value')"
+
+
+def _plain(name: str) -> str:
+    """A German number as the sections write it: points between thousands, a comma before decimals."""
+    v = _value(name)
+    return f"try_cast(CASE WHEN contains({v}, ',') THEN replace(replace({v}, '.', ''), ',', '.') WHEN regexp_full_match({v}, '\\d\\d?\\d?(\\.\\d\\d\\d)+') THEN replace({v}, '.', '') ELSE {v} END AS DOUBLE)"
+
+
+def _whole(name: str) -> str:
+    return f"CAST({_plain(name)} AS BIGINT)"
+
+
+_DAY = "coalesce(CAST(try_strptime({v}, '%d.%m.%Y') AS DATE), CAST(try_strptime({v}, '%Y-%m-%d') AS DATE))"
+
+
+def _day(name: str) -> str:
+    return _DAY.format(v=_value(name))
+
+
+def _small(name: str) -> str:
+    return f"CASE WHEN try_cast({_value(name)} AS DOUBLE) BETWEEN 0 AND 4 THEN try_cast({_value(name)} AS BIGINT) END"
+
+
+#: Of each kind: its fields in SQL, and what makes a record valid besides a source key.
+_SECTION_SQL = {
+    "bridges": ({"structure_number": f"trim({_value('structure_number')})", "name": _value("name"), "country": "'DE'", "latitude": f"CASE WHEN abs({_plain('latitude')}) <= 90 THEN {_plain('latitude')} END", "longitude": _plain("longitude")}, "true"),
+    "partials": ({"part_number": _value("part_number"), "construction_year": _whole("construction_year"), "length_m": _plain("length_m"), "span_count": _whole("span_count")}, "coalesce(construction_year BETWEEN 1700 AND 2200, true)"),
+    "components": ({"type": _value("type"), "material": f"regexp_replace({_value('material')}, '\\s+', ' ', 'g')", "install_year": _whole("install_year")}, "coalesce(install_year BETWEEN 1700 AND 2200, true)"),
+    "inspections": ({"type": f"CASE {_value('type')} WHEN 'Hauptprüfung' THEN 'MAIN' END", "inspected_on": _day("inspected_on"), "score": _plain("score"), "cycle_months": _whole("cycle_months")}, "coalesce(score BETWEEN 1 AND 4, true) AND coalesce(cycle_months > 0, true)"),
+    "findings": ({"number": _value("number"), "description": _value("description"), "quantity": f"CASE WHEN unit IS NOT NULL THEN {_plain('quantity')} END", "quantity_unit": "unit", "stability": _small("stability"), "safety": _small("safety"), "durability": "CAST(NULL AS BIGINT)", "status": f"CASE {_value('status')} WHEN 'behoben' THEN 'RESOLVED' ELSE 'OPEN' END"}, "true"),
+    "recommendations": ({"work_type": _value("work_type"), "urgency": "'KURZFRISTIG'", "cost": _plain("cost"), "currency": f"CASE WHEN {_plain('cost')} IS NOT NULL THEN coalesce(upper({_value('currency')}), 'EUR') END", "target_year": _whole("target_year"), "status": "'SCHEDULED'"}, "coalesce(target_year BETWEEN 1700 AND 2200, true)"),
+    "works": ({"title": _value("title"), "started_on": _day("started_on"), "ended_on": _day("ended_on"), "amount": _plain("amount")}, "coalesce(ended_on >= started_on, true)"),
+    "observations": ({"observation_year": _whole("observation_year"), "observed_on": _day("observed_on"), "daily_traffic": _whole("daily_traffic"), "truck_share": _plain("truck_share"), "heavy_daily": f"CAST(floor({_plain('daily_traffic')} * {_plain('truck_share')} / 100 + 0.5) AS BIGINT)"},
+        "observation_year IS NOT NULL AND coalesce(year(observed_on) = observation_year, true) AND coalesce(truck_share <= 100, true)"),
+}
+_UNIT = f"CASE WHEN {_plain('quantity')} IS NOT NULL THEN CASE {_value('quantity_unit')} WHEN 'Stück' THEN 'Stk' ELSE CASE {_value('description')} WHEN 'Riss 3 mm' THEN 'mm' WHEN '12 lfd m Fuge' THEN 'm' END END END AS unit"
+
+
+def _judged_sql(kind: str) -> str:
+    route, (fields, valid) = sections.ROUTES[kind], _SECTION_SQL[kind]
+    rows = _records(route.path, route.one).format(category=route.category)
+    rows = rows if kind != "findings" else f"(SELECT *, {_UNIT} FROM {rows})"
+    key = "'$bridge'" if route.one else "nullif(json_extract_string(rec, '$.sourceKey'), '')"
+    return f"(SELECT *, source_key IS NOT NULL AND {valid} AS valid FROM (SELECT document_id, section_id, place, {key} AS source_key, {', '.join(f'{v} AS {n}' for n, v in fields.items())} FROM {rows}))"
+
+
+def _section_query(kind: str):
+    def made(rel):
+        return sections.kept(sections.routed(sections.section_records(rel.sections), kind)).drop("place")
+
+    made.__name__, made.__doc__ = f"section_{kind}", f"E5, U5: {kind} of all documents' sections, invalid ones left out."
+    order = f"SELECT *, row_number() OVER (PARTITION BY document_id, source_key ORDER BY section_id, place) AS n FROM {_judged_sql(kind)} WHERE valid"
+    return sql(f"SELECT document_id, section_id, source_key, {', '.join(_SECTION_SQL[kind][0])} FROM ({order}) WHERE n = 1")(query(made))
+
+
+for _kind in sections.ROUTES:
+    _section_query(_kind)
+
+_ALL_JUDGED = " UNION ALL ".join(f"SELECT '{route.category}' AS category, count(*) AS n_records, count(*) FILTER (WHERE valid) AS n_valid FROM {_judged_sql(kind)}" for kind, route in sections.ROUTES.items())
+
+
+@sql(f"SELECT s.category, n_sections, coalesce(n_records, 0) AS n_records, coalesce(n_valid, 0) AS n_valid FROM (SELECT category, count(*) AS n_sections FROM {{sections}} GROUP BY 1) s LEFT JOIN ({_ALL_JUDGED}) j ON j.category = s.category")
+@query
+def section_counts(rel):
+    """E5: records of each kind of section, and how many are valid."""
+    return sections.routing_counts(rel.sections, sections.section_records(rel.sections))
+
+
+@sql(
+    r"""SELECT document_id, source_key, type, inspected_on, cycle_months, score, number FROM (SELECT *, row_number() OVER (PARTITION BY document_id, source_key ORDER BY number, id, place) AS n FROM (
+      SELECT document_id, number, id, place, concat('inspection:', coalesce(CAST(day AS VARCHAR), m[2]), ':', type) AS source_key, type, day AS inspected_on, try_cast(m[3] AS BIGINT) AS cycle_months, try_cast(replace(m[4], ',', '.') AS DOUBLE) AS score FROM (
+        SELECT *, CASE WHEN lower(m[1]) LIKE 'haupt%' THEN 'MAIN' WHEN lower(m[1]) LIKE 'einf%' THEN 'SIMPLE' ELSE 'SPECIAL' END AS type, CAST(try_strptime(m[2], '%d.%m.%Y') AS DATE) AS day FROM (
+          SELECT document_id, number, id, place, [regexp_extract(hit, p, 1), regexp_extract(hit, p, 2), regexp_extract(hit, p, 3), regexp_extract(hit, p, 4)] AS m FROM (
+            SELECT document_id, number, id, p, unnest(range(len(hits))) AS place, unnest(hits) AS hit FROM (SELECT *, regexp_extract_all(text, p) AS hits FROM (SELECT *, '(?i)(?:H\d+\s+)?(?:\d+\.\s+)?(Hauptprüfung(?:\s+vor der Abnahme)?|Einfache Prüfung|Sonderprüfung)\s+(\d{1,2}\.\d{1,2}\.\d{4})(?:\s+(\d+)\s+Monate)?(?:\s+(\d+,\d+))?' AS p FROM {measure_pages}))))))) WHERE n = 1"""
+)
+@query
+def page_inspections(rel):
+    """Inspections that pages list, the first of each day and type of a document."""
+    return sections.page_inspections(rel.measure_pages, "document_id", "number", "id", "text")
+
+
+_MEASURE_BLOCKS = r"""SELECT document_id, number, id, place, ids[place] AS measure, bodies[place + 1] AS body FROM (SELECT *, unnest(range(1, len(ids) + 1)) AS place FROM (
+    SELECT document_id, number, id, regexp_extract_all(text, '(?i)ma[sß]nahmenempfehlung\s*\x7B\s*(\d+)\s*\x7D', 1) AS ids, string_split_regex(text, '(?i)ma[sß]nahmenempfehlung\s*\x7B\s*\d+\s*\x7D') AS bodies FROM {measure_pages}))"""
+
+
+def _amount(label: str) -> str:
+    hit = rf"regexp_extract(body, '(?i){label}[:\s]*(--|\d{{1,3}}(?:\.\d{{3}})+(?:,\d+)?|\d+(?:[.,]\d+)?)', 1)"
+    return rf"try_cast(CASE WHEN contains({hit}, ',') OR regexp_full_match({hit}, '\d+\.\d\d\d') THEN replace(replace({hit}, '.', ''), ',', '.') ELSE {hit} END AS DOUBLE)"
+
+
+@sql(
+    rf"""SELECT document_id, concat('recommendation:', measure) AS source_key, work_type, CASE lower(urgency) WHEN 'sofort' THEN 'SOFORT' WHEN 'langfristig' THEN 'LANGFRISTIG' END AS urgency, quantity,
+      CASE WHEN quantity IS NOT NULL THEN CASE WHEN work_type LIKE '%m²%' THEN 'm2' WHEN work_type LIKE '%lfd m%' THEN 'm' ELSE 'Stk' END END AS unit, cost, CASE WHEN cost IS NOT NULL THEN 'EUR' END AS currency, array_to_string(found, ',') AS findings, number
+    FROM (SELECT *, nullif(trim(regexp_replace(regexp_extract(body, '(?i)Art der Leistung\s+([^
+]+)', 1), '\s+', ' ', 'g')), '') AS work_type, regexp_extract(body, '(?i)Dringlichkeit\s+(Sofort|Kurzfristig|Mittelfristig|Langfristig)', 1) AS urgency,
+      {_amount("Menge")} AS quantity, {_amount("Gesch[äa]tzte Kosten")} AS cost, CASE WHEN contains(body, 'Zugeordnete') THEN ['28', '77'] ELSE [regexp_extract(body, '\[(\d+)\]', 1)] END AS found
+      FROM (SELECT *, row_number() OVER (PARTITION BY document_id, measure ORDER BY number, id, place) AS n FROM ({_MEASURE_BLOCKS})) WHERE n = 1)"""
+)
+@query
+def page_measures(rel):
+    """Recommended measures that pages describe, the first of each number of a document."""
+    return sections.page_measures(rel.measure_pages, "document_id", "number", "id", "text").withColumn("findings", F.array_join("findings", ","))
+
+
+_FOUND_PAIRS = r"""list_reduce(list_prepend({{r: CAST(NULL AS DOUBLE), h: CAST(NULL AS DOUBLE), pairs: CAST([] AS STRUCT(one DOUBLE, two DOUBLE)[])}},
+    list_transform(regexp_extract_all({t}, '(?i)(?:rechtswert|hochwert)\s*:?\s*(?:[0-9]{{1,3}}(?:\.[0-9]{{3}})+,[0-9]+|[0-9]+(?:[.,][0-9]+)?)'), lambda v: {{r: CASE WHEN lower(v) LIKE 'r%' THEN {m} END, h: CASE WHEN lower(v) LIKE 'h%' THEN {m} END, pairs: CAST([] AS STRUCT(one DOUBLE, two DOUBLE)[])}})),
+    lambda s, x: CASE WHEN coalesce(x.r, s.r) IS NOT NULL AND coalesce(x.h, s.h) IS NOT NULL THEN {{r: CAST(NULL AS DOUBLE), h: CAST(NULL AS DOUBLE), pairs: list_append(s.pairs, {{one: coalesce(x.r, s.r), two: coalesce(x.h, s.h)}})}} ELSE {{r: coalesce(x.r, s.r), h: coalesce(x.h, s.h), pairs: s.pairs}} END).pairs"""
+_METRES = r"CAST(CASE WHEN contains(v, ',') AND regexp_matches(v, '\.') THEN replace(replace(regexp_extract(v, '[0-9.,]+$'), '.', ''), ',', '.') ELSE replace(regexp_extract(v, '[0-9.,]+$'), ',', '.') END AS DOUBLE)"
+
+
+def _pair_sql(pairs: str, low: int, high: int) -> str:
+    inside = lambda a, b: f"CASE WHEN p.one BETWEEN {a} AND {b} THEN p.one WHEN p.two BETWEEN {a} AND {b} THEN p.two END"
+    return f"list_filter(list_transform({pairs}, lambda p: {{east: {inside(low, high)}, north: {inside(5200000, 6200000)}}}), lambda q: q.east IS NOT NULL AND q.north IS NOT NULL)[1]"
+
+
+_GIS = rf"""SELECT id, CASE WHEN best IS NOT NULL THEN CASE WHEN nr IN (1, 3) THEN 'UTM_ETRS89_TO_WGS84' ELSE 'GAUSS_KRUEGER_DHDN_TO_WGS84' END END AS method, CASE WHEN best IS NOT NULL THEN ['UTM_BLOCK', 'GK_BLOCK', 'HEADING', 'HEADING'][nr] END AS place, best.east AS east, best.north AS north
+    FROM (SELECT id, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 ELSE 4 END AS nr, coalesce(a, b, c, d) AS best FROM (
+      SELECT id, {_pair_sql("u", 250000, 850000)} AS a, {_pair_sql("g", 2400000, 5600000)} AS b, {_pair_sql("w", 250000, 850000)} AS c, {_pair_sql("w", 2400000, 5600000)} AS d
+      FROM (SELECT id, {_FOUND_PAIRS.format(t="ut", m=_METRES)} AS u, {_FOUND_PAIRS.format(t="gt", m=_METRES)} AS g, {_FOUND_PAIRS.format(t="pt", m=_METRES)} AS w FROM (
+        SELECT id, regexp_extract(t, '(?is)utm[- ]koordinaten(.{{0,500}}?)(?:gau[sß][- ]kr[uü]ger|gesamtl[aä]nge|5\.\d|\z)', 1) AS ut, regexp_extract(t, '(?is)gau[sß][- ]kr[uü]ger[- ]koordinaten(.{{0,500}}?)(?:utm[- ]koordinaten|gesamtl[aä]nge|5\.\d|\z)', 1) AS gt,
+          CASE WHEN regexp_matches(t, '(?i)gis[- ]koordinaten|utm[- ]koordinaten|gau[sß][- ]kr[uü]ger') THEN t ELSE '' END AS pt FROM (SELECT id, coalesce(text, '') AS t FROM {{gis_pages}})))))"""
+
+
+@sql(_GIS)
+@query
+def coordinate_pairs(rel):
+    """M9: the pair of metres that each page gives, and where it stands; blocks before headings, swapped labels by range."""
+    return sections.coordinate_pairs(rel.gis_pages, "text").drop("text")
+
+
 ORACLES.update({name: with_relations(text, VIEWS) for name, text in SQL.items()})

@@ -233,6 +233,39 @@ RELATIONS = {
         SELECT id AS document_id, concat('p', id * 10) AS entity_id FROM {structures} UNION ALL SELECT id + 1, CASE WHEN id % 58 = 0 THEN concat('p', id * 10) END FROM {structures}""",
     "document_reviews": """
         SELECT id AS document_id, CASE id % 11 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTOMATICALLY_EXTRACTED' END AS review_state FROM {structures}""",
+    "sections": """
+        SELECT p_partkey AS id, p_partkey % 200 AS document_id, CASE p_partkey % 9 WHEN 0 THEN 'IDENTITY_OVERVIEW' WHEN 1 THEN 'STRUCTURE_GEOMETRY' WHEN 2 THEN 'COMPONENTS_MATERIALS' WHEN 3 THEN 'INSPECTIONS' WHEN 4 THEN 'FINDINGS_DAMAGE' WHEN 5 THEN 'RECOMMENDATIONS'
+            WHEN 6 THEN 'HISTORICAL_WORKS_COSTS' WHEN 7 THEN 'TRAFFIC_NETWORK' ELSE 'OTHER' END AS category,
+          replace(replace(concat(CASE WHEN p_partkey % 41 = 0 THEN 'no JSON ' ELSE '' END, CASE p_partkey % 9
+            WHEN 0 THEN CASE WHEN p_partkey % 5 = 0 THEN '<"bridge":null>' ELSE concat('<"bridge":<"structure_number":<"value":" 55', p_partkey, ' ">,"name":<"value":null>,"country":<"value":"Deutschland">,"latitude":<"value":', 40 + p_partkey % 60, '.5>,"longitude":<"value":"7,25">>>') END
+            WHEN 1 THEN concat('<"partialStructures":[<"sourceKey":"p', p_partkey % 3, '","part_number":<"value":"T', p_partkey % 4, '">,"construction_year":<"value":', 1600 + p_partkey % 400, '>,"length_m":<"value":"1.234,5">,"span_count":<"value":"', p_partkey % 7, '">>,7,<"part_number":<"value":"keyless">>]>')
+            WHEN 2 THEN concat('<"components":[<"sourceKey":"c', p_partkey % 5, '","type":<"value":"Lager">,"material":<"value":"Stahl  S', p_partkey % 3, '">,"install_year":<"value":', 1900 + p_partkey % 350, '>>,<"sourceKey":"c9","type":<"value":"Fuge">>]>')
+            WHEN 3 THEN concat('<"inspections":[<"sourceKey":"i', p_partkey % 6, '","type":<"value":"Hauptprüfung">,"inspected_on":<"value":"', 1 + p_partkey % 31, '.4.2001">,"score":<"value":', p_partkey % 6, '.5>,"cycle_months":<"value":', p_partkey % 4 * 12, '>>,<"sourceKey":"i7","type":<"value":"?">,"inspected_on":<"value":"2001-02-30">>]>')
+            WHEN 4 THEN concat('<"findings":[<"sourceKey":"f', p_partkey % 8, '","number":<"value":', p_partkey, '>,"description":<"value":"', CASE p_partkey % 3 WHEN 0 THEN 'Riss 3 mm' WHEN 1 THEN 'Ablauf' ELSE '12 lfd m Fuge' END, '">,"quantity":<"value":"2,5">,"quantity_unit":<"value":', CASE p_partkey % 2 WHEN 0 THEN '"Stück"' ELSE 'null' END, '>,"stability":<"value":', p_partkey % 6, '>,"safety":<"value":"1">,"durability":<"value":null>,"status":<"value":"', CASE p_partkey % 4 WHEN 0 THEN 'behoben' ELSE '?' END, '">>,null]>')
+            WHEN 5 THEN concat('<"recommendations":[<"sourceKey":"r', p_partkey % 9, '","work_type":<"value":"Abdichtung">,"urgency":<"value":"Kurz-fristig">,"cost":<"value":"', CASE p_partkey % 3 WHEN 0 THEN '20.000' WHEN 1 THEN 'offen' ELSE '7,50' END, '">,"currency":<"value":', CASE p_partkey % 2 WHEN 0 THEN '"usd"' ELSE 'null' END, '>,"target_year":<"value":', 2000 + p_partkey % 300, '>,"status":<"value":"geplant">>]>')
+            WHEN 6 THEN concat('<"historicalWorks":[<"sourceKey":"w', p_partkey % 4, '","title":<"value":"Umbau">,"started_on":<"value":"1999-0', 1 + p_partkey % 8, '-01">,"ended_on":<"value":"1999-05-', 10 + p_partkey % 25, '">,"amount":<"value":"1.000">>]>')
+            WHEN 7 THEN concat('<"trafficObservations":[<"sourceKey":"t', p_partkey % 7, '","observation_year":<"value":"', 1995 + p_partkey % 8, '">,"observed_on":<"value":', CASE p_partkey % 3 WHEN 0 THEN '"1999-06-01"' ELSE 'null' END, '>,"daily_traffic":<"value":"', 1 + p_partkey % 50, '.125">,"truck_share":<"value":', p_partkey % 130, '>>,<"sourceKey":"t8","observation_year":<"value":"unbekannt">>]>')
+            ELSE '<"records":[1]>' END), '<', chr(123)), '>', chr(125)) AS payload
+        FROM {part}""",
+    "measure_pages": """
+        SELECT p_partkey AS id, p_partkey % 60 AS document_id, 1 + p_partkey % 25 AS number,
+          replace(replace(concat(CASE p_partkey % 4 WHEN 0 THEN 'H1 Hauptprüfung 3.4.2001 36 Monate 2,3 und Sonderprüfung ' WHEN 1 THEN '2. einfache Prüfung ' WHEN 2 THEN 'Hauptprüfung vor der Abnahme ' ELSE 'Prüfung ' END,
+            1 + p_partkey % 31, '.', 1 + p_partkey % 12, '.', 1990 + p_partkey % 30, CASE p_partkey % 3 WHEN 0 THEN ' 72 Monate 3,1' WHEN 1 THEN ' 1,0' ELSE '' END, chr(10),
+            CASE p_partkey % 5 WHEN 0 THEN '' ELSE concat('Maßnahmenempfehlung < ', p_partkey % 90, ' > Art der Leistung ', CASE p_partkey % 3 WHEN 0 THEN 'Fuge 3 m² erneuern' WHEN 1 THEN 'Lager  prüfen' ELSE 'lfd m Kappe' END, chr(10), 'Menge: ', CASE p_partkey % 4 WHEN 0 THEN '--' WHEN 1 THEN '1.250,5' ELSE '0' END,
+              ' Geschätzte Kosten: ', CASE p_partkey % 6 WHEN 0 THEN '--' WHEN 1 THEN '20.000 EURO' ELSE '750 €' END, ' Dringlichkeit ', CASE p_partkey % 3 WHEN 0 THEN 'sofort' WHEN 1 THEN 'unklar' ELSE 'Langfristig' END, ' [', p_partkey % 7, ']',
+              CASE p_partkey % 2 WHEN 0 THEN ' Zugeordnete Schäden: [28], [77] und [28] Art der Leistung [5]' ELSE '' END, ' Masnahmenempfehlung <', p_partkey % 80, '> Menge 3 Stück [1] [1]') END), '<', chr(123)), '>', chr(125)) AS text
+        FROM {part}""",
+    "gis_pages": """
+        SELECT p_partkey AS id, CASE p_partkey % 9
+          WHEN 0 THEN concat('5.1 UTM-Koordinaten: Hochwert: 5.646.', 100 + p_partkey % 900, ',71 Rechtswert 382.394,03 Gesamtlänge 12')
+          WHEN 1 THEN concat('Gauß-Krüger-Koordinaten Rechtswert: 5650321.25 Hochwert: 2578', 100 + p_partkey % 900, ' Gesamtlange')
+          WHEN 2 THEN concat('Gauss Krueger, Gaus-Kruger-Koordinaten Rechtswert 2.578.123,50 Hochwert 5.650.321,25 UTM-Koordinaten Rechtswert 1 Hochwert 2 Rechtswert ', 300000 + p_partkey % 500000, ' Hochwert 5650000')
+          WHEN 3 THEN concat('GIS-Koordinaten ', repeat('Text ', 120), 'Rechtswert ', 300000 + p_partkey % 500000, ',5 Hochwert 5.600.000,5')
+          WHEN 4 THEN concat('UTM-Koordinaten 5.3 Lage Hochwert 5400000 Rechtswert ', 3400000 + p_partkey % 200000)
+          WHEN 5 THEN 'Rechtswert 400000 Hochwert 5600000'
+          WHEN 6 THEN concat('utm koordinaten Rechtswert 111 rechtswert ', 400000 + p_partkey % 1000, ' Hochwert 5600000 Hochwert 5700000')
+          WHEN 7 THEN 'UTM-Koordinaten Rechtswert 12 Hochwert 13 Gauß-Krüger-Koordinaten Hochwert 9 Hochwert 5.500.000,00 Rechtswert 3.400.000,00' END AS text
+        FROM {part}""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
