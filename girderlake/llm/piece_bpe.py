@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -25,10 +26,13 @@ from girderlake.llm.arrays import sliced
 
 SPACE = "▁"
 #: Merged runs that a task keeps before it starts anew.
-KEPT_RUNS = 1 << 18
+KEPT_RUNS = 1 << 19
 #: Letters of a run whose agenda is a row of an array, and cells of such an array.
 SHORT, CELLS = 64, 1 << 18
-NO_PAIR, PAD = 1 << 30, -1
+#: An offer is the place of a joined score, above the piece that it makes; no piece is above all.
+PIECE_BITS, NO_PAIR, PAD = 32, 1 << 62, -1
+#: Bytes of text that a task encodes at once.
+SLICE = 2 << 20
 #: Kinds of pieces and of models in a model file; fixed values.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 MERGES = 2
@@ -99,9 +103,14 @@ class Pieces:
         for t, i in symbols.items():
             if len(t) == 1:
                 self._symbol[ord(t)] = i
+        score_counts = Counter(self.scores[t] for t in self.ids if len(t) > 1)
         places = {score: i for i, score in enumerate(sorted(set(self.scores.values()), reverse=True))}
-        pairs = sorted((symbols[t[:k]] << 32 | symbols[t[k:]], i, places[self.scores[t]]) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in symbols and t[k:] in symbols)
-        self._pairs, self._joined, self._place = (np.array([x[i] for x in pairs] or [0], np.int64) for i in range(3))
+        pairs = sorted((symbols[t[:k]] << 32 | symbols[t[k:]], places[self.scores[t]] << PIECE_BITS | i) for t, i in self.ids.items() for k in range(1, len(t)) if t[:k] in symbols and t[k:] in symbols)
+        self._pairs, self._offer = (np.array([x[i] for x in pairs] or [0], np.int64) for i in range(2))
+        # of pieces of one score the leftmost pair goes first, which an array's least offer doesn't tell
+        shared = [t for t in self.ids if len(t) > 1 and score_counts[self.scores[t]] > 1]
+        shortest = [t for t in shared if not any(o in t for o in shared if len(o) < len(t))]
+        self._tied = re.compile("|".join(map(re.escape, shortest)) or "(?!)")
         self._out = [b"" for _ in self.texts]  # unknown and control pieces have no text here
         for text, i in self.ids.items():
             self._out[i] = text.replace(SPACE, " ").encode()
@@ -142,43 +151,44 @@ class Pieces:
                 out.extend([i] if i is not None else [self.bytes[b] for b in s.encode()])
         return np.array(out, np.int32).tobytes()
 
-    def _offers(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of symbols, the place of their joined score (NO_PAIR: not a piece), and the piece."""
+    def _offers(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """What pairs of symbols offer."""
         key = left << 32 | right
         at = np.minimum(np.searchsorted(self._pairs, key), len(self._pairs) - 1)
-        known = (self._pairs[at] == key) & (left >= 0) & (right >= 0)
-        return np.where(known, self._place[at], NO_PAIR), self._joined[at]
+        return np.where((self._pairs[at] == key) & (left >= 0) & (right >= 0), self._offer[at], NO_PAIR)
 
     def _merge_short(self, runs: list[str]) -> None:
-        """Keep the ids of runs of like length: every step joins the best, leftmost pair of each."""
+        """Keep the ids of runs of like length, none with pairs of equal scores: every step joins the best pair of each."""
         lengths = np.array([len(r) for r in runs])
         width = int(lengths.max())
         symbols = np.full((len(runs), width + 1), PAD, np.int64)
         symbols[:, :width][np.arange(width) < lengths[:, None]] = self._symbol[np.frombuffer("".join(runs).encode("utf-32-le"), np.uint32)]
-        places, joined = self._offers(symbols[:, :-1], symbols[:, 1:])
-        active = np.arange(len(runs))
+        offers = self._offers(symbols[:, :-1], symbols[:, 1:])
+        active, rows = np.arange(len(runs)), np.arange(len(runs))
         while len(active):
-            best = places.argmin(1)
-            rows = np.arange(len(active))
-            ended = places[rows, best] == NO_PAIR
+            best = offers.argmin(1)
+            taken = offers[rows, best]
+            ended = taken == NO_PAIR
             if ended.any():
                 self._keep([runs[r] for r in active[ended].tolist()], symbols[ended])
-                active, symbols, places, joined, best = (x[~ended] for x in (active, symbols, places, joined, best))
-                rows = np.arange(len(active))
+                active, symbols, offers, best, taken = (x[~ended] for x in (active, symbols, offers, best, taken))
+                rows = rows[: len(active)]
                 if not len(active):
                     break
-            symbols[rows, best] = joined[rows, best]
+                # what no row needs any more
+                used = int((symbols != PAD).any(0).sum()) + 1
+                symbols, offers = symbols[:, :used], offers[:, : used - 1]
+            symbols[rows, best] = taken & ((1 << PIECE_BITS) - 1)
             # what stands right of the joined pair moves up
-            step = np.arange(symbols.shape[1] - 1)
-            up = step + (step > best[:, None])
-            symbols = np.take_along_axis(symbols, np.concatenate([up, up[:, -1:]], 1), 1)
+            moved = np.arange(offers.shape[1]) > best[:, None]
+            symbols[:, :-1][moved] = symbols[:, 1:][moved]
             symbols[:, -1] = PAD
-            up = np.minimum(up, symbols.shape[1] - 2)
-            places, joined = np.take_along_axis(places, up, 1), np.take_along_axis(joined, up, 1)
-            places[:, -1] = NO_PAIR
-            places[rows, best], joined[rows, best] = self._offers(symbols[rows, best], symbols[rows, best + 1])
+            later = moved[:, :-1]
+            offers[:, :-1][later] = offers[:, 1:][later]
+            offers[:, -1] = NO_PAIR
+            offers[rows, best] = self._offers(symbols[rows, best], symbols[rows, best + 1])
             left = np.flatnonzero(best)
-            places[left, best[left] - 1], joined[left, best[left] - 1] = self._offers(symbols[left, best[left] - 1], symbols[left, best[left]])
+            offers[left, best[left] - 1] = self._offers(symbols[left, best[left] - 1], symbols[left, best[left]])
 
     def _keep(self, runs: list[str], symbols: np.ndarray) -> None:
         """Keep the ids of runs, from rows of symbols; a letter that is no piece is its bytes."""
@@ -197,19 +207,22 @@ class Pieces:
         kept = self._kept
         if len(kept) > KEPT_RUNS:
             kept.clear()
-        missing = sorted(set().union(*split).difference(kept), key=len)
+        found = set().union(*split).difference(kept)
+        plain = [r for r in found if len(r) <= SHORT and not self._tied.search(r)]
+        missing, others = sorted(plain, key=len), found.difference(plain)
         lengths = np.array([len(r) for r in missing])
         at = 0
-        while at < len(missing) and lengths[at] <= SHORT:
+        while at < len(missing):
             widest = min(max(8, int(lengths[at]) * 5 // 4), SHORT)
             stop = min(int(np.searchsorted(lengths, widest, "right")), at + 1 + CELLS // widest)
             self._merge_short(missing[at:stop])
             at = stop
-        for run in missing[at:]:
+        for run in others:
             kept[run] = self.merge(run)
         out = [np.frombuffer(b"".join(map(kept.__getitem__, runs)), np.int32) for runs in split]
-        for run in missing[at:]:
-            del kept[run]
+        for run in others:
+            if len(run) > SHORT:
+                del kept[run]
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -237,7 +250,7 @@ def encode_documents(docs: DataFrame, model_file: str, checked: bool = True, id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, library = _loaded(model.value)
         for batch in batches:
-            for rows, _, _ in sliced(batch, "text"):
+            for rows, _, _ in sliced(batch, "text", SLICE):
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 ids = pieces.encode(texts)
                 sizes, plain = np.array([len(i) for i in ids], np.int64), [i.tolist() for i in ids]
