@@ -23,6 +23,7 @@ CATEGORIES = [
 PHOTO_PAGES, PHOTO_SCORE = 20, 5
 #: Words of a document's type or file name that tell its kind.
 KINDS = {"is_drawing": "DRAWING|ZEICHNUNG|BAUWERKSPLAN|BESTANDSPLAN", "is_photo": "PHOTO|FOTO|BILD"}
+#: A labelled value of coordinates; a structure's number behind its label or in a table's head; a road's number.
 _LABELLED = r"(?i)(rechtswert|hochwert)\s*:?\s*([0-9]{1,3}(?:\.[0-9]{3})+,[0-9]+|[0-9]+(?:[.,][0-9]+)?)"
 
 

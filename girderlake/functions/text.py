@@ -28,6 +28,7 @@ UNIT_SIGNS = [
 INSPECTION_TYPES = [("haupt", "MAIN"), ("einfach", "SIMPLE"), ("sonder", "SPECIAL")]
 FINDING_STATES = [("offen|open", "OPEN"), ("monitor|beobacht|überwach|ueberwach", "MONITORING"), ("behoben|erledigt|resolved|geschlossen", "RESOLVED"), ("verworfen|dismissed|gegenstandslos", "DISMISSED")]
 RECOMMENDATION_STATES = [("offen|open", "OPEN"), ("genehmigt|approved", "APPROVED"), ("geplant|scheduled", "SCHEDULED"), (r"in\s*arbeit|in_progress|laufend", "IN_PROGRESS"), ("abgeschlossen|completed|erledigt", "COMPLETED"), ("storniert|cancelled|abgebrochen", "CANCELLED")]
+#: Fixed value: units that may stand behind a number.
 _TRAILING_UNIT = r"(?iu)(?:m²|m2|qm|stk|stueck|stück|euro|eur|€|m|%)$"
 
 

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from girderlake.functions.text import collapsed, contains_any, date, first_of
@@ -140,12 +141,13 @@ def inspectors(pages: DataFrame, document: str, number: str, id_col: str, text_c
 def repaired(items: DataFrame, fields: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """A model's records made fit for checking: ``evidence`` (an array) and sourced fields (structs of value and evidence).
 
-    A record without evidence of its own takes the first that one of its fields has, in the columns' order; one without
-    any goes. Each field's value is read by its function; a value that it can't read becomes null and loses its evidence.
-    A null field stays null.
+    A record without evidence of its own takes the first that one of its fields has, in the columns' order, whether or not
+    the field has a reader; one without any goes. Each field's value is read by its function; a value that it can't read
+    becomes null and loses its evidence. A null field stays null, one without a reader as it is.
     """
-    sourced = [c for c, kind in items.dtypes if kind.startswith("struct") and c in fields]
-    lists = [F.col("evidence"), *[F.col(f"{c}.evidence") for c in sourced]]
+    cited = [f.name for f in items.schema if isinstance(f.dataType, StructType) and "evidence" in f.dataType.names]
+    sourced = [c for c in cited if c in fields]
+    lists = [F.col("evidence"), *[F.col(f"{c}.evidence") for c in cited]]
     lifted = F.get(F.filter(F.array(*lists), lambda e: F.size(e) > 0), F.lit(0))
     none = F.array().cast(items.schema["evidence"].dataType)
 

@@ -239,13 +239,13 @@ SQL = {
     "document_kinds": """SELECT id, told LIKE '%DRAWING%' OR told LIKE '%ZEICHNUNG%' OR told LIKE '%BAUWERKSPLAN%' OR told LIKE '%BESTANDSPLAN%' AS is_drawing, told LIKE '%PHOTO%' OR told LIKE '%FOTO%' OR told LIKE '%BILD%' AS is_photo,
         CASE WHEN length(land) = 2 THEN land WHEN land IN ('DEUTSCHLAND', 'GERMANY', 'D') THEN 'DE' END AS country
         FROM (SELECT id, upper(concat_ws(' ', type, filename)) AS told, upper(trim(country)) AS land FROM {filed})""",
-    "repaired_findings": r"""SELECT id, CASE WHEN id % 3 = 0 THEN concat(id, ',', id + 7) WHEN has_field AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE CAST(id + 3 AS VARCHAR) END AS evidence,
+    "repaired_findings": r"""SELECT id, CASE WHEN id % 3 = 0 THEN concat(id, ',', id + 7) WHEN has_field AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) WHEN id % 5 <> 0 THEN CAST(id + 3 AS VARCHAR) ELSE CAST(id + 5 AS VARCHAR) END AS evidence,
         CASE WHEN has_field THEN rating END AS stability, CASE WHEN has_field AND rating IS NOT NULL AND id % 4 = 0 THEN concat(id + 1, ',', id + 2) ELSE '' END AS stability_evidence,
         state AS status, CASE WHEN state IS NOT NULL AND id % 5 <> 0 THEN CAST(id + 3 AS VARCHAR) ELSE '' END AS status_evidence
         FROM (SELECT id, id % 7 <> 3 AS has_field, CASE WHEN trim(rating_text) = '' THEN 0 WHEN x = floor(x) AND x BETWEEN 0 AND 4 THEN CAST(x AS BIGINT) END AS rating,
           CASE WHEN finding_text = 'RESOLVED' THEN 'RESOLVED' WHEN lower(finding_text) LIKE '%offen%' THEN 'OPEN' WHEN lower(finding_text) LIKE '%beobacht%' THEN 'MONITORING' WHEN lower(finding_text) LIKE '%behoben%' THEN 'RESOLVED' WHEN lower(finding_text) LIKE '%verworfen%' THEN 'DISMISSED' END AS state
           FROM (SELECT *, try_cast(replace(trim(rating_text), ',', '.') AS DOUBLE) AS x FROM {raw_values}))
-        WHERE id % 3 = 0 OR (has_field AND id % 4 = 0) OR id % 5 <> 0""",
+        WHERE id % 3 = 0 OR (has_field AND id % 4 = 0) OR id % 5 <> 0 OR id % 10 = 0""",
     "text_features": r"""SELECT doc_id, n_compact, n_lines, n_short, n_compact < 40 OR n_broken * 50 > n_all OR (n_lines >= 10 AND n_short * 10 >= n_lines * 7) AS by_sight
         FROM (SELECT doc_id, length(regexp_replace(t, '[ \t\n\r\f\x0B]', '', 'g')) AS n_compact, len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')) AS n_lines,
           len(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND length(trim(x)) < 25)) AS n_short, length(t) AS n_all, length(t) - length(replace(t, '�', '')) AS n_broken FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))""",

@@ -332,7 +332,8 @@ def repaired_findings(rel):
     own = F.when(i % 3 == 0, F.array(i, i + 7)).when(i % 3 == 1, none)
     stability = F.when(i % 7 != 3, field("rating_text", F.when(i % 4 == 0, F.array(i + 1, i + 2)).otherwise(none)))
     status = field("finding_text", F.when(i % 5 != 0, F.array(i + 3)))
-    items = rel.raw_values.select("id", own.alias("evidence"), stability.alias("stability"), status.alias("status"))
+    words = field("work_text", F.when(i % 10 == 0, F.array(i + 5)))  # no reader: only its evidence counts
+    items = rel.raw_values.select("id", own.alias("evidence"), stability.alias("stability"), status.alias("status"), words.alias("description"))
     done = records.repaired(items, {"stability": text.rating, "status": lambda x: text.state(x, text.FINDING_STATES)})
     told = lambda x: F.coalesce(F.array_join(x, ","), F.lit(""))
     return done.select("id", told("evidence").alias("evidence"), c("stability.value").alias("stability"), told("stability.evidence").alias("stability_evidence"), c("status.value").alias("status"), told("status.evidence").alias("status_evidence"))
