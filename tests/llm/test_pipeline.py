@@ -48,7 +48,7 @@ def test_language_stage_without_labels(spark):
 
 def test_run_and_registry(spark):
     assert corpus_pipeline.run(spark, SF).count() >= 100
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, _drop string, _key long, _row int, doc long, part int"
