@@ -7,7 +7,7 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -15,6 +15,7 @@ from girderlake.functions import dates, money, policies
 from girderlake.functions.text import first_of
 from girderlake.operators import portfolio as P
 from girderlake.operators.latest import numbered
+from girderlake.sources.cuts import cut
 
 #: The list that an intervention's state puts an item on.
 VIEWS = {"PLANNED": "planned", "BUDGETED": "budgeted", "TENDER_PREPARATION": "tender", "IN_PROGRESS": "in_progress", "COMPLETED": "completed", "CANCELLED": "cancelled"}
@@ -144,28 +145,24 @@ def effective_year(assigned_year: str, planned_year: str, has_assignment: str, s
     return first_of((inside(assigned_year), F.col(assigned_year)), (F.col(has_assignment) & F.col(assigned_year).isNull(), None), (inside(planned_year), F.col(planned_year)))
 
 
-def auto_fill(scenarios: DataFrame, candidates: DataFrame, envelopes: DataFrame, preserve_overrides: bool = True) -> DataFrame:
-    """G1: greedy allocation; (scenario_id, id, assigned_year, source).
+#: Rows of a plan that one task reads in order; what is more goes by prefix sums first. The result is the same.
+MOST_STREAMED = 200_000
 
-    Items go by priority, work type and id, each into the first year from its preferred one on (G2) with room for its
-    cost; overrides with a year in the horizon come first and always fit. A year without envelope has no room; an item without
-    estimate stays unassigned. What a choice leaves decides the next, so a scenario is read in order by one task,
-    which holds nothing but the room of its years.
-    """
-    rooms = scenarios.join(envelopes, "scenario_id", "left").groupBy("scenario_id", "start_year", "n_years").agg(F.collect_list(F.when(F.col("year").isNotNull(), F.struct("year", (F.col("budget") * 100).cast("long").alias("cents")))).alias("rooms"))
-    inside = F.col("assigned_year").between(F.col("start_year"), F.col("start_year") + F.col("n_years") - 1)
-    locked = F.coalesce((F.col("source") == "USER_OVERRIDE") & inside, F.lit(False)) if preserve_overrides else F.lit(False)
-    rows = candidates.join(rooms, "scenario_id").withColumn("locked", locked).withColumn("cents", (F.col("estimate") * 100).cast("long"))
-    planned_inside = F.col("planned_year").between(F.col("start_year"), F.col("start_year") + F.col("n_years") - 1)
-    preferred = first_of((inside, F.col("assigned_year")), (planned_inside, F.col("planned_year"))).otherwise(F.col("start_year"))
-    rows = rows.withColumn("preferred", preferred).repartition("scenario_id")
-    rows = rows.sortWithinPartitions("scenario_id", F.desc("locked"), F.desc("priority"), "work_type", "id")
+
+def _fill_order() -> list[Column]:
+    """The order in which a plan's items ask for room."""
+    return [F.desc("priority"), F.asc("work_type"), F.asc("id")]
+
+
+def _streamed(rows: DataFrame) -> DataFrame:
+    """Items of each scenario in order through one task, which holds nothing but the room of its years; (scenario_id, id, locked, assigned_year)."""
+    rows = rows.repartition("scenario_id").sortWithinPartitions("scenario_id", F.desc("locked"), *_fill_order())
     rows = rows.select("scenario_id", "id", "locked", "preferred", "cents", "start_year", "n_years", "rooms")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, room = None, {}
         for batch in batches:
-            years, sources = [], []
+            years = []
             for r in batch.to_pylist():
                 if r["scenario_id"] != now:
                     now, room = r["scenario_id"], {x["year"]: x["cents"] for x in r["rooms"] if x["cents"] is not None}
@@ -177,7 +174,88 @@ def auto_fill(scenarios: DataFrame, candidates: DataFrame, envelopes: DataFrame,
                 if cost is not None and year in room:
                     room[year] -= cost
                 years.append(year)
-                sources.append("USER_OVERRIDE" if r["locked"] else "AUTO_FILL")
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(years, pa.int64()), pa.array(sources, pa.string())], names=["scenario_id", "id", "assigned_year", "source"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(years, pa.int64())], names=["scenario_id", "id", "locked", "assigned_year"])
+
+    return rows.mapInArrow(run, "scenario_id long, id long, locked boolean, assigned_year long")
+
 
-    return rows.mapInArrow(run, "scenario_id long, id long, assigned_year long, source string")
+def _running(rows: DataFrame) -> DataFrame:
+    """Adds ``running``, the sum of costs up to each item in its scenario's order: within slots, after the sums of the slots before."""
+    cost = F.col("cents").cast("decimal(28,0)")
+    sums = rows.groupBy("scenario_id", "slot").agg(F.sum(cost).alias("_sum"))
+    ahead = F.sum("_sum").over(Window.partitionBy("scenario_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
+    before = sums.select("scenario_id", "slot", F.coalesce(ahead, F.lit(0)).cast("decimal(38,0)").alias("_before"))
+    within = F.sum(cost).over(Window.partitionBy("scenario_id", "slot").orderBy(*_fill_order()).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_within", within).join(before, ["scenario_id", "slot"]).withColumn("running", (F.col("_before") + F.col("_within")).cast("decimal(38,0)")).drop("_before", "_within")
+
+
+def _fill_year(asking: DataFrame, year: Column, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Who of a year's askers gets in, and who is passed on; ``asking`` carries the room of its scenario in that year.
+
+    Costs aren't negative, so room only shrinks: a cost above it is out for good, and of the others those whose running
+    sum fits are in. What is left asks again for the rest of the room, until one task can read each plan's rest in order.
+    """
+    taken, passed = [], []
+    while True:
+        passed.append(asking.where("cents > room"))
+        lined = cut(_running(asking.where("cents <= room")))
+        won = lined.where("running <= room")
+        taken.append(won.select("scenario_id", "id", "locked", year.alias("assigned_year")))
+        used = won.groupBy("scenario_id").agg(F.max("running").alias("_used"))
+        asking = lined.where("running > room").drop("running").join(used, "scenario_id", "left")
+        asking = asking.withColumn("room", (F.col("room") - F.coalesce("_used", F.lit(0))).cast("long")).drop("_used")
+        longest = lined.where("running > room").groupBy("scenario_id").count().agg(F.max("count")).first()[0] or 0
+        if longest <= most:
+            break
+    if longest:
+        rooms = F.array(F.struct(year.cast("long").alias("year"), F.col("room").alias("cents")))
+        rest = cut(asking)
+        done = cut(_streamed(rest.withColumns({"preferred": year, "start_year": year, "n_years": F.lit(1), "rooms": rooms})))
+        taken.append(done.where("assigned_year IS NOT NULL"))
+        passed.append(rest.join(done.where("assigned_year IS NULL").select("scenario_id", "id"), ["scenario_id", "id"], "left_semi"))
+    return taken, cut(reduce(DataFrame.unionByName, passed).drop("room"))
+
+
+def _filled_by_years(rows: DataFrame, rooms: DataFrame, n_rows: int, most: int) -> DataFrame:
+    """The same allocation year by year: who gets into a year depends only on who asks for it, and a year's askers only on the years before."""
+    n_slots = max(n_rows // max(most, 1), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    free = rows.where("NOT locked AND cents IS NOT NULL").drop("rooms")
+    free = cut(free.repartitionByRange(n_slots, "scenario_id", *_fill_order()).withColumn("slot", F.spark_partition_id()))
+    kept = rows.where("locked").groupBy("scenario_id", F.col("preferred").alias("year")).agg(F.sum("cents").alias("_kept"))
+    rooms = cut(rooms.join(kept, ["scenario_id", "year"], "left").select("scenario_id", "year", (F.col("cents") - F.coalesce("_kept", F.lit(0))).alias("room")))
+    years = F.max("n_years").alias("n")
+    out, passed = [rows.where("locked").select("scenario_id", "id", "locked", F.col("preferred").alias("assigned_year"))], None
+    for k in range(rows.agg(years).first()["n"]):
+        year = F.col("start_year") + k
+        asking = free.where(F.col("preferred") == year)
+        asking = asking if passed is None else asking.unionByName(passed)
+        here = rooms.withColumnRenamed("scenario_id", "_of")
+        asking = asking.join(here, (F.col("scenario_id") == F.col("_of")) & (F.col("year") == year), "left").drop("_of", "year")
+        taken, passed = _fill_year(asking.withColumn("room", F.coalesce("room", F.lit(-1))), year, most)
+        out += taken
+    none = F.lit(None).cast("long").alias("assigned_year")
+    out += [x.select("scenario_id", "id", "locked", none) for x in (passed, rows.where("NOT locked AND cents IS NULL")) if x is not None]
+    return reduce(DataFrame.unionByName, [x.withColumn("assigned_year", F.col("assigned_year").cast("long")) for x in out])
+
+
+def auto_fill(scenarios: DataFrame, candidates: DataFrame, envelopes: DataFrame, preserve_overrides: bool = True, most: int = MOST_STREAMED) -> DataFrame:
+    """G1: greedy allocation; (scenario_id, id, assigned_year, source).
+
+    Items go by priority, work type and id, each into the first year from its preferred one on (G2) with room for its
+    cost; overrides with a year in the horizon come first and always fit. A year without envelope has no room; an item without
+    estimate stays unassigned; estimates aren't negative. A plan of at most ``most`` items is read in order by one task;
+    where any plan has more, all are filled year by year with prefix sums, and a task reads at most that many. Both
+    give the same rows. An item is told by (scenario_id, id).
+    """
+    inside = lambda c: F.col(c).between(F.col("start_year"), F.col("start_year") + F.col("n_years") - 1)
+    rooms = scenarios.select("scenario_id", "start_year", "n_years").join(envelopes.where("budget IS NOT NULL"), "scenario_id").where(inside("year"))
+    rooms = rooms.select("scenario_id", F.col("year").cast("long").alias("year"), (F.col("budget") * 100).cast("long").alias("cents"))
+    listed = rooms.groupBy("scenario_id").agg(F.collect_list(F.struct("year", "cents")).alias("rooms"))
+    listed = scenarios.select("scenario_id", "start_year", "n_years").join(listed, "scenario_id", "left").withColumn("rooms", F.coalesce("rooms", F.array().cast("array<struct<year:bigint,cents:bigint>>")))
+    locked = F.coalesce((F.col("source") == "USER_OVERRIDE") & inside("assigned_year"), F.lit(False)) if preserve_overrides else F.lit(False)
+    rows = candidates.join(listed, "scenario_id").withColumn("locked", locked).withColumn("cents", (F.col("estimate") * 100).cast("long"))
+    preferred = first_of((inside("assigned_year"), F.col("assigned_year")), (inside("planned_year"), F.col("planned_year"))).otherwise(F.col("start_year"))
+    rows = cut(rows.withColumn("preferred", preferred).select("scenario_id", "id", "priority", "work_type", "locked", "preferred", "cents", "start_year", "n_years", "rooms"))
+    sizes = rows.groupBy("scenario_id").count().agg(F.max("count").alias("longest"), F.sum("count").alias("n")).first()
+    done = _streamed(rows) if (sizes["longest"] or 0) <= most else _filled_by_years(rows, rooms, sizes["n"], most)
+    return done.select("scenario_id", "id", "assigned_year", F.when(F.col("locked"), "USER_OVERRIDE").otherwise("AUTO_FILL").alias("source"))

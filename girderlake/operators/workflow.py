@@ -57,11 +57,13 @@ def finding_health(findings: DataFrame, structures: DataFrame, links: DataFrame,
     per = links.join(seen, "evidence_id").groupBy("finding_id").agg(F.bool_or(F.col("review_state") == "AUTOMATICALLY_EXTRACTED").alias("unreviewed"), F.bool_or(shown).alias("shown"))
     worst = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("stability", "safety", "durability")])
     df = findings.join(per, findings["id"] == per["finding_id"], "left").select("structure_id", "id", "status", worst.alias("worst"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("unreviewed", "shown")])
-    df = structures.select(F.col("id").alias("structure_id"), "data_origin").join(df, "structure_id", "left")
-    extracted = F.col("data_origin") == "EXTRACTED"
-    n = lambda condition: F.count_distinct(F.when(extracted & condition, F.col("id")))
     critical = F.col("status").isin(*ACTIVE) & (F.col("worst") >= 2) & ~F.col("shown")
-    return df.groupBy("structure_id").agg(n(F.col("unreviewed")).alias("n_review"), n(critical).alias("n_unshown"))
+    # One row per finding first: the join above left them by id, so this shuffles nothing, and the counts need no distinct.
+    df = df.groupBy("structure_id", "id").agg(F.bool_or("unreviewed").alias("unreviewed"), F.bool_or(critical).alias("critical"))
+    counts = df.groupBy("structure_id").agg(F.count_if("unreviewed").alias("n_review"), F.count_if("critical").alias("n_unshown"))
+    extracted = F.col("data_origin") == "EXTRACTED"
+    n = lambda c: F.coalesce(F.when(extracted, F.col(c)), F.lit(0)).alias(c)
+    return structures.select(F.col("id").alias("structure_id"), "data_origin").join(counts, "structure_id", "left").select("structure_id", n("n_review"), n("n_unshown"))
 
 
 def quantity(intervention: Column, recommendation: Column) -> tuple[Column, Column]:
