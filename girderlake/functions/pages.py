@@ -23,7 +23,18 @@ CATEGORIES = [
 PHOTO_PAGES, PHOTO_SCORE = 20, 5
 #: Words of a document's type or file name that tell its kind.
 KINDS = {"is_drawing": "DRAWING|ZEICHNUNG|BAUWERKSPLAN|BESTANDSPLAN", "is_photo": "PHOTO|FOTO|BILD"}
-#: A labelled value of coordinates; a structure's number behind its label or in a table's head; a road's number.
+#: A structure's number behind its label, in a table's head, or on one of the lines below a lone label; a road's number.
+NUMBER_LABELLED = r"(?i)bauwerks(?:nummer|-?nr\.?)\D{0,20}(\d{5,8})"
+NUMBER_HEADED = r"(?iu)nummer\s+stra(?:ss|ß)e\s+ibwnr\s+(\d{5,8})"
+NUMBER_BELOW = r"(?i)(?:^|\n)\s*nummer\s*(?:\n[^\n]*){0,3}?\n\s*(\d{5,8})\b"
+ROAD_NUMBER = r"\b([ABLK]\s?\d{1,4})\b"
+#: The label above a structure's name, lines that are no name, lines that are read below the label, a name's least length.
+NAME_LABEL = r"(?i)^bauwerksname\b"
+NO_NAME = r"(?iu)nächst|ort|verwaltung|titelblatt|bemerkung|autobahn|die autobahn|version|seite|akten|overath|vilkerath"
+NAME_LINES, NAME_LENGTH = 4, 4
+#: A page's most categories, the one that gives way to others, and the confidence of those told from text.
+MOST_CATEGORIES, GIVES_WAY, TOLD = 4, "DRAWINGS_IMAGES_OTHER", 0.95
+#: A labelled value of coordinates.
 _LABELLED = r"(?i)(rechtswert|hochwert)\s*:?\s*([0-9]{1,3}(?:\.[0-9]{3})+,[0-9]+|[0-9]+(?:[.,][0-9]+)?)"
 
 
@@ -36,6 +47,25 @@ def categories(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(has(text, p), F.lit(c)) for p, c in CATEGORIES]))
 
 
+def with_told_categories(given: Column, text: Column) -> Column:
+    """A page's given categories (structs of category and confidence, best first), and those that its text shows.
+
+    One that is there stays as it is. A new one goes to the end; where the page has four or more already, its first
+    ``DRAWINGS_IMAGES_OTHER`` makes room, and if four are left the new one is not taken. Null means none.
+    """
+    kind = "array<struct<category:string,confidence:double>>"
+
+    def add(have: Column, new: Column) -> Column:
+        names = F.transform(have, lambda x: x["category"])
+        at = F.array_position(names, F.lit(GIVES_WAY)).cast("int")
+        fewer = F.filter(have, lambda x, i: i != at - 1)
+        room = F.when((F.size(have) >= MOST_CATEGORIES) & (at > 0), fewer).otherwise(have)
+        one = F.array(F.struct(new.alias("category"), F.lit(TOLD).alias("confidence"))).cast(kind)
+        return F.when(F.array_contains(names, new), have).when(F.size(room) < MOST_CATEGORIES, F.concat(room, one)).otherwise(room)
+
+    return F.aggregate(categories(text), F.coalesce(given.cast(kind), F.array().cast(kind)), add)
+
+
 def photo_score(text: Column, number: Column, by_sight: Column) -> Column:
     """how likely a page shows the structure's photo; by_sight: its text comes from character recognition."""
     size = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))
@@ -59,14 +89,14 @@ def photo_score(text: Column, number: Column, by_sight: Column) -> Column:
 def structure_number(text: Column) -> Column:
     """the number after its label, else after a table's head."""
     x = collapsed(text)
-    labelled = F.regexp_extract(x, r"(?i)bauwerks(?:nummer|-?nr\.?)\D{0,20}(\d{5,8})", 1)
-    headed = F.regexp_extract(x, r"(?iu)nummer\s+stra(?:ss|ß)e\s+ibwnr\s+(\d{5,8})", 1)
+    labelled = F.regexp_extract(x, NUMBER_LABELLED, 1)
+    headed = F.regexp_extract(x, NUMBER_HEADED, 1)
     return F.coalesce(F.nullif(labelled, F.lit("")), F.nullif(headed, F.lit("")))
 
 
 def road(text: Column) -> Column:
     """the first road number."""
-    return F.nullif(F.regexp_extract(collapsed(text), r"\b([ABLK]\s?\d{1,4})\b", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(collapsed(text), ROAD_NUMBER, 1), F.lit(""))
 
 
 def metres(text: Column) -> Column:

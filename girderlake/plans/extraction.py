@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from girderlake.operators import identities, sections
+from girderlake.functions import pages
+from girderlake.operators import bridges, identities, sections
 from girderlake.plans.oracles import ORACLES, VIEWS
 from girderlake.plans.queries import query
 from girderlake.sources.relations import with_relations
@@ -260,4 +261,58 @@ def coordinate_pairs(rel):
     return sections.coordinate_pairs(rel.gis_pages, "text").drop("text")
 
 
+#: A document's pages as one text; the rules for a name read its lines, the others its words.
+_BOOK_TEXTS = """SELECT document_id, string_agg(coalesce(text, ''), chr(10) ORDER BY number) AS raw FROM {identity_pages} GROUP BY 1"""
+_TOLD = rf"""SELECT document_id, coalesce(nullif(regexp_extract(flat, '(?i)bauwerks(?:nummer|-?nr\.?)\D{{0,20}}(\d{{5,8}})', 1), ''), nullif(regexp_extract(flat, '(?i)nummer\s+stra(?:ss|ß)e\s+ibwnr\s+(\d{{5,8}})', 1), ''),
+      nullif(regexp_extract(raw, '(?i)(?:^|\n)\s*nummer\s*(?:\n[^\n]*){{0,3}}?\n\s*(\d{{5,8}})\b', 1), '')) AS structure_number,
+    CASE WHEN label > 0 THEN list_filter(rows[label + 1:label + 4], lambda x: length(x) >= 4 AND NOT regexp_matches(x, '(?i)nächst|ort|verwaltung|titelblatt|bemerkung|autobahn|version|seite|akten|overath|vilkerath') AND NOT regexp_matches(x, '^\d'))[1] END AS name,
+    nullif(regexp_extract(flat, '\b([ABLK]\s?\d{{1,4}})\b', 1), '') AS road
+    FROM (SELECT *, coalesce(list_position(list_transform(rows, lambda x: regexp_matches(x, '(?i)^bauwerksname\b')), true), 0) AS label FROM (
+      SELECT document_id, raw, trim(regexp_replace(translate(raw, 'Ａ', 'A'), '\s+', ' ', 'g')) AS flat, list_transform(regexp_split_to_array(raw, '\r?\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS rows FROM ({_BOOK_TEXTS})))"""
+
+
+@sql(_TOLD)
+@query
+def told_identities(rel):
+    """what each document's text tells of its structure: number, name, road; its SQL reads the document as one text."""
+    return bridges.told_identity(rel.identity_pages, "document_id", "number", "text")
+
+
+@sql(
+    rf"""SELECT * FROM (WITH told AS ({_TOLD}), pair AS (SELECT document_id, min(number) AS place_page FROM ({_GIS.replace("{gis_pages}", "{identity_pages}")}) JOIN {{identity_pages}} USING (id) WHERE method IS NOT NULL GROUP BY 1),
+    model AS (SELECT document_id, count(*) AS n, {", ".join(f"arg_min({f}, place) FILTER (WHERE {f} IS NOT NULL) AS {f}" for f in ("structure_number", "name", "road", "latitude", "longitude"))} FROM {{bridge_records}} GROUP BY 1)
+    SELECT b.document_id, coalesce(m.structure_number, t.structure_number, concat('DOC-', coalesce(left(replace(uid, '-', ''), 12), 'unknown'))) AS structure_number, CASE WHEN m.structure_number IS NOT NULL THEN 'MODEL' WHEN t.structure_number IS NOT NULL THEN 'TEXT' ELSE 'DOCUMENT' END AS structure_number_from,
+      coalesce(m.name, t.name, stem) AS name, CASE WHEN m.name IS NOT NULL THEN 'MODEL' WHEN t.name IS NOT NULL THEN 'TEXT' WHEN stem IS NOT NULL THEN 'FILENAME' END AS name_from, coalesce(m.road, t.road) AS road, CASE WHEN m.road IS NOT NULL THEN 'MODEL' WHEN t.road IS NOT NULL THEN 'TEXT' END AS road_from,
+      CASE WHEN m.latitude IS NOT NULL THEN 'MODEL' WHEN place_page IS NOT NULL THEN 'PAGE' END AS latitude_from, CASE WHEN m.longitude IS NOT NULL THEN 'MODEL' WHEN place_page IS NOT NULL THEN 'PAGE' END AS longitude_from, place_page, coalesce(n, 0) AS n_merged
+    FROM (SELECT *, nullif(trim(regexp_replace(filename, '(?i)\.pdf$', '')), '') AS stem FROM {{bridge_books}}) b LEFT JOIN model m USING (document_id) LEFT JOIN told t USING (document_id) LEFT JOIN pair p USING (document_id))"""
+)
+@query
+def completed_bridges(rel):
+    """One bridge of every book and where each of its fields comes from."""
+    identity = bridges.told_identity(rel.identity_pages, "document_id", "number", "text")
+    places = bridges.told_place(rel.identity_pages, "document_id", "number", "text")
+    return bridges.completed(rel.bridge_books, rel.bridge_records, identity, places, "document_id", "place").drop("latitude", "longitude")
+
+
+def _added(have: str, test: str, category: str) -> str:
+    """A list of categories, and one more where the test holds."""
+    at = f"list_position({have}, 'DRAWINGS_IMAGES_OTHER')"
+    room = f"CASE WHEN len({have}) >= 4 AND {at} IS NOT NULL AND {at} > 0 THEN list_concat({have}[1:{at} - 1], {have}[{at} + 1:]) ELSE {have} END"
+    return f"CASE WHEN NOT ({test}) OR list_contains({have}, '{category}') THEN {have} WHEN len({room}) < 4 THEN list_append({room}, '{category}') ELSE {room} END"
+
+
+@sql(
+    f"""SELECT id, array_to_string(list_transform(x, lambda v, i: v || '=' || CASE WHEN i <= n AND list_contains(given, v) THEN '0.5' ELSE '0.95' END), ',') AS categories FROM (
+      SELECT *, {_added("b", r"regexp_matches(text, '(?:Hauptprüfung|Einfache Prüfung|Sonderprüfung) +[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}')", "INSPECTIONS")} AS x FROM (
+      SELECT *, {_added("a", "contains(text, 'Dringlichkeit')", "RECOMMENDATIONS")} AS b FROM (SELECT *, {_added("given", "contains(text, '[3] S = 1')", "FINDINGS_DAMAGE")} AS a FROM (SELECT *, [c0, c1, c2, c3, c4][1:n] AS given FROM {{classified_pages}}))))"""
+)
+@query
+def page_categories(rel):
+    """Categories of each page after its text was asked, with their confidence; some pages have five before."""
+    one = lambda c: F.struct(F.col(c).alias("category"), F.lit(0.5).alias("confidence"))
+    given = F.slice(F.array(*[one(f"c{i}") for i in range(5)]), F.lit(1), F.col("n").cast("int"))
+    told = pages.with_told_categories(given, F.col("text"))
+    return rel.classified_pages.select("id", F.array_join(F.transform(told, lambda x: F.concat(x["category"], F.lit("="), x["confidence"].cast("string"))), ",").alias("categories"))
+
+
 ORACLES.update({name: with_relations(text, VIEWS) for name, text in SQL.items()})

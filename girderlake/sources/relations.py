@@ -266,6 +266,31 @@ RELATIONS = {
           WHEN 6 THEN concat('utm koordinaten Rechtswert 111 rechtswert ', 400000 + p_partkey % 1000, ' Hochwert 5600000 Hochwert 5700000')
           WHEN 7 THEN 'UTM-Koordinaten Rechtswert 12 Hochwert 13 Gauß-Krüger-Koordinaten Hochwert 9 Hochwert 5.500.000,00 Rechtswert 3.400.000,00' END AS text
         FROM {part}""",
+    "identity_pages": """
+        SELECT p_partkey AS id, CAST(floor(p_partkey / 20) AS BIGINT) AS document_id, 1 + p_partkey % 20 AS number, CASE
+          WHEN p_partkey % 17 = 0 THEN concat('Titelblatt', chr(10), ' Bauwerksname', CASE WHEN p_partkey % 2 = 0 THEN concat(chr(10), 'Nächster Ort', chr(10)) ELSE '' END)
+          WHEN p_partkey % 17 = 1 AND floor(p_partkey / 20) % 4 < 3 THEN concat('4711', chr(13), chr(10), ' Brücke ', p_partkey, ' ', chr(13), chr(10), 'Rest')
+          WHEN p_partkey % 17 = 4 AND floor(p_partkey / 20) % 5 = 0 THEN 'Bauwerks-Nr.:'
+          WHEN p_partkey % 17 = 5 THEN concat(5000000 + p_partkey, ' Baujahr')
+          WHEN p_partkey % 17 = 7 AND floor(p_partkey / 20) % 5 = 1 THEN concat('Nummer Straße  IBWNR', chr(10), 600000 + p_partkey)
+          WHEN p_partkey % 17 = 9 AND floor(p_partkey / 20) % 5 IN (1, 2) THEN concat('x', chr(10), 'NUMMER', chr(10), 'Teil')
+          WHEN p_partkey % 17 = 10 THEN concat(700000 + p_partkey, chr(10), 'Text')
+          WHEN p_partkey % 17 = 12 AND floor(p_partkey / 20) % 3 = 0 THEN concat('Ａ', chr(10), '61 bei B 55')
+          WHEN p_partkey % 17 = 14 AND floor(p_partkey / 20) % 2 = 0 THEN concat('UTM-Koordinaten Rechtswert ', 300000 + p_partkey % 500000, ' Hochwert 5650000')
+          WHEN p_partkey % 17 = 15 THEN NULL WHEN p_partkey % 17 = 16 THEN '' ELSE concat('Seite ', p_partkey) END AS text
+        FROM {part}""",
+    "bridge_records": """
+        SELECT p_partkey AS id, CAST(floor(p_partkey / 20) AS BIGINT) AS document_id, 1 + p_partkey % 20 AS place,
+          CASE WHEN p_partkey % 23 = 0 THEN CAST(800000 + p_partkey AS STRING) END AS structure_number, CASE WHEN p_partkey % 29 = 0 THEN concat('Brücke am Weg ', p_partkey) END AS name,
+          CASE WHEN p_partkey % 31 = 0 THEN concat('L ', p_partkey) END AS road, CASE WHEN p_partkey % 37 = 0 THEN 50.5 END AS latitude, CASE WHEN p_partkey % 41 = 0 THEN 7.25 END AS longitude
+        FROM {part}""",
+    "bridge_books": """
+        SELECT c_custkey AS document_id, CASE WHEN c_custkey % 13 > 0 THEN concat(c_custkey, '-aaaa-bbbb-cccc') END AS uid, CASE c_custkey % 4 WHEN 0 THEN concat(' Brücke ', c_custkey, ' .PDF') WHEN 1 THEN '.pdf' WHEN 2 THEN 'Buch.pdf.txt' END AS filename
+        FROM {customer}""",
+    "classified_pages": """
+        SELECT id, text, n, c0, c1, c2, c3, c4 FROM (SELECT p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) % 6 AS n, CASE p_partkey % 2 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'IDENTITY_OVERVIEW' END AS c0, CASE p_partkey % 5 WHEN 0 THEN 'FINDINGS_DAMAGE' ELSE 'STRUCTURE_GEOMETRY' END AS c1,
+          CASE p_partkey % 7 WHEN 0 THEN 'INSPECTIONS' WHEN 1 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'TRAFFIC_NETWORK' END AS c2, CASE p_partkey % 3 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'COMPONENTS_MATERIALS' END AS c3, 'HISTORICAL_WORKS_COSTS' AS c4,
+          concat(CASE WHEN p_partkey % 2 = 0 THEN '[3] S = 1 ' ELSE '' END, CASE WHEN p_partkey % 8 < 4 THEN 'Dringlichkeit hoch ' ELSE 'Text ' END, CASE WHEN p_partkey % 11 < 6 THEN 'Hauptprüfung 12.3.2004' ELSE '' END) AS text FROM {part})""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }
