@@ -291,6 +291,23 @@ RELATIONS = {
         SELECT id, text, n, c0, c1, c2, c3, c4 FROM (SELECT p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) % 6 AS n, CASE p_partkey % 2 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'IDENTITY_OVERVIEW' END AS c0, CASE p_partkey % 5 WHEN 0 THEN 'FINDINGS_DAMAGE' ELSE 'STRUCTURE_GEOMETRY' END AS c1,
           CASE p_partkey % 7 WHEN 0 THEN 'INSPECTIONS' WHEN 1 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'TRAFFIC_NETWORK' END AS c2, CASE p_partkey % 3 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'COMPONENTS_MATERIALS' END AS c3, 'HISTORICAL_WORKS_COSTS' AS c4,
           concat(CASE WHEN p_partkey % 2 = 0 THEN '[3] S = 1 ' ELSE '' END, CASE WHEN p_partkey % 8 < 4 THEN 'Dringlichkeit hoch ' ELSE 'Text ' END, CASE WHEN p_partkey % 11 < 6 THEN 'Hauptprüfung 12.3.2004' ELSE '' END) AS text FROM {part})""",
+    "incoming_findings": """
+        SELECT * FROM {arriving_findings} UNION ALL SELECT * FROM {arriving_findings} WHERE source_identifier = '3'""",
+    "arriving_findings": """
+        SELECT DISTINCT CASE WHEN l_partkey % 19 > 0 THEN concat(l_orderkey, '-', CASE l_linenumber WHEN 3 THEN 2 ELSE l_linenumber END) END AS id, concat(o_custkey) AS structure_id, concat(o_custkey * 10 + o_orderkey % 2 + CASE WHEN l_suppkey % 23 = 0 THEN 1 ELSE 0 END) AS partial_structure_id,
+          concat(l_orderkey + CASE WHEN l_partkey % 29 = 0 THEN 2 ELSE 0 END) AS inspection_id, CASE l_suppkey % 5 WHEN 0 THEN concat(o_custkey * 10 + o_orderkey % 2) WHEN 1 THEN CASE WHEN l_partkey % 3 = 0 THEN 'none' END END AS component_id,
+          CASE WHEN l_linenumber <= 5 THEN concat(l_linenumber % 4) END AS source_identifier, CASE l_partkey % 13 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE 'Riss' END AS description,
+          CASE l_partkey % 11 WHEN 0 THEN '-1' WHEN 1 THEN '12,5' WHEN 2 THEN '12.5' END AS dimension_length, CASE WHEN l_partkey % 11 < 3 AND l_partkey % 4 > 0 THEN 'mm' END AS dimension_unit,
+          CASE l_suppkey % 7 WHEN 0 THEN '3.250' WHEN 1 THEN '-2' END AS quantity, CASE l_suppkey % 7 WHEN 0 THEN CASE l_suppkey % 2 WHEN 0 THEN 'm2' ELSE ' ' END WHEN 1 THEN 'm' WHEN 2 THEN CASE WHEN l_partkey % 3 = 0 THEN 'm' END END AS quantity_unit,
+          CASE l_partkey % 17 WHEN 0 THEN '5' WHEN 1 THEN 'x' WHEN 2 THEN NULL ELSE concat(l_partkey % 5) END AS stability_rating, concat(l_suppkey % 5) AS traffic_safety_rating, 'OPEN' AS status,
+          CASE WHEN l_orderkey % 31 > 0 THEN o_orderdate END AS created_at, o_orderdate AS updated_at, l_linenumber AS place, l_partkey * 100000 + l_suppkey AS received, l_linestatus AS unknown_column
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "incoming_traffic": """
+        SELECT concat(o_orderkey - o_orderkey % 2 * CASE WHEN o_orderkey % 9 = 8 THEN 1 ELSE 0 END) AS id, CASE o_orderkey % 25 WHEN 0 THEN NULL WHEN 1 THEN concat(-o_custkey) ELSE concat(o_custkey) END AS structure_id,
+          CASE o_orderkey % 21 WHEN 0 THEN '1850' WHEN 1 THEN 'unbekannt' ELSE concat(1992 + o_orderkey % 7) END AS observation_year, CASE o_orderkey % 6 WHEN 0 THEN concat(1992 + o_orderkey % 7, '-06-01') WHEN 1 THEN '1999-02-30' WHEN 2 THEN '1995-07-01' END AS observed_on,
+          CASE WHEN o_orderkey % 8 > 0 THEN (o_orderkey * 37) % 60000 - 1000 END AS daily_traffic, CASE o_orderkey % 4 WHEN 0 THEN concat(o_orderkey % 120, '.5') END AS truck_share_percent, CASE WHEN o_orderkey % 33 > 0 THEN 'DOCUMENT' END AS source,
+          o_orderdate AS created_at, o_orderdate AS updated_at, o_orderkey AS received
+        FROM {orders}""",
     "monthly": """
         SELECT c_custkey AS structure_id, CASE c_custkey % 3 WHEN 0 THEN NULL ELSE c_custkey % 50 END AS base, c_custkey % 4 = 0 AS short FROM {customer}""",
 }

@@ -1,4 +1,4 @@
-"""Explicit schemas of stored relations: readers never infer, writers check what they write."""
+"""Explicit schemas of stored relations: readers never infer, writers check what they write (S1, S11); ``admission`` judges rows by them."""
 
 from __future__ import annotations
 
