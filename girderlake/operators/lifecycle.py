@@ -121,6 +121,38 @@ def seed_assignments(scenarios: DataFrame, interventions: DataFrame) -> DataFram
     return interventions.join(scenarios, "road").select("scenario_id", "id", F.when(inside, F.col("planned_year")).alias("assigned_year"), F.lit("SEEDED").alias("source"))
 
 
+def seed_envelopes(scenarios: DataFrame) -> DataFrame:
+    """A new plan's yearly amount, the same in each year of its horizon; amount and currency are both there or neither."""
+    both = F.col("amount").isNotNull() & F.col("currency").isNotNull()
+    year = F.explode(F.sequence(F.col("start_year"), F.col("start_year") + F.col("n_years") - 1))
+    return scenarios.select("scenario_id", year.alias("year"), F.when(both, F.col("amount")).alias("budget"), F.when(both, F.col("currency")).alias("currency"))
+
+
+def newest_scenarios(scenarios: DataFrame, changes: DataFrame) -> DataFrame:
+    """Plans by their last change, the newest first, ones without any last, then by id."""
+    last = changes.groupBy("scenario_id").agg(F.max("changed_on").alias("updated_on"))
+    return scenarios.join(last, "scenario_id", "left").orderBy(F.col("updated_on").desc_nulls_last(), "scenario_id")
+
+
+def extraction_contexts(runs: DataFrame, pages: DataFrame, statuses: tuple[str, ...]) -> DataFrame:
+    """Z3: each document's newest run of the given statuses, with its pages in order, if it has all that the run counted.
+
+    Runs of other statuses are left out before ranking. A run that counted no pages, or another number than there are, gives
+    no row, and an older one does not take its place.
+    """
+    order = [F.col("created_at").desc(), F.col("id").desc()]
+    last = first_per_key(runs.where(F.col("status").isin(*statuses)), ["document_id"], order)
+    own = pages.groupBy("document_id").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list("number")).alias("numbers"))
+    return last.join(own, "document_id").where("n_pages = page_count").select("document_id", F.col("id").alias("run_id"), "status", "n_pages", "numbers")
+
+
+def document_list(documents: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """Every document with its newest processing run of any status and its page numbers in order."""
+    last = first_per_key(runs, ["document_id"], [F.col("created_at").desc(), F.col("id").desc()]).select("document_id", F.col("id").alias("run_id"), F.col("status").alias("run_status"))
+    own = pages.groupBy("document_id").agg(F.sort_array(F.collect_set("number")).alias("numbers"))
+    return documents.join(last, "document_id", "left").join(own, "document_id", "left")
+
+
 def replace_children(current: DataFrame, incoming: DataFrame, parent: str) -> DataFrame:
     """All children of the incoming parents are replaced, those of others stay."""
     return current.join(incoming.select(parent).distinct(), parent, "left_anti").unionByName(incoming)

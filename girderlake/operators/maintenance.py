@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
@@ -74,6 +75,35 @@ def planning_list(items: DataFrame, view: str | None = None) -> DataFrame:
     return rows.orderBy(F.col("priority").desc(), F.coalesce("planned_year", "target_year", F.lit(NO_YEAR)), "id")
 
 
+@dataclass(frozen=True)
+class PlanningRequest:
+    """A checked request for the planning list."""
+
+    view: str = "unplanned"
+    page: int = 1
+    page_size: int = 25
+
+    def __post_init__(self):
+        if self.view not in ("unplanned", *VIEWS.values()):
+            raise ValueError(f"unknown view {self.view!r}")
+        if self.page < 1 or not 1 <= self.page_size <= 100:
+            raise ValueError("page counts from 1, and a page has 1 to 100 rows")
+
+
+def planning_page(items: DataFrame, request: PlanningRequest) -> DataFrame:
+    """One page of a planning list."""
+    return planning_list(items, request.view).offset((request.page - 1) * request.page_size).limit(request.page_size)
+
+
+def with_membership(interventions: DataFrame, memberships: DataFrame) -> DataFrame:
+    """Interventions with ``included``: whether the programme of their own planned year has them.
+
+    The year is part of the join and no filter behind it, so an intervention that only another year's programme has stays, not included.
+    """
+    of_year = memberships.select(F.col("intervention_id").alias("id"), F.col("planning_year").alias("planned_year")).distinct().withColumn("included", F.lit(True))
+    return interventions.drop("included").join(of_year, ["id", "planned_year"], "left").withColumn("included", F.coalesce("included", F.lit(False)))
+
+
 def view_counts(items: DataFrame) -> DataFrame:
     """Items on every list, before any view is chosen."""
     return items.agg(F.count("*").alias("n"), *[F.count_if(F.col("view") == v).alias(v) for v in ("unplanned", *VIEWS.values())])

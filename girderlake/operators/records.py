@@ -24,6 +24,40 @@ def history(inspections: DataFrame, works: DataFrame, traffic: DataFrame) -> Dat
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
+#: Titles of inspections by type in a structure's history.
+INSPECTION_TITLES = {"MAIN": "Main inspection", "SIMPLE": "Simple inspection", "SPECIAL": "Special inspection", "OTHER": "Other inspection"}
+
+
+def told_history(inspections: DataFrame, works: DataFrame, traffic: DataFrame) -> DataFrame:
+    """Every structure's events, the newest first and undated ones last; on one day inspections, then works, then traffic.
+
+    Each has its title and the columns of its kind. One range-partitioned sort over all structures, whose key goes on
+    to the day and id, so that a structure of very many events is no single task's work.
+    """
+    c = F.col
+    titles = F.create_map(*[F.lit(x) for pair in INSPECTION_TITLES.items() for x in pair])
+    title = F.when(c("type").isNull(), "Inspection").otherwise(F.try_element_at(titles, c("type")))
+    a = inspections.select("structure_id", F.lit("INSPECTION").alias("kind"), "id", c("inspected_on").alias("happened_on"), title.alias("title"), F.lit(0).alias("_turn"), "tenths")
+    b = works.select("structure_id", F.lit("HISTORICAL_WORK").alias("kind"), "id", c("started_on").alias("happened_on"), F.coalesce("title", F.lit("Historical work")).alias("title"), F.lit(1).alias("_turn"), "ended_on", "reason")
+    d = traffic.select("structure_id", F.lit("TRAFFIC_OBSERVATION").alias("kind"), "id", c("observed_on").alias("happened_on"), F.concat(F.lit("Traffic observation "), c("observation_year").cast("string")).alias("title"), F.lit(2).alias("_turn"), "daily_traffic")
+    rows = a.unionByName(b, allowMissingColumns=True).unionByName(d, allowMissingColumns=True)
+    return rows.orderBy("structure_id", c("happened_on").desc_nulls_last(), "_turn", "id").drop("_turn")
+
+
+def evidence_facts(branches: dict[str, DataFrame], sources: DataFrame) -> DataFrame:
+    """Entities of several kinds with the source that shows each: kind, the branch's columns, page, excerpt (null if blank), review_state.
+
+    Branches have the same columns, ``evidence_id`` among them; they are put under one another first, so the sources are
+    read and shuffled once for all of them.
+    """
+    rows = None
+    for kind, branch in branches.items():
+        one = branch.select(F.lit(kind).alias("kind"), "*")
+        rows = one if rows is None else rows.unionByName(one)
+    shown = sources.select(F.col("id").alias("evidence_id"), "page", F.nullif(F.trim("excerpt"), F.lit("")).alias("excerpt"), "review_state")
+    return rows.join(shown, "evidence_id")
+
+
 def pages_of(evidence: DataFrame, documents: DataFrame, id_col: str) -> DataFrame:
     """Of every document the number of its evidence rows and its distinct pages in order; 0 and none without any."""
     own = evidence.groupBy("doc_id").agg(F.count("*").alias("n_evidence"), F.sort_array(F.collect_set("page")).alias("pages"))
@@ -201,6 +235,13 @@ def chunks(rows: DataFrame, group: str, number: str, most: int) -> DataFrame:
     return cut.groupBy(group, "_run", "_chunk").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("_run", "_chunk")
 
 
+def packed_chunks(rows: DataFrame, group: str, number: str, most: int) -> DataFrame:
+    """U10, packed: a group's numbers in order, ``most`` to a chunk whatever gaps they have: (group, first, last, n)."""
+    place = F.row_number().over(Window.partitionBy(group).orderBy(number)) - 1
+    cut = rows.where(F.col(number).isNotNull()).select(group, number).distinct().withColumn("_chunk", F.floor(place / most))
+    return cut.groupBy(group, "_chunk").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("_chunk")
+
+
 def text_metrics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """compact length, lines with text, short ones (under 25 characters), and whether a page should be read by sight."""
     text = F.coalesce(F.col(text_col), F.lit(""))

@@ -620,4 +620,4 @@ def json_properties(rel):
     return rel.events.select("event_id", records.json_number(F.col("props"), "$.k").alias("k"))
 
 
-from girderlake.plans import admission, extraction, workflow  # noqa: E402, F401  their queries register themselves above
+from girderlake.plans import admission, extraction, programmes, workflow  # noqa: E402, F401  their queries register themselves above

@@ -291,6 +291,12 @@ RELATIONS = {
         SELECT id, text, n, c0, c1, c2, c3, c4 FROM (SELECT p_partkey AS id, CAST(floor(p_partkey / 3) AS BIGINT) % 6 AS n, CASE p_partkey % 2 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'IDENTITY_OVERVIEW' END AS c0, CASE p_partkey % 5 WHEN 0 THEN 'FINDINGS_DAMAGE' ELSE 'STRUCTURE_GEOMETRY' END AS c1,
           CASE p_partkey % 7 WHEN 0 THEN 'INSPECTIONS' WHEN 1 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'TRAFFIC_NETWORK' END AS c2, CASE p_partkey % 3 WHEN 0 THEN 'DRAWINGS_IMAGES_OTHER' ELSE 'COMPONENTS_MATERIALS' END AS c3, 'HISTORICAL_WORKS_COSTS' AS c4,
           concat(CASE WHEN p_partkey % 2 = 0 THEN '[3] S = 1 ' ELSE '' END, CASE WHEN p_partkey % 8 < 4 THEN 'Dringlichkeit hoch ' ELSE 'Text ' END, CASE WHEN p_partkey % 11 < 6 THEN 'Hauptprüfung 12.3.2004' ELSE '' END) AS text FROM {part})""",
+    "page_runs": """
+        SELECT o_orderkey AS id, o_custkey AS document_id, o_orderdate AS created_at, CASE o_orderkey % 5 WHEN 0 THEN 'EXTRACTION_PENDING' WHEN 1 THEN 'EXTRACTED' WHEN 2 THEN 'PARSING_FAILED' ELSE 'PARSING' END AS status,
+          CASE o_orderkey % 4 WHEN 0 THEN 19 WHEN 1 THEN NULL ELSE 20 END AS page_count FROM {orders}""",
+    "memberships": """
+        SELECT id AS intervention_id, planned_year + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS planning_year FROM {interventions} WHERE included = 1
+        UNION ALL SELECT id, planned_year + included - 1 FROM {interventions}""",
     "incoming_findings": """
         SELECT * FROM {arriving_findings} UNION ALL SELECT * FROM {arriving_findings} WHERE source_identifier = '3'""",
     "arriving_findings": """
