@@ -118,14 +118,16 @@ def budget_order() -> list:
     return [F.col("priority").desc(), _band_rank().desc(), F.coalesce("extra_vehicle_tenths_km", F.lit(0)).desc(), F.col("work_type"), F.col("id")]
 
 
-def funded_prefix(items: DataFrame, keys: list[str]) -> DataFrame:
+def funded_prefix(items: DataFrame, keys: list[str], stored: bool = False) -> DataFrame:
     """Included items with an estimate in order, and whether the running sum still fits the key's ``budget``.
 
     A key's order is cut into slots of equal priority and band and similar detour, so that no key is one task: the
-    few sums of slots give what stands before each, and rows are summed within their slot.
+    few sums of slots give what stands before each, and rows are summed within their slot. Both read the included items,
+    which are stored once, unless they are ``stored`` already.
     """
     slots = {"_priority": F.col("priority"), "_band": _band_rank(), "_detour": F.floor(F.coalesce("extra_vehicle_tenths_km", F.lit(0)) / SLOT)}
-    costed = items.where("included = 1 AND estimate IS NOT NULL").withColumns({**slots, "_cost": F.col("estimate").cast("decimal(28,2)")})
+    costed = items.where("included = 1 AND estimate IS NOT NULL")
+    costed = (costed if stored else cut(costed)).withColumns({**slots, "_cost": F.col("estimate").cast("decimal(28,2)")})
     sums = costed.groupBy(*keys, *slots).agg(F.sum("_cost").alias("_sum"))
     ahead = F.sum("_sum").over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in slots]).rowsBetween(Window.unboundedPreceding, -1))
     before = sums.select(*[F.col(c).alias(f"{c}_of") for c in (*keys, *slots)], F.coalesce(ahead, F.lit(0)).cast("decimal(38,2)").alias("_before"))
@@ -140,8 +142,9 @@ def budget_summary(items: DataFrame, keys: list[str]) -> DataFrame:
 
     A missing estimate is counted apart, never summed as 0.
     """
-    chosen = items.where("included = 1")
-    funded = funded_prefix(items, keys).groupBy(*keys).agg(F.count_if("funded").alias("n_funded"))
+    asked = dict.fromkeys([*keys, "budget", "included", "estimate", "priority", "band", "extra_vehicle_tenths_km", "work_type", "id"])
+    chosen = cut(items.where("included = 1").select(*asked))
+    funded = funded_prefix(chosen, keys, stored=True).groupBy(*keys).agg(F.count_if("funded").alias("n_funded"))
     total = chosen.groupBy(*keys).agg(F.first("budget").alias("budget"), F.coalesce(F.sum(F.col("estimate").cast("decimal(28,2)")), F.lit(0)).cast("decimal(38,2)").alias("selected"), F.count("*").alias("n_included"), F.count_if(F.col("estimate").isNull()).alias("n_missing"))
     rest = F.col("budget") - F.col("selected")
     out = total.join(funded, keys, "left").withColumn("n_funded", F.coalesce("n_funded", F.lit(0)))

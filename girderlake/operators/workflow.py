@@ -51,15 +51,18 @@ def evidence_groups(evidence: DataFrame) -> DataFrame:
 
 
 def finding_health(findings: DataFrame, structures: DataFrame, links: DataFrame, evidence: DataFrame) -> DataFrame:
-    """By structure, those without any finding included: extracted findings to review, and critical ones without a page to show."""
+    """By structure, those without any finding included: extracted findings to review, and critical ones without a page to show.
+
+    An id is one finding, of one structure; rows that repeat it count once.
+    """
     seen = evidence.where("run_id IS NOT NULL").withColumnRenamed("id", "evidence_id")
     shown = (F.col("kind") == "SOURCE_FACT") & F.col("page").isNotNull() & (F.trim(F.coalesce("excerpt", F.lit(""))) != "")
-    per = links.join(seen, "evidence_id").groupBy("finding_id").agg(F.bool_or(F.col("review_state") == "AUTOMATICALLY_EXTRACTED").alias("unreviewed"), F.bool_or(shown).alias("shown"))
+    told = links.join(seen, "evidence_id").select(F.col("finding_id").alias("id"), F.lit(None).cast(findings.schema["structure_id"].dataType).alias("structure_id"), F.lit(False).alias("critical"), (F.col("review_state") == "AUTOMATICALLY_EXTRACTED").alias("unreviewed"), shown.alias("shown"))
     worst = F.greatest(*[F.coalesce(c, F.lit(0)) for c in ("stability", "safety", "durability")])
-    df = findings.join(per, findings["id"] == per["finding_id"], "left").select("structure_id", "id", "status", worst.alias("worst"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("unreviewed", "shown")])
-    critical = F.col("status").isin(*ACTIVE) & (F.col("worst") >= 2) & ~F.col("shown")
-    # One row per finding first: the join above left them by id, so this shuffles nothing, and the counts need no distinct.
-    df = df.groupBy("structure_id", "id").agg(F.bool_or("unreviewed").alias("unreviewed"), F.bool_or(critical).alias("critical"))
+    own = findings.select("id", "structure_id", (F.col("status").isin(*ACTIVE) & (worst >= 2)).alias("critical"), F.lit(False).alias("unreviewed"), F.lit(False).alias("shown"))
+    # Findings and their evidence under one another and combined by id: one shuffle, combined before it, where a join takes two.
+    df = own.unionByName(told).groupBy("id").agg(F.max("structure_id").alias("structure_id"), *[F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in ("critical", "unreviewed", "shown")])
+    df = df.where("structure_id IS NOT NULL").withColumn("critical", F.col("critical") & ~F.col("shown"))
     counts = df.groupBy("structure_id").agg(F.count_if("unreviewed").alias("n_review"), F.count_if("critical").alias("n_unshown"))
     extracted = F.col("data_origin") == "EXTRACTED"
     n = lambda c: F.coalesce(F.when(extracted, F.col(c)), F.lit(0)).alias(c)
