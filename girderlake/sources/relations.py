@@ -63,19 +63,19 @@ RELATIONS = {
             WHEN 6 THEN 'MEDIUM_TERM' WHEN 7 THEN 'LONG_TERM' ELSE usual_urgency END AS urgency, status, work_type, cost, target_year, own_planned_year, quantity, unit
         FROM {usual_recommendations}""",
     "interventions": """
-        SELECT o_orderkey AS id, o_orderkey AS recommendation_id, o_custkey AS structure_id,
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey ELSE -1 - o_orderkey END AS recommendation_id, o_custkey AS structure_id,
           CAST(year(o_orderdate) AS BIGINT) + o_orderkey % 5 AS planned_year,
           CASE o_orderkey % 12 WHEN 0 THEN 'PLANNED' WHEN 3 THEN 'BUDGETED' WHEN 6 THEN 'PLANNED' ELSE 'TENDER_PREPARATION' END AS status,
           CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_totalprice AS DECIMAL(16,2)) END AS estimate,
           o_orderkey % 2 AS included, CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey % 90 END AS quantity, CAST(o_orderdate AS DATE) AS generated_on
-        FROM {orders} WHERE o_orderkey % 3 = 0""",
+        FROM {orders}""",
     "photos": """
         SELECT o_orderkey AS id, o_custkey AS structure_id, CAST(o_orderdate AS DATE) AS created_on, CASE o_orderkey % 3 WHEN 0 THEN 'image/png' ELSE 'image/jpeg' END AS mime FROM {orders}""",
     "metadata_rows": """
         SELECT p_partkey AS id, concat(chr(123), '"fixture": ', CASE p_partkey % 4 WHEN 0 THEN 'true' WHEN 1 THEN '"true"' WHEN 2 THEN 'false' ELSE '1' END, ', "sourceUrl": ',
           CASE p_partkey % 3 WHEN 0 THEN concat('"https://example.org/', CAST(p_partkey AS STRING), '"') WHEN 1 THEN '12' ELSE 'null' END, chr(125)) AS metadata FROM {part}""",
     "recommendation_findings": """
-        SELECT DISTINCT id AS finding_id, inspection_id AS recommendation_id FROM {findings} WHERE stability <> 4""",
+        SELECT DISTINCT CASE WHEN stability = 4 THEN concat(id, '-gone') ELSE id END AS finding_id, inspection_id AS recommendation_id FROM {findings}""",
     "package_commands": """
         SELECT id * 2 AS id, id AS intervention_id, CASE WHEN id % 8 < 4 THEN 'CREATE' ELSE 'DELETE' END AS kind FROM {interventions}
         UNION ALL SELECT o_orderkey * 2 + 1, o_orderkey + 1, 'CREATE' FROM {orders}""",
@@ -97,25 +97,25 @@ RELATIONS = {
           CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 20 END AS truck_share
         FROM {orders}""",
     "networks": """
-        SELECT c_custkey AS structure_id, (c_custkey * 13) % 420 AS extra_tenths_km, c_custkey % 4 AS alternatives,
+        SELECT CASE WHEN c_custkey % 7 = 0 THEN -1 - c_custkey ELSE c_custkey END AS structure_id, (c_custkey * 13) % 420 AS extra_tenths_km, c_custkey % 4 AS alternatives,
           CASE c_custkey % 5 WHEN 0 THEN 'AUTOBAHN' ELSE 'OTHER' END AS road_class
-        FROM {customer} WHERE c_custkey % 7 <> 0""",
+        FROM {customer}""",
     "climates": """
-        SELECT c_custkey AS structure_id, (c_custkey * 11) % 80 AS freeze_days, (c_custkey * 5) % 15 AS rain_days,
+        SELECT CASE WHEN c_custkey % 5 = 1 THEN -1 - c_custkey ELSE c_custkey END AS structure_id, (c_custkey * 11) % 80 AS freeze_days, (c_custkey * 5) % 15 AS rain_days,
           (c_custkey * 3) % 40 AS deicing_days, (c_custkey * 17) % 120 AS wet_dry_cycles,
           70 + c_custkey % 15 AS humidity, 1000 + (c_custkey * 7) % 700 AS wet_hours
-        FROM {customer} WHERE c_custkey % 5 <> 1""",
+        FROM {customer}""",
     "components": """
         SELECT DISTINCT o_custkey * 10 + o_orderkey % 2 AS id, o_custkey AS structure_id, CASE o_custkey % 6 WHEN 0 THEN 'Baustahl' ELSE 'Beton' END AS material,
           CASE o_custkey % 7 WHEN 0 THEN 'Geländer' WHEN 1 THEN 'Widerlager' WHEN 2 THEN 'Pfahlgründung' END AS type, CASE WHEN o_custkey % 4 <> 0 THEN 1960 + (o_custkey + o_orderkey % 2) % 50 END AS install_year
         FROM {orders}""",
     "gauges": """
-        SELECT c_custkey AS structure_id, (c_custkey * 17) % 1200 AS level_cm, 600 AS trigger_cm,
+        SELECT CASE WHEN c_custkey % 2 = 1 THEN -1 - c_custkey ELSE c_custkey END AS structure_id, (c_custkey * 17) % 1200 AS level_cm, 600 AS trigger_cm,
           CASE WHEN c_custkey % 3 <> 0 THEN 500 + c_custkey % 200 END AS mhw_cm,
           CASE WHEN c_custkey % 6 <> 0 THEN 800 + c_custkey % 100 END AS hsw_cm,
           CASE WHEN c_custkey % 10 <> 0 THEN 1050 END AS hhw_cm,
           CASE WHEN c_custkey % 8 <> 0 THEN 450 + c_custkey % 150 END AS mark_one_cm, CASE WHEN c_custkey % 14 <> 0 THEN 780 + c_custkey % 120 END AS mark_two_cm
-        FROM {customer} WHERE c_custkey % 2 = 0""",
+        FROM {customer}""",
     "flood_peaks": """
         SELECT event_id AS id, user_id AS structure_id, DATE '1994-01-01' + CAST(event_id * 37 % 2400 AS INT) AS peaked_on, event_id * 29 % 1300 AS level_cm,
           CASE WHEN event_id % 5 <> 0 THEN 700 END AS mhw_cm, CASE WHEN event_id % 4 <> 0 THEN 900 END AS hsw_cm, CASE WHEN event_id % 3 <> 0 THEN 1200 END AS hhw_cm,
@@ -137,7 +137,7 @@ RELATIONS = {
         SELECT o_orderkey AS id, o_custkey AS document_id, o_orderkey % 23 AS attempt, CASE o_orderkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'RUNNING' ELSE 'SUCCEEDED' END AS status
         FROM {orders}""",
     "finding_evidence": """
-        SELECT id AS finding_id, inspection_id AS evidence_id, CASE stability % 2 WHEN 0 THEN 'SOURCE_FACT' ELSE 'DERIVED' END AS kind FROM {findings} WHERE durability <> 4""",
+        SELECT id AS finding_id, CASE WHEN durability = 4 THEN -1 - inspection_id ELSE inspection_id END AS evidence_id, CASE stability % 2 WHEN 0 THEN 'SOURCE_FACT' ELSE 'DERIVED' END AS kind FROM {findings}""",
     "source_evidence": """
         SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS run_id, CASE WHEN o_orderkey % 6 <> 0 THEN o_orderkey % 40 END AS page,
           CASE o_orderkey % 7 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE 'Riss' END AS excerpt, CASE o_orderkey % 4 WHEN 0 THEN 'CONFIRMED' ELSE 'AUTOMATICALLY_EXTRACTED' END AS review_state
