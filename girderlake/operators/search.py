@@ -29,7 +29,9 @@ def matches(df: DataFrame, q: str, searched: list[str], exact: list[str], prefix
 
 
 def ranked(found: DataFrame, name: str, limit: int) -> DataFrame:
-    """The best ``limit`` rows, each with the number of all matches."""
+    """The best ``limit`` rows (P12: 1 to 10), each with the number of all matches."""
+    if not 1 <= limit <= 10:
+        raise ValueError("a search gives 1 to 10 rows")
     total = found.agg(F.count("*").alias("total"))
     best = found.orderBy("match_rank", F.lower(F.coalesce(F.col(name), F.lit(""))), "id").limit(limit)
     return best.join(F.broadcast(total))  # one row

@@ -4,7 +4,7 @@ import datetime
 
 import pytest
 
-from girderlake.operators import lifecycle, maintenance, records
+from girderlake.operators import lifecycle, maintenance, records, search
 from girderlake.plans.queries import QUERIES
 
 DAY = datetime.date
@@ -56,6 +56,9 @@ def test_planning_requests_are_checked():
     for bad in (dict(view="all"), dict(page=0), dict(page_size=0), dict(page_size=101)):
         with pytest.raises(ValueError):
             maintenance.PlanningRequest(**bad)
+    for limit in (0, 11):
+        with pytest.raises(ValueError):
+            search.ranked(None, "name", limit)
 
 
 def test_context_needs_every_page_of_the_newest_allowed_run(spark):
