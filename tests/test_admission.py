@@ -91,3 +91,10 @@ def test_every_rule_occurs_in_the_data():
     assert {x for r, x in seen if r == "findings"} == rules
     assert {x for r, x in seen if r == "traffic_observations"} >= {"type_observation_year", "type_observed_on", "null_source", "null_structure_id", "no_structures", "unique_id", *admission.RULES["traffic_observations"].checks}
     assert duck.sql(f"SELECT count(*) FROM ({ORACLES['admitted_findings']})").fetchall()[0][0] > 1000
+
+
+def test_rows_are_dealt_once_for_parents_and_once_for_each_key(spark, parts):
+    rows = incoming(spark, [("a", "p1", "2.0", None, 1), ("a", "p1", "2.0", None, 2), (None, None, None, None, 3)])
+    done = admission.judged(rows, "inspections", ["received"], parts)
+    assert done._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
+    assert sorted((sorted(r.broken), r.n) for r in admission.rejected(done).collect()) == [(["null_id", "null_partial_structure_id"], 1), (["unique_id"], 1)]
