@@ -1,5 +1,7 @@
 """How often the plans of joins over findings shuffle, when no side is small enough to be broadcast."""
 
+import re
+
 import pytest
 
 from girderlake.plans.queries import QUERIES
@@ -14,3 +16,14 @@ def test_findings_are_not_shuffled_for_every_join(spark, name, most):
         assert plan.count("Exchange hashpartitioning") <= most
     finally:
         spark.conf.unset(key)
+
+
+def test_identities_come_down_within_documents(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES["identity_tree"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert dealt and not [d for d in dealt if re.search("source_key|parent_key|finding_key|base|identity", d)]
