@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girderlake.operators import maintenance
+from girderlake.sources.cuts import cut
 
 ITEM = "scenario_id long, id long, priority long, work_type string, planned_year long, assigned_year long, source string, estimate decimal(16,2)"
 
@@ -67,3 +68,9 @@ def test_ties_of_one_order(spark):
     envelopes = spark.createDataFrame([(1, 2020, Decimal(100)), (1, 2021, Decimal(50))], "scenario_id long, year long, budget decimal(16,2)")
     rows = {r.id: r.assigned_year for r in maintenance.auto_fill(scenarios, items, envelopes, most=10).collect()}
     assert rows == {i: 2020 if i < 100 else 2021 if i < 150 else None for i in range(300)}
+
+
+def test_stored_rows_know_nothing_of_the_plan_that_made_them(spark):
+    rows = spark.range(5).selectExpr("id AS a", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS b").where("a > 1 AND b = 'x'")
+    kept = cut(rows.select("a", "b"))
+    assert kept._jdf.queryExecution().optimizedPlan().constraints().isEmpty() and kept.count() == 2
