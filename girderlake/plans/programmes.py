@@ -111,9 +111,11 @@ _SHOWN = {"STRUCTURE": ("structures", "id", "road"), "PART": ("parts", "id", "st
 @query
 def evidence_facts(rel):
     """Seven kinds of entities with what they say and the source that shows it, as typed rows told apart by kind."""
+    tasks = rel.tasks("lineitem", "orders")
+    rel = rel.dealing(tasks, "l_orderkey", "lineitem")  # findings come dealt by inspection: distinct ones are found where they lie
     made = {name: getattr(rel, name).distinct() for name, _, _ in _SHOWN.values()}
     made["structures"] = made["structures"].withColumn("structure_id", F.col("id"))
-    return records.evidence_facts({kind: made[name].select(F.col("id").cast("string").alias("entity_id"), "structure_id", F.col(value).alias("shown"), F.col(key).alias("evidence_id")) for kind, (name, key, value) in _SHOWN.items()}, rel.source_evidence)
+    return records.evidence_facts({kind: made[name].select(F.col("id").cast("string").alias("entity_id"), "structure_id", F.col(value).alias("shown"), F.col(key).alias("evidence_id")) for kind, (name, key, value) in _SHOWN.items()}, rel.source_evidence, tasks)
 
 
 def _cited(value: str, held: Column) -> Column:
