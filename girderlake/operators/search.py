@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from girderlake.functions.text import first_of
+from girderlake.sources.cuts import dealt
 
 
 def checked_text(q: str) -> str:
@@ -37,9 +38,9 @@ def ranked(found: DataFrame, name: str, limit: int) -> DataFrame:
     return best.join(F.broadcast(total))  # one row
 
 
-def search_findings(findings: DataFrame, structures: DataFrame, q: str, limit: int = 5) -> DataFrame:
-    """Findings with their structure; an exact key first, then keys and then kinds that begin so."""
-    rows = findings.distinct().join(structures.select(F.col("id").alias("structure_id"), "ext_no", "road"), "structure_id")
+def search_findings(findings: DataFrame, structures: DataFrame, q: str, limit: int = 5, tasks: int | None = None) -> DataFrame:
+    """Findings with their structure, met in ``tasks`` tasks; an exact key first, then keys and then kinds that begin so."""
+    rows = dealt(findings.distinct(), tasks, "structure_id").join(structures.select(F.col("id").alias("structure_id"), "ext_no", "road"), "structure_id")
     return ranked(matches(rows, q, ["id", "description", "status", "ext_no", "road"], ["id"], ["id", "description"]), "id", checked_limit(limit))
 
 
