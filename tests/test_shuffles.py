@@ -27,3 +27,14 @@ def test_identities_come_down_within_documents(spark):
         spark.conf.unset(key)
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert dealt and not [d for d in dealt if re.search("source_key|parent_key|finding_key|base|identity", d)]
+
+
+@pytest.mark.parametrize("name", ["recommendation_links", "search_findings", "evidence_facts", "told_identities", "completed_bridges"])
+def test_large_joins_are_dealt_by_size(spark, name):
+    """Spark doesn't merge tasks of a dealing by number, so none grows with the tables."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
