@@ -53,3 +53,14 @@ def test_health_stays_where_it_was_dealt(spark, name):
     assert "REPARTITION_BY_NUM" in plan and dealt
     assert not [d for d in dealt if re.search(r", \w+#", d)]  # each by one column
     assert plan.count("l_returnflag") and len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan)) == 2  # all findings once, and those that cite other evidence
+
+
+def test_overview_takes_runs_as_dealt_for_health(spark):
+    """Runs and processing lie by document, as indicators read them: ranking them deals nothing anew."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES["overview_counts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    assert "Exchange hashpartitioning(document_id" not in plan
