@@ -55,6 +55,14 @@ def test_health_stays_where_it_was_dealt(spark, name):
     assert plan.count("l_returnflag") and len(re.findall(r"Exchange hashpartitioning\(l_orderkey", plan)) == 2  # all findings once, and those that cite other evidence
 
 
+@pytest.mark.parametrize("name", ["finding_health", "data_health", "document_overview", "overview_counts"])
+def test_health_stays_where_it_was_dealt_beside_broadcasts(spark, name):
+    """Where orders are small enough to be broadcast, findings that come dealt by inspection aren't dealt again by id."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert "REPARTITION_BY_NUM" in plan and not [d for d in dealt if re.search(r"(?:^|, )id#", d)]
+
+
 def test_overview_takes_runs_as_dealt_for_health(spark):
     """Runs and processing lie by document, as indicators read them: ranking them deals nothing anew."""
     key = "spark.sql.autoBroadcastJoinThreshold"
