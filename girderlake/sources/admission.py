@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from girderlake.sources.cuts import dealt
 from girderlake.sources.schemas import schema
 
 
@@ -86,7 +87,7 @@ REPEATED = "repeated_row"
 _SPREAD = 1024
 
 
-def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, DataFrame], stored: DataFrame | None = None) -> DataFrame:
+def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, DataFrame], stored: DataFrame | None = None, within: str | None = None, tasks: int | None = None, whole: bool = False) -> DataFrame:
     """The rows of ``df`` as the relation declares them, with ``broken`` (names of broken rules), ``copies`` and ``given``.
 
     A column that ``df`` lacks is null, one that the relation doesn't have is left out. Rows that agree in every declared column and in
@@ -98,6 +99,10 @@ def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, Da
     All parents of a relation share columns (the scope). Rows and parents' keys are dealt by these once; copies are counted and
     parents looked up there, sorted, without another shuffle. Each unique key takes one more. Between shuffles a row is what came and a
     number with a bit for each broken rule; types, names and JSON are made at the end.
+
+    ``within`` names a column of ``df`` and of all parents by which they lie already, dealt to ``tasks`` tasks; rows of one scope must
+    have one value of it. Then nothing is dealt for the parents. ``tasks`` is for the unique keys, too. With ``whole`` rows that break
+    something else than a unique key are left out before these are looked at: what is admitted is the same.
     """
     rules, fields, have = RULES[relation], schema(relation).fields, dict(df.dtypes)
     known = [f.name for f in fields if f.name in have]
@@ -107,10 +112,12 @@ def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, Da
     def read(name: str) -> Column:
         return F.col(name).try_cast(declared[name]) if name in other else F.col(name) if name in have else F.lit(None).cast(declared[name])
 
-    rows = _with_parents(df.select(*known, F.struct(*[F.col(c) for c in order]).alias("_order")), rules.parents, parents, read, declared)
-    names, broken = [], []
+    near = [F.col(within).alias("_within")] if within else []
+    rows = _with_parents(df.select(*known, F.struct(*[F.col(c) for c in order]).alias("_order"), *near), rules.parents, parents, read, declared, within)
+    names, broken, holds = [], [], []
 
     def rule(name: str, condition: Column) -> None:
+        holds.append(~F.coalesce(condition, F.lit(False)))
         broken.append(F.when(condition, F.lit(1 << len(names)).cast("long")).otherwise(F.lit(0).cast("long")))
         names.append(name)
 
@@ -127,7 +134,13 @@ def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, Da
         rule(f"no_{parent.relation}", ~F.col(f"_has_{i}") & _whole([F.col(c) for c in parent.columns]))
     came = [F.col(n).alias(f"_raw_{n}") for n in known if n in other]
     rows = rows.select(*[read(f.name).alias(f.name) for f in fields], *came, "_order", "copies", F.xxhash64(*known).alias("_tie"), *[f"_has_{i}" for i in range(len(rules.parents))])
-    rows = rows.select(*[raw(n).alias(n) for n in known], "_order", "copies", "_tie", reduce(Column.bitwiseOR, broken).alias("_mask"))
+    mask = F.lit(0).cast("long") if whole else reduce(Column.bitwiseOR, broken)
+    for each in holds if whole else []:
+        rows = rows.where(each)
+    rows = rows.select(*[raw(n).alias(n) for n in known], "_order", "copies", "_tie", mask.alias("_mask"))
+    if not whole:  # a row that claims no key needs neither its place among others nor all of its hash, so these don't travel
+        free = F.col("_mask") == 0
+        rows = rows.withColumns({"_order": F.when(free, F.col("_order")), "_tie": F.when(free, F.col("_tie")).otherwise(F.pmod("_tie", F.lit(_SPREAD)))})
     for key in rules.unique:
         at = [read(c) for c in key]
         if stored is not None:
@@ -138,6 +151,7 @@ def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, Da
         # A row that claims no key is told by its hash instead, so that such rows are no group; a CASE keeps the condition in one piece.
         claims = F.when(F.col("_mask") == 0, _whole(at)).otherwise(F.lit(False))
         rows = rows.withColumn("_spread", F.when(claims, F.lit(-1)).otherwise(F.pmod("_tie", F.lit(_SPREAD)))).withColumns({f"_at_{c}": F.when(claims, x) for x, c in zip(at, key, strict=True)})
+        rows = dealt(rows, tasks, "_spread", *[f"_at_{c}" for c in key])
         place = F.row_number().over(Window.partitionBy("_spread", *[f"_at_{c}" for c in key]).orderBy("_order", "_tie"))
         rows = _marked(rows.withColumn("_place", place), (F.col("_spread") < 0) & (F.col("_place") > 1), len(names)).drop("_spread", "_place", *[f"_at_{c}" for c in key])
         names.append("unique_" + "_".join(key))
@@ -146,7 +160,7 @@ def judged(df: DataFrame, relation: str, order: list[str], parents: dict[str, Da
     return rows.select(*[read(f.name).alias(f.name) for f in fields], "copies", given.alias("given"), told.alias("broken"))
 
 
-def _with_parents(rows: DataFrame, rules: tuple[Parent, ...], parents: dict[str, DataFrame], read: Callable[[str], Column], declared: dict[str, str]) -> DataFrame:
+def _with_parents(rows: DataFrame, rules: tuple[Parent, ...], parents: dict[str, DataFrame], read: Callable[[str], Column], declared: dict[str, str], within: str | None = None) -> DataFrame:
     """Distinct rows with their ``copies`` and, for each parent, ``_has_...``: whether it has the row's key.
 
     Keys of parents are rows of their own kind among the others; a window over a key sees whether one of them is there.
@@ -154,17 +168,21 @@ def _with_parents(rows: DataFrame, rules: tuple[Parent, ...], parents: dict[str,
     came, scope = rows.columns, [c for c in rules[0].columns if all(c in p.columns for p in rules)]
     keys = list(dict.fromkeys(c for p in rules for c in p.columns))
     at = lambda columns: [F.col(f"_key_{c}") for c in columns]
-    whole = _whole(at(scope))
+    counted = lambda df: df.groupBy(*df.columns).agg(F.count("*").alias("copies"))
+    near, whole = ["_within"] if within else [], _whole(at(scope))
+    rows = counted(rows) if within else rows
     rows = rows.select("*", F.lit(-1).alias("_kind"), *[read(c).alias(f"_key_{c}") for c in keys])
     rows = rows.withColumn("_spread", F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64(*came), F.lit(_SPREAD))))
     for i, parent in enumerate(rules):
         of = dict(zip(parent.columns, parent.keys, strict=True))
-        one = parents[parent.relation].select(*[F.col(of[c]).cast(declared[c]).alias(f"_key_{c}") if c in of else F.lit(None).cast(declared[c]).alias(f"_key_{c}") for c in keys], F.lit(i).alias("_kind"), F.lit(0).cast("long").alias("_spread"))
+        one = parents[parent.relation].select(*[F.col(of[c]).cast(declared[c]).alias(f"_key_{c}") if c in of else F.lit(None).cast(declared[c]).alias(f"_key_{c}") for c in keys], F.lit(i).alias("_kind"), F.lit(0).cast("long").alias("_spread"), *[F.col(within).alias(n) for n in near])
         rows = rows.unionByName(one.where(_whole(at(parent.columns))), allowMissingColumns=True)
-    rows = rows.repartition("_spread", *at(scope))
-    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
-    for i, parent in enumerate(rules):
-        rows = rows.withColumn(f"_has_{i}", F.max(F.col("_kind") == i).over(Window.partitionBy("_spread", *at(parent.columns))))
+    if not within:
+        rows = counted(rows.repartition("_spread", *at(scope)))
+    # Keys begin with the scope, the longest first: a shorter one after it is in order already.
+    for i, parent in sorted(enumerate(rules), key=lambda p: -len(p[1].columns)):
+        by = [*scope, *[c for c in parent.columns if c not in scope]]
+        rows = rows.withColumn(f"_has_{i}", F.max(F.col("_kind") == i).over(Window.partitionBy(*near, "_spread", *at(by))))
     return rows.where("_kind < 0").select(*came, "copies", *[f"_has_{i}" for i in range(len(rules))])
 
 

@@ -98,3 +98,16 @@ def test_rows_are_dealt_once_for_parents_and_once_for_each_key(spark, parts):
     done = admission.judged(rows, "inspections", ["received"], parts)
     assert done._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 2
     assert sorted((sorted(r.broken), r.n) for r in admission.rejected(done).collect()) == [(["null_id", "null_partial_structure_id"], 1), (["unique_id"], 1)]
+
+
+def test_rows_that_lie_by_structure_are_judged_there(spark, parts):
+    rows = incoming(spark, [("a", "p1", "2.5", "12", 1), ("a", "p1", "2.5", "12", 1), ("a", "p1", "3.0", "12", 2), ("b", "p2", "2.0", "12", 3), ("c", "p1", "4.5", "0", 4), ("e", None, None, None, 7), ("f", "p1", None, None, 99)])
+    near = lambda df: df.selectExpr("*", "crc32(structure_id) AS home").repartition(5, "home")
+    there = {k: near(df) for k, df in parts.items()}
+    done = admission.judged(near(rows), "inspections", ["received"], there, within="home", tasks=5)
+    same = admission.judged(rows, "inspections", ["received"], parts)
+    assert reasons(done) == reasons(same) and admission.rejected(done).count() == admission.rejected(same).count() == 6
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(home") == 2 and plan.count("Exchange ") == 3
+    some = admission.judged(near(rows), "inspections", ["received"], there, within="home", tasks=5, whole=True)
+    assert sorted(map(tuple, admission.admitted(some, "inspections").collect())) == sorted(map(tuple, admission.admitted(same, "inspections").collect()))
