@@ -110,3 +110,16 @@ def test_incoming_findings_are_dealt_before_they_are_made(spark, name, threshold
     dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
     assert [d.split("#")[0] for d in dealt].count("o_custkey") == 4
     assert not [d for d in dealt if d.count("#") > 3 or "partial_structure_id" in d]
+
+
+@pytest.mark.parametrize("name", ["extraction_guards", "extraction_outcomes", "surviving_entities", "released_documents"])
+def test_records_of_a_document_meet_where_they_are_stored(spark, name):
+    """Bound and desired records travel for no comparison: of all entities only hashes are dealt, to find those under several documents."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    try:
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(key)
+    dealt = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+    assert "_told" in str(dealt) and "identity_key" not in str(dealt) and "Bucketed: true" in plan
